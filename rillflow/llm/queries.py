@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rillflow.llm import bpe, packing
+from rillflow.llm import bpe, packing, secrets, sharding
 
 TOKENIZERS = os.environ.get("RILLFLOW_TOKENIZERS", "/opt/tokenizers")
 
@@ -16,6 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_layered_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_digests(table(spark, sf_dir, "documents"))
+
+
+def op3_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = sharding.regular_tree(regions=2, racks=4, shards=5)
+    placed = sharding.shard(table(spark, sf_dir, "documents"), tree, sharding.grown_tree(tree, 40))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
 def op8_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end_id=2)
 
