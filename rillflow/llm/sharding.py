@@ -52,33 +52,41 @@ def grown_tree(tree: Node, shard: int, weight: float = 1.0) -> Node:
     return Node(tree.name, (*tree.children, Node(f"region-of-{shard}", (Node("rack0", (Node("shard0", shard=shard, own_weight=weight),)),))))
 
 
-def arrival(key: Column, path: str, weight: float) -> Column:
-    """Exponential arrival time with rate ``weight``, drawn from the hash of key and path."""
-    uniform = (F.shiftrightunsigned(F.xxhash64(key, F.lit(path)), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
-    return -F.log(uniform) / F.lit(float(weight))
+def levels_of(tree: Node) -> list[list[list[tuple[str, float, int]]]]:
+    """For each level, for each node of it, its children that weigh something: (path, weight, place among the next level's nodes).
+
+    A leaf above the last level stands for itself on every further one. On the last level the places are shard numbers.
+    """
+    level, out = [(f"/{tree.name}", tree)], []
+    while any(node.children for _, node in level):
+        following, table = [], []
+        for path, node in level:
+            heavy = [(f"{path}/{c.name}", c) for c in node.children if c.weight > 0] or [(path, node)]
+            if heavy[0][1].weight <= 0:
+                raise ValueError(f"{path} has no weight")
+            table.append([(p, c.weight, len(following) + k) for k, (p, c) in enumerate(heavy)])
+            following += heavy
+        level = following
+        out.append(table)
+    shards = [node.shard for _, node in level]
+    if not out:
+        return [[[(level[0][0], 1.0, shards[0])]]]
+    out[-1] = [[(path, weight, shards[k]) for path, weight, k in children] for children in out[-1]]
+    return out
 
 
 def shard_of(key: Column, tree: Node) -> Column:
     """The shard of a key. Children of weight 0 get nothing."""
 
-    def descend(node: Node, path: str) -> Column:
-        if node.shard is not None:
-            return F.lit(node.shard)
-        path = f"{path}/{node.name}"
-        heavy = [(k, c) for k, c in enumerate(node.children) if c.weight > 0]
-        if not heavy:
-            raise ValueError(f"{path} has no weight")
-        if len(heavy) == 1:
-            return descend(heavy[0][1], path)
-        first = F.array_min(F.array(*[F.struct(arrival(key, f"{path}/{c.name}", c.weight).alias("at"), F.lit(k).alias("k")) for k, c in heavy]))["k"]
-        if all(c.shard is not None for _, c in heavy):
-            return F.element_at(F.array(*[F.lit(c.shard) for c in node.children]), first + 1)
-        out = None
-        for k, c in heavy:
-            out = F.when(first == k, descend(c, path)) if out is None else out.when(first == k, descend(c, path))
-        return out
-
-    return descend(tree, "").cast("int")
+    def arrival(child: Column) -> Column:
+        uniform = (F.shiftrightunsigned(F.xxhash64(key, child["path"]), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
+        return F.struct((-F.log(uniform) / child["weight"]).alias("at"), child["place"].alias("place"))
+
+    at = F.lit(0)
+    for table in levels_of(tree):
+        children = F.array(*[F.array(*[F.struct(F.lit(p).alias("path"), F.lit(float(w)).alias("weight"), F.lit(k).alias("place")) for p, w, k in node]) for node in table])
+        at = F.array_min(F.transform(F.element_at(children, at + 1), arrival))["place"]
+    return at.cast("int")
 
 
 def numbered(df: DataFrame, shard_col: str, key_col: str, slot_col: str, rows: int) -> DataFrame:
