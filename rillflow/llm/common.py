@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -22,7 +23,15 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not checkpoint_dir(spark):
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rillflow-checkpoint-"))
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    release(spark)
+    return kept
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what is no longer referred to; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
