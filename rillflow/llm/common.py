@@ -30,6 +30,7 @@ def durable(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of what is no longer referred to; else they stay until the driver happens to collect its garbage."""
+    spark.range(2).repartition(2).count()  # the scheduler holds on to the last job until there is another
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

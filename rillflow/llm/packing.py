@@ -18,7 +18,9 @@ empty table gives an empty result. A sequence id joins the task's number and the
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterable, Iterator
@@ -30,6 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from rillflow.llm.bpe import printable_bytes
 from rillflow.llm.common import slices, texts
 
 TIERS = (256, 512, 1024, 2048, 4096)
@@ -38,12 +41,95 @@ STEP_TOKENS = 1 << 17
 REMEMBERED = 400_000
 #: Python counts these as white space, the tokenizer doesn't.
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+MARKS = ".,;:!?"
+#: Letters that may change under the tokenizer's normalisation.
+BEYOND = re.compile("[^a-zß-öø-ɏ]")
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
+class WordMerger:
+    """Merges many plain words at once: in each round, every word's pair of least rank, on flat arrays."""
+
+    EMPTY, NEVER, SLOTS = np.int64(-1), np.int32(1 << 30), 20
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)["model"]
+        ids, suffix = spec["vocab"], spec["end_of_word_suffix"] or ""
+        letters = {b: c for c, b in printable_bytes().items()}
+        self.inner = np.array([ids[letters[b]] for b in range(256)], np.int32)
+        self.final = np.array([ids[letters[b] + suffix] for b in range(256)], np.int32)
+        self.keys = np.full(1 << self.SLOTS, self.EMPTY)
+        self.ranks, self.made = np.full(1 << self.SLOTS, self.NEVER), np.zeros(1 << self.SLOTS, np.int32)
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["merges"]]
+        keys = np.array([ids[a] << 20 | ids[b] for a, b in pairs], np.int64)
+        made = np.array([ids[a + b] for a, b in pairs], np.int32)
+        at, rest = self.slot(keys), np.arange(len(keys))
+        while len(rest):
+            free = self.keys[at[rest]] == self.EMPTY
+            _, one = np.unique(np.where(free, at[rest], -1 - rest), return_index=True)
+            placed = rest[one[free[one]]]
+            self.keys[at[placed]], self.ranks[at[placed]], self.made[at[placed]] = keys[placed], placed, made[placed]
+            rest = np.setdiff1d(rest, placed)
+            at[rest] = (at[rest] + 1) & ((1 << self.SLOTS) - 1)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, or an empty one."""
+        at = self.slot(keys)
+        rest = np.flatnonzero((self.keys[at] != keys) & (self.keys[at] != self.EMPTY))
+        while len(rest):
+            at[rest] = (at[rest] + 1) & ((1 << self.SLOTS) - 1)
+            here = self.keys[at[rest]]
+            rest = rest[(here != keys[rest]) & (here != self.EMPTY)]
+        return at
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        """The ids of each word as little-endian 32-bit numbers. Words aren't empty."""
+        coded = [w.encode() for w in words]
+        data = np.frombuffer(b"".join(coded), np.uint8)
+        ends = np.cumsum([len(c) for c in coded])
+        tokens = self.inner[data]
+        tokens[ends - 1] = self.final[data[ends - 1]]
+        out: list[bytes] = [b""] * len(words)
+        names, first = np.arange(len(words)), np.concatenate([[0], ends[:-1]])
+        while len(names):
+            stop = np.concatenate([first[1:], [len(tokens)]])
+            keys = tokens.astype(np.int64) << 20
+            keys[:-1] |= tokens[1:]
+            at = self.places(keys)
+            ranks = np.where(self.keys[at] == keys, self.ranks[at], self.NEVER)
+            ranks[stop - 1] = self.NEVER
+            least = np.minimum.reduceat(ranks, first)
+            done = least == self.NEVER
+            if done.any():
+                flat = tokens.astype("<u4").tobytes()
+                for k, a, b in zip(names[done].tolist(), first[done].tolist(), stop[done].tolist(), strict=True):
+                    out[k] = flat[4 * a : 4 * b]
+            sizes = stop - first
+            chosen = (ranks == np.repeat(least, sizes)) & (ranks != self.NEVER)
+            overlap = np.flatnonzero(chosen[1:] & chosen[:-1])
+            for k in overlap.tolist():  # of three equal tokens the left two are merged
+                if chosen[k]:
+                    chosen[k + 1] = False
+            tokens[chosen] = self.made[at[chosen]]
+            keep = np.repeat(~done, sizes)
+            keep[1:] &= ~chosen[:-1]
+            left = np.add.reduceat(keep, first, dtype=np.int64)[~done]
+            tokens, names = tokens[keep], names[~done]
+            first = np.cumsum(left) - left
+        return out
+
+
 class ChunkEncoder:
-    """Ids of whole texts from a tokenizer whose words never span white space, remembering the ids of frequent chunks."""
+    """Ids of whole texts from a tokenizer whose words never span white space.
+
+    The ids of frequent chunks are remembered. New chunks that are plain Latin letters, perhaps with end marks, are merged here, many at once; all others,
+    and texts with special tokens, go through the library.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -52,26 +138,49 @@ class ChunkEncoder:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
+        self.merger = WordMerger(path)
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def library(self, chunks: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(chunks), 20_000):
+            out += [np.array(x.ids, "<u4").tobytes() for x in self.model.encode_batch(chunks[at : at + 20_000], add_special_tokens=False)]
+        return out
+
+    def encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        plain, other, cores = [], [], {}
+        for chunk in chunks:
+            core = chunk.rstrip(MARKS)
+            low = core.lower()
+            if low.isalpha() and (low.isascii() or len(low) == len(core) and not BEYOND.search(low)):
+                plain.append((chunk, low, len(core)))
+                cores[low] = b""
+            else:
+                other.append(chunk)
+        cores = dict(zip(cores, self.merger.encode([*cores]), strict=True))
+        for mark in {chunk[n:] for chunk, _, n in plain} - self.marks.keys():
+            self.marks[mark] = self.library([mark])[0]
+        marks = self.marks
+        out = {chunk: cores[low] + marks[chunk[n:]] for chunk, low, n in plain}
+        out.update(zip(other, self.library(other), strict=True))
+        if len(marks) > 10_000:
+            self.marks = {"": b""}
+        return out
 
     def encode_batch(self, batch: list[str]) -> list[np.ndarray]:
-        known, recent, split = self.known, {}, []
+        known, whole = self.known, {}
+        split = []
         for text in batch:
-            whole = any(x in text for x in self.special) or any(x in text for x in SEPARATORS)
-            split.append([text] if whole else text.split())
-            if whole:
-                recent[text] = b""
-        missing = {w for words in split for w in words if w not in known}
-        order = sorted(missing)
-        for at in range(0, len(order), 20_000):
-            part = order[at : at + 20_000]
-            for word, coded in zip(part, self.model.encode_batch(part, add_special_tokens=False), strict=True):
-                recent[word] = np.array(coded.ids, "<u4").tobytes()
+            odd = any(x in text for x in self.special) or any(x in text for x in SEPARATORS)
+            split.append([text] if odd else text.split())
+            if odd:
+                whole[text] = b""
+        missing = {w for words in split for w in words if w not in known} - whole.keys()
+        recent = self.encode_chunks(sorted(missing)) | dict(zip(whole, self.library([*whole]), strict=True))
         out = [np.frombuffer(b"".join([known[w] if w in known else recent[w] for w in words]), "<u4") for words in split]
-        for word in order:
-            if len(known) >= REMEMBERED:
-                break
+        for word in missing if len(known) < REMEMBERED else ():
             if len(word) < 64:
                 known[word] = recent[word]
         return out
