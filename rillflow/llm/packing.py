@@ -170,20 +170,24 @@ class ChunkEncoder:
         return out
 
     def encode_batch(self, batch: list[str]) -> list[np.ndarray]:
-        known, whole = self.known, {}
-        split = []
+        known, found, gaps, whole = self.known, [], [], []
         for text in batch:
-            odd = any(x in text for x in self.special) or any(x in text for x in SEPARATORS)
-            split.append([text] if odd else text.split())
-            if odd:
-                whole[text] = b""
-        missing = {w for words in split for w in words if w not in known} - whole.keys()
-        recent = self.encode_chunks(sorted(missing)) | dict(zip(whole, self.library([*whole]), strict=True))
-        out = [np.frombuffer(b"".join([known[w] if w in known else recent[w] for w in words]), "<u4") for words in split]
-        for word in missing if len(known) < REMEMBERED else ():
-            if len(word) < 64:
-                known[word] = recent[word]
-        return out
+            if any(x in text for x in self.special) or any(x in text for x in SEPARATORS):
+                found.append(self.library([text]))
+                gaps.append([])
+                continue
+            words = text.split()
+            ids = [*map(known.get, words)]
+            found.append(ids)
+            gaps.append([(k, words[k]) for k, x in enumerate(ids) if x is None] if None in ids else [])
+            whole += [w for _, w in gaps[-1]]
+        recent = self.encode_chunks([*dict.fromkeys(whole)])
+        for ids, missing in zip(found, gaps, strict=True):
+            for k, word in missing:
+                ids[k] = recent[word]
+        if len(known) < REMEMBERED:
+            known.update((w, x) for w, x in recent.items() if len(w) < 64)
+        return [np.frombuffer(b"".join(ids), "<u4") for ids in found]
 
 
 @lru_cache(maxsize=2)
