@@ -3,8 +3,8 @@
 Sets of nearly one size are compared: instance j takes the sets of sizes from 0.8 * 2**j up to 2**(j + 1), so every pair that can link meets in the
 instance of its larger set. There the domain of shingles is cut into partitions by hash. Two linked sets of sizes a and b differ in at most
 k = (a + b) / 9 shingles (for a similarity of 0.8), so of any k + 1 partitions in which a set has shingles at least one is the same in both. A set enumerates
-its first k + 1 such partitions in one fixed order; what it has in each of them makes a signature. As each set goes on until it has k + 1
-that aren't empty, the shorter of two enumerations is a common prefix of both, and a linked pair shares a signature in it.
+its first k + 1 such partitions, and a twentieth of its size more, in one fixed order; what it has in each of them makes a signature. As each set goes on until
+it has so many that aren't empty, the shorter of two enumerations is a common prefix of both, and a linked pair shares at least 1 + size / 20 signatures in it.
 
 Shingles of a common passage would make signatures that many unlinked documents share. Shingles in a fixed share of all documents are
 counted first; they have partitions of their own that come last in the order. Any set of such shingles keeps the join exact, so it is
@@ -12,8 +12,10 @@ bounded and broadcast.
 
 Signatures are dealt into bins by their hash, packed, each with the id of its set (equal sets have one id, so copies cost nothing). In a bin, the sets of one
 signature make all pairs if they are few; if they are many, pairs with two of them and between neighbours, and after components
-are known, each member outside the group's largest component is compared with all members of other components. So no link that could join two components
-is missed, while a group of near copies makes no quadratic number of pairs. Pairs are verified on whole texts.
+are known, each member outside the largest component of such groups is compared with all members, block by block. So no link that could join two components
+is missed, while a group of near copies makes no quadratic number of pairs. A pair goes on only if the signatures counted for it, and those of large groups
+that it may share, can reach the number that a link needs. What is left is verified on whole texts: first one partner for each set, then, once their components are known,
+the pairs across components.
 
 Empty and null texts, and texts without words, have no shingles and no links: each is a component of its own. Repeated doc_ids count as one
 document: each row is returned. Further columns play no part. An empty table gives an empty result. A null doc_id is not linked by id
@@ -27,6 +29,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +45,10 @@ MOST_FREQUENT = 200_000
 DOCS_A_BIN = 4000
 #: Sets of one signature that make all pairs.
 FEW = 12
+#: Documents of a cluster that are compared at once with as many others.
+BLOCK = 512
+#: One more signature for so many shingles; the more a linked pair is sure to share, the fewer others pass.
+SPARE = 20
 #: Bits of a filter for the texts to be verified; beyond, all texts are joined.
 MOST_FILTER_BITS = 1 << 27
 SMALL = 6
@@ -106,7 +113,7 @@ def instances(n: int) -> Iterator[tuple[int, int, int]]:
             continue
         partner = min(n * 100 // PERCENT, most)
         differ = (n + partner) * (100 - PERCENT) // (100 + PERCENT)
-        yield j, (1 << 20 if j < SMALL else (7 << (j + 1)) // 20), differ + 1
+        yield j, (1 << 20 if j < SMALL else (21 << (j + 1)) // 50), differ + 1 + n // SPARE
 
 
 def signatures(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -177,8 +184,15 @@ def unique_rows(*columns: np.ndarray) -> list[np.ndarray]:
     return [c[keep] for c in columns]
 
 
+def counted_pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+    return x[first], y[first], np.diff(np.concatenate([first, [len(x)]]))
+
+
 def grouped(table: pa.Table) -> pa.Table:
-    """The pairs (x, y) of one bin's signatures, and, with group not null, the members y of groups too large for all pairs."""
+    """The pairs (x, y) of one bin's signatures and how many they share, and, with group not null, the members y of groups too large for all pairs."""
     box = table.column("bin")[0].as_py()
     sigs = np.frombuffer(b"".join(table.column("sigs").to_pylist()), np.uint32)
     sets = np.frombuffer(b"".join(table.column("sets").to_pylist()), np.int64)
@@ -200,14 +214,14 @@ def grouped(table: pa.Table) -> pa.Table:
             right.append(np.maximum(a, b))
         group.append(np.full(len(rows), int(box) << 32 | int(sigs[first[k]]), np.int64))
         member.append(rows)
-    x, y = unique_rows(np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
+    x, y, shared = counted_pairs(np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 3
     g, m = (np.concatenate(group), np.concatenate(member)) if group else (np.zeros(0, np.int64),) * 2
-    return pa.table({"x": pa.array(np.concatenate([x, g * 0])), "y": pa.array(np.concatenate([y, m])), "group": pa.concat_arrays([pa.nulls(len(x), pa.int64()), pa.array(g)])})
+    return pa.table({"x": pa.array(np.concatenate([x, g * 0])), "y": pa.array(np.concatenate([y, m])), "shared": pa.array(np.concatenate([shared, g * 0])), "group": pa.concat_arrays([pa.nulls(len(x), pa.int64()), pa.array(g)])})
 
 
 def candidates(docs: DataFrame, frequent: np.ndarray, rows: int) -> DataFrame:
     bins = 1 << max(0, math.ceil(rows / DOCS_A_BIN) - 1).bit_length()
-    return signature_bins(docs, frequent, bins).groupBy("bin").applyInArrow(grouped, "x long, y long, group long")
+    return signature_bins(docs, frequent, bins).groupBy("bin").applyInArrow(grouped, "x long, y long, shared long, group long")
 
 
 def filtered_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -247,17 +261,32 @@ def filtered_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.mapInArrow(keep, "doc_id long, text string")
 
 
+def zipped(rows: DataFrame) -> DataFrame:
+    """(doc_id, packed): texts compressed for the shuffles to come."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([machine.compress((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())], names=["doc_id", "packed"])
+
+    return rows.mapInArrow(run, "doc_id long, packed binary")
+
+
 def linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows (x, y) whose texts link: 100 * intersection >= 80 * union."""
-    last: tuple[str, np.ndarray] | None = None
-    for batch in slices(slices(batches, column="tx"), column="ty"):
+    machine = zstandard.ZstdDecompressor()
+
+    def shingles(data: bytes) -> np.ndarray:
+        plain = np.frombuffer(machine.decompress(data), np.uint8)
+        return shingle_sets(plain, np.array([0, len(plain)]), WIDTH)[0]
+
+    last: tuple[bytes, np.ndarray] = b"", np.zeros(0, U)
+    for batch in batches:
         keep = []
-        right = shingle_sets(*utf8(batch.column("ty")), WIDTH)
-        for text, b in zip(batch.column("tx").to_pylist(), right, strict=True):
-            if last is None or last[0] != text:
-                data = np.frombuffer(text.encode(), np.uint8)
-                last = text, shingle_sets(data, np.array([0, len(data)]), WIDTH)[0]
-            a = last[1]
+        for left, right in zip(batch.column("px").to_pylist(), batch.column("py").to_pylist(), strict=True):
+            if last[0] != left:
+                last = left, shingles(left)
+            a, b = last[1], shingles(right)
             small, large = (a, b) if len(a) < len(b) else (b, a)
             both = 0
             if 100 * len(small) >= PERCENT * len(large) and len(small):
@@ -267,27 +296,98 @@ def linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Of candidate ``pairs`` of set ids (x, y), the linked ones as (x, y) of the sets' first documents."""
-    left = reps.select(F.col("set_id").alias("x"), F.col("rep").alias("dx"))
-    right = reps.select(F.col("set_id").alias("y"), F.col("rep").alias("dy"))
-    named = durable(pairs.join(left, "x").join(right, "y").select(F.col("dx").alias("x"), F.col("dy").alias("y")))
-    rows = filtered_texts(docs, named.select(F.explode(F.array("x", "y")).alias("id")).distinct())
-    ty = rows.select(F.col("doc_id").alias("y"), F.col("text").alias("ty"))
-    tx = rows.select(F.col("doc_id").alias("x"), F.col("text").alias("tx"))
-    return named.join(ty, "y").join(tx, "x").select("x", "y", "tx", "ty").mapInArrow(linked, "x long, y long").distinct()
-
-
-def remaining(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs of set ids in groups that span several components: each member outside its group's largest component with all of other components."""
-    names = reps.join(labels, reps["rep"] == labels["node"], "left").select(F.col("set_id").alias("y"), F.coalesce("component", "rep").alias("component"))
-    named = members.join(names, "y")
-    sizes = named.groupBy("group", "component").count()
-    main = sizes.groupBy("group").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mixed_groups = durable(named.join(main, "group"))
-    minor = mixed_groups.where("component <> main").select("group", F.col("y").alias("a"), F.col("component").alias("other"))
-    pairs = minor.join(mixed_groups.select("group", "y", "component"), "group").where("component <> other")
-    return pairs.select(F.least("a", "y").alias("x"), F.greatest("a", "y").alias("y")).distinct()
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of candidate ``pairs`` (x, y) of documents, the linked ones."""
+    pairs = durable(pairs.select("x", "y"))
+    rows = zipped(filtered_texts(docs, pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()))
+    right = rows.select(F.col("doc_id").alias("y"), F.col("packed").alias("py"))
+    left = rows.select(F.col("doc_id").alias("x"), F.col("packed").alias("px"))
+    return durable(pairs.join(right, "y").join(left, "x").select("x", "y", "px", "py").mapInArrow(linked, "x long, y long").distinct())
+
+
+def needed(a, b):
+    """The signatures that a linked pair of sets of sizes ``a`` and ``b`` shares at least."""
+    return F.floor(F.least(a, b) / SPARE) + 1
+
+
+def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose documents aren't in one component."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    named = pairs.join(of("x"), "x", "left").join(of("y"), "y", "left")
+    return named.where(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select("x", "y")
+
+
+def clusters(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(super, doc, component, minor, blocks, minor_blocks): large groups that span several components, those with documents in common made one.
+
+    ``minor``: the document isn't of the cluster's largest component. Block counts are those of all its documents and of its minor ones.
+    """
+    named = durable(members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")))
+    mixed_groups = named.groupBy("group").agg((F.min("component") < F.max("component")).alias("several"), F.min("doc").alias("head")).where("several").select("group", "head")
+    touching = named.join(mixed_groups, "group")
+    heads = touching.where("doc <> head").select(F.col("head").alias("x"), F.col("doc").alias("y"))
+    of = components(heads).select(F.col("node").alias("doc"), F.col("component").alias("super"))
+    docs = durable(touching.select("doc", "component").distinct().join(of, "doc"))
+    sizes = durable(docs.groupBy("super", "component").agg(F.count(F.lit(1)).alias("size")))
+    main = sizes.groupBy("super").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("largest"))
+    block = lambda c: F.ceil(c / BLOCK).cast("int")
+    main = main.where("all > largest").select("super", "main", block(F.col("all")).alias("blocks"), block(F.col("all") - F.col("largest")).alias("minor_blocks"))
+    return durable(docs.join(main, "super").withColumn("minor", F.col("component") != F.col("main")).drop("main"))
+
+
+def block_links(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Of a block of minor documents and a block of any, a link from each minor one to each other component that it links to."""
+    machine = zstandard.ZstdDecompressor()
+
+    def side(table: pa.Table):
+        sets = []
+        for data in table.column("packed").to_pylist():
+            plain = np.frombuffer(machine.decompress(data), np.uint8)
+            sets.append(shingle_sets(plain, np.array([0, len(plain)]), WIDTH)[0])
+        sizes = np.array([len(x) for x in sets], np.int64)
+        return table.column("doc").to_numpy(), table.column("component").to_numpy(), sizes, np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+
+    empty = pa.table({"x": pa.array([], pa.int64()), "y": pa.array([], pa.int64())})
+    if not (left.num_rows and right.num_rows):
+        return empty
+    (da, ca, na, fa, ia), (db, cb, nb, fb, ib) = side(left), side(right)
+    common = np.intersect1d(fa, fb)
+    both = np.zeros((len(da), len(db)), np.float32)
+    if len(common):
+        pa_, pb_ = np.searchsorted(common, fa), np.searchsorted(common, fb)
+        pa_, pb_ = np.minimum(pa_, len(common) - 1), np.minimum(pb_, len(common) - 1)
+        ka, kb = common[pa_] == fa, common[pb_] == fb
+        pa_, ia, pb_, ib = pa_[ka], ia[ka], pb_[kb], ib[kb]
+        oa, ob = np.argsort(pa_, kind="stable"), np.argsort(pb_, kind="stable")
+        pa_, ia, pb_, ib = pa_[oa], ia[oa], pb_[ob], ib[ob]
+        for at in range(0, len(common), 4096):
+            x, y = slice(*np.searchsorted(pa_, [at, at + 4096])), slice(*np.searchsorted(pb_, [at, at + 4096]))
+            width = min(4096, len(common) - at)
+            a, b = np.zeros((len(da), width), np.float32), np.zeros((len(db), width), np.float32)
+            a[ia[x], pa_[x] - at] = 1
+            b[ib[y], pb_[y] - at] = 1
+            both += a @ b.T
+    shared = both.astype(np.int64)
+    good = (shared > 0) & (100 * shared >= PERCENT * (na[:, None] + nb[None, :] - shared)) & (ca[:, None] != cb[None, :])
+    xs, ys = [], []
+    for i in np.flatnonzero(good.any(1)):
+        js = np.flatnonzero(good[i])
+        _, first = np.unique(cb[js], return_index=True)
+        ys.append(db[js[first]])
+        xs.append(np.full(len(first), da[i]))
+    return pa.table({"x": np.concatenate(xs), "y": np.concatenate(ys)}) if xs else empty
+
+
+def cluster_links(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Links between components of one cluster: every minor document against all, block by block."""
+    rows = zipped(filtered_texts(docs, found.select(F.col("doc").alias("id"))))
+    full = found.join(rows.withColumnRenamed("doc_id", "doc"), "doc")
+    spread = lambda c: F.pmod(F.xxhash64("doc"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    columns = ["super", "a", "b", "doc", "component", "packed"]
+    minor = full.where("minor").withColumn("a", spread("minor_blocks")).withColumn("b", every("blocks")).select(columns)
+    other = full.withColumn("b", spread("blocks")).withColumn("a", every("minor_blocks")).select(columns).toDF(*columns)
+    return durable(minor.groupBy("super", "a", "b").cogroup(other.groupBy("super", "a", "b")).applyInArrow(block_links, "x long, y long"))
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -296,15 +396,22 @@ def join(docs: DataFrame) -> DataFrame:
     profiles = durable(profile(docs))
     base = profiles.where("set_id is not null")
     frequent = frequent_shingles(profiles, rows)
-    reps = base.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     found = durable(candidates(docs, frequent, rows))
-    pairs = found.where("group is null").select("x", "y").distinct()
-    members = found.where("group is not null").select("group", "y")
-    links = durable(verified(docs, pairs, reps))
+    members = found.where("group is not null").select(F.col("y").alias("set_id"), "group")
+    reps = base.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    sets = durable(reps.join(members.groupBy("set_id").agg(F.count(F.lit(1)).alias("large")), "set_id", "left").fillna(0, ["large"]))
+    of = lambda c: sets.select(F.col("set_id").alias(c), F.col("rep").alias(f"d{c}"), F.col("n").alias(f"n{c}"), F.col("large").alias(f"l{c}"))
+    shared = found.where("group is null").groupBy("x", "y").agg(F.sum("shared").alias("shared"))
+    likely = shared.join(of("x"), "x").join(of("y"), "y").where(F.col("shared") + F.least("lx", "ly") >= needed(F.col("nx"), F.col("ny")))
+    pairs = durable(likely.select(F.least("dx", "dy").alias("x"), F.greatest("dx", "dy").alias("y"), "shared"))
+    links = verified(docs, pairs.groupBy("y").agg(F.max_by("x", F.struct("shared", -F.col("x"))).alias("x")))
+    labels = components(links)
+    rest = across(pairs, labels)
+    links = links.union(verified(docs, rest))
     labels = components(links)
-    if not members.isEmpty():
-        rest = durable(remaining(members, labels, reps))
-        if not rest.isEmpty():
-            labels = components(links.union(verified(docs, rest, reps)))
-    named = reps.join(labels, reps["rep"] == labels["node"], "left").select("set_id", F.coalesce("component", "rep").alias("c"))
+    viable = members.join(sets, "set_id").where(F.col("large") >= F.floor(F.floor(F.col("n") * PERCENT / 100) / SPARE) + 1).select("group", F.col("rep").alias("doc"), "n", "large")
+    found = clusters(viable, labels)
+    if not found.isEmpty():
+        labels = components(links.union(cluster_links(docs, found)))
+    named = sets.join(labels, sets["rep"] == labels["node"], "left").select("set_id", F.coalesce("component", "rep").alias("c"))
     return base.join(named, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
