@@ -24,6 +24,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,23 +164,25 @@ def dealt_one(layout, blobs: list[bytes]) -> list[bytes]:
 
 
 def by_bin(docs: DataFrame, doc_bins: int) -> DataFrame:
-    """(bin, doc_id, text), the bin a hash of doc_id as ``doc_bin`` has it."""
+    """(bin, doc_id, text), the bin a hash of doc_id as ``doc_bin`` has it, the text compressed for the shuffle."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             box = doc_bin(batch.column("doc_id").fill_null(LAST).to_numpy(), doc_bins)
-            yield pa.RecordBatch.from_arrays([pa.array(box), *batch.columns], names=["bin", "doc_id", "text"])
+            small = [machine.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(box), batch.column("doc_id"), pa.array(small, pa.binary())], names=["bin", "doc_id", "text"])
 
-    return texts(docs).mapInArrow(run, "bin long, doc_id long, text string")
+    return texts(docs).mapInArrow(run, "bin long, doc_id long, text binary")
 
 
 def matched(table: pa.Table, wanted: dict[str, np.ndarray]) -> Iterator[tuple[int, bytes, np.ndarray]]:
     """Each document of a bin: its row, its bytes and the places of its entries in ``wanted``."""
     order = np.lexsort((wanted["start"], wanted["tag"], wanted["doc"]))
     doc, tag = wanted["doc"][order], wanted["tag"][order].astype(np.int64)
-    ids = table.column("doc_id").to_pylist()
+    ids, machine = table.column("doc_id").to_pylist(), zstandard.ZstdDecompressor()
     for row, (i, text) in enumerate(zip(ids, table.column("text").to_pylist(), strict=True)):
-        data, i = (text or "").encode(), LAST if i is None else i
+        data, i = machine.decompress(text), LAST if i is None else i
         a, b = np.searchsorted(doc, [i, i], "left")[0], np.searchsorted(doc, i, "right")
         yield row, data, order[a:b][tag[a:b] == zlib.crc32(data) & 0xFFFF]
 
