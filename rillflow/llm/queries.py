@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm import bpe, jaccard, lines, packing, secrets, sharding, substrings
+from rillflow.llm import bpe, jaccard, lines, packing, secrets, sharding, substrings, toxicity
 
 TOKENIZERS = os.environ.get("RILLFLOW_TOKENIZERS", "/opt/tokenizers")
 
@@ -31,6 +31,16 @@ def op3_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def toxicity_chain(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Chain:
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), F.col("toxic"))
+    return toxicity.train(docs, labels, ["low_quality", "toxic"])
+
+
+def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs.select("doc_id", "text"), toxicity_chain(spark, docs, sf_dir)).drop("text")
+
+
 def op6_deletion_neighbourhood_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.deduplicated(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
