@@ -15,16 +15,24 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, large: bool = False) -> DataFrame:
     """The rows of ``df``, kept in the folder that spark.checkpoint.dir names, with the lineage cut.
 
-    Where the setting is absent (tests on one machine) a temporary folder is set first.
+    Where the setting is absent (tests on one machine) a temporary folder is set first. ``large``: shuffle files that are no longer needed are freed at once.
+    A checkpointed plan carries its constraints along, and in a loop they multiply; so none are inferred for it.
     """
     spark = df.sparkSession
     if not checkpoint_dir(spark):
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rillflow-checkpoint-"))
-    kept = df.checkpoint(eager=True)
-    release(spark)
+    key = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        kept = df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, before)
+    if large:
+        release(spark)
     return kept
 
 

@@ -14,8 +14,7 @@ Signatures are dealt into bins by their hash, packed, each with the id of its se
 signature make all pairs if they are few; if they are many, pairs with two of them and between neighbours, and after components
 are known, each member outside the largest component of such groups is compared with all members, block by block. So no link that could join two components
 is missed, while a group of near copies makes no quadratic number of pairs. A pair goes on only if the signatures counted for it, and those of large groups
-that it may share, can reach the number that a link needs. What is left is verified on whole texts: first one partner for each set, then, once their components are known,
-the pairs across components.
+that it may share, can reach the number that a link needs. What is left is verified on whole texts.
 
 Empty and null texts, and texts without words, have no shingles and no links: each is a component of its own. Repeated doc_ids count as one
 document: each row is returned. Further columns play no part. An empty table gives an empty result. A null doc_id is not linked by id
@@ -33,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import durable, mixed, slices, texts, utf8
+from rillflow.llm.common import durable, filtered, mixed, slices, texts, utf8
 from rillflow.llm.components import components
 from rillflow.llm.shingles import U, set_id, shingle_sets
 
@@ -49,8 +48,6 @@ FEW = 12
 BLOCK = 512
 #: One more signature for so many shingles; the more a linked pair is sure to share, the fewer others pass.
 SPARE = 20
-#: Bits of a filter for the texts to be verified; beyond, all texts are joined.
-MOST_FILTER_BITS = 1 << 27
 SMALL = 6
 
 
@@ -225,40 +222,14 @@ def candidates(docs: DataFrame, frequent: np.ndarray, rows: int) -> DataFrame:
 
 
 def filtered_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of at least the documents in ``ids`` (id): read past a Bloom filter of them where that is small."""
-    count = ids.count()
-    bits = 1 << max(10, (16 * count).bit_length())
-    rows = texts(docs)
-    if bits > MOST_FILTER_BITS:
-        return rows
-
-    def places(x: np.ndarray) -> list[np.ndarray]:
-        h = mixed(x.view(U) + U(99))
-        return [(h >> U(shift)) & U(bits - 1) for shift in (0, 20, 37)]
-
-    def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(bits, bool)
-        for batch in batches:
-            for at in places(batch.column(0).to_numpy()):
-                table[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(table).tobytes()], pa.binary())], names=["bits"])
-
-    table = np.zeros(bits // 8, np.uint8)
-    tasks = max(1, min(32, count * 16 // bits + count // 100_000))
-    for part in ids.coalesce(tasks).mapInArrow(build, "bits binary").toLocalIterator():
-        table |= np.frombuffer(part[0], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
-    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.unpackbits(shared.value).astype(bool)
+    """(doc_id, text) of at least the documents in ``ids`` (id): read past a filter of them."""
+    keep = filtered(ids)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            here = batch.column("doc_id").fill_null(-1).to_numpy()
-            mask = np.ones(len(here), bool)
-            for at in places(here):
-                mask &= bitmap[at]
-            yield batch.filter(pa.array(mask))
+            yield batch.filter(pa.array(keep(batch.column("doc_id").fill_null(-1).to_numpy())))
 
-    return rows.mapInArrow(keep, "doc_id long, text string")
+    return texts(docs).mapInArrow(run, "doc_id long, text string")
 
 
 def zipped(rows: DataFrame) -> DataFrame:
@@ -310,21 +281,25 @@ def needed(a, b):
     return F.floor(F.least(a, b) / SPARE) + 1
 
 
-def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose documents aren't in one component."""
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component): the labels once more ``links`` (x, y) are there."""
     of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    named = pairs.join(of("x"), "x", "left").join(of("y"), "y", "left")
-    return named.where(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select("x", "y")
+    between = links.join(of("x"), "x", "left").join(of("y"), "y", "left").select(F.coalesce("cx", "x").alias("x"), F.coalesce("cy", "y").alias("y"))
+    further = components(between).select(F.col("node").alias("old"), F.col("component").alias("new"))
+    ends = links.select(F.col("x").alias("node")).union(links.select(F.col("y").alias("node"))).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))
+    return labels.union(ends).join(further, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
 
 
-def clusters(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(super, doc, component, minor, blocks, minor_blocks): large groups that span several components, those with documents in common made one.
+def clusters(members: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """(super, doc, component, minor, blocks, minor_blocks): large groups that span several components, those with documents in common made one; None if there are none.
 
     ``minor``: the document isn't of the cluster's largest component. Block counts are those of all its documents and of its minor ones.
     """
-    named = durable(members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")))
+    named = (members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")))
     mixed_groups = named.groupBy("group").agg((F.min("component") < F.max("component")).alias("several"), F.min("doc").alias("head")).where("several").select("group", "head")
-    touching = named.join(mixed_groups, "group")
+    touching = durable(named.join(mixed_groups, "group"))
+    if touching.isEmpty():
+        return None
     heads = touching.where("doc <> head").select(F.col("head").alias("x"), F.col("doc").alias("y"))
     of = components(heads).select(F.col("node").alias("doc"), F.col("component").alias("super"))
     docs = durable(touching.select("doc", "component").distinct().join(of, "doc"))
@@ -380,7 +355,7 @@ def block_links(left: pa.Table, right: pa.Table) -> pa.Table:
 
 def cluster_links(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Links between components of one cluster: every minor document against all, block by block."""
-    rows = zipped(filtered_texts(docs, found.select(F.col("doc").alias("id"))))
+    rows = zipped(filtered_texts(docs, found.select(F.col("doc").alias("id")).distinct()))
     full = found.join(rows.withColumnRenamed("doc_id", "doc"), "doc")
     spread = lambda c: F.pmod(F.xxhash64("doc"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
@@ -396,22 +371,18 @@ def join(docs: DataFrame) -> DataFrame:
     profiles = durable(profile(docs))
     base = profiles.where("set_id is not null")
     frequent = frequent_shingles(profiles, rows)
-    found = durable(candidates(docs, frequent, rows))
+    found = durable(candidates(docs, frequent, rows), large=True)
     members = found.where("group is not null").select(F.col("y").alias("set_id"), "group")
     reps = base.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     sets = durable(reps.join(members.groupBy("set_id").agg(F.count(F.lit(1)).alias("large")), "set_id", "left").fillna(0, ["large"]))
     of = lambda c: sets.select(F.col("set_id").alias(c), F.col("rep").alias(f"d{c}"), F.col("n").alias(f"n{c}"), F.col("large").alias(f"l{c}"))
     shared = found.where("group is null").groupBy("x", "y").agg(F.sum("shared").alias("shared"))
     likely = shared.join(of("x"), "x").join(of("y"), "y").where(F.col("shared") + F.least("lx", "ly") >= needed(F.col("nx"), F.col("ny")))
-    pairs = durable(likely.select(F.least("dx", "dy").alias("x"), F.greatest("dx", "dy").alias("y"), "shared"))
-    links = verified(docs, pairs.groupBy("y").agg(F.max_by("x", F.struct("shared", -F.col("x"))).alias("x")))
-    labels = components(links)
-    rest = across(pairs, labels)
-    links = links.union(verified(docs, rest))
+    links = verified(docs, likely.select(F.least("dx", "dy").alias("x"), F.greatest("dx", "dy").alias("y")))
     labels = components(links)
     viable = members.join(sets, "set_id").where(F.col("large") >= F.floor(F.floor(F.col("n") * PERCENT / 100) / SPARE) + 1).select("group", F.col("rep").alias("doc"), "n", "large")
     found = clusters(viable, labels)
-    if not found.isEmpty():
-        labels = components(links.union(cluster_links(docs, found)))
+    if found is not None:
+        labels = merged(labels, cluster_links(docs, found))
     named = sets.join(labels, sets["rep"] == labels["node"], "left").select("set_id", F.coalesce("component", "rep").alias("c"))
     return base.join(named, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -191,7 +191,7 @@ def variants(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_lines(docs: DataFrame, rows: int, min_chars: int) -> DataFrame:
     """(line): distinct lines that an earlier line within one edit makes superfluous."""
     bins = max(1, math.ceil(10 * rows / LINES_A_BIN))
-    wanted = durable(outside_bins(docs, bins, min_chars).groupBy("bin").applyInArrow(shared, "line long").groupBy("line").agg(F.count(F.lit(1)).alias("n")).select(F.col("line").alias("id")))
+    wanted = durable(outside_bins(docs, bins, min_chars).groupBy("bin").applyInArrow(shared, "line long").groupBy("line").agg(F.count(F.lit(1)).alias("n")).select(F.col("line").alias("id")), large=True)
     known = durable(chosen_lines(docs, wanted, min_chars))
     rows_ = known.mapInArrow(variants, "kind int, variant long, place long, line long, doc long, number long")
     place = F.struct("doc", "number", "line")

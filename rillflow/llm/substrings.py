@@ -290,11 +290,11 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     size = docs.select(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     doc_bins = max(1, math.ceil(rows / DOCS_A_BIN))
     bins = max(1, math.ceil(size * 0.065 / RUNS_A_BIN))
-    first = durable(runs(docs, bins, doc_bins).groupBy("bin").applyInArrow(compared(bins, doc_bins), BINNED))
+    first = durable(runs(docs, bins, doc_bins).groupBy("bin").applyInArrow(compared(bins, doc_bins), BINNED), large=True)
     asked = first.where("kind = 2").groupBy("bin")
     sort_bins = 2 * bins
     items = by_bin(docs, doc_bins).groupBy("bin").cogroup(asked).applyInArrow(fetched(sort_bins, doc_bins), BINNED)
-    second = durable(items.groupBy("bin").applyInArrow(ordered(sort_bins, doc_bins), BINNED))
+    second = durable(items.groupBy("bin").applyInArrow(ordered(sort_bins, doc_bins), BINNED), large=True)
     return first.where("kind = 1").union(second), doc_bins
 
 
