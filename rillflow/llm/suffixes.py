@@ -13,7 +13,7 @@ WINDOW = 50
 GRAM = 20
 #: Bytes that multikey quicksort tells suffixes apart by, a word of 8 at a time, before blind tries take over.
 SHALLOW = 16
-SEGMENT = 4 << 20
+SEGMENT = 1 << 20
 BASE = 0x9E6C63D0876A9A47
 CODES = byte_codes(11)
 _powers = [np.ones(1, U), np.ones(1, U)]
