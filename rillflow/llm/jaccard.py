@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import durable, filtered, mixed, slices, texts, utf8
+from rillflow.llm.common import durable, filtered, mixed, release, slices, texts, utf8
 from rillflow.llm.components import components
 from rillflow.llm.shingles import U, set_id, shingle_sets
 
@@ -41,7 +41,9 @@ PERCENT = 80
 #: A shingle in this share of the documents is frequent; at most so many are told apart.
 FREQUENT = 0.0025
 MOST_FREQUENT = 200_000
-DOCS_A_BIN = 4000
+#: Shingles or signatures that a task gathers before it counts or deals them.
+HOLD = 600_000
+DOCS_A_BIN = 3000
 #: Sets of one signature that make all pairs.
 FEW = 12
 #: Documents of a cluster that are compared at once with as many others.
@@ -76,7 +78,7 @@ def profile(docs: DataFrame) -> DataFrame:
                     held.append(s)
                     size += len(s)
             yield row(batch.column("doc_id"), [len(s) for s in sets], ids, [None] * len(sets))
-            if size > 2_000_000:
+            if size > HOLD:
                 if (found := counted()) is not None:
                     yield found
                 held, size = [], 0
@@ -162,7 +164,7 @@ def signature_bins(docs: DataFrame, frequent: np.ndarray, bins: int) -> DataFram
                 held.append(signatures(s, known))
                 names.append(np.full(len(held[-1]), name, np.int64))
                 size += len(held[-1])
-            if size > 3_000_000:
+            if size > HOLD:
                 yield dealt()
                 held, names, size = [], [], 0
         if held:
@@ -221,26 +223,17 @@ def candidates(docs: DataFrame, frequent: np.ndarray, rows: int) -> DataFrame:
     return signature_bins(docs, frequent, bins).groupBy("bin").applyInArrow(grouped, "x long, y long, shared long, group long")
 
 
-def filtered_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of at least the documents in ``ids`` (id): read past a filter of them."""
+def zipped(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, packed): of at least the documents in ``ids`` (id), read past a filter of them, the texts, compressed for the shuffles to come."""
     keep = filtered(ids)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(keep(batch.column("doc_id").fill_null(-1).to_numpy())))
-
-    return texts(docs).mapInArrow(run, "doc_id long, text string")
-
-
-def zipped(rows: DataFrame) -> DataFrame:
-    """(doc_id, packed): texts compressed for the shuffles to come."""
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = zstandard.ZstdCompressor(level=3)
         for batch in batches:
+            batch = batch.filter(pa.array(keep(batch.column("doc_id").fill_null(-1).to_numpy())))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([machine.compress((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())], names=["doc_id", "packed"])
 
-    return rows.mapInArrow(run, "doc_id long, packed binary")
+    return texts(docs).mapInArrow(run, "doc_id long, packed binary")
 
 
 def linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +263,7 @@ def linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of candidate ``pairs`` (x, y) of documents, the linked ones."""
     pairs = durable(pairs.select("x", "y"))
-    rows = zipped(filtered_texts(docs, pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()))
+    rows = zipped(docs, pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct())
     right = rows.select(F.col("doc_id").alias("y"), F.col("packed").alias("py"))
     left = rows.select(F.col("doc_id").alias("x"), F.col("packed").alias("px"))
     return durable(pairs.join(right, "y").join(left, "x").select("x", "y", "px", "py").mapInArrow(linked, "x long, y long").distinct())
@@ -355,7 +348,7 @@ def block_links(left: pa.Table, right: pa.Table) -> pa.Table:
 
 def cluster_links(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Links between components of one cluster: every minor document against all, block by block."""
-    rows = zipped(filtered_texts(docs, found.select(F.col("doc").alias("id")).distinct()))
+    rows = zipped(docs, found.select(F.col("doc").alias("id")).distinct())
     full = found.join(rows.withColumnRenamed("doc_id", "doc"), "doc")
     spread = lambda c: F.pmod(F.xxhash64("doc"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
@@ -371,7 +364,8 @@ def join(docs: DataFrame) -> DataFrame:
     profiles = durable(profile(docs))
     base = profiles.where("set_id is not null")
     frequent = frequent_shingles(profiles, rows)
-    found = durable(candidates(docs, frequent, rows), large=True)
+    found = durable(candidates(docs, frequent, rows))
+    release(docs.sparkSession)
     members = found.where("group is not null").select(F.col("y").alias("set_id"), "group")
     reps = base.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     sets = durable(reps.join(members.groupBy("set_id").agg(F.count(F.lit(1)).alias("large")), "set_id", "left").fillna(0, ["large"]))
