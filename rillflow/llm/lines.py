@@ -31,6 +31,8 @@ U = np.uint64
 MIN_CHARS = 20
 SEGMENTS = 8
 LINES_A_BIN = 40_000
+#: Keys that a task gathers before it deals them.
+HOLD = 500_000
 LAST = np.iinfo(np.int64).max
 BASE = 0xA24BAED4963EE407
 CODES = byte_codes(23)
@@ -124,7 +126,7 @@ def outside_bins(docs: DataFrame, bins: int, min_chars: int) -> DataFrame:
                 keys, _, _ = lines.outside(chosen)
                 held.append((keys.ravel(), np.repeat(lines.hash[chosen], 2 * SEGMENTS)))
                 size += keys.size
-            if size > 2_000_000:
+            if size > HOLD:
                 yield dealt()
                 held, size = [], 0
         if held:
