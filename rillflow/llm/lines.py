@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import byte_codes, durable, filtered, mixed, slices, texts, utf8
+from rillflow.llm.common import byte_codes, durable, filtered, mixed, release, slices, texts, utf8
 
 U = np.uint64
 MIN_CHARS = 20
@@ -86,8 +86,8 @@ class Lines:
         at = self.first[line] + point
         return np.where(point >= self.size[line], self.end[line], self.points[np.minimum(at, len(self.points) - 1)])
 
-    def outside(self, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(key, longer, segment), each of shape (lines, 2 * SEGMENTS): what lies outside each segment, for the line as the shorter and as the longer of a pair."""
+    def outside(self, line: np.ndarray) -> np.ndarray:
+        """Keys of shape (lines, 2 * SEGMENTS): what lies outside each segment, for the line as the shorter and as the longer of a pair. A key modulo SEGMENTS is its segment."""
         keys = []
         for longer in (0, 1):
             size = (self.size[line] - longer)[:, None]
@@ -96,9 +96,8 @@ class Lines:
             after = self.byte(line[:, None], cut[:, 1:] + longer)
             head = self.stretch(np.broadcast_to(self.start[line][:, None], before.shape), before)
             tail = self.stretch(after, np.broadcast_to(self.end[line][:, None], after.shape))
-            keys.append(mixed(mixed(head + (size * SEGMENTS + np.arange(SEGMENTS)).astype(U)) + tail))
-        shape = (len(line), 1)
-        return np.concatenate(keys, 1), np.tile(np.repeat([0, 1], SEGMENTS), shape), np.tile(np.arange(SEGMENTS), (len(line), 2))
+            keys.append(mixed(mixed(head + size.astype(U)) + tail) // U(SEGMENTS) * U(SEGMENTS) + np.arange(SEGMENTS, dtype=U))
+        return np.concatenate(keys, 1)
 
 
 def outside_bins(docs: DataFrame, bins: int, min_chars: int) -> DataFrame:
@@ -123,7 +122,7 @@ def outside_bins(docs: DataFrame, bins: int, min_chars: int) -> DataFrame:
             _, once = np.unique(lines.hash[chosen], return_index=True)
             chosen = chosen[once]
             if len(chosen):
-                keys, _, _ = lines.outside(chosen)
+                keys = lines.outside(chosen)
                 held.append((keys.ravel(), np.repeat(lines.hash[chosen], 2 * SEGMENTS)))
                 size += keys.size
             if size > HOLD:
@@ -143,16 +142,20 @@ def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared(table: pa.Table) -> pa.Table:
-    """The lines of a bin that share a key with another line."""
+    """(line, segments): the lines of a bin that share a key with another line, and the segments concerned as bits."""
     keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint32)
     lines = np.frombuffer(b"".join(table.column("lines").to_pylist()), U)
     keys, lines = distinct(keys, lines)
     same = np.concatenate([[False], keys[1:] == keys[:-1], [False]])
-    return pa.table({"line": np.unique(lines[same[1:] | same[:-1]]).view(np.int64)})
+    met = same[1:] | same[:-1]
+    order = np.argsort(lines[met], kind="stable")
+    line, bit = lines[met][order].view(np.int64), np.int32(1) << (keys[met][order] % SEGMENTS).astype(np.int32)
+    first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
+    return pa.table({"line": line[first], "segments": np.bitwise_or.reduceat(bit, first) if len(first) else bit})
 
 
 def chosen_lines(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
-    """(line, doc, number, text): the first place and the text of each line in ``wanted`` (id), and perhaps of others."""
+    """(line, doc, number, text, segments): the first place and the text of each line in ``wanted`` (id, segments)."""
     keep = filtered(wanted)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,16 +172,22 @@ def chosen_lines(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFram
 
     found = texts(docs).mapInArrow(run, "line long, doc long, number long, text string")
     first = found.groupBy("line").agg(F.min(F.struct("doc", "number", "text")).alias("f"))
-    return first.join(wanted.select(F.col("id").alias("line")), "line").select("line", "f.doc", "f.number", "f.text")
+    return first.join(wanted.select(F.col("id").alias("line"), "segments"), "line").select("line", "f.doc", "f.number", "f.text", "segments")
 
 
 def variants(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, variant, place, line, doc, number) for all variants of each line with one code point deleted. Kind 0: for replacements, with the place; 1: for
+    """(kind, variant, place, line, doc, number) for the variants of each line with one code point of the segments concerned deleted. Kind 0: for replacements, with the place; 1: for
     insertions, of the longer line; 2: for insertions, the shorter line itself."""
     for batch in slices(batches, 1 << 18):
         made = Lines(*utf8(batch.column("text")))
         line = np.repeat(np.arange(batch.num_rows), made.size)
         place = np.arange(len(line)) - np.repeat(np.cumsum(made.size) - made.size, made.size)
+        segments, n = batch.column("segments").to_numpy()[line], made.size[line]
+        inside = np.zeros(len(line), bool)
+        for k in range(SEGMENTS):
+            here = (place >= (n - 1) * k // SEGMENTS) & (place < np.maximum(n * (k + 1) // SEGMENTS, (n - 1) * (k + 1) // SEGMENTS + 1))
+            inside |= here & (segments >> k & 1 == 1)
+        line, place = line[inside], place[inside]
         start, end = made.start[line], made.end[line]
         a, b = made.byte(line, place), made.byte(line, place + 1)
         hashes = mixed(made.stretch(start, a) + (made.total[end] - made.total[b]) * made.down[start + b - a] + (end - start - (b - a)).astype(U))
@@ -193,7 +202,8 @@ def variants(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_lines(docs: DataFrame, rows: int, min_chars: int) -> DataFrame:
     """(line): distinct lines that an earlier line within one edit makes superfluous."""
     bins = max(1, math.ceil(10 * rows / LINES_A_BIN))
-    wanted = durable(outside_bins(docs, bins, min_chars).groupBy("bin").applyInArrow(shared, "line long").groupBy("line").agg(F.count(F.lit(1)).alias("n")).select(F.col("line").alias("id")), large=True)
+    wanted = durable(outside_bins(docs, bins, min_chars).groupBy("bin").applyInArrow(shared, "line long, segments int").groupBy(F.col("line").alias("id")).agg(F.bit_or("segments").alias("segments")))
+    release(docs.sparkSession)
     known = durable(chosen_lines(docs, wanted, min_chars))
     rows_ = known.mapInArrow(variants, "kind int, variant long, place long, line long, doc long, number long")
     place = F.struct("doc", "number", "line")
@@ -217,27 +227,33 @@ def removed_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHAR
         raise ValueError("min_chars is 2 or more")
     rows = max(1, docs.count())
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            lines = Lines(*utf8(batch.column("text")))
-            chosen = np.flatnonzero(lines.size >= min_chars)
-            docs_here = batch.column("doc_id").fill_null(LAST).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(docs_here[lines.row[chosen]]), pa.array(lines.number[chosen]), pa.array(lines.hash[chosen].view(np.int64))], names=["doc", "number", "line"])
+    def places(keep) -> DataFrame:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                lines = Lines(*utf8(batch.column("text")))
+                chosen = np.flatnonzero(lines.size >= min_chars)
+                chosen = chosen[keep(lines.hash[chosen].view(np.int64))] if keep else chosen
+                docs_here = batch.column("doc_id").fill_null(LAST).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(docs_here[lines.row[chosen]]), pa.array(lines.number[chosen]), pa.array(lines.hash[chosen].view(np.int64))], names=["doc", "number", "line"])
 
-    every = texts(docs).mapInArrow(run, "doc long, number long, line long")
-    first = every.groupBy("line").agg(F.min(F.struct("doc", "number")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("line", "first", F.lit(False).alias("near"))
+        return texts(docs).mapInArrow(run, "doc long, number long, line long")
+
+    first = places(None).groupBy("line").agg(F.min(F.struct("doc", "number")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("line", "first", F.lit(False).alias("near"))
     if max_edits:
         near = near_lines(docs, rows, min_chars)
         first = first.join(near.select("line"), "line", "left_anti").union(near.select("line", F.lit(None).cast("struct<doc:bigint,number:bigint>"), F.lit(True)))
+    first = durable(first)
+    every = places(filtered(first.select(F.col("line").alias("id"))))
     gone = every.join(first, "line").where(F.col("near") | (F.struct("doc", "number") != F.col("first")))
-    return gone.groupBy("doc").agg(F.collect_set(F.struct("number", "line")).alias("gone"))
+    return durable(gone.groupBy("doc").agg(F.collect_set(F.struct("number", "line")).alias("gone")))
 
 
 def deduplicated(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, the dropped lines cut out of ``text_col``, and columns _n_lines and _n_removed."""
     plain = texts(docs, id_col, text_col)
     gone = removed_lines(plain, max_edits, min_chars)
-    packed = zstandard_texts(docs, text_col)
+    touched = filtered(gone.select(F.col("doc").alias("id")))
+    packed = zstandard_texts(docs, id_col, text_col, touched)
     joined = packed.join(gone.select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone")), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)) == F.col("_doc"), "left").drop("_doc")
     at, names = docs.columns.index(text_col), docs.columns
 
@@ -264,17 +280,29 @@ def deduplicated(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS
             columns = [pa.array(kept, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "_n_lines", "_n_removed"])
 
+    def untouched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(~touched(ids(batch.column(id_col)))))
+            counts = [0 if t is None else t.count("\n") + 1 for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(np.zeros(len(counts), np.int64))], names=[*names, "_n_lines", "_n_removed"])
+
     fields = [f"`{f.name}` {'string' if k == at else f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields)]
-    return joined.mapInArrow(run, ", ".join([*fields, "_n_lines long, _n_removed long"]))
+    schema = ", ".join([*fields, "_n_lines long, _n_removed long"])
+    return joined.mapInArrow(run, schema).union(docs.mapInArrow(untouched, schema))
+
+
+def ids(column: pa.Array) -> np.ndarray:
+    return column.cast(pa.int64()).fill_null(LAST).to_numpy()
 
 
-def zstandard_texts(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with ``text_col`` compressed."""
+def zstandard_texts(docs: DataFrame, id_col: str, text_col: str, touched) -> DataFrame:
+    """The rows of ``docs`` that may be touched, ``text_col`` compressed."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = zstandard.ZstdCompressor(level=3)
         for batch in batches:
+            batch = batch.filter(pa.array(touched(ids(batch.column(id_col)))))
             small = pa.array([None if t is None else machine.compress(t.encode()) for t in batch.column(at).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([small if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
 
