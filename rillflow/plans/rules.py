@@ -1,0 +1,13 @@
+"""Rewrites made while a flow is built: steps that change nothing add nothing to the plan."""
+
+
+def is_noop_take(count: int) -> bool:
+    return count < 0
+
+
+def is_noop_skip(count: int) -> bool:
+    return count == 0
+
+
+def is_noop_repeat(count: int) -> bool:
+    return count == 1
