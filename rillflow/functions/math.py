@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def truncate_div(a: Column, b: Column) -> Column:
@@ -65,7 +66,7 @@ def complex_abs(a: Column) -> Column:
 
 
 def _special(function):
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def run(series: pd.Series) -> pd.Series:
         return series.map(lambda x: None if x is None or x != x else function(x))
 

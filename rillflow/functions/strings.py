@@ -8,6 +8,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def join(*columns: Column, separator: str = "") -> Column:
@@ -99,7 +100,7 @@ def sharded_filename(base: Column, shard: Column, shards: Column) -> Column:
     return F.format_string("%s-%05d-of-%05d", base, shard, shards)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def token_edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Levenshtein distance of two token arrays."""
 
@@ -124,10 +125,10 @@ def edit_distance(hypothesis: Column, truth: Column, normalize: bool = False) ->
 
 def decode_raw(data: Column, kind: str, little_endian: bool = True) -> Column:
     """Bytes as an array of numbers of a numpy kind such as i4 or f8."""
-    sql = {"i": "bigint", "u": "bigint", "f": "double"}[kind[0]]
+    number = T.DoubleType() if kind[0] == "f" else T.LongType()
     order = ("<" if little_endian else ">") + kind
 
-    @F.pandas_udf(f"array<{sql}>")
+    @F.pandas_udf(T.ArrayType(number))
     def parse(series: pd.Series) -> pd.Series:
         import numpy as np
 
@@ -140,7 +141,7 @@ def decode_compressed(data: Column, compression: str = "ZLIB") -> Column:
     """ZLIB, GZIP or '' for none."""
     wbits = {"ZLIB": 15, "GZIP": 31}.get(compression)
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf(T.BinaryType())
     def expand(series: pd.Series) -> pd.Series:
         return series.map(lambda b: None if b is None else zlib.decompress(b, wbits))
 

@@ -52,7 +52,8 @@ def unique_with_counts(df: DataFrame, value: str, order: list[str]) -> DataFrame
     from rillflow.operators.ordering import numbered
 
     found = df.groupBy(value).agg(F.count(F.lit(1)).alias("count"), F.min(F.struct(*order)).alias("_first"))
-    return numbered(found, ["_first"], "id").drop("_first")
+    flat = found.select(value, "count", *[F.col(f"_first.{c}").alias(f"_o_{c}") for c in order])
+    return numbered(flat, [f"_o_{c}" for c in order], "id").drop(*[f"_o_{c}" for c in order])
 
 
 def unique_inverse(df: DataFrame, value: str, order: list[str]) -> DataFrame:

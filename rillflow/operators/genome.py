@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values of the packed-base format: three bits a base, 21 bases a word, and a mark after the last base.
 BASES = {"A": 0, "C": 1, "T": 2, "G": 3, "N": 4}
@@ -54,13 +55,13 @@ def unpack_bases(words: list[int]) -> str:
     raise ValueError("no end mark")
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def encode_bases(bases: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for series in bases:
         yield series.map(lambda b: None if b is None else pack_bases(b))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_bases(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for series in words:
         yield series.map(lambda w: None if w is None else unpack_bases([int(x) for x in w]))
