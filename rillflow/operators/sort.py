@@ -20,7 +20,7 @@ def in_top_k(predictions: Column, target: Column, k: int) -> Column:
     """Fewer than k predictions are strictly greater than the target's; false if any is not finite or the target is out of range."""
     bad = F.exists(predictions, lambda p: F.isnan(p) | (F.abs(p) == float("inf")))
     chosen = F.get(predictions, target)
-    return F.coalesce(~bad & (F.size(F.filter(predictions, lambda p: p > chosen)) < k), F.lit(False))
+    return F.coalesce(chosen.isNotNull() & ~bad & (F.size(F.filter(predictions, lambda p: p > chosen)) < k), F.lit(False))
 
 
 def shuffled(df: DataFrame, seed: int, order: list[str]) -> DataFrame:

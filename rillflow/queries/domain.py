@@ -65,7 +65,7 @@ def lsh_probes(t: Tables) -> DataFrame:
 @query("""
 with p as (select vec_id as point, embedding as e from embeddings where vec_id < 10), o as (select vec_id as other, embedding as f from embeddings),
  s as (select point, other, list_sum(list_transform(list_zip(e, f), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double))) as d from p, o)
-select point, other, r as rank, round(d, 5) as distance from (select *, row_number() over (partition by point order by d, other) as r from s) where r <= 5
+select point, other, r::int as rank, round(d, 5) as distance from (select *, row_number() over (partition by point order by d, other) as r from s) where r <= 5
 """)
 def nearest_neighbors(t: Tables) -> DataFrame:
     found = similarity.nearest_rows(t.embeddings.where("vec_id < 10"), t.embeddings, "vec_id", "vec_id", "embedding", 5)

@@ -190,7 +190,7 @@ def cumprod_partition(t: Tables) -> DataFrame:
     return window.cumulative_product(rows, "v", ["p_partkey"], ["p_brand", "p_size"], "p").select("p_brand", "p_partkey", "p")
 
 
-@query("select user_id, event_id, r from (select user_id, event_id, row_number() over (partition by user_id order by value desc, event_id) as r from events) where r <= 3")
+@query("select user_id, event_id, r::int as r from (select user_id, event_id, row_number() over (partition by user_id order by value desc, event_id) as r from events) where r <= 3")
 def topk_per_row(t: Tables) -> DataFrame:
     return sort.top_k_per_row(t.events.select("user_id", "event_id", "value"), ["user_id"], "value", 3, ["event_id"]).select("user_id", "event_id", F.col("rank").alias("r"))
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -21,3 +25,17 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **extra
     spark = SparkSession.builder.master(master).appName("rillflow").config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors, once for each application, so that functions in it can run there whatever their search path."""
+    context = spark.sparkContext
+    if not getattr(context, "_rillflow_shipped", False):
+        top = Path(__file__).resolve().parent
+        place = Path(tempfile.mkdtemp(prefix="rillflow-code-")) / "rillflow.zip"
+        with zipfile.ZipFile(place, "w") as out:
+            for path in sorted(top.rglob("*.py")):
+                out.write(path, path.relative_to(top.parent))
+        context.addPyFile(str(place))
+        context._rillflow_shipped = True
+    return spark
