@@ -89,6 +89,8 @@ class WordMerger:
 
     def encode(self, words: list[str]) -> list[bytes]:
         """The ids of each word as little-endian 32-bit numbers. Words aren't empty."""
+        if not words:
+            return []
         coded = [w.encode() for w in words]
         data = np.frombuffer(b"".join(coded), np.uint8)
         ends = np.cumsum([len(c) for c in coded])
