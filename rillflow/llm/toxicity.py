@@ -30,7 +30,7 @@ U = np.uint64
 BITS = 20
 #: Bytes of a word's beginning that make a feature.
 BEGINNINGS = (4, 6, 8)
-SAMPLE_PER_CLASS = 4000
+SAMPLE_PER_CLASS = 2000
 FOLDS = 5
 MOST_FEATURES = 1 << 16
 CODES = byte_codes(31)
@@ -89,7 +89,7 @@ class Rows:
         return len(self.first) - 1
 
     def row(self) -> np.ndarray:
-        return np.repeat(np.arange(self.n), np.diff(self.first))
+        return np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.first))
 
     def times(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row(), self.value * weights[self.index], self.n) if len(self.index) else np.zeros(self.n)
@@ -210,6 +210,18 @@ def fit_chain(rows: Rows, labels: np.ndarray, names: list[str], weight: np.ndarr
     return Chain(list(names), models, report)
 
 
+def gathered(found: list[bytes]) -> Rows:
+    """The rows of the sample, without the features that fewer than three of them have: no model uses those."""
+    pairs = [np.frombuffer(x, "<i4").reshape(2, -1) for x in found]
+    sizes = np.array([p.shape[1] for p in pairs], np.int64)
+    if not sizes.sum():
+        return Rows(np.zeros(len(pairs) + 1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32))
+    index, count = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+    keep = (np.bincount(index, minlength=1 << BITS) >= 3)[index]
+    kept = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(sizes)])]
+    return Rows(kept, index[keep], damped(count[keep]).astype(np.float32))
+
+
 def damped(count: np.ndarray) -> np.ndarray:
     return np.log1p(count)
 
@@ -234,8 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
 
     texts_of = texts(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").select("doc_id", *names, "text")
     got = texts_of.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} int" for n in names) + ", found binary").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    pairs = [np.frombuffer(x, "<i4").reshape(2, -1) for x in got["found"]]
-    rows = Rows(np.concatenate([[0], np.cumsum([p.shape[1] for p in pairs])]).astype(np.int64), np.concatenate([p[0] for p in pairs]).astype(np.int64) if pairs else np.zeros(0, np.int64), damped(np.concatenate([p[1] for p in pairs])) if pairs else np.zeros(0))
+    rows = gathered([*got.pop("found")])
     y = got[names].to_numpy(np.int64).reshape(len(got), len(names))
     y = (y > 0).astype(np.int64)
     weight = np.ones(len(got))
@@ -248,10 +259,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
 
 
 def scored(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
-    """All rows of ``docs`` with a column p_<category> for each category of the chain and a column is_<category> of 0 and 1."""
+    """All rows of ``docs`` with a column p_<category> for each category of the chain and a column is_<category> of 0 and 1; columns of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
     added = [f"p_{n}" for n in chain.names] + [f"is_{n}" for n in chain.names]
+    docs = docs.drop(*added)
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
