@@ -61,7 +61,9 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in order, in pieces of about ``limit`` bytes of text, at least one row each."""
     for batch in batches:
-        ends = np.frombuffer(batch.column(column).buffers()[1], np.int32)[batch.column(column).offset :][: batch.num_rows + 1].astype(np.int64)
+        if not batch.num_rows:
+            continue
+        ends = _ends(batch.column(column))
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)
@@ -69,14 +71,19 @@ def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES, column:
             at = to
 
 
+def _ends(column: pa.Array) -> np.ndarray:
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    return np.frombuffer(column.buffers()[1], kind)[column.offset :][: len(column) + 1].astype(np.int64)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts end to end, and the n + 1 offsets of the texts in them. A null text is empty."""
     if column.null_count:
         column = column.fill_null("")
-    _, offsets, data = column.buffers()
-    ends = np.frombuffer(offsets, np.int32)[column.offset :][: len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
     if data is None or not len(column):
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    ends = _ends(column)
     return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 

@@ -249,7 +249,8 @@ def removed_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHAR
 
 
 def deduplicated(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs``, the dropped lines cut out of ``text_col``, and columns _n_lines and _n_removed."""
+    """All rows and columns of ``docs``, the dropped lines cut out of ``text_col``, and columns _n_lines and _n_removed. Columns that have these names, or _doc or _gone, are left out."""
+    docs = docs.drop("_doc", "_gone", "_n_lines", "_n_removed")
     plain = texts(docs, id_col, text_col)
     gone = removed_lines(plain, max_edits, min_chars)
     touched = filtered(gone.select(F.col("doc").alias("id")))
