@@ -14,12 +14,22 @@ RANGES = 63
 
 def _range_of(df: DataFrame, order: list[str]) -> Column:
     """The number of the range that a row's key falls into."""
-    keys = df.select(*order).dropna().orderBy(F.xxhash64(*order), *order).limit(RANGES).collect()
+    keys = df.select(*order).dropna().orderBy(F.xxhash64(*order), *order).limit(RANGES).orderBy(*order).collect()
     if len(keys) < RANGES:
         return F.lit(0)
     types = {f.name: f.dataType for f in df.select(*order).schema.fields}
-    bound = [F.struct(*[F.lit(row[c]).cast(types[c]).alias(c) for c in order]) for row in keys]
-    return F.size(F.filter(F.array(*bound), lambda b: b <= F.struct(*order)))
+    cast = lambda row: [F.lit(row[c]).cast(types[c]) for c in order]
+
+    def search(low: int, high: int) -> Column:
+        """The number of bounds up to the key, by halving; a null key, which is the least, goes left."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        bound = cast(keys[middle])
+        reached = bound[0] <= F.col(order[0]) if len(order) == 1 else F.struct(*[b.alias(c) for b, c in zip(bound, order, strict=True)]) <= F.struct(*order)
+        return F.when(reached, search(middle + 1, high)).otherwise(search(low, middle))
+
+    return search(0, len(keys))
 
 
 def _before(df: DataFrame, total: Column, reverse: bool = False) -> DataFrame:
