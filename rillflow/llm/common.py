@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
@@ -69,6 +70,25 @@ def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES, column:
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    give_back()
+
+
+def tidy(function: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """``function`` for groups of Arrow rows, after each of which freed memory goes back to the system: executors hold several Python workers that live on."""
+
+    def done(out: pa.Table) -> pa.Table:
+        give_back()
+        return out
+
+    if function.__code__.co_argcount == 1:  # Spark counts the arguments
+        return lambda table: done(function(table))
+    return lambda left, right: done(function(left, right))
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def _ends(column: pa.Array) -> np.ndarray:

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import durable, filtered, mixed, release, slices, texts, utf8
+from rillflow.llm.common import durable, filtered, give_back, mixed, release, slices, texts, tidy, utf8
 from rillflow.llm.components import components
 from rillflow.llm.shingles import U, set_id, shingle_sets
 
@@ -220,7 +220,7 @@ def grouped(table: pa.Table) -> pa.Table:
 
 def candidates(docs: DataFrame, frequent: np.ndarray, rows: int) -> DataFrame:
     bins = 1 << max(0, math.ceil(rows / DOCS_A_BIN) - 1).bit_length()
-    return signature_bins(docs, frequent, bins).groupBy("bin").applyInArrow(grouped, "x long, y long, shared long, group long")
+    return signature_bins(docs, frequent, bins).groupBy("bin").applyInArrow(tidy(grouped), "x long, y long, shared long, group long")
 
 
 def zipped(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -258,6 +258,7 @@ def linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 both = int((large[at] == small).sum())
             keep.append(both > 0 and 100 * both >= PERCENT * (len(a) + len(b) - both))
         yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+    give_back()
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -355,7 +356,7 @@ def cluster_links(docs: DataFrame, found: DataFrame) -> DataFrame:
     columns = ["super", "a", "b", "doc", "component", "packed"]
     minor = full.where("minor").withColumn("a", spread("minor_blocks")).withColumn("b", every("blocks")).select(columns)
     other = full.withColumn("b", spread("blocks")).withColumn("a", every("minor_blocks")).select(columns).toDF(*columns)
-    return durable(minor.groupBy("super", "a", "b").cogroup(other.groupBy("super", "a", "b")).applyInArrow(block_links, "x long, y long"))
+    return durable(minor.groupBy("super", "a", "b").cogroup(other.groupBy("super", "a", "b")).applyInArrow(tidy(block_links), "x long, y long"))
 
 
 def join(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import byte_codes, durable, filtered, mixed, release, slices, texts, utf8
+from rillflow.llm.common import byte_codes, durable, filtered, mixed, release, slices, texts, tidy, utf8
 
 U = np.uint64
 MIN_CHARS = 20
@@ -202,7 +202,7 @@ def variants(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_lines(docs: DataFrame, rows: int, min_chars: int) -> DataFrame:
     """(line): distinct lines that an earlier line within one edit makes superfluous."""
     bins = max(1, math.ceil(10 * rows / LINES_A_BIN))
-    wanted = durable(outside_bins(docs, bins, min_chars).groupBy("bin").applyInArrow(shared, "line long, segments int").groupBy(F.col("line").alias("id")).agg(F.bit_or("segments").alias("segments")))
+    wanted = durable(outside_bins(docs, bins, min_chars).groupBy("bin").applyInArrow(tidy(shared), "line long, segments int").groupBy(F.col("line").alias("id")).agg(F.bit_or("segments").alias("segments")))
     release(docs.sparkSession)
     known = durable(chosen_lines(docs, wanted, min_chars))
     rows_ = known.mapInArrow(variants, "kind int, variant long, place long, line long, doc long, number long")

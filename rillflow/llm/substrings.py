@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import durable, mixed, release, slices, texts, utf8
+from rillflow.llm.common import durable, mixed, release, slices, texts, tidy, utf8
 from rillflow.llm.suffixes import WINDOW, U, anchored, deep_shallow, segments
 
 LAST = np.iinfo(np.int64).max
@@ -290,12 +290,12 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     size = docs.select(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     doc_bins = max(1, math.ceil(rows / DOCS_A_BIN))
     bins = max(1, math.ceil(size * 0.065 / RUNS_A_BIN))
-    first = durable(runs(docs, bins, doc_bins).groupBy("bin").applyInArrow(compared(bins, doc_bins), BINNED))
+    first = durable(runs(docs, bins, doc_bins).groupBy("bin").applyInArrow(tidy(compared(bins, doc_bins)), BINNED))
     release(docs.sparkSession)
     asked = first.where("kind = 2").groupBy("bin")
     sort_bins = 2 * bins
-    items = by_bin(docs, doc_bins).groupBy("bin").cogroup(asked).applyInArrow(fetched(sort_bins, doc_bins), BINNED)
-    second = durable(items.groupBy("bin").applyInArrow(ordered(sort_bins, doc_bins), BINNED))
+    items = by_bin(docs, doc_bins).groupBy("bin").cogroup(asked).applyInArrow(tidy(fetched(sort_bins, doc_bins)), BINNED)
+    second = durable(items.groupBy("bin").applyInArrow(tidy(ordered(sort_bins, doc_bins)), BINNED))
     del items, asked
     release(docs.sparkSession)
     return first.where("kind = 1").union(second), doc_bins
