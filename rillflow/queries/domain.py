@@ -192,7 +192,7 @@ def mark_duplicates(t: Tables) -> DataFrame:
 
 
 @query(READS + "select ordinal // 700 as chunk, min(ordinal) as first_ordinal, count(*) as n, max(ordinal) + 1 as last_ordinal from a group by 1")
-def agd_chunks(t: Tables) -> DataFrame:
+def read_chunks(t: Tables) -> DataFrame:
     return G.chunks(alignments(t), "ordinal", 700)
 
 

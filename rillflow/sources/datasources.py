@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 #: Fixed values of the chunk file's header.
-AGD_HEADER = struct.Struct("<BBBBHHQQ32s")
-AGD_RECORD_TYPES = {"text": 0, "structured": 1, "base_compact": 2}
-AGD_COMPRESSIONS = {"none": 0, "gzip": 2}
+CHUNK_HEADER = struct.Struct("<BBBBHHQQ32s")
+CHUNK_RECORD_TYPES = {"text": 0, "structured": 1, "base_compact": 2}
+CHUNK_COMPRESSIONS = {"none": 0, "gzip": 2}
 CRC_MASK = 0xA282EAD8
 
 
@@ -86,11 +86,11 @@ def listed(path: str, suffix: str = "") -> list[str]:
 
 
 class RecordSource(DataSource):
-    """Format ``tfrecord``: (record binary, file string, offset bigint). Options: path, compression (none, ZLIB, GZIP)."""
+    """Format ``record_file``: (record binary, file string, offset bigint). Options: path, compression (none, ZLIB, GZIP)."""
 
     @classmethod
     def name(cls) -> str:
-        return "tfrecord"
+        return "record_file"
 
     def schema(self) -> str:
         return "record binary, file string, offset bigint"
@@ -145,21 +145,21 @@ class RecordWriter(DataSourceWriter):
         open(os.path.join(self.options["path"], "_SUCCESS"), "w").close()
 
 
-def agd_chunk(record_id: str, first: int, records: list[bytes], record_type: str = "text", compression: str = "none") -> bytes:
+def chunk_file(record_id: str, first: int, records: list[bytes], record_type: str = "text", compression: str = "none") -> bytes:
     """A chunk file: header, an index of lengths, the payloads. The last ordinal is exclusive; a record of no bytes is a gap."""
     if any(len(r) > 0xFFFFFFFF for r in records):
         raise ValueError("record too large")
     body = b"".join(struct.pack("<I", len(r)) for r in records) + b"".join(records)
     body = gzip.compress(body) if compression == "gzip" else body
-    head = AGD_HEADER.pack(0, 1, AGD_RECORD_TYPES[record_type], AGD_COMPRESSIONS[compression], AGD_HEADER.size, 0, first, first + len(records), record_id.encode()[:32])
+    head = CHUNK_HEADER.pack(0, 1, CHUNK_RECORD_TYPES[record_type], CHUNK_COMPRESSIONS[compression], CHUNK_HEADER.size, 0, first, first + len(records), record_id.encode()[:32])
     return head + body
 
 
-def agd_records(data: bytes) -> Iterator[tuple[str, int, bytes | None]]:
+def chunk_records(data: bytes) -> Iterator[tuple[str, int, bytes | None]]:
     """(record_id, ordinal, payload or None) of a chunk file."""
-    _, _, _, compression, start, _, first, last, record_id = AGD_HEADER.unpack(data[: AGD_HEADER.size])
+    _, _, _, compression, start, _, first, last, record_id = CHUNK_HEADER.unpack(data[: CHUNK_HEADER.size])
     body = data[start:]
-    if compression == AGD_COMPRESSIONS["gzip"]:
+    if compression == CHUNK_COMPRESSIONS["gzip"]:
         body = gzip.decompress(body)
     elif compression:
         raise ValueError("unknown compression")
@@ -174,11 +174,11 @@ def agd_records(data: bytes) -> Iterator[tuple[str, int, bytes | None]]:
 
 
 class ChunkSource(DataSource):
-    """Format ``agd``: (record_id string, ordinal bigint, payload binary) of the chunk files of one column. Options: path, column; to write: record_id, record_type, compression."""
+    """Format ``read_chunks``: (record_id string, ordinal bigint, payload binary) of the chunk files of one column. Options: path, column; to write: record_id, record_type, compression."""
 
     @classmethod
     def name(cls) -> str:
-        return "agd"
+        return "read_chunks"
 
     def schema(self) -> str:
         return "record_id string, ordinal bigint, payload binary"
@@ -199,7 +199,7 @@ class ChunkReader(DataSourceReader):
 
     def read(self, partition):
         with open(partition.path, "rb") as f:
-            rows = [*agd_records(f.read())]
+            rows = [*chunk_records(f.read())]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["record_id", "ordinal", "payload"])
 
 
@@ -217,7 +217,7 @@ class ChunkWriter(DataSourceArrowWriter):
             raise ValueError("ordinals of a chunk must be consecutive")
         os.makedirs(self.options["path"], exist_ok=True)
         path = os.path.join(self.options["path"], f"chunk_{rows[0][0]}.{self.options['column']}")
-        data = agd_chunk(self.options.get("record_id", "records"), rows[0][0], [p or b"" for _, p in rows], self.options.get("record_type", "text"), self.options.get("compression", "none"))
+        data = chunk_file(self.options.get("record_id", "records"), rows[0][0], [p or b"" for _, p in rows], self.options.get("record_type", "text"), self.options.get("compression", "none"))
         with open(f"{path}.tmp", "wb") as f:
             f.write(data)
         os.replace(f.name, path)
@@ -272,7 +272,7 @@ def chunks_of(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [r for c in batch.column("content").to_pylist() for r in agd_records(c)]
+            rows = [r for c in batch.column("content").to_pylist() for r in chunk_records(c)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["record_id", "ordinal", "payload"])
 
     return files.select("content").mapInArrow(run, "record_id string, ordinal bigint, payload binary")

@@ -17,8 +17,8 @@ def registered(spark):
 def test_records_round_trip(spark, tmp_path, compression):
     rows = spark.range(7).select(F.concat(F.lit("Record "), "id").cast("binary").alias("record"), F.lit("").alias("file"), F.lit(0).cast("long").alias("offset"))
     path = str(tmp_path / "out")
-    rows.write.format("tfrecord").mode("append").option("path", path).option("compression", compression).save()
-    found = spark.read.format("tfrecord").option("path", path).option("compression", compression).load()
+    rows.write.format("record_file").mode("append").option("path", path).option("compression", compression).save()
+    found = spark.read.format("record_file").option("path", path).option("compression", compression).load()
     assert sorted(bytes(r.record) for r in found.collect()) == [b"Record %d" % k for k in range(7)]
     again = datasources.records_of(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path), compression)
     assert again.count() == 7
@@ -42,8 +42,8 @@ def test_checksum_is_the_known_one():
 def test_chunks_round_trip(spark, tmp_path, compression):
     rows = spark.range(0, 10, 1, 3).select(F.lit("x").alias("record_id"), F.col("id").alias("ordinal"), F.when(F.col("id") != 4, F.repeat(F.lit("A"), F.col("id").cast("int") + 1).cast("binary")).alias("payload"))
     path = str(tmp_path / "out")
-    rows.write.format("agd").mode("append").option("path", path).option("column", "bases").option("record_id", "sample" * 9).option("compression", compression).save()
-    found = spark.read.format("agd").option("path", path).option("column", "bases").load().orderBy("ordinal").collect()
+    rows.write.format("read_chunks").mode("append").option("path", path).option("column", "bases").option("record_id", "sample" * 9).option("compression", compression).save()
+    found = spark.read.format("read_chunks").option("path", path).option("column", "bases").load().orderBy("ordinal").collect()
     assert [(r.ordinal, r.payload and len(r.payload)) for r in found] == [(k, None if k == 4 else k + 1) for k in range(10)]
     assert {r.record_id for r in found} == {("sample" * 9)[:32]}
     assert datasources.chunks_of(spark.read.format("binaryFile").load(path + "/*.bases")).count() == 10
