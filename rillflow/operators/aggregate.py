@@ -118,3 +118,18 @@ def add_n(frames: list[DataFrame], key: str, value: str) -> DataFrame:
     for frame in frames[1:]:
         out = out.unionByName(frame)
     return out.groupBy(key).agg(F.sum(value).alias(value))
+
+
+def fold(df: DataFrame, keys: list[str], order: list[str], value: str, initial: Column, step, finish=None, name: str = "value") -> DataFrame:
+    """An ordered fold of each key's values: ``step(state, value)``, then ``finish(state)``. A key's values meet in one array."""
+    values = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v")))), lambda x: x["_v"])
+    gathered = df.groupBy(*keys).agg(values.alias("_values"))
+    return gathered.select(*keys, (F.aggregate("_values", initial, step, finish) if finish else F.aggregate("_values", initial, step)).alias(name))
+
+
+def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, object]:
+    """``df`` with metrics gathered as it runs, and what gives them afterwards."""
+    from pyspark.sql import Observation
+
+    watch = Observation(name)
+    return df.observe(watch, *[c.alias(n) for n, c in metrics.items()]), watch

@@ -62,3 +62,8 @@ def band(coo: DataFrame, lower: int, upper: int) -> DataFrame:
     """Cells within ``lower`` diagonals below and ``upper`` above the main one; below 0: all."""
     off = F.col("row") - F.col("col")
     return coo.where((F.lit(lower < 0) | (off <= lower)) & (F.lit(upper < 0) | (-off <= upper)))
+
+
+def row_slices(coo: DataFrame) -> DataFrame:
+    """(row, cells): each row's cells in order, one row of the matrix a row."""
+    return coo.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", "v"))).alias("cells"))

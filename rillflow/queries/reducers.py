@@ -188,3 +188,16 @@ def stats_summary(t: Tables) -> DataFrame:
 @query("select k, sum(v)::bigint as v from (select n_nationkey as k, 1 as v from nation union all select s_nationkey, 2 from supplier union all select c_nationkey, 3 from customer) group by 1")
 def add_n(t: Tables) -> DataFrame:
     return A.add_n([t.nation.select(F.col("n_nationkey").alias("k"), F.lit(1).alias("v")), t.supplier.select(F.col("s_nationkey").alias("k"), F.lit(2).alias("v")), t.customer.select(F.col("c_nationkey").alias("k"), F.lit(3).alias("v"))], "k", "v")
+
+
+@query("select user_id, string_agg(event_type[1], '' order by event_id) as path from events group by 1")
+def fold_reducer(t: Tables) -> DataFrame:
+    return A.fold(t.events.select("user_id", "event_id", F.substring("event_type", 1, 1).alias("c")), ["user_id"], ["event_id"], "c", F.lit(""), lambda s, x: F.concat(s, x), name="path")
+
+
+@query("select c_custkey as position, row_number() over (order by c_custkey) - 1 as value from customer")
+def invert_permutation(t: Tables) -> DataFrame:
+    from rillflow.operators.ordering import numbered
+    from rillflow.operators.sort import inverted
+
+    return inverted(numbered(t.customer.select(F.col("c_custkey").alias("value")), ["value"], "position"), "position", "value")

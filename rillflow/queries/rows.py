@@ -270,3 +270,11 @@ def indexed_get(t: Tables) -> DataFrame:
 def gather_rows(t: Tables) -> DataFrame:
     wanted = t.spark.range(300).select(F.col("id").alias("i"), (F.col("id") * 37 % 200).alias("at"))
     return gather(wanted, ordering.numbered(t.part.select("p_partkey"), ["p_partkey"]), "at", "pos").select("i", "p_partkey")
+
+
+@query("select 1 as ok")
+def log_uniform_candidates(t: Tables) -> DataFrame:
+    """Draws lie in range, and the first class comes about as often as it should: log(2) / log(101)."""
+    drawn = files.log_uniform(t.spark, 20_000, 100, 5)
+    found = drawn.agg(F.min("candidate").alias("a"), F.max("candidate").alias("b"), F.avg((F.col("candidate") == 0).cast("int")).alias("p"))
+    return found.select(((F.col("a") == 0) & (F.col("b") < 100) & (F.abs(F.col("p") - 0.1502) < 0.02)).cast("int").alias("ok"))

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.functions import arrays as A
+from rillflow.functions import examples
 from rillflow.functions import math as M
 from rillflow.functions import strings as S
 from rillflow.operators import sparse
+from rillflow.operators.sort import reverse_prefix
 from rillflow.operators.window import gathered, periodic_resample
 from rillflow.queries.joins import COO, MD5, coo
 from rillflow.queries.registry import Tables, query
@@ -249,3 +251,25 @@ def sparse_reshape(t: Tables) -> DataFrame:
 @query(COO + " select vec_id - 2 as \"row\", (k - 1)::int as col, v from e where vec_id between 2 and 6 and k between 1 and 3 and vec_id - 2 - (k - 1) <= 1")
 def sparse_slice_band(t: Tables) -> DataFrame:
     return sparse.band(sparse.sliced(coo(t).toDF("row", "col", "v"), (2, 1), (5, 3)), 1, -1)
+
+
+@query("select o_orderkey, o_totalprice::float::double as price, o_custkey as cust, -1::bigint as missing, 2 as n from orders")
+def parse_example(t: Tables) -> DataFrame:
+    e = examples.example(floats={"price": F.array("o_totalprice")}, ints={"cust": F.array("o_custkey"), "pair": F.array("o_custkey", "o_orderkey")})
+    rows = t.orders.select("o_orderkey", e.alias("e"))
+    get = lambda *a: examples.dense(F.col("e"), *a)[0]
+    return rows.select("o_orderkey", get("price", "floats", 1).cast("double").alias("price"), get("cust", "ints", 1).alias("cust"), get("none", "ints", 1, F.lit(-1).cast("long")).alias("missing"), F.size(examples.ragged(F.col("e"), "pair", "ints")).alias("n"))
+
+
+@query("select n_nationkey, n_nationkey::bigint as age, n_name as name from nation")
+def decode_json_example(t: Tables) -> DataFrame:
+    name = F.base64(F.col("n_name").cast("binary"))
+    line = F.format_string('{"features":{"feature":{"age":{"int64List":{"value":[%d]}},"name":{"bytesList":{"value":["%s"]}}}}}', "n_nationkey", name)
+    rows = t.nation.select("n_nationkey", examples.from_json(line).alias("e"))
+    return rows.select("n_nationkey", examples.dense(F.col("e"), "age", "ints", 1)[0].alias("age"), examples.dense(F.col("e"), "name", "bytes", 1)[0].cast("string").alias("name"))
+
+
+@query("select s_suppkey, concat_ws(',', s_suppkey + 2, s_suppkey + 1, s_suppkey, s_suppkey + 3) as r from supplier")
+def reverse_sequence(t: Tables) -> DataFrame:
+    four = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.col("s_suppkey") + i)
+    return t.supplier.select("s_suppkey", text(reverse_prefix(four, F.lit(3))).alias("r"))

@@ -111,3 +111,14 @@ def remove(spark: SparkSession, *paths: str) -> int:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     return len(paths)
+
+
+def sequence_file(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value) strings of uncompressed sequence files."""
+    return spark.sparkContext.sequenceFile(path).map(lambda kv: (str(kv[0]), str(kv[1]))).toDF("key string, value string")
+
+
+def log_uniform(spark: SparkSession, n: int, classes: int, seed: int) -> DataFrame:
+    """(candidate): n draws from [0, classes), small ones likelier: the chance of k is log((k + 2) / (k + 1)) / log(classes + 1)."""
+    u = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    return spark.range(n).select(F.least(F.floor(F.exp(u * F.log(F.lit(classes + 1.0)))) - 1, F.lit(classes - 1)).alias("candidate"))

@@ -204,3 +204,34 @@ def test_epochs_are_permutations(spark):
     found = [r.id for r in sort.shuffle_and_repeat(spark.range(20), 3, 10, ["id"]).collect()]
     parts = [found[k : k + 20] for k in (0, 20, 40)]
     assert all(sorted(p) == list(range(20)) for p in parts) and parts[0] != parts[1]
+
+
+def test_examples_have_defaults_and_required_features(spark):
+    from rillflow.functions import examples
+
+    df = spark.range(1).select(examples.example(bytes_={"title": F.array(F.lit(b"x"))}, floats={"score": F.array(F.lit(1.5), F.lit(2.5))}).alias("e"))
+    e = F.col("e")
+    row = df.select(examples.dense(e, "score", "floats", 2).alias("s"), examples.dense(e, "age", "ints", 1, F.lit(7).cast("long")).alias("a"), examples.ragged(e, "none", "ints").alias("r")).first()
+    assert (row.s, row.a, row.r) == ([1.5, 2.5], [7], [])
+    for key, size in (("age", 1), ("title", 2)):
+        with pytest.raises(Exception, match=f"feature {key}"):
+            df.select(examples.dense(e, key, "bytes", size)).collect()
+
+
+def test_observed_metrics(spark):
+    df, watch = aggregate.observed(spark.range(10), "rows", n=F.count(F.lit(1)), top=F.max("id"))
+    assert df.count() == 10 and watch.get == {"n": 10, "top": 9}
+
+
+def test_fold_keeps_the_order(spark):
+    df = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), ("b", 1, "z")], "k string, o int, v string")
+    found = aggregate.fold(df, ["k"], ["o"], "v", F.lit(""), lambda s, x: F.concat(s, x), F.upper)
+    assert {r.k: r.value for r in found.collect()} == {"a": "XY", "b": "Z"}
+
+
+def test_numbers_with_nulls_and_ties_keep_their_order(spark):
+    values = [None, 5.0, float("nan"), -1.0, None, 2.0] + [float(k) for k in range(100, 200)]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "i long, v double")
+    found = ordering.numbered(df, ["v", "i"], "pos").orderBy("pos").collect()
+    want = [r.i for r in df.orderBy("v", "i").collect()]
+    assert [r.i for r in found] == want
