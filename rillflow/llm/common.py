@@ -164,3 +164,9 @@ def filtered(ids: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
         return mask
 
     return keep
+
+
+def thinned(df: DataFrame, key: str, rows: int, wanted: int) -> DataFrame:
+    """About ``wanted`` to 1.3 times as many of ``rows`` rows, chosen by a hash of ``key``: a filter, so nothing meets in one task. All, if they are fewer."""
+    share = min(1.0, (1.3 * wanted + 50) / max(1, rows))
+    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int(share * (1 << 40)))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import durable
+from rillflow.llm.common import durable, thinned
 from rillflow.llm.vectors import first_k, matrix, usable
 
 SAMPLE = 16_384
@@ -169,8 +169,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = R
     """(query_id, rank, vec_id, score): for every row that ``is_query`` selects, the k nearest found among all other rows, by Euclidean distance."""
     whole = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     rows = vectors.where(usable(vector_col) & F.exists(vector_col, lambda x: x != 0)).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"), is_query.alias("q"))
-    # one vector of each kind, so a hot vector doesn't fill the sample
-    chosen = rows.groupBy("v").agg(F.min("vec_id").alias("vec_id")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
+    # one vector of each kind, so a hot vector doesn't fill the sample; twice as many are drawn first
+    drawn = thinned(rows.select("vec_id", "v"), "vec_id", vectors.count(), 2 * sample)
+    chosen = drawn.groupBy("v").agg(F.min("vec_id").alias("vec_id")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
     points = matrix(pa.table({"v": chosen.select("v").toArrow().column("v")}).column("v"))
     tree = fit(points)
     visits, _ = calibrated(tree, points, k, recall)
