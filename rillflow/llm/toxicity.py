@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import byte_codes, mixed, slices, texts, utf8
+from rillflow.llm.common import byte_codes, mixed, slices, texts, thinned, utf8
 from rillflow.llm.shingles import powers
 
 U = np.uint64
@@ -234,7 +234,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
     counts = {r[0]: r[1] for r in known.groupBy(F.col(names[-1]) > 0).count().collect()}
     parts = []
     for positive in (False, True):
-        part = known.where((F.col(names[-1]) > 0) == F.lit(positive)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_per_class)
+        part = thinned(known.where((F.col(names[-1]) > 0) == F.lit(positive)), "doc_id", counts.get(positive, 0), sample_per_class)
+        part = part.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id").limit(sample_per_class)
         parts.append(part)
     sample = parts[0].union(parts[1])
 
