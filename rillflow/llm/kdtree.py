@@ -25,8 +25,9 @@ from rillflow.llm.common import durable
 from rillflow.llm.vectors import first_k, matrix, usable
 
 LEAF = 64
-SHARD_ROWS = 4096
-QUERY_BLOCK = 2048
+#: A shard's rows: four shards for each core, within these bounds.
+LEAST_ROWS, MOST_ROWS = 4096, 65_536
+QUERY_BLOCK = 8192
 
 
 class Tree:
@@ -97,14 +98,15 @@ def searched(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row that ``is_query`` selects, its k largest inner products of floor(scale * x) among all other rows."""
     ints = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale))
     rows = vectors.where(usable(vector_col)).select(F.col(id_col).cast("long").alias("vec_id"), ints.alias("v"), is_query.alias("q"))
     n = max(1, vectors.count())
     queries = rows.where("q").select("vec_id", "v").dropDuplicates(["vec_id"])
     n_queries = max(1, vectors.where(is_query).count())
-    shards = max(1, math.ceil(n / max(shard_rows, math.isqrt(n))))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, math.ceil(n / (shard_rows or min(MOST_ROWS, max(LEAST_ROWS, n // (4 * cores))))))
     blocks = max(1, math.ceil(n_queries / QUERY_BLOCK))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     home = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int")
