@@ -4,7 +4,7 @@ Each stage takes the documents that the one before kept, written as Parquet and
 packed sequences. Counted as part of the subpackage ``rillflow.llm``.
 
 - toxicity: documents that the classifier chain finds toxic go.
-- line_dedup: lines that stand earlier, up to one edit, are cut; a document that loses all it had goes.
+- line_dedup: lines that stand earlier, up to one edit (short lines: equal ones), are cut; a document that loses all it had goes.
 - near_duplicates: of each component of documents whose word shingles link, the one of the smallest doc_id stays.
 - secrets: every secret, nested ones included, is replaced by a mark; all documents stay.
 - packing: every document's ids, packed.
@@ -36,7 +36,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = lines.deduplicated(docs.select(*COLUMNS))
+    kept = lines.deduplicated(docs.select(*COLUMNS), short_lines=True)
     gone = (F.col("_n_removed") > 0) & F.regexp_replace("text", r"\s", "").eqNullSafe("")
     return remeasured(kept.where(~gone))
 

@@ -1,7 +1,8 @@
 """Near-duplicate lines by a deletion-neighbourhood join within one edit.
 
 A line is dropped if an equal line, or one within one edit (a code point put in, taken out or replaced), stands earlier: in a document of smaller doc_id, or
-higher up in the same document. Lines count without the white space around them; lines of fewer than ``min_chars`` code points always stay.
+higher up in the same document. Lines count without the white space around them. Lines of fewer than ``min_chars`` code points stay, or with ``short_lines`` are
+dropped if an equal line stands earlier, without the edit; blank lines stay.
 
 Two lines within one edit agree outside one of SEGMENTS equal segments. So every distinct line first emits, for each segment, a key of what lies outside it; only lines
 that share a key with a different line go on, and only in the segments concerned. There they emit, hashed, every variant with one code point
@@ -219,19 +220,20 @@ def near_lines(docs: DataFrame, rows: int, min_chars: int) -> DataFrame:
     return durable(checked.select("line").distinct())
 
 
-def removed_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:
+def removed_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, short_lines: bool = False) -> DataFrame:
     """(doc, gone): for each document that loses lines, their numbers and hashes, packed one after the other."""
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
     if min_chars < 2:
         raise ValueError("min_chars is 2 or more")
     rows = max(1, docs.count())
+    least = 1 if short_lines else min_chars
 
     def places(keep) -> DataFrame:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
                 lines = Lines(*utf8(batch.column("text")))
-                chosen = np.flatnonzero(lines.size >= min_chars)
+                chosen = np.flatnonzero(lines.size >= least)
                 chosen = chosen[keep(lines.hash[chosen].view(np.int64))] if keep else chosen
                 docs_here = batch.column("doc_id").fill_null(LAST).to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(docs_here[lines.row[chosen]]), pa.array(lines.number[chosen]), pa.array(lines.hash[chosen].view(np.int64))], names=["doc", "number", "line"])
@@ -248,11 +250,11 @@ def removed_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHAR
     return durable(gone.groupBy("doc").agg(F.collect_set(F.struct("number", "line")).alias("gone")))
 
 
-def deduplicated(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
     """All rows and columns of ``docs``, the dropped lines cut out of ``text_col``, and columns _n_lines and _n_removed. Columns that have these names, or _doc or _gone, are left out."""
     docs = docs.drop("_doc", "_gone", "_n_lines", "_n_removed")
     plain = texts(docs, id_col, text_col)
-    gone = removed_lines(plain, max_edits, min_chars)
+    gone = removed_lines(plain, max_edits, min_chars, short_lines)
     touched = filtered(gone.select(F.col("doc").alias("id")))
     packed = zstandard_texts(docs, id_col, text_col, touched)
     joined = packed.join(gone.select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone")), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)) == F.col("_doc"), "left").drop("_doc")

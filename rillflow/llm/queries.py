@@ -46,7 +46,7 @@ def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_deletion_neighbourhood_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = lines.deduplicated(table(spark, sf_dir, "documents"))
+    kept = lines.deduplicated(table(spark, sf_dir, "documents"), short_lines=True)
     return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

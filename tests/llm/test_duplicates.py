@@ -189,3 +189,10 @@ def test_exact_lines_only(spark):
     rows = [(1, "the same long line here\nthe same long linе here"), (2, "the same long line here\nother")]
     found = lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), max_edits=0)
     assert {r.doc_id: r.text for r in found.collect()} == {1: rows[0][1], 2: "other"}
+
+
+def test_short_lines_are_joined_by_equality(spark):
+    long = "a line of more than twenty code points"
+    rows = [(1, f"short\n{long}\n\nshorn"), (2, f"  short\n{long}!\n\nother"), (3, f"short\n\n{long}"), (4, "é\nshort\né")]
+    found = lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), short_lines=True)
+    assert {r.doc_id: (r.text, r._n_removed) for r in found.collect()} == {1: (rows[0][1], 0), 2: ("\nother", 2), 3: ("", 2), 4: ("é", 2)}

@@ -104,3 +104,13 @@ def test_pipeline_stages(spark):
     assert docs.where("n_chars <> length(text)").count() == 0
     assert P.STAGES[-1][1](spark, docs, SMALL).select("doc_id").distinct().count() == before
     assert P.run(spark, SMALL).count() > 0
+
+
+def test_exact_copies_with_short_lines_leave_the_pipeline(spark, tmp_path):
+    import corpus_pipeline as P
+
+    texts = [f"Title {k}\n\nA first line that is long enough to be joined, number {k * 7919}.\nyes\n- item {k}" for k in range(6)]
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts)] + [(100 + k, t, "en", "s", len(t)) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert {r.doc_id for r in P.run(spark, str(tmp_path)).select("doc_id").distinct().collect()} == set(range(6))
