@@ -6,7 +6,8 @@ code points, base64, and data compressed beneath base64) makes further layers, u
 original text each of its characters stands for, and a secret found in it is reported as that stretch.
 
 Spans are code points, end exclusive. Null and empty texts have no spans. Whole texts are scanned; a text's cost is in proportion to its
-layers. Compressed data of any ratio is expanded a chunk at a time, and scanned in overlapping parts. Rows are independent: repeated rows and
+layers. Compressed data of any ratio, compressed any number of times and of any number of members, is expanded a chunk at a time, and scanned in pieces cut where nothing can go on.
+An unbroken run is held whole, so memory follows the longest one. Rows are independent: repeated rows and
 further columns change nothing, and an empty table gives an empty result.
 """
 
@@ -42,6 +43,9 @@ BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Fixed signatures of compressed data.
 MAGIC = ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"\x78\x01", zlib.decompressobj), (b"\x78\x5e", zlib.decompressobj), (b"\x78\x9c", zlib.decompressobj), (b"\x78\xda", zlib.decompressobj), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ", lzma.LZMADecompressor))
 CHUNK = 1 << 20
+LONGEST_MAGIC = max(len(magic) for magic, _ in MAGIC)
+#: Where decompressed data may be cut: after a byte that no pattern has, or between two plain words after another. No encoding hides such a byte or word.
+BORDER = re.compile(rb"""[^A-Za-z0-9+/_.=:%\\&#;{}"'\x20\x80-\xff-]|[\x80-\xff](?=[\x00-\x7f\xc0-\xff])|\x20[A-Za-z0-9.]+(?=\x20[A-Za-z0-9])""")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -131,19 +135,62 @@ def readable(data: bytes) -> str | None:
     return text if text and odd * 20 <= min(len(data), 4096) else None
 
 
-def expanded(data: bytes) -> Iterator[bytes]:
-    """The parts of decompressed ``data``; nothing if it isn't compressed. Damaged or cut data gives what precedes the damage."""
-    for magic, make in MAGIC:
-        if data.startswith(magic):
-            machine = make()
+def compression(data: bytes):
+    """What makes a decompressor for ``data``, or None if it doesn't begin as compressed data does."""
+    return next((make for magic, make in MAGIC if data.startswith(magic)), None)
+
+
+def expanded(parts: Iterable[bytes]) -> Iterator[bytes]:
+    """The decompressed parts of a compressed stream, all its members one after the other. Damaged or cut data gives what precedes the damage."""
+    machine, waiting = None, b""
+    for part in parts:
+        waiting += part
+        while waiting:
+            if machine is None:
+                waiting = waiting.lstrip(b"\0")  # padding between members
+                if len(waiting) < LONGEST_MAGIC:
+                    break
+                if (make := compression(waiting)) is None:
+                    return
+                machine = make()
+            zipped = hasattr(machine, "unconsumed_tail")
             try:
-                part = machine.decompress(data, CHUNK)
-                while part:
-                    yield part
-                    part = machine.decompress(machine.unconsumed_tail if hasattr(machine, "unconsumed_tail") else b"", CHUNK)
+                while True:
+                    out = machine.decompress(waiting, CHUNK)
+                    waiting = machine.unconsumed_tail if zipped else b""
+                    if out:
+                        yield out
+                    if machine.eof or (not (waiting or out) if zipped else machine.needs_input):
+                        break
             except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-                pass
-            return
+                return
+            if machine.eof:
+                machine, waiting = None, machine.unused_data
+
+
+def expanded_times(data: bytes, times: int) -> Iterator[bytes]:
+    parts = iter([data])
+    for _ in range(times):
+        parts = expanded(parts)
+    return parts
+
+
+def pieces(parts: Iterable[bytes]) -> Iterator[bytes]:
+    """The same bytes in pieces that end where no secret and no encoded run can go on; a run without such a place is held whole."""
+    held: list[bytes] = []
+    for part in parts:
+        at = 0
+        for start in (max(0, len(part) - 4096), 0):
+            for m in BORDER.finditer(part, start):
+                at = m.end()
+            if at:
+                break
+        if at:
+            yield b"".join([*held, part[:at]])
+            held = []
+        held.append(part[at:])
+    if rest := b"".join(held):
+        yield rest
 
 
 def opened(run: str) -> Iterator[str]:
@@ -157,20 +204,29 @@ def opened(run: str) -> Iterator[str]:
         return
     if text := readable(data):
         yield text
-    carry, waiting = b"", [data]
-    while waiting:
-        for part in expanded(waiting.pop()):
-            if not carry and any(part.startswith(magic) for magic, _ in MAGIC):
-                waiting.append(part)  # compressed more than once
-                continue
-            whole = carry + part
-            text = readable(whole) or readable(whole[:-1]) or readable(whole[:-2]) or readable(whole[:-3])
-            if text:
+    source, times, seen, most = data, 0, set(), 4 * max(CHUNK, len(data))
+    while True:
+        head = b""
+        for part in expanded_times(source, times):
+            head += part[:LONGEST_MAGIC]
+            if len(head) >= LONGEST_MAGIC:
+                break
+        if not compression(head):
+            return
+        digest, size, whole = hashlib.blake2b(digest_size=16), 0, []
+        for part in expanded_times(source, times):
+            digest.update(part)
+            size += len(part)
+            whole = [*whole, part] if size <= most else []
+        if digest.digest() in seen:  # data that expands to itself
+            return
+        seen.add(digest.digest())
+        if size <= most:
+            source, times = b"".join(whole), 0
+        times += 1
+        for piece in pieces(expanded_times(source, times)):
+            if text := readable(piece):
                 yield text
-            carry = whole[-4096:]
-            while carry and carry[0] & 0xC0 == 0x80:
-                carry = carry[1:]
-        carry = b""
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:

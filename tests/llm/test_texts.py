@@ -4,6 +4,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import zlib
 from urllib.parse import quote
@@ -194,3 +195,35 @@ def test_shares_follow_weights_and_moves_stay_in_the_changed_subtree(spark):
     assert abs(share - 0.5) < 0.02
     assert not any(r.a in (0, 1) and r.b in (2, 3) for r in both) and not any({r.a, r.b} == {2, 3} for r in both)
     assert {r[0] for r in keys.select(sharding.shard_of(keys["id"], sharding.Node("root", (leaf(5, 1), leaf(6, 0))))).distinct().collect()} == {5}
+
+
+def coded(data):
+    return base64.b64encode(data).decode()
+
+
+def noise(n):
+    """Lines of letters that hardly compress and hold no secret."""
+    return random.Random(3).randbytes(n).translate(bytes(10 if b >= 240 else b"GHIJKLMNOPQRSTUVghijklmnopqrstuv"[b % 32] for b in range(256)))
+
+
+@pytest.mark.parametrize(
+    "data",
+    [
+        gzip.compress(gzip.compress(noise(2_000_000) + b"\n" + SECRET.encode())),
+        bz2.compress(lzma.compress(zlib.compress(noise(2_000_000) + b"\n" + SECRET.encode()))),
+        gzip.compress(b"word " * 207_000 + b"\n" + coded(zlib.compress(noise(40_000) + b"\n" + SECRET.encode())).encode() + b"\n"),
+        gzip.compress(b" " * ((1 << 20) - 6000) + SECRET.replace(" ", " " * 9000).encode()),
+        *(make(b"nothing here\n") + make(SECRET.encode()) for make in (gzip.compress, bz2.compress, lzma.compress)),
+        gzip.compress(b"nothing here\n") + bytes(512) + gzip.compress(b"nor here\n") + gzip.compress(SECRET.encode()),
+    ],
+    ids=["twice", "three times", "run over a border", "blanks over a border", "gzip members", "bzip2 members", "xz members", "padded members"],
+)
+def test_secrets_deep_in_compressed_data(data):
+    text = f"before {coded(data)} after"
+    assert secrets.redacted(text, secrets.all_spans(text)[1]) == "before [SECRET] after"
+
+
+def test_pieces_lose_nothing():
+    data = (b"word and word " * 50 + b"token = abcdef%20, " + "é😀".encode() * 9) * 40
+    parts = [data[k : k + 97] for k in range(0, len(data), 97)]
+    assert b"".join(secrets.pieces(parts)) == data and all(p.decode() and p.count(b"token") == p.count(b"token = abcdef%20") for p in secrets.pieces(parts))
