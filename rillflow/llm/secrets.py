@@ -5,6 +5,8 @@ code points, base64, and data compressed beneath base64) makes further layers, u
 (same content for the same stretch of the text) is not entered again, so cycles end. Each layer knows which stretch of the
 original text each of its characters stands for, and a secret found in it is reported as that stretch.
 
+A decoded layer is scanned whole, whether or not it is text, unless it has no run of printable ASCII as long as the shortest secret.
+
 Spans are code points, end exclusive. Null and empty texts have no spans. Whole texts are scanned; a text's cost is in proportion to its
 layers. Compressed data of any ratio, compressed any number of times and of any number of members, is expanded a chunk at a time, and scanned in pieces cut where nothing can go on.
 An unbroken run is held whole, so memory follows the longest one. Rows are independent: repeated rows and
@@ -36,6 +38,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 NAMES = ("passw", "secret", "token", "api")
 LEAST_ASSIGNED = 6
+#: The shortest secret, "token=" and six letters, has 12 printable bytes; percent codes, escapes and base64 only make it longer, and compressed data is opened in any case.
+PRINTABLE = re.compile(rb"[\x20-\x7e]{12,}")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
@@ -126,13 +130,15 @@ def escape(m: re.Match) -> list[tuple[str, int, int]]:
 
 
 def readable(data: bytes) -> str | None:
-    """The text of ``data``, if it is UTF-8 that is nearly free of control characters."""
+    """The text of ``data``, if it is UTF-8 that is nearly free of control characters, or has printable ASCII enough for a secret; bytes that aren't UTF-8 count as Latin-1."""
     try:
         text = data.decode()
+        odd = sum(c < 32 and c not in (9, 10, 13) or c == 127 for c in data[:4096])
+        if text and odd * 20 <= min(len(data), 4096):
+            return text
     except UnicodeDecodeError:
-        return None
-    odd = sum(c < 32 and c not in (9, 10, 13) or c == 127 for c in data[:4096])
-    return text if text and odd * 20 <= min(len(data), 4096) else None
+        text = data.decode("latin-1")
+    return text if PRINTABLE.search(data) else None
 
 
 def compression(data: bytes):

@@ -4,8 +4,10 @@ import base64
 import bz2
 import gzip
 import hashlib
+import io
 import lzma
 import random
+import tarfile
 import zlib
 from urllib.parse import quote
 
@@ -227,3 +229,29 @@ def test_pieces_lose_nothing():
     data = (b"word and word " * 50 + b"token = abcdef%20, " + "é😀".encode() * 9) * 40
     parts = [data[k : k + 97] for k in range(0, len(data), 97)]
     assert b"".join(secrets.pieces(parts)) == data and all(p.decode() and p.count(b"token") == p.count(b"token = abcdef%20") for p in secrets.pieces(parts))
+
+
+def tarred(data):
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as made:
+        member = tarfile.TarInfo("settings.txt")
+        member.size = len(data)
+        made.addfile(member, io.BytesIO(data))
+    return out.getvalue()
+
+
+@pytest.mark.parametrize(
+    "data",
+    [
+        gzip.compress(tarred(SECRET.encode())),
+        tarred(SECRET.encode()),
+        ("café\n" + SECRET).encode("latin-1"),
+        gzip.compress(("café\n" * 300_000 + SECRET).encode("latin-1")),
+        bytes(range(1, 32)) * 200 + b"token=abcdef\n",
+        gzip.compress(b"\xff" + coded(gzip.compress(b"\0" * 9000 + SECRET.encode())).encode()),
+    ],
+    ids=["tar in gzip", "tar", "latin-1", "latin-1 in gzip", "control characters", "twice"],
+)
+def test_secrets_in_layers_that_are_not_text(data):
+    text = f"before {coded(data)} after"
+    assert secrets.redacted(text, secrets.all_spans(text)[1]) == "before [SECRET] after"
