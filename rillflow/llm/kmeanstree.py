@@ -8,7 +8,7 @@ The tree has a bounded size and is broadcast. Vectors are dealt by leaf, large l
 visit, so no task holds more than a block of vectors and a block of queries. Distances are computed in double precision on the original vectors.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part. Vectors of unequal length are an error. A query's own vec_id is no candidate. Ties go to
-the smaller vec_id. With k candidates or fewer in its leaves, a query widens to all. Empty tables give an empty result. Further columns play no part.
+the smaller vec_id. A query whose leaves hold fewer than k candidates goes on along its queue until they hold k, or all there are. Empty tables give an empty result. Further columns play no part.
 """
 
 from __future__ import annotations
@@ -74,13 +74,14 @@ class Tree:
                         work.append((int(child), rows[to == child]))
         return out
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """The leaves that best-bin-first traversal meets, in order, up to ``most`` of them."""
+    def visits(self, query: np.ndarray, most: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The leaves that best-bin-first traversal meets, in order: ``most`` of them, and further ones until they hold ``least`` vectors by ``sizes``."""
         if not self.centres:
             return [0]
         out: list[int] = []
+        held = 0
         queue = [(0.0, 0)]
-        while queue and len(out) < most:
+        while queue and (len(out) < most or held < least):
             _, at = heapq.heappop(queue)
             while at >= 0:
                 away = ((self.centres[at] - query) ** 2).sum(1)
@@ -90,6 +91,7 @@ class Tree:
                         heapq.heappush(queue, (float(away[j]), child))
                 at = int(self.children[at][best])
             out.append(~at)
+            held += 0 if sizes is None else int(sizes[~at])
         return out
 
 
@@ -183,12 +185,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = R
 
     def routed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaves = [shared.value.visits(x, visits) for x in matrix(batch.column("v"))]
+            leaves = [shared.value.visits(x, visits, held.value, k + own) for x, own in zip(matrix(batch.column("v")), batch.column("own").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(leaves, pa.list_(pa.int64()))], names=["vec_id", "v", "leaves"])
 
     index = rows.select("vec_id", "v").mapInArrow(placed, "vec_id long, v array<double>, leaf long")
     sizes = durable(index.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
-    asked = rows.where("q").select("vec_id", "v").dropDuplicates(["vec_id"]).mapInArrow(routed, "vec_id long, v array<double>, leaves array<long>")
+    counts = np.zeros(tree.leaves, np.int64)
+    for leaf, n in sizes.select("leaf", "n").toLocalIterator():
+        counts[leaf] = n
+    held = vectors.sparkSession.sparkContext.broadcast(counts)
+    # the rows of a query's own vec_id are no candidates
+    asked = rows.where("q").groupBy("vec_id").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("own")).mapInArrow(routed, "vec_id long, v array<double>, leaves array<long>")
     blocks = sizes.select("leaf", "blocks")
     dealt = index.join(F.broadcast(blocks), "leaf").select("vec_id", "v", "leaf", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"))
     sent = asked.select("vec_id", "v", F.explode("leaves").alias("leaf")).join(F.broadcast(blocks), "leaf").select("vec_id", "v", "leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))

@@ -114,3 +114,17 @@ def test_exact_copies_with_short_lines_leave_the_pipeline(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert {r.doc_id for r in P.run(spark, str(tmp_path)).select("doc_id").distinct().collect()} == set(range(6))
+
+
+def test_outliers_beside_tight_clusters_get_k_rows(spark):
+    rng = np.random.default_rng(6)
+    clusters = (rng.normal(size=(300, 1, 8)) * 10 + rng.normal(size=(300, 20, 8)) * 1e-3).reshape(-1, 8)
+    outliers = np.zeros((20, 8))
+    outliers[:, 0] = 1000 * 3.0 ** np.arange(20)
+    points = np.concatenate([outliers, clusters])
+    rows = [(k, v.tolist()) for k, v in enumerate(points)] + [(19, outliers[19].tolist())] * 12
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = {}
+    for r in kmeanstree.nearest(df, F.col("vec_id") < 25).collect():
+        found.setdefault(r.query_id, []).append(r.rank)
+    assert {q: sorted(ranks) for q, ranks in found.items()} == {q: list(range(1, 11)) for q in range(25)}
