@@ -2,7 +2,7 @@
 
 The tree is fitted on a bounded sample (``sample``) of the vectors; every vector is then put into the leaf that it reaches by going to the nearest centre at
 each node. A query walks the tree with a priority queue of unvisited branches ordered by distance to their centres, and visits the leaves it meets, nearest first. How many it visits is calibrated: held-out
-vectors of the sample search the sample's tree, the number of leaves widens until their recall against brute force reaches ``recall``, and that number, with a margin, holds for all queries.
+vectors of the sample, which the tree isn't fitted on, search it for the sample, the number of leaves widens until their recall against brute force reaches ``recall``, and that number, with a margin, holds for all queries.
 
 The tree has a bounded size and is broadcast. Vectors are dealt by leaf, large leaves in several blocks by hash, and queries follow to the blocks of the leaves they
 visit, so no task holds more than a block of vectors and a block of queries. Distances are computed in double precision on the original vectors.
@@ -121,11 +121,15 @@ def fit(points: np.ndarray, branches: int = BRANCHES, leaf: int = LEAF_SAMPLE, s
     return tree
 
 
-def calibrated(tree: Tree, points: np.ndarray, k: int, recall: float, held_out: int = HELD_OUT) -> tuple[int, float]:
-    """(leaves to visit, recall reached): the least number of leaves with which held-out points find ``recall`` of their k nearest, and a quarter more."""
-    if len(points) < 4 * k:
+def kept_back(n: int, k: int, held_out: int = HELD_OUT) -> np.ndarray:
+    """Which of ``n`` points are held out; none where they are too few to tell."""
+    return np.random.default_rng(2).choice(n, min(held_out, n // 4), replace=False) if n >= 4 * k else np.zeros(0, np.int64)
+
+
+def calibrated(tree: Tree, points: np.ndarray, asked: np.ndarray, k: int, recall: float) -> tuple[int, float]:
+    """(leaves to visit, recall reached): the least number of leaves with which the held-out points ``asked`` find ``recall`` of their k nearest, and a quarter more."""
+    if not len(asked):
         return tree.leaves, 1.0
-    asked = np.random.default_rng(2).choice(len(points), min(held_out, len(points) // 4), replace=False)
     away = squared(points[asked], points)
     away[np.arange(len(asked)), asked] = np.inf
     true = np.argpartition(away, k, axis=1)[:, :k]
@@ -175,8 +179,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = R
     drawn = thinned(rows.select("vec_id", "v"), "vec_id", vectors.count(), 2 * sample)
     chosen = drawn.groupBy("v").agg(F.min("vec_id").alias("vec_id")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
     points = matrix(pa.table({"v": chosen.select("v").toArrow().column("v")}).column("v"))
-    tree = fit(points)
-    visits, _ = calibrated(tree, points, k, recall)
+    held_out = kept_back(len(points), k)
+    tree = fit(np.delete(points, held_out, axis=0))
+    visits, _ = calibrated(tree, points, held_out, k, recall)
     shared = vectors.sparkSession.sparkContext.broadcast(tree)
 
     def placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

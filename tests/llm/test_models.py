@@ -128,3 +128,12 @@ def test_outliers_beside_tight_clusters_get_k_rows(spark):
     for r in kmeanstree.nearest(df, F.col("vec_id") < 25).collect():
         found.setdefault(r.query_id, []).append(r.rank)
     assert {q: sorted(ranks) for q, ranks in found.items()} == {q: list(range(1, 11)) for q in range(25)}
+
+
+def test_calibrating_vectors_are_held_out(vectors, monkeypatch):
+    fitted, searched, fit, visits = [], [], kmeanstree.fit, kmeanstree.Tree.visits
+    monkeypatch.setattr(kmeanstree, "fit", lambda points: fitted.append(points) or fit(points))
+    monkeypatch.setattr(kmeanstree.Tree, "visits", lambda self, query, most, *more: searched.append(query) or visits(self, query, most, *more))
+    kmeanstree.nearest(vectors, F.col("vec_id") % 100 == 0)
+    known = {tuple(x) for x in fitted[0].tolist()}
+    assert len(searched) == 175 and len(known) == 525 and not any(tuple(x) in known for x in searched)
