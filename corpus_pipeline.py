@@ -42,8 +42,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = jaccard.join(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    copies = jaccard.join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("copy"), "text_key").distinct()
+    same = (F.col("doc_id") == F.col("copy")) & (F.xxhash64("text") == F.col("text_key"))
+    return docs.select(*COLUMNS).join(copies.hint("merge"), same, "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,11 +19,14 @@ SLICE_BYTES = 1 << 19
 def durable(df: DataFrame, large: bool = False) -> DataFrame:
     """The rows of ``df``, kept in the folder that spark.checkpoint.dir names, with the lineage cut.
 
-    Where the setting is absent (tests on one machine) a temporary folder is set first. ``large``: shuffle files that are no longer needed are freed at once.
+    Where the setting is absent, a temporary folder is set first on one machine (master ``local``); on a cluster that is an error.
+    ``large``: shuffle files that are no longer needed are freed at once.
     A checkpointed plan carries its constraints along, and in a loop they multiply; so none are inferred for it.
     """
     spark = df.sparkSession
     if not checkpoint_dir(spark):
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rillflow-checkpoint-"))
     key = "spark.sql.constraintPropagation.enabled"
     before = spark.conf.get(key, "true")

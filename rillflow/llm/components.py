@@ -1,4 +1,4 @@
-"""Connected components of links held in a DataFrame; nothing is gathered on the driver but one count a round."""
+"""Connected components of links held in a DataFrame; nothing is gathered on the driver but one row a round."""
 
 from __future__ import annotations
 
@@ -11,17 +11,25 @@ from rillflow.llm.common import durable
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over ``links`` (x, y), for every node with a link.
 
-    Each round, a node takes the least label among its neighbours and its own, then the label of that label. Labels only fall;
-    the rounds end when none does. Chains shorten by the jumps, so rounds are few. Aggregations combine before they shuffle,
-    and the joins are inner joins that adaptive execution may split, so a node with very many links stays no single task's work.
+    Links are kept as (high, low) and turned round by round into stars about the least node. Large star: the high end of a link goes to the least neighbour of the
+    low end. Small star: all low ends of one high end, and it, go to the least of them. Neither adds links or parts what belongs together. The rounds end when every
+    high end has one low end that is no high end itself.
+
+    The least neighbours are aggregates that combine before they shuffle, and the joins are merge joins, which adaptive execution may split: a node with
+    very many links stays no single task's work, and nothing is broadcast through the driver, whatever its size.
     """
-    both = durable(links.select("x", "y").union(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    labels = durable(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("label")))
-    while True:
-        near = both.join(labels, both["y"] == labels["node"]).groupBy("x").agg(F.min("label").alias("m"))
-        lower = labels.join(near.withColumnRenamed("x", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        roots = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        stepped = durable(lower.join(roots, "label").select("node", "old", F.least("label", "jump").alias("label")))
-        if stepped.where(F.col("old") != F.col("label")).isEmpty():
-            return stepped.select("node", F.col("label").alias("component"))
-        labels = stepped.select("node", "label")
+    stars = durable(links.where("x <> y").select(F.greatest("x", "y").alias("high"), F.least("x", "y").alias("low")).distinct())
+    while not settled(stars):
+        near = stars.select(F.col("low").alias("node"), "high").union(stars.select(F.col("high").alias("node"), F.col("low").alias("high")))
+        least = near.groupBy("node").agg(F.least("node", F.min("high")).alias("to"))
+        large = stars.join(least.hint("merge"), stars["low"] == least["node"]).select("high", F.col("to").alias("low"))
+        roots = large.groupBy("high").agg(F.min("low").alias("to"))
+        small = large.join(roots.hint("merge"), "high").select(F.explode(F.array(F.struct(F.col("high"), F.col("to").alias("low")), F.struct(F.col("low").alias("high"), F.col("to").alias("low")))).alias("s")).select("s.*")
+        stars = durable(small.where("high <> low").distinct())
+    return stars.select(F.col("high").alias("node"), F.col("low").alias("component")).union(stars.select("low", "low").distinct())
+
+
+def settled(stars: DataFrame) -> bool:
+    """Every high end has one low end, and no low end is a high end."""
+    ends = stars.select(F.col("high").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(stars.select("low", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 and up > 0").isEmpty()

@@ -16,9 +16,12 @@ are known, each member outside the largest component of such groups is compared
 is missed, while a group of near copies makes no quadratic number of pairs. A pair goes on only if the signatures counted for it, and those of large groups
 that it may share, can reach the number that a link needs. What is left is verified on whole texts.
 
+Hashing deals shingles into partitions, so a set may have fewer non-empty partitions than it must enumerate. That is rare enough never to be seen, but it is
+looked for: a task that meets such a set says so, and all signatures are made anew with another seed.
+
 Empty and null texts, and texts without words, have no shingles and no links: each is a component of its own. Repeated doc_ids count as one
-document: each row is returned. Further columns play no part. An empty table gives an empty result. A null doc_id is not linked by id
-comparison; filter such rows out before.
+document: each row is returned, with the component of its own text. A row whose doc_id is null links with nothing, and its component_id is null. Further columns
+play no part. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,7 +46,8 @@ FREQUENT = 0.0025
 MOST_FREQUENT = 200_000
 #: Shingles or signatures that a task gathers before it counts or deals them.
 HOLD = 600_000
-DOCS_A_BIN = 3000
+#: Shingles of documents for one bin of signatures; there are about a third as many signatures.
+SHINGLES_A_BIN = 1_200_000
 #: Sets of one signature that make all pairs.
 FEW = 12
 #: Documents of a cluster that are compared at once with as many others.
@@ -54,19 +58,19 @@ SMALL = 6
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, set_id, frequent): a row for each document, and rows whose ``frequent`` lists (hash, count) of shingles that are frequent in a part."""
+    """(doc_id, n, set_id, frequent, text_key): a row for each document, and rows whose ``frequent`` lists (hash, count) of shingles that are frequent in a part."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         seen: set[int] = set()
 
-        def row(doc_ids, n, ids, frequent):
-            return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(frequent, pa.binary())], names=["doc_id", "n", "set_id", "frequent"])
+        def row(doc_ids, n, ids, frequent, keys):
+            return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(frequent, pa.binary()), pa.array(keys, pa.int64())], names=["doc_id", "n", "set_id", "frequent", "text_key"])
 
         def counted():
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             many = counts >= max(4, math.ceil(FREQUENT * len(held)))
-            return row([None], [None], [None], [np.concatenate([values[many], counts[many].astype(U)]).tobytes()]) if many.any() else None
+            return row([None], [None], [None], [np.concatenate([values[many], counts[many].astype(U)]).tobytes()], [None]) if many.any() else None
 
         size = 0
         for batch in slices(batches):
@@ -77,7 +81,7 @@ def profile(docs: DataFrame) -> DataFrame:
                     seen.add(i)
                     held.append(s)
                     size += len(s)
-            yield row(batch.column("doc_id"), [len(s) for s in sets], ids, [None] * len(sets))
+            yield row(batch.column("doc_id"), [len(s) for s in sets], ids, [None] * len(sets), batch.column("text_key"))
             if size > HOLD:
                 if (found := counted()) is not None:
                     yield found
@@ -86,7 +90,7 @@ def profile(docs: DataFrame) -> DataFrame:
         if held and (found := counted()) is not None:
             yield found
 
-    return texts(docs).mapInArrow(run, "doc_id long, n long, set_id long, frequent binary")
+    return texts(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(run, "doc_id long, n long, set_id long, frequent binary, text_key long")
 
 
 def frequent_shingles(profiles: DataFrame, rows: int) -> np.ndarray:
@@ -115,25 +119,27 @@ def instances(n: int) -> Iterator[tuple[int, int, int]]:
         yield j, (1 << 20 if j < SMALL else (21 << (j + 1)) // 50), differ + 1 + n // SPARE
 
 
-def signatures(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The signatures of one set, of all its instances."""
-    h = shingles >> U(1)
+def signatures(shingles: np.ndarray, frequent: np.ndarray, seed: int = 0) -> np.ndarray | None:
+    """The signatures of one set, of all its instances; None if it has too few non-empty partitions."""
+    h = (mixed(shingles + U(seed)) if seed else shingles) >> U(1)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
         common = frequent[at] == shingles
-        if common.any():
-            h = np.sort(np.where(common, h | U(1 << 63), h))
+        h = np.where(common, h | U(1 << 63), h)
+    h = np.sort(h)
     codes, out = mixed(h + U(0x51ED270B)), []
     for j, partitions, wanted in instances(len(shingles)):
         part = ((h >> U(32)) * U(2 * partitions)) >> U(32)
         first = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
+        if len(first) < wanted:
+            return None
         sums = np.add.reduceat(codes, first)[:wanted]
         out.append(mixed(sums + part[first[:wanted]] * U(0x9E3779B97F4A7C15) + U(j << 40 | 1)))
     return np.concatenate(out)
 
 
-def signature_bins(docs: DataFrame, frequent: np.ndarray, bins: int) -> DataFrame:
-    """(bin, sigs, sets): the signatures of all distinct sets, dealt by their high bits; low bits and set ids are packed."""
+def signature_bins(docs: DataFrame, frequent: np.ndarray, bins: int, seed: int) -> DataFrame:
+    """(bin, sigs, sets): the signatures of all distinct sets, dealt by their high bits; low bits and set ids are packed. Bin -1: a set had too few partitions."""
     shift = U(64 - bins.bit_length() + 1)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -161,7 +167,10 @@ def signature_bins(docs: DataFrame, frequent: np.ndarray, bins: int) -> DataFram
                 if name in seen:
                     continue
                 seen.add(name)
-                held.append(signatures(s, known))
+                if (made := signatures(s, known, seed)) is None:
+                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([b""], pa.binary()), pa.array([b""], pa.binary())], names=["bin", "sigs", "sets"])
+                    continue
+                held.append(made)
                 names.append(np.full(len(held[-1]), name, np.int64))
                 size += len(held[-1])
             if size > HOLD:
@@ -191,8 +200,10 @@ def counted_pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def grouped(table: pa.Table) -> pa.Table:
-    """The pairs (x, y) of one bin's signatures and how many they share, and, with group not null, the members y of groups too large for all pairs."""
+    """The pairs (x, y) of one bin's signatures and how many they share, and, with group not null, the members y of groups too large for all pairs. Of bin -1, a mark."""
     box = table.column("bin")[0].as_py()
+    if box < 0:
+        return pa.table({c: pa.array([-1 if c == "shared" else None], pa.int64()) for c in ("x", "y", "shared", "group")})
     sigs = np.frombuffer(b"".join(table.column("sigs").to_pylist()), np.uint32)
     sets = np.frombuffer(b"".join(table.column("sets").to_pylist()), np.int64)
     sigs, sets = unique_rows(sigs, sets)
@@ -218,9 +229,13 @@ def grouped(table: pa.Table) -> pa.Table:
     return pa.table({"x": pa.array(np.concatenate([x, g * 0])), "y": pa.array(np.concatenate([y, m])), "shared": pa.array(np.concatenate([shared, g * 0])), "group": pa.concat_arrays([pa.nulls(len(x), pa.int64()), pa.array(g)])})
 
 
-def candidates(docs: DataFrame, frequent: np.ndarray, rows: int) -> DataFrame:
-    bins = 1 << max(0, math.ceil(rows / DOCS_A_BIN) - 1).bit_length()
-    return signature_bins(docs, frequent, bins).groupBy("bin").applyInArrow(tidy(grouped), "x long, y long, shared long, group long")
+def candidates(docs: DataFrame, frequent: np.ndarray, shingles: int) -> DataFrame:
+    bins = 1 << max(0, math.ceil(shingles / SHINGLES_A_BIN) - 1).bit_length()
+    for seed in range(64):
+        found = durable(signature_bins(docs, frequent, bins, seed).groupBy("bin").applyInArrow(tidy(grouped), "x long, y long, shared long, group long"))
+        if found.where("shared < 0").isEmpty():
+            return found
+    raise RuntimeError("no seed gives every set enough partitions")
 
 
 def zipped(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -267,7 +282,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     rows = zipped(docs, pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct())
     right = rows.select(F.col("doc_id").alias("y"), F.col("packed").alias("py"))
     left = rows.select(F.col("doc_id").alias("x"), F.col("packed").alias("px"))
-    return durable(pairs.join(right, "y").join(left, "x").select("x", "y", "px", "py").mapInArrow(linked, "x long, y long").distinct())
+    return durable(pairs.join(right.hint("merge"), "y").join(left.hint("merge"), "x").select("x", "y", "px", "py").mapInArrow(linked, "x long, y long").distinct())
 
 
 def needed(a, b):
@@ -277,11 +292,12 @@ def needed(a, b):
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component): the labels once more ``links`` (x, y) are there."""
-    of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    between = links.join(of("x"), "x", "left").join(of("y"), "y", "left").select(F.coalesce("cx", "x").alias("x"), F.coalesce("cy", "y").alias("y"))
+    ends = lambda c, o: links.join(labels.select(F.col("node").alias(c), F.col("component").alias("c")).hint("merge"), c, "left").select(F.coalesce("c", c).alias(c), o)
+    half = ends("x", "y")
+    between = half.join(labels.select(F.col("node").alias("y"), F.col("component").alias("c")).hint("merge"), "y", "left").select("x", F.coalesce("c", "y").alias("y"))
     further = components(between).select(F.col("node").alias("old"), F.col("component").alias("new"))
-    ends = links.select(F.col("x").alias("node")).union(links.select(F.col("y").alias("node"))).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))
-    return labels.union(ends).join(further, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    known = labels.union(links.select("x", "x").union(links.select("y", "y")).distinct()).groupBy("node").agg(F.min("component").alias("component"))
+    return known.join(further.hint("merge"), F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
 
 
 def clusters(members: DataFrame, labels: DataFrame) -> DataFrame | None:
@@ -289,19 +305,19 @@ def clusters(members: DataFrame, labels: DataFrame) -> DataFrame | None:
 
     ``minor``: the document isn't of the cluster's largest component. Block counts are those of all its documents and of its minor ones.
     """
-    named = (members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")))
+    named = members.join(labels.withColumnRenamed("node", "doc").hint("merge"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     mixed_groups = named.groupBy("group").agg((F.min("component") < F.max("component")).alias("several"), F.min("doc").alias("head")).where("several").select("group", "head")
-    touching = durable(named.join(mixed_groups, "group"))
+    touching = durable(named.join(mixed_groups.hint("merge"), "group"))
     if touching.isEmpty():
         return None
     heads = touching.where("doc <> head").select(F.col("head").alias("x"), F.col("doc").alias("y"))
     of = components(heads).select(F.col("node").alias("doc"), F.col("component").alias("super"))
-    docs = durable(touching.select("doc", "component").distinct().join(of, "doc"))
-    sizes = durable(docs.groupBy("super", "component").agg(F.count(F.lit(1)).alias("size")))
+    docs = durable(touching.select("doc", "component").distinct().join(of.hint("merge"), "doc"))
+    sizes = docs.groupBy("super", "component").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("super").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("largest"))
     block = lambda c: F.ceil(c / BLOCK).cast("int")
     main = main.where("all > largest").select("super", "main", block(F.col("all")).alias("blocks"), block(F.col("all") - F.col("largest")).alias("minor_blocks"))
-    return durable(docs.join(main, "super").withColumn("minor", F.col("component") != F.col("main")).drop("main"))
+    return durable(docs.join(main.hint("merge"), "super").withColumn("minor", F.col("component") != F.col("main")).drop("main"))
 
 
 def block_links(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -350,7 +366,7 @@ def block_links(left: pa.Table, right: pa.Table) -> pa.Table:
 def cluster_links(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Links between components of one cluster: every minor document against all, block by block."""
     rows = zipped(docs, found.select(F.col("doc").alias("id")).distinct())
-    full = found.join(rows.withColumnRenamed("doc_id", "doc"), "doc")
+    full = found.join(rows.withColumnRenamed("doc_id", "doc").hint("merge"), "doc")
     spread = lambda c: F.pmod(F.xxhash64("doc"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     columns = ["super", "a", "b", "doc", "component", "packed"]
@@ -360,24 +376,25 @@ def cluster_links(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id): the size of every document's shingle set and the smallest doc_id that links lead to."""
-    rows = max(1, docs.count())
+    """(doc_id, n_shingles, component_id, text_key): the size of every document's shingle set and the smallest doc_id that links lead to. ``text_key``: a hash of the text."""
     profiles = durable(profile(docs))
-    base = profiles.where("set_id is not null")
-    frequent = frequent_shingles(profiles, rows)
-    found = durable(candidates(docs, frequent, rows))
+    base = profiles.where("frequent is null")
+    rows, shingles = base.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    frequent = frequent_shingles(profiles, max(1, rows))
+    found = candidates(docs, frequent, shingles)
     release(docs.sparkSession)
     members = found.where("group is not null").select(F.col("y").alias("set_id"), "group")
-    reps = base.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    sets = durable(reps.join(members.groupBy("set_id").agg(F.count(F.lit(1)).alias("large")), "set_id", "left").fillna(0, ["large"]))
-    of = lambda c: sets.select(F.col("set_id").alias(c), F.col("rep").alias(f"d{c}"), F.col("n").alias(f"n{c}"), F.col("large").alias(f"l{c}"))
+    reps = base.where("n > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    sets = durable(reps.join(members.groupBy("set_id").agg(F.count(F.lit(1)).alias("large")).hint("merge"), "set_id", "left").fillna(0, ["large"]))
+    of = lambda c: sets.select(F.col("set_id").alias(c), F.col("rep").alias(f"d{c}"), F.col("n").alias(f"n{c}"), F.col("large").alias(f"l{c}")).hint("merge")
     shared = found.where("group is null").groupBy("x", "y").agg(F.sum("shared").alias("shared"))
     likely = shared.join(of("x"), "x").join(of("y"), "y").where(F.col("shared") + F.least("lx", "ly") >= needed(F.col("nx"), F.col("ny")))
     links = verified(docs, likely.select(F.least("dx", "dy").alias("x"), F.greatest("dx", "dy").alias("y")))
     labels = components(links)
-    viable = members.join(sets, "set_id").where(F.col("large") >= F.floor(F.floor(F.col("n") * PERCENT / 100) / SPARE) + 1).select("group", F.col("rep").alias("doc"), "n", "large")
+    viable = members.join(sets.hint("merge"), "set_id").where(F.col("large") >= F.floor(F.floor(F.col("n") * PERCENT / 100) / SPARE) + 1).select("group", F.col("rep").alias("doc"), "n", "large")
     found = clusters(viable, labels)
     if found is not None:
         labels = merged(labels, cluster_links(docs, found))
-    named = sets.join(labels, sets["rep"] == labels["node"], "left").select("set_id", F.coalesce("component", "rep").alias("c"))
-    return base.join(named, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = sets.select("set_id", "rep").join(labels.hint("merge"), F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("component", "rep").alias("c"))
+    own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id"))
+    return base.join(named.hint("merge"), "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "text_key")

@@ -37,7 +37,7 @@ def brute_components(rows):
 
 
 def test_jaccard_join(docs, empty, hard_texts):
-    assert sorted(map(tuple, jaccard.join(docs).collect())) == brute_components(hard_texts)
+    assert sorted(map(tuple, jaccard.join(docs).drop("text_key").collect())) == brute_components(hard_texts)
     assert jaccard.join(empty).count() == 0
 
 
@@ -54,13 +54,26 @@ def test_jaccard_join_of_a_large_ragged_group(spark, monkeypatch):
         rows.append((k * 3 + 1, " ".join(changed)))
     rows += [(500 + k, f"p{k} q{k} " + " ".join(words[:20]) + f" r{k} s{k} " * (k % 7 + 9)) for k in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert sorted(map(tuple, jaccard.join(df).collect())) == brute_components(rows)
+    assert sorted(map(tuple, jaccard.join(df).drop("text_key").collect())) == brute_components(rows)
 
 
 def test_short_texts_link_when_equal(spark):
     rows = [(1, "a b c"), (2, "A b  c"), (3, "a b"), (4, "a b c d e"), (5, "a b c d e f"), (6, "a b c d e")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(map(tuple, jaccard.join(df).collect())) == brute_components(rows)
+    assert sorted(map(tuple, jaccard.join(df).drop("text_key").collect())) == brute_components(rows)
+
+
+def test_null_ids_link_with_nothing(spark):
+    rows = [(None, "a b c d e f"), (3, "a b c d e f"), (None, ""), (9, "A b c d e f"), (None, None)]
+    found = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).drop("text_key").collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, [(None, 2, None), (3, 2, 3), (None, 0, None), (9, 2, 3), (None, 0, None)]))
+
+
+def test_a_set_with_too_few_partitions_changes_the_seed(spark, monkeypatch):
+    assert jaccard.signatures(np.zeros(1, np.uint64) + np.uint64(5), np.zeros(0, np.uint64)) is not None
+    close = np.arange(1, 400, dtype=np.uint64)  # all in one partition
+    assert jaccard.signatures(close, np.zeros(0, np.uint64)) is None
+    assert jaccard.signatures(close, np.zeros(0, np.uint64), 1) is not None
 
 
 @pytest.mark.parametrize("n", [1, 4, 5, 9, 31, 63, 64, 100, 500, 3000])
