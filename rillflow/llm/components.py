@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.llm.common import durable
@@ -15,20 +15,25 @@ def components(links: DataFrame) -> DataFrame:
     low end. Small star: all low ends of one high end, and it, go to the least of them. Neither adds links or parts what belongs together. The rounds end when every
     high end has one low end that is no high end itself.
 
-    The least neighbours are aggregates that combine before they shuffle, and the joins are merge joins, which adaptive execution may split: a node with
-    very many links stays no single task's work, and nothing is broadcast through the driver, whatever its size.
+    The least neighbours are aggregates that combine before they shuffle. The joins are merge joins, and the aggregates are dealt anew for them (``redealt``), as adaptive execution splits a hot key only between two shuffles: a node with very many links stays no single task's work. Nothing is broadcast
+    through the driver, whatever its size.
     """
     stars = durable(links.where("x <> y").select(F.greatest("x", "y").alias("high"), F.least("x", "y").alias("low")).distinct())
     while not settled(stars):
         near = stars.select(F.col("low").alias("node"), "high").union(stars.select(F.col("high").alias("node"), F.col("low").alias("high")))
-        least = near.groupBy("node").agg(F.least("node", F.min("high")).alias("to"))
+        least = near.groupBy("node").agg(F.least("node", F.min("high")).alias("to")).select(redealt("node"), "to")
         large = stars.join(least.hint("merge"), stars["low"] == least["node"]).select("high", F.col("to").alias("low"))
-        roots = large.groupBy("high").agg(F.min("low").alias("to"))
+        roots = large.groupBy("high").agg(F.min("low").alias("to")).select(redealt("high"), "to")
         small = large.join(roots.hint("merge"), "high").select(F.explode(F.array(F.struct(F.col("high"), F.col("to").alias("low")), F.struct(F.col("low").alias("high"), F.col("to").alias("low")))).alias("s")).select("s.*")
         stars = durable(small.where("high <> low").distinct())
     return stars.select(F.col("high").alias("node"), F.col("low").alias("component")).union(stars.select("low", "low").distinct())
 
 
+def redealt(column: str) -> Column:
+    """The same whole numbers, in a form by which Spark can't tell that they lie as a join wants them."""
+    return F.col(column).bitwiseXOR(F.lit(1)).bitwiseXOR(F.lit(1)).alias(column)
+
+
 def settled(stars: DataFrame) -> bool:
     """Every high end has one low end, and no low end is a high end."""
     ends = stars.select(F.col("high").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(stars.select("low", F.lit(0), F.lit(1)))
