@@ -1,7 +1,8 @@
 """Secret scans through nested encodings.
 
 A text is the first layer of a worklist. Each layer is scanned; then everything in it that decodes (runs of percent codes, escapes of
-code points, base64, and data compressed beneath base64) makes further layers, until no new layer comes up. A layer that was met before
+code points, base64, UTF-16 and compressed data beneath base64) makes further layers, until no new layer comes up. Letters before a base64 run, or a path that runs
+into it, may shift it: each run is decoded at all four places, and compressed data is looked for anywhere in what comes out. A layer that was met before
 (same content for the same stretch of the text) is not entered again, so cycles end. Each layer knows which stretch of the
 original text each of its characters stands for, and a secret found in it is reported as that stretch.
 
@@ -9,7 +10,7 @@ A decoded layer is scanned whole, whether or not it is text, unless it has no ru
 
 Spans are code points, end exclusive. Null and empty texts have no spans. Whole texts are scanned; a text's cost is in proportion to its
 layers. Compressed data of any ratio, compressed any number of times and of any number of members, is expanded a chunk at a time, and scanned in pieces cut where nothing can go on.
-An unbroken run is held whole, so memory follows the longest one. Rows are independent: repeated rows and
+The worklist goes in depth first and makes each piece when its turn comes, so it holds one piece a level; an unbroken run is held whole, so memory follows the longest one. Rows are independent: repeated rows and
 further columns change nothing, and an empty table gives an empty result.
 """
 
@@ -40,16 +41,20 @@ NAMES = ("passw", "secret", "token", "api")
 LEAST_ASSIGNED = 6
 #: The shortest secret, "token=" and six letters, has 12 printable bytes; percent codes, escapes and base64 only make it longer, and compressed data is opened in any case.
 PRINTABLE = re.compile(rb"[\x20-\x7e]{12,}")
+#: The same in UTF-16 of either order.
+WIDE = re.compile(rb"(?:[\x20-\x7e]\0){12,}|(?:\0[\x20-\x7e]){12,}")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|%u([0-9A-Fa-f]{4})")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Fixed signatures of compressed data.
 MAGIC = ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"\x78\x01", zlib.decompressobj), (b"\x78\x5e", zlib.decompressobj), (b"\x78\x9c", zlib.decompressobj), (b"\x78\xda", zlib.decompressobj), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ", lzma.LZMADecompressor))
 CHUNK = 1 << 20
 LONGEST_MAGIC = max(len(magic) for magic, _ in MAGIC)
-#: Where decompressed data may be cut: after a byte that no pattern has, or between two plain words after another. No encoding hides such a byte or word.
-BORDER = re.compile(rb"""[^A-Za-z0-9+/_.=:%\\&#;{}"'\x20\x80-\xff-]|[\x80-\xff](?=[\x00-\x7f\xc0-\xff])|\x20[A-Za-z0-9.]+(?=\x20[A-Za-z0-9])""")
+#: Where compressed data may begin.
+BEGINS = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0")
+#: Where decompressed data may be cut: after a byte that no pattern has, several zero bytes, or between two plain words after another. No encoding hides such a place.
+BORDER = re.compile(rb"""[^A-Za-z0-9+/_.=:%\\&#;{}"'\x00\x20\x80-\xff-]|\x00{4,}|[\x80-\xff](?=[\x01-\x7f\xc0-\xff])|\x20[A-Za-z0-9.]+(?=\x20[A-Za-z0-9])""")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -125,20 +130,23 @@ def percent(m: re.Match) -> list[tuple[str, int, int]]:
 
 
 def escape(m: re.Match) -> list[tuple[str, int, int]]:
-    code = int(m[6]) if m[6] else int(next(g for g in m.groups()[:5] if g), 16)
+    code = int(m[6]) if m[6] else int(next(g for k, g in enumerate(m.groups()) if g and k != 5), 16)
     return [(chr(code), 0, len(m[0]))] if code < 0x110000 and not 0xD800 <= code < 0xE000 else []
 
 
-def readable(data: bytes) -> str | None:
-    """The text of ``data``, if it is UTF-8 that is nearly free of control characters, or has printable ASCII enough for a secret; bytes that aren't UTF-8 count as Latin-1."""
+def readable(data: bytes) -> Iterator[str]:
+    """The texts that ``data`` may be: UTF-8 that is nearly free of control characters, or else has printable ASCII enough for a secret (then bytes that aren't UTF-8 count as Latin-1), and UTF-16."""
     try:
         text = data.decode()
         odd = sum(c < 32 and c not in (9, 10, 13) or c == 127 for c in data[:4096])
-        if text and odd * 20 <= min(len(data), 4096):
-            return text
+        plain = bool(text) and odd * 20 <= min(len(data), 4096)
     except UnicodeDecodeError:
-        text = data.decode("latin-1")
-    return text if PRINTABLE.search(data) else None
+        text, plain = data.decode("latin-1"), False
+    if plain or PRINTABLE.search(data):
+        yield text
+    if b"\0" in data and WIDE.search(data):
+        for shifted in (data, data[1:]):
+            yield shifted.decode("utf-16-le", "replace")
 
 
 def compression(data: bytes):
@@ -202,14 +210,38 @@ def pieces(parts: Iterable[bytes]) -> Iterator[bytes]:
 def opened(run: str) -> Iterator[str]:
     """The texts within a run of base64 letters, decompressed layers opened."""
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        body = body[:-1]
+    for shift in range(4):
+        part = body[shift:]
+        if len(part) % 4 == 1:
+            part = part[:-1]
+        try:
+            data = base64.b64decode(part + "=" * (-len(part) % 4))
+        except (binascii.Error, ValueError):
+            continue
+        yield from readable(data)
+        at = 0
+        while m := BEGINS.search(data, at):
+            yield from unpacked(data[m.start() :])
+            at = m.start() + stream_length(data[m.start() :])
+
+
+def stream_length(data: bytes) -> int:
+    """The bytes of the first compressed stream in ``data``; 1 where it doesn't come to its end."""
+    machine = (compression(data) or MAGIC[0][1])()
+    zipped, rest = hasattr(machine, "unconsumed_tail"), data
     try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return
-    if text := readable(data):
-        yield text
+        while not machine.eof:
+            out = machine.decompress(rest, CHUNK)
+            rest = machine.unconsumed_tail if zipped else b""
+            if not machine.eof and not out and not rest:
+                return 1
+    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+        return 1
+    return max(1, len(data) - len(machine.unused_data))
+
+
+def unpacked(data: bytes) -> Iterator[str]:
+    """The texts in compressed ``data``, compressed any number of times."""
     source, times, seen, most = data, 0, set(), 4 * max(CHUNK, len(data))
     while True:
         head = b""
@@ -220,45 +252,54 @@ def opened(run: str) -> Iterator[str]:
         if not compression(head):
             return
         digest, size, whole = hashlib.blake2b(digest_size=16), 0, []
-        for part in expanded_times(source, times):
+        for part in expanded_times(source, times + 1):
             digest.update(part)
             size += len(part)
-            whole = [*whole, part] if size <= most else []
-        if digest.digest() in seen:  # data that expands to itself
+            if size <= most:
+                whole.append(part)
+            else:
+                whole.clear()
+        if not size or digest.digest() in seen:  # damaged, or data that expands to itself
             return
         seen.add(digest.digest())
         if size <= most:
             source, times = b"".join(whole), 0
-        times += 1
+        else:
+            times += 1
         for piece in pieces(expanded_times(source, times)):
-            if text := readable(piece):
-                yield text
+            yield from readable(piece)
+
+
+def inner(layer: Layer) -> Iterator[Layer]:
+    """The layers that one layer decodes into, each made when it is asked for."""
+    content = layer.text
+    if "%" in content and (made := layer.rewritten(PERCENT, percent)):
+        yield made
+    if ("\\" in content or "&#" in content or "%u" in content) and (made := layer.rewritten(ESCAPE, escape)):
+        yield made
+    for m in BASE64.finditer(content):
+        for text in opened(m[0]):
+            yield Layer(text, layer.stretch(m.start(), m.end()))
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
     """The spans of the text itself; those of all layers; the number of layers beyond the first."""
     base = base_spans(text)
     spans, seen, layers = set(base), set(), 0
-    work = [Layer(text, None)]
+    work = [inner(Layer(text, None))]
     while work:
-        layer = work.pop()
-        if layer.text is not text:
-            key = (hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), layer.stretch(0, len(layer.text)))
-            if key in seen:
-                continue
-            seen.add(key)
-            layers += 1
-            for start, kind, end in base_spans(layer.text):
-                a, b = layer.stretch(start, end)
-                spans.add((a, kind, b))
-        content = layer.text
-        if "%" in content and (made := layer.rewritten(PERCENT, percent)):
-            work.append(made)
-        if ("\\" in content or "&#" in content) and (made := layer.rewritten(ESCAPE, escape)):
-            work.append(made)
-        for m in BASE64.finditer(content):
-            for inner in opened(m[0]):
-                work.append(Layer(inner, layer.stretch(m.start(), m.end())))
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        key = (hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), layer.stretch(0, len(layer.text)))
+        if key in seen:
+            continue
+        seen.add(key)
+        layers += 1
+        for start, kind, end in base_spans(layer.text):
+            a, b = layer.stretch(start, end)
+            spans.add((a, kind, b))
+        work.append(inner(layer))
     return base, sorted(spans), layers
 
 

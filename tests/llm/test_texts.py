@@ -123,6 +123,10 @@ SECRET = "token = abcdef123456"
         "".join(f"%{b:02X}" for b in SECRET.encode()),
         "".join(f"\\u{ord(c):04x}" for c in SECRET),
         "".join(f"&#{ord(c)};" for c in SECRET),
+        "".join(f"%u{ord(c):04X}" for c in SECRET),
+        *(base64.b64encode(SECRET.encode(kind)).decode() for kind in ("utf-16-le", "utf-16-be", "utf-16")),
+        base64.b64encode(gzip.compress(("x" * 9 + "\n" + SECRET).encode("utf-16-le"))).decode(),
+        *(before + base64.b64encode(make(SECRET.encode())).decode() for before in ("a", "ab", "abc", "/x/", "key-", "/a/long/path/to/it/") for make in (bytes, gzip.compress, bz2.compress)),
         base64.b64encode(SECRET.encode()).decode(),
         base64.urlsafe_b64encode(gzip.compress(SECRET.encode())).decode(),
         base64.b64encode(base64.b64encode(zlib.compress(SECRET.encode()))).decode(),
@@ -168,6 +172,59 @@ def test_secret_scan_of_hard_texts(spark, docs, empty):
     assert secrets.redact(docs).columns == docs.columns
 
 
+def plain_spans(text):
+    """The base spans, letter by letter."""
+    low = "".join(c.lower() if c.isascii() else c for c in text)
+    is_value = lambda c: c.isascii() and (c.isalnum() or c in "+/_.=-")
+    found = []
+
+    def run(at, good):
+        while at < len(text) and good(text[at]):
+            at += 1
+        return at
+
+    at = 0
+    while at < len(text):
+        end = next((at + len(n) for n in ("password", "passwd", "secret", "token", "api_key", "apikey") if low.startswith(n, at)), None)
+        if end is not None:
+            k = end + (text[end : end + 1] in tuple("\"'"))
+            k = run(k, lambda c: c == " ")
+            if text[k : k + 1] in (":", "=") and k < len(text):
+                k = run(k + 1, lambda c: c == " ")
+                k += text[k : k + 1] in tuple("\"'")
+                if (stop := run(k, is_value)) > k:
+                    if stop - k >= 6:
+                        found.append((at, 0, stop))
+                    at = stop
+                    continue
+        at += 1
+    for kind, lead, good, least in ((1, "AKIA", lambda c: c.isascii() and (c.isdigit() or c.isupper()), 20), (2, "", lambda c: c in "0123456789abcdef", 24)):
+        at = 0
+        while at < len(text):
+            if text.startswith(lead, at) and (stop := run(at + len(lead), good)) > at + len(lead):
+                if stop - at >= least:
+                    found.append((at, kind, stop))
+                at = stop
+            else:
+                at += 1
+    return sorted(found)
+
+
+def test_base_spans_are_those_of_a_plain_scan(spark):
+    rng = random.Random(12)
+    bits = ["password", "Passwd", "SECRET", "token", "api_key", "ApiKey", "api", "AKIA", "AKIAB0", "A" * 9, "9Z", "0123456789abcdef", "deadbeef", "ff", "'", '"', " ", "  ", ":", "=", "==", "-", "/", "x", "é", "😀", "\n", "ſ", "İ", "abcdef", "abc.d_", ","]
+    rows = [(k, "".join(rng.choice(bits) for _ in range(rng.randrange(0, 60)))) for k in range(3000)]
+    found = {r.doc_id: r for r in secrets.scan_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    met = 0
+    for i, text in rows:
+        want = plain_spans(text)
+        met += len(want)
+        assert [found[i].n_assign, found[i].n_access, found[i].n_hex] == [sum(k == kind for _, k, _ in want) for kind in range(3)], text
+        assert found[i].base_sha256 == hashlib.sha256(secrets.written(want).encode()).hexdigest(), text
+        assert set(secrets.written(want).split(",")) - {""} <= set(found[i].spans.split(","))
+    assert met > 1000
+
+
 def test_endless_nesting_ends():
     text = SECRET
     for _ in range(6):
