@@ -1,14 +1,14 @@
 """Approximate nearest neighbours by a hierarchical k-means tree with best-bin-first traversal.
 
-The tree is fitted on a bounded sample (``sample``) of the vectors; every vector is then put into the leaf that it reaches by going to the nearest centre at
+The tree is fitted on a bounded sample of the vectors: one in 64, but ``sample`` at least and four times as many at most; every vector is then put into the leaf that it reaches by going to the nearest centre at
 each node. A query walks the tree with a priority queue of unvisited branches ordered by distance to their centres, and visits the leaves it meets, nearest first. How many it visits is calibrated: held-out
 vectors of the sample, which the tree isn't fitted on, search it for the sample, the number of leaves widens until their recall against brute force reaches ``recall``, and that number, with a margin, holds for all queries.
 
 The tree has a bounded size and is broadcast. Vectors are dealt by leaf, large leaves in several blocks by hash, and queries follow to the blocks of the leaves they
-visit, so no task holds more than a block of vectors and a block of queries. Distances are computed in double precision on the original vectors.
+visit, in blocks of their own, so no task holds more than a block of vectors and a block of queries. Distances are computed in double precision on the original vectors.
 
-Vectors that are null, empty, zero, or hold null or non-finite components take no part. Vectors of unequal length are an error. A query's own vec_id is no candidate. Ties go to
-the smaller vec_id. A query whose leaves hold fewer than k candidates goes on along its queue until they hold k, or all there are. Empty tables give an empty result. Further columns play no part.
+Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor does a null vec_id. Vectors of unequal length are an error. A query's own vec_id is no
+candidate; of different vectors of one vec_id the least is the query, and each is a candidate. Ties go to the smaller vec_id. A query whose leaves hold fewer than k candidates goes on along its queue until they hold k, or all there are. Empty tables give an empty result. Further columns play no part.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import durable, thinned
-from rillflow.llm.vectors import first_k, matrix, usable
+from rillflow.llm.common import durable, thinned, tidy
+from rillflow.llm.vectors import first_k, matrix, same_length, usable
 
 SAMPLE = 16_384
 BRANCHES = 8
@@ -32,6 +32,7 @@ LEAF_SAMPLE = 64
 HELD_OUT = 256
 RECALL = 0.97
 BLOCK = 4096
+QUERY_BLOCK = 8192
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -151,6 +152,7 @@ def searched(k: int):
             return kind.empty_table()
         points, ids = matrix(left.column("v")), left.column("vec_id").to_numpy()
         queries, query_ids = matrix(right.column("v")), right.column("vec_id").to_numpy()
+        same_length(points, queries)
         out: list[list[np.ndarray]] = [[], [], []]
         for at in range(0, len(queries), 256):
             rough = squared(queries[at : at + 256], points)
@@ -174,9 +176,11 @@ def searched(k: int):
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = RECALL, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for every row that ``is_query`` selects, the k nearest found among all other rows, by Euclidean distance."""
     whole = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    rows = vectors.where(usable(vector_col) & F.exists(vector_col, lambda x: x != 0)).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"), is_query.alias("q"))
+    rows = vectors.where(usable(vector_col) & F.exists(vector_col, lambda x: x != 0) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"), is_query.alias("q"))
     # one vector of each kind, so a hot vector doesn't fill the sample; twice as many are drawn first
-    drawn = thinned(rows.select("vec_id", "v"), "vec_id", vectors.count(), 2 * sample)
+    n, n_queries = vectors.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
+    sample = min(4 * sample, max(sample, n // 64))
+    drawn = thinned(rows.select("vec_id", "v"), "vec_id", n, 2 * sample)
     chosen = drawn.groupBy("v").agg(F.min("vec_id").alias("vec_id")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
     points = matrix(pa.table({"v": chosen.select("v").toArrow().column("v")}).column("v"))
     held_out = kept_back(len(points), k)
@@ -200,9 +204,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = R
         counts[leaf] = n
     held = vectors.sparkSession.sparkContext.broadcast(counts)
     # the rows of a query's own vec_id are no candidates
-    asked = rows.where("q").groupBy("vec_id").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("own")).mapInArrow(routed, "vec_id long, v array<double>, leaves array<long>")
+    asked = rows.where("q").groupBy("vec_id").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("own")).mapInArrow(routed, "vec_id long, v array<double>, leaves array<long>")
     blocks = sizes.select("leaf", "blocks")
-    dealt = index.join(F.broadcast(blocks), "leaf").select("vec_id", "v", "leaf", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"))
-    sent = asked.select("vec_id", "v", F.explode("leaves").alias("leaf")).join(F.broadcast(blocks), "leaf").select("vec_id", "v", "leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    found = dealt.groupBy("leaf", "block").cogroup(sent.groupBy("leaf", "block")).applyInArrow(searched(k), "query_id long, vec_id long, score double")
+    # as many blocks of queries as an average leaf's ones fill; a leaf's vectors go to each
+    parts = max(1, math.ceil(n_queries * min(1.0, 2 * visits / tree.leaves) / QUERY_BLOCK))
+    part = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(parts)).cast("int").alias("part")
+    dealt = index.join(F.broadcast(blocks), "leaf").select("vec_id", "v", "leaf", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    sent = asked.select("vec_id", "v", part, F.explode("leaves").alias("leaf")).join(F.broadcast(blocks), "leaf").select("vec_id", "v", "leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "part")
+    found = dealt.groupBy("leaf", "block", "part").cogroup(sent.groupBy("leaf", "block", "part")).applyInArrow(tidy(searched(k)), "query_id long, vec_id long, score double")
     return first_k(found, k, ascending=True)

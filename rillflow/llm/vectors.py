@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,17 +16,23 @@ def usable(column: str) -> Column:
     return x.isNotNull() & (F.size(x) > 0) & ~F.coalesce(bad, F.lit(True))
 
 
-def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Lists of one length, without nulls, as rows of a double matrix."""
+def matrix(column: pa.Array | pa.ChunkedArray, kind: type = np.float64) -> np.ndarray:
+    """Lists of one length, without nulls, as rows of a matrix. Unequal lengths are an error."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
     if not n:
-        return np.zeros((0, 0))
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    if len(flat) % n:
+        return np.zeros((0, 0), kind)
+    lengths = pc.min_max(pc.list_value_length(column)).as_py()
+    if lengths["min"] != lengths["max"]:
+        raise ValueError("the vectors' lengths differ")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(n, -1)
+
+
+def same_length(a: np.ndarray, b: np.ndarray) -> None:
+    """An error unless the vectors of two matrices, where both have any, are of one length."""
+    if len(a) and len(b) and a.shape[1] != b.shape[1]:
         raise ValueError("the vectors' lengths differ")
-    return flat.astype(np.float64).reshape(n, -1)
 
 
 def first_k(partial: DataFrame, k: int, ascending: bool) -> DataFrame:

@@ -42,14 +42,50 @@ def test_kd_trees_are_exact(vectors):
 
 def test_kd_tree_opens_few_boxes_on_clustered_points(monkeypatch):
     rng = np.random.default_rng(1)
-    points = np.concatenate([rng.integers(-20, 20, (500, 3)) + c for c in rng.integers(-2000, 2000, (8, 3))]).astype(np.float64)
-    tree = kdtree.Tree(points)
+    points = np.concatenate([rng.integers(-20, 20, (500, 3)) + c for c in rng.integers(-2000, 2000, (8, 3))])
+    tree = kdtree.Tree(points, np.arange(len(points)))
     assert all((tree.points[a:b] >= lo).all() and (tree.points[a:b] <= hi).all() for (a, b), lo, hi in zip(tree.span, tree.low, tree.high, strict=True))
-    row, found, score = tree.search(np.arange(len(points)), points[:3], np.array([-1, -1, -1]), 10, np.full(3, -1e18))
+    row, found, score = tree.search(points[:3], np.array([-1, -1, -1]), 10, [None] * 3)
     for q in range(3):
         assert sorted(score[row == q].tolist()) == sorted(np.sort(points @ points[q])[-10:].tolist())
 
 
+@pytest.mark.parametrize("most", [1 << 10, 1 << 27, 1 << 31])
+def test_kd_tree_scores_are_exact_at_any_size(most):
+    """Doubles, 64-bit integers, Python's integers: products of components near ``most``, of either sign."""
+    rng = np.random.default_rng(most % 1000)
+    points = rng.integers(-most, most, (300, 4)) | 1
+    points[:, 3] //= 8
+    asked, ids = np.concatenate([points[:5], -np.abs(points[5:8])]), np.arange(300)
+    ids[20:25] = 20  # repeated ids
+    row, found, score = kdtree.Tree(points, ids, leaf=8).search(asked, np.array([0, 1, 2, 3, 4, -1, -1, -1]), 10, [None] * 8)
+    for q in range(8):
+        every = sorted((-sum(int(a) * int(b) for a, b in zip(asked[q], p, strict=True)), int(i)) for p, i in zip(points, ids, strict=True) if i != (q if q < 5 else -1))
+        assert sorted(zip((-score[row == q]).tolist(), found[row == q].tolist(), strict=True)) == every[:10]
+
+
+def test_kd_tree_keeps_scores_far_below_zero():
+    points, low = np.array([[-(1 << 30), -(1 << 30)]] * 3), np.array([[1 << 26, 0]])
+    _, found, score = kdtree.Tree(points, np.arange(3)).search(low, np.array([9]), 10, [None])
+    assert found.tolist() == [0, 1, 2] and set(score.tolist()) == {-(1 << 56)}
+    with pytest.raises(OverflowError):
+        kdtree.Tree(np.array([[1 << 62, 1 << 62]]), np.arange(1)).search(np.array([[1 << 62, 1 << 62]]), np.array([9]), 10, [None])
+
+
+@pytest.mark.parametrize("search", [kdtree.top_k, kmeanstree.nearest])
+def test_unequal_lengths_null_ids_and_repeated_ids(spark, search):
+    kind = "vec_id long, embedding array<double>"
+    with pytest.raises(Exception, match="lengths differ"):
+        search(spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, [4.0])], kind).coalesce(1), F.col("vec_id") == 0).collect()
+    rows = [(None, [1.0, 1.0]), (0, [1.0, 2.0]), (0, [0.5, 1.0]), (1, [2.0, 2.0]), (2, [2.0, 2.0]), (2, [3.0, 1.0]), (3, [2.0, 2.0])]
+    found = sorted(map(tuple, search(spark.createDataFrame(rows, kind).repartition(3), F.col("vec_id") == 0).collect()))
+    assert [(r, i) for _, r, i, _ in found if i != 2] and [i for _, _, i, _ in found].count(2) == 2 and {i for _, _, i, _ in found} == {1, 2, 3}
+    if search is kdtree.top_k:  # the query is [0.5, 1], the lesser vector of id 0
+        assert [(r, i, s) for _, r, i, s in found] == [(k + 1, i, s) for k, (i, s) in enumerate([(1, 3 << 20), (2, 3 << 20), (3, 3 << 20), (2, 5 << 19)])]
+    else:
+        assert [i for _, _, i, _ in found][:3] == [1, 2, 3] and found[0][3] == found[1][3] == found[2][3]
+
+
 def test_k_means_tree_reaches_its_recall(vectors):
     ids, points = usable(vectors, zero=False)
     place = {int(i): k for k, i in enumerate(ids)}
