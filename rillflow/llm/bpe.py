@@ -1,10 +1,12 @@
 """Byte-level BPE by dynamic programming over prefixes, and its decoding.
 
 Every prefix of a word has one encoding, so one last token. For each prefix, in order of length, the tokens that
-end there (found by an automaton with suffix links over the vocabulary) are tried, longest first; the one that may follow
+end there (matches of a suffix automaton of the vocabulary) are tried, longest first; the one that may follow
 the last token of the prefix before it is kept. Following the kept tokens back from the end gives the ids. No merge is
 ever carried out, and the time is linear in the text for bounded token length.
 
+A tokenizer file is read on the driver and sent to the executors; one that asks for more than byte-level words, merges and plain special tokens is refused.
+
 Nulls count as empty texts. An empty text has no ids; its digests are those of no bytes. Rows are independent, so repeated rows,
 ties and further columns change nothing, and an empty table gives an empty result.
 """
@@ -16,12 +18,12 @@ import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from rillflow.llm.automaton import SuffixAutomaton
 from rillflow.llm.common import slices, texts
 
 #: Fixed by the vocabulary's format: how a text falls into words before any merge.
@@ -39,12 +41,31 @@ def printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
 
 
+def refuse(spec: dict, **allowed) -> None:
+    """An error unless each dotted field of a tokenizer file has a value that the encoder handles."""
+    for field, values in allowed.items():
+        value = spec
+        for name in field.split("__"):
+            value = (value or {}).get(name)
+        if value not in values:
+            raise ValueError(f"tokenizer file: {field.replace('__', '.')} is {value!r}, not one of {values}")
+
+
+def refuse_model(spec: dict, suffixes: tuple) -> None:
+    no = (None, False, "")
+    refuse(spec, model__type=("BPE",), model__dropout=(None, 0.0), model__continuing_subword_prefix=no, model__end_of_word_suffix=suffixes, model__byte_fallback=no, model__ignore_merges=no)
+    for token in spec["added_tokens"]:
+        refuse(token, single_word=no, lstrip=no, rstrip=no, normalized=no)
+
+
 class PrefixEncoder:
     """Encoder and decoder for one vocabulary file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        refuse_model(spec, (None, ""))
+        refuse(spec, normalizer=(None,), pre_tokenizer__type=("ByteLevel",), pre_tokenizer__add_prefix_space=(False,), pre_tokenizer__use_regex=(True,), decoder__type=("ByteLevel",))
         byte_of = printable_bytes()
         ids = spec["model"]["vocab"]
         latin = {token: "".join(chr(byte_of[c]) for c in token) for token in ids}
@@ -68,15 +89,11 @@ class PrefixEncoder:
             self.born[made], self.parts[made] = rank, (ids[a], ids[b])
         self.edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self.follows: dict[int, bool] = {}
-        self.automaton = ahocorasick.Automaton()
         sound: dict[int, bool] = {}
         for i in sorted(ids.values(), key=lambda i: self.born[i]):
             parts = self.parts[i]
             sound[i] = parts is None or (sound[parts[0]] and sound[parts[1]] and self._apart(*parts, self.born[i]))
-        for token, i in ids.items():
-            if sound[i]:
-                self.automaton.add_word(latin[token], (self.length[i], i))
-        self.automaton.make_automaton()
+        self.automaton = SuffixAutomaton((latin[token].encode("latin-1"), i) for token, i in ids.items() if sound[i])
         self.spelled_at = np.cumsum([0, *map(len, spelled)])
         self.spelling = np.frombuffer(b"".join(spelled), np.uint8)
         self.id_type = "<u2" if size <= 1 << 16 else "<u4"
@@ -115,17 +132,14 @@ class PrefixEncoder:
 
     def word(self, text: str) -> list[int]:
         """The ids of one word."""
-        data = text if text.isascii() else text.encode().decode("latin-1")
+        data = text.encode()
         n = len(data)
-        last, follows = [-1] * (n + 1), self.follows
-        ends: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for at, match in self.automaton.iter(data):
-            ends[at].append(match)
-        for at in range(n):
-            for length, token in ends[at] if len(ends[at]) < 2 else sorted(ends[at], reverse=True):
-                before = at + 1 - length
+        last, follows, lengths = [-1] * (n + 1), self.follows, self.length
+        for at, ends in enumerate(self.automaton.ends(data), 1):
+            for token in ends:
+                before = at - lengths[token]
                 if not before:
-                    last[at + 1] = token
+                    last[at] = token
                     break
                 previous = last[before]
                 if previous < 0:
@@ -137,10 +151,10 @@ class PrefixEncoder:
                         follows.clear()
                     good = follows[key] = self._apart(previous, token)
                 if good:
-                    last[at + 1] = token
+                    last[at] = token
                     break
             else:
-                raise ValueError(f"no token ends byte {at} of {text!r}")
+                raise ValueError(f"no token ends byte {at - 1} of {text!r}")
         out = []
         while n:
             out.append(last[n])
@@ -188,9 +202,10 @@ def encoder(path: str) -> PrefixEncoder:
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>, decoded string) for every document; one pass, nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(encoder(vocabulary))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = encoder(vocabulary)
+        model = shared.value
         for batch in slices(batches):
             recent: dict[str, bytes] = {}
             ids = [model.encode(t or "", recent) for t in batch.column("text").to_pylist()]
@@ -201,9 +216,10 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
 def encode_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): as ``encode``, with the ids and the decoded text digested where they arise."""
+    shared = docs.sparkSession.sparkContext.broadcast(encoder(vocabulary))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = encoder(vocabulary)
+        model = shared.value
         for batch in slices(batches):
             recent: dict[str, bytes] = {}
             ids = [model.encode(t or "", recent) for t in batch.column("text").to_pylist()]

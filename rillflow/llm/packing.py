@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from rillflow.llm.bpe import printable_bytes
+from rillflow.llm.bpe import printable_bytes, refuse_model
 from rillflow.llm.common import slices, texts
 
 TIERS = (256, 512, 1024, 2048, 4096)
@@ -42,6 +42,8 @@ REMEMBERED = 400_000
 #: Python counts these as white space, the tokenizer doesn't.
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 MARKS = ".,;:!?"
+#: Fixed by the tokenizer's file: what its words are.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Letters that may change under the tokenizer's normalisation.
 BEYOND = re.compile("[^a-zß-öø-ɏ]")
 
@@ -55,7 +57,13 @@ class WordMerger:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)["model"]
+            whole = json.load(f)
+        refuse_model(whole, ("</w>",))
+        if [x.get("type") for x in (whole["normalizer"] or {}).get("normalizers", [])] != ["NFC", "Replace", "Lowercase"]:
+            raise ValueError("tokenizer file: its normalizer is not NFC, white space to blanks, lower case")
+        if [(x.get("type"), x.get("behavior"), x.get("invert"), (x.get("pattern") or {}).get("Regex"), x.get("add_prefix_space")) for x in (whole["pre_tokenizer"] or {}).get("pretokenizers", [])] != [("Split", "Removed", True, WORDS, None), ("ByteLevel", None, None, None, False)]:
+            raise ValueError("tokenizer file: its words are not those that chunks are cut for")
+        spec = whole["model"]
         ids, suffix = spec["vocab"], spec["end_of_word_suffix"] or ""
         letters = {b: c for c, b in printable_bytes().items()}
         self.inner = np.array([ids[letters[b]] for b in range(256)], np.int32)

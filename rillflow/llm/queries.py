@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 
 from rillflow.llm import bpe, jaccard, kdtree, kmeanstree, lines, packing, secrets, sharding, substrings, toxicity
 
-TOKENIZERS = os.environ.get("RILLFLOW_TOKENIZERS", "/opt/tokenizers")
+
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file: in the folder that RILLFLOW_TOKENIZERS names, or where the package of public tokenizers has it."""
+    if folder := os.environ.get("RILLFLOW_TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,11 +62,11 @@ def op7_deep_shallow_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end_id=2)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
 
 
 def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op10_kd_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
