@@ -125,8 +125,6 @@ def byte_codes(seed: int) -> np.ndarray:
     return mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(2 * seed + 1)) | np.uint64(1)
 
 
-
-
 #: Bits of a broadcast filter at most.
 MOST_FILTER_BITS = 1 << 27
 
@@ -169,6 +167,18 @@ def filtered(ids: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
     return keep
 
 
+def free_names(names: list[str], taken: list[str]) -> list[str]:
+    """The names, with underscores before those that are taken (in whatever case)."""
+    used = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def thinned(df: DataFrame, key: str, rows: int, wanted: int) -> DataFrame:
     """About ``wanted`` to 1.3 times as many of ``rows`` rows, chosen by a hash of ``key``: a filter, so nothing meets in one task. All, if they are fewer."""
     share = min(1.0, (1.3 * wanted + 50) / max(1, rows))

@@ -1,12 +1,12 @@
 """Toxicity categories by a chain of linear classifiers.
 
-The categories have an order. The first one's logistic model sees a text's features; each later one also sees the log-odds that the models before it give. In
+The categories have an order. The first one's logistic model sees a text's features; each later one also sees the probabilities that the models before it give. In
 training, those are out-of-fold predictions: every labelled text's come from a model that never saw it, so a later model meets the same
 kind of errors as in use. The decision threshold of each category is set on its out-of-fold predictions.
 
 Features are hashed counts of the words of whole texts and of the words' beginnings, damped by a logarithm, scaled by each feature's log-count ratio in the training rows and set to
 length 1. Models are fitted on a bounded sample of the labelled rows (``sample_per_class`` rows of each class of the last category, chosen by hash); scoring covers
-every text and shuffles nothing.
+every text and shuffles nothing. The models of a category, one without each fold and one of all rows, are fitted side by side as tasks.
 
 Null and empty texts have no features and get the models' base rates. Labels of unknown documents and null labels are left out; of several labels of a document, the
 largest counts. With no labels, or one class only, a category's probability is that class's share and nothing is rejected for it unless all labels are positive. Repeated rows are scored one by one;
@@ -15,15 +15,17 @@ further columns play no part; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import byte_codes, mixed, slices, texts, thinned, utf8
+from rillflow.llm.common import byte_codes, free_names, mixed, slices, texts, thinned, utf8
 from rillflow.llm.shingles import powers
 
 U = np.uint64
@@ -183,30 +185,46 @@ class Chain:
     def predict(self, rows: Rows) -> list[np.ndarray]:
         dense, out = np.zeros((rows.n, 0)), []
         for model in self.models:
-            z = np.clip(model.score(rows, dense), -8, 8)
-            out.append(sigmoid(z))
-            dense = np.column_stack([dense, z])
+            out.append(sigmoid(model.score(rows, dense)))
+            dense = np.column_stack([dense, out[-1]])
         return out
 
 
-def fit_chain(rows: Rows, labels: np.ndarray, names: list[str], weight: np.ndarray, fold: np.ndarray) -> Chain:
+def fit_folds(spark: SparkSession, rows: Rows, dense: np.ndarray, y: np.ndarray, weight: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, Linear]:
+    """The probability of each row by a model of the other folds, and a model of all rows. One task fits one model."""
+    shared = spark.sparkContext.broadcast((rows, dense, y, weight, fold))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, dense, y, weight, fold = shared.value
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                if part == FOLDS:
+                    made = fit(rows, dense, y, weight, 1 << BITS)
+                else:
+                    inside, outside = np.flatnonzero(fold == part), np.flatnonzero(fold != part)
+                    made = fit(rows.take(outside), dense[outside], y[outside], weight[outside], 1 << BITS).score(rows.take(inside), dense[inside]) if len(inside) else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([zlib.compress(pickle.dumps(made, 5), 1)], pa.binary())], names=["part", "made"])
+
+    found = {r.part: pickle.loads(zlib.decompress(r.made)) for r in spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(run, "part long, made binary").collect()}
+    shared.unpersist()
+    p = np.zeros(rows.n)
+    for part in range(FOLDS):
+        p[fold == part] = sigmoid(found[part])
+    return p, found[FOLDS]
+
+
+def fit_chain(spark: SparkSession, rows: Rows, labels: np.ndarray, names: list[str], weight: np.ndarray, fold: np.ndarray) -> Chain:
     """``labels``: a column for each category; ``fold``: which part each row is predicted in by a model of the other parts."""
-    size, dense = 1 << BITS, np.zeros((rows.n, 0))
+    dense = np.zeros((rows.n, 0))
     models, report = [], {}
     for k, name in enumerate(names):
         y = labels[:, k].astype(float)
-        z = np.zeros(rows.n)
-        for part in range(FOLDS):
-            inside, outside = np.flatnonzero(fold == part), np.flatnonzero(fold != part)
-            if len(inside):
-                z[inside] = fit(rows.take(outside), dense[outside], y[outside], weight[outside], size).score(rows.take(inside), dense[inside])
-        z = np.clip(z, -8, 8)
-        model = fit(rows, dense, y, weight, size)
-        model.threshold = best_threshold(sigmoid(z), y, weight)
-        flagged = sigmoid(z) >= model.threshold
+        p, model = fit_folds(spark, rows, dense, y, weight, fold)
+        model.threshold = best_threshold(p, y, weight)
+        flagged = p >= model.threshold
         report[name] = {"precision": float((weight * y * flagged).sum() / max(1e-9, (weight * flagged).sum())), "recall": float((weight * y * flagged).sum() / max(1e-9, (weight * y).sum())), "rows": int(rows.n)}
         models.append(model)
-        dense = np.column_stack([dense, z])
+        dense = np.column_stack([dense, p])
     return Chain(list(names), models, report)
 
 
@@ -256,14 +274,13 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
         if mask.any():
             weight[mask] = counts.get(positive, 0) / mask.sum()
     fold = (mixed(got["doc_id"].to_numpy(np.int64).astype(np.int64).view(U)) % U(FOLDS)).astype(np.int64)
-    return fit_chain(rows, y, categories, weight, fold)
+    return fit_chain(docs.sparkSession, rows, y, categories, weight, fold)
 
 
 def scored(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
-    """All rows of ``docs`` with a column p_<category> for each category of the chain and a column is_<category> of 0 and 1; columns of these names are replaced."""
+    """All rows and columns of ``docs``, then a column p_<category> for each category of the chain and a column is_<category> of 0 and 1; where ``docs`` has such a name, underscores are put before the new one."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
-    added = [f"p_{n}" for n in chain.names] + [f"is_{n}" for n in chain.names]
-    docs = docs.drop(*added)
+    added = free_names([f"p_{n}" for n in chain.names] + [f"is_{n}" for n in chain.names], docs.columns)
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,4 +291,4 @@ def scored(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
             flags = [(x >= m.threshold).astype(np.int32) for x, m in zip(p, model.models, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, p), *map(pa.array, flags)], names=[*batch.schema.names, *added])
 
-    return docs.mapInArrow(run, ", ".join(schema + [f"`p_{n}` double" for n in chain.names] + [f"`is_{n}` int" for n in chain.names]))
+    return docs.mapInArrow(run, ", ".join(schema + [f"`{n}` {'double' if k < len(chain.names) else 'int'}" for k, n in enumerate(added)]))
