@@ -52,26 +52,33 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, f"{queries.TOKENIZERS}/word_bpe_49k.json", end_id=2)
+    return packing.pack_documents(docs, queries.tokenizer("word_bpe_49k.json"), end_id=2)
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("near_duplicates", drop_near_duplicates), ("secrets", redact_secrets), ("packing", pack)]
 
-#: The classifier and the tokenizer have no SQL form; tests hold the stages against plain Python.
+#: The classifier and the tokenizer have no SQL form; tests/llm/test_pipeline.py holds every stage against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over documents. Intermediate tables go to the folder of spark.checkpoint.dir, and are removed once the next is written."""
+    """The stages in order over documents. Intermediate tables go to the folder of spark.checkpoint.dir, and each is removed once the next is written; the last one's rows are checkpointed."""
     if not checkpoint_dir(spark):
         durable(spark.range(1))
     top = f"{checkpoint_dir(spark)}/corpus-pipeline-{uuid.uuid4()}"
+
+    def remove(place: str) -> None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     docs, before = queries.table(spark, sf_dir, "documents"), None
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
-        docs = spark.read.parquet(f"{top}/{name}")
-        if before:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        before = f"{top}/{name}"
-    return STAGES[-1][1](spark, docs, sf_dir)
+    try:
+        for name, stage in STAGES[:-1]:
+            stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
+            docs = spark.read.parquet(f"{top}/{name}")
+            if before:
+                remove(before)
+            before = f"{top}/{name}"
+        return durable(STAGES[-1][1](spark, docs, sf_dir))
+    finally:
+        remove(top)

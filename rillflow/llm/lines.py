@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import byte_codes, durable, filtered, mixed, release, slices, texts, tidy, utf8
+from rillflow.llm.common import byte_codes, durable, filtered, free_names, mixed, release, slices, texts, tidy, utf8
 
 U = np.uint64
 MIN_CHARS = 20
@@ -251,13 +251,13 @@ def removed_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHAR
 
 
 def deduplicated(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
-    """All rows and columns of ``docs``, the dropped lines cut out of ``text_col``, and columns _n_lines and _n_removed. Columns that have these names, or _doc or _gone, are left out."""
-    docs = docs.drop("_doc", "_gone", "_n_lines", "_n_removed")
+    """All rows and columns of ``docs``, the dropped lines cut out of ``text_col``, then columns _n_lines and _n_removed; where ``docs`` has such a name, underscores are put before the new one."""
+    doc_name, gone_name, lines_name, removed_name = free_names(["_doc", "_gone", "_n_lines", "_n_removed"], docs.columns)
     plain = texts(docs, id_col, text_col)
     gone = removed_lines(plain, max_edits, min_chars, short_lines)
     touched = filtered(gone.select(F.col("doc").alias("id")))
     packed = zstandard_texts(docs, id_col, text_col, touched)
-    joined = packed.join(gone.select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone")), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)) == F.col("_doc"), "left").drop("_doc")
+    joined = packed.join(gone.select(F.col("doc").alias(doc_name), F.col("gone").alias(gone_name)), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)) == F.col(doc_name), "left").drop(doc_name)
     at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,16 +281,16 @@ def deduplicated(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS
                 removed.append(len(drop))
                 kept.append(b"\n".join(p for k, p in enumerate(parts) if k not in drop).decode())
             columns = [pa.array(kept, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "_n_lines", "_n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*names, lines_name, removed_name])
 
     def untouched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(~touched(ids(batch.column(id_col)))))
             counts = [0 if t is None else t.count("\n") + 1 for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(np.zeros(len(counts), np.int64))], names=[*names, "_n_lines", "_n_removed"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(np.zeros(len(counts), np.int64))], names=[*names, lines_name, removed_name])
 
     fields = [f"`{f.name}` {'string' if k == at else f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields)]
-    schema = ", ".join([*fields, "_n_lines long, _n_removed long"])
+    schema = ", ".join([*fields, f"`{lines_name}` long, `{removed_name}` long"])
     return joined.mapInArrow(run, schema).union(docs.mapInArrow(untouched, schema))
 
 

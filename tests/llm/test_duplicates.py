@@ -192,7 +192,10 @@ def test_lines(spark, docs, empty, hard_texts):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert sorted(((r.doc_id, r.text) for r in lines.deduplicated(df).collect()), key=repr) == brute_lines(rows)
     found = lines.deduplicated(docs)
-    assert found.columns == [c for c in docs.columns if c != "_gone"] + ["_n_lines", "_n_removed"] and found.count() == len(hard_texts)
+    assert found.columns == [*docs.columns, "_n_lines", "_n_removed"] and found.count() == len(hard_texts)
+    clash = docs.withColumnsRenamed({"bin": "_n_lines", "rank": "_Doc"})
+    again = lines.deduplicated(clash)
+    assert again.columns == [*clash.columns, "__n_lines", "_n_removed"] and {(r._n_lines, r._Doc) for r in again.collect()} == {(1, 2)}
     assert lines.deduplicated(empty).count() == 0
     with pytest.raises(ValueError):
         lines.deduplicated(docs, max_edits=2)
