@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.llm.common import durable, filtered, give_back, mixed, release, slices, texts, tidy, utf8
-from rillflow.llm.components import components
+from rillflow.llm.components import components, redealt
 from rillflow.llm.shingles import U, set_id, shingle_sets
 
 WIDTH = 5
@@ -306,7 +306,7 @@ def clusters(members: DataFrame, labels: DataFrame) -> DataFrame | None:
     ``minor``: the document isn't of the cluster's largest component. Block counts are those of all its documents and of its minor ones.
     """
     named = members.join(labels.withColumnRenamed("node", "doc").hint("merge"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed_groups = named.groupBy("group").agg((F.min("component") < F.max("component")).alias("several"), F.min("doc").alias("head")).where("several").select("group", "head")
+    mixed_groups = named.groupBy("group").agg((F.min("component") < F.max("component")).alias("several"), F.min("doc").alias("head")).where("several").select(redealt("group"), "head")
     touching = durable(named.join(mixed_groups.hint("merge"), "group"))
     if touching.isEmpty():
         return None
@@ -316,7 +316,7 @@ def clusters(members: DataFrame, labels: DataFrame) -> DataFrame | None:
     sizes = docs.groupBy("super", "component").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("super").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("largest"))
     block = lambda c: F.ceil(c / BLOCK).cast("int")
-    main = main.where("all > largest").select("super", "main", block(F.col("all")).alias("blocks"), block(F.col("all") - F.col("largest")).alias("minor_blocks"))
+    main = main.where("all > largest").select(redealt("super"), "main", block(F.col("all")).alias("blocks"), block(F.col("all") - F.col("largest")).alias("minor_blocks"))
     return durable(docs.join(main.hint("merge"), "super").withColumn("minor", F.col("component") != F.col("main")).drop("main"))
 
 
