@@ -134,27 +134,39 @@ class PrefixEncoder:
         """The ids of one word."""
         data = text.encode()
         n = len(data)
-        last, follows, lengths = [-1] * (n + 1), self.follows, self.length
-        for at, ends in enumerate(self.automaton.ends(data), 1):
-            for token in ends:
-                before = at - lengths[token]
+        last, follows = [-1] * (n + 1), self.follows
+        sam = self.automaton
+        first, find, target, link, length, token_of, below = sam.first, sam.labels.find, sam.target, sam.link, sam.length, sam.token, sam.below
+        state = matched = end = 0
+        for byte in data:
+            # a step of the automaton, as SuffixAutomaton.ends has it, without the lists
+            while (k := find(byte, first[state], first[state + 1])) < 0 and state:
+                state = link[state]
+                matched = length[state]
+            if k >= 0:
+                state = target[k]
+                matched += 1
+            end += 1
+            here = state if length[state] == matched and token_of[state] >= 0 else below[state]
+            while here:
+                token, before = token_of[here], end - length[here]
                 if not before:
-                    last[at] = token
+                    last[end] = token
                     break
                 previous = last[before]
-                if previous < 0:
-                    continue
-                key = previous << 20 | token
-                good = follows.get(key)
-                if good is None:
-                    if len(follows) >= PAIRS_REMEMBERED:
-                        follows.clear()
-                    good = follows[key] = self._apart(previous, token)
-                if good:
-                    last[at] = token
-                    break
+                if previous >= 0:
+                    key = previous << 20 | token
+                    good = follows.get(key)
+                    if good is None:
+                        if len(follows) >= PAIRS_REMEMBERED:
+                            follows.clear()
+                        good = follows[key] = self._apart(previous, token)
+                    if good:
+                        last[end] = token
+                        break
+                here = below[here]
             else:
-                raise ValueError(f"no token ends byte {at - 1} of {text!r}")
+                raise ValueError(f"no token ends byte {end - 1} of {text!r}")
         out = []
         while n:
             out.append(last[n])
