@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillflow.operators.ordering import numbered, running
+
 REDUCERS = {"sum": F.sum, "prod": F.product, "min": F.min, "max": F.max, "mean": F.avg}
 
 
@@ -24,11 +26,33 @@ def segment(df: DataFrame, ids: str, value: str, how: str, segments: int, empty:
     return df.sparkSession.range(segments).select(F.col("id").alias("segment")).join(inside, "segment", "left").select("segment", F.coalesce("value", empty).alias("value"))
 
 
-def sparse_segment(df: DataFrame, params: DataFrame, index: str, ids: str, params_pos: str, value: str, how: str) -> DataFrame:
-    """(segment, value): gathers ``params`` by ``index``, then reduces: sum, mean, or sqrtn (the sum over the square root of the count)."""
+def sorted_segment(df: DataFrame, ids: str, value: str, how: str, order: list[str]) -> DataFrame:
+    """(segment, value): a row for each segment up to the largest, 0 where there are no rows. Ids that fall in ``order``, or are negative, are an error.
+
+    One aggregate counts falls: a row's id against the largest before it in its range, and the ranges against each other, so no task sees the whole order.
+    """
+    from rillflow.operators.ordering import range_of
+
+    ranged = df.withColumn("_range", range_of(df, order))
+    here = Window.partitionBy("_range").orderBy(*order)
+    falls = ranged.select("_range", F.col(ids).alias("_id"), (F.col(ids) < F.lag(ids).over(here)).alias("_fall"))
+    parts = falls.groupBy("_range").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high"), F.coalesce(F.bool_or("_fall"), F.lit(False)).alias("_fall"))
+    across = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    checked = parts.withColumn("_before", F.max("_high").over(across)).agg(F.max("_high").alias("_top"), F.bool_or(F.col("_fall") | (F.col("_low") < F.coalesce("_before", F.col("_low"))) | (F.col("_low") < 0)).alias("_bad"))
+    top = F.when(F.col("_bad"), F.raise_error(F.lit("segment ids are not sorted")).cast("long")).otherwise(F.col("_top"))
+    grid = checked.select(F.explode(F.when(top >= 0, F.sequence(F.lit(0).cast("long"), top.cast("long"))).otherwise(F.array().cast("array<bigint>"))).alias("segment"))
+    found = df.groupBy(F.col(ids).cast("long").alias("segment")).agg(REDUCERS[how](F.col(value)).alias("value"))
+    return grid.join(found, "segment", "left").fillna(0, ["value"])
+
+
+def sparse_segment(df: DataFrame, params: DataFrame, index: str, ids: str, params_pos: str, value: str, how: str, segments: int | None = None) -> DataFrame:
+    """(segment, value): gathers ``params`` by ``index``, then reduces: sum, mean, or sqrtn (the sum over the square root of the count). With ``segments``, a row for each of so many, 0 where there are none."""
     met = df.join(params, df[index] == params[params_pos])
     total = {"sum": F.sum(value), "mean": F.avg(value), "sqrtn": F.sum(value) / F.sqrt(F.count(F.lit(1)))}[how]
-    return met.groupBy(F.col(ids).alias("segment")).agg(total.alias("value"))
+    found = met.groupBy(F.col(ids).alias("segment")).agg(total.alias("value"))
+    if segments is None:
+        return found
+    return df.sparkSession.range(segments).select(F.col("id").alias("segment")).join(found, "segment", "left").fillna(0, ["value"])
 
 
 def bincount(df: DataFrame, value: str, size: int, weight: str | None = None) -> DataFrame:
@@ -49,8 +73,6 @@ def unique_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def unique_with_counts(df: DataFrame, value: str, order: list[str]) -> DataFrame:
     """(value, count, id): distinct values with their counts, numbered from 0 by first occurrence."""
-    from rillflow.operators.ordering import numbered
-
     found = df.groupBy(value).agg(F.count(F.lit(1)).alias("count"), F.min(F.struct(*order)).alias("_first"))
     flat = found.select(value, "count", *[F.col(f"_first.{c}").alias(f"_o_{c}") for c in order])
     return numbered(flat, [f"_o_{c}" for c in order], "id").drop(*[f"_o_{c}" for c in order])
@@ -83,17 +105,48 @@ def arg_best(df: DataFrame, keys: list[str], value: str, order: str, largest: bo
     return df.groupBy(*keys).agg(F.max_by(F.col(order), score).alias("arg"), (F.max(value) if largest else F.min(value)).alias("best"))
 
 
+def _up_to(df: DataFrame, keys: list[str], value: str, weight: Column) -> DataFrame:
+    """(keys, value, _w, _up, _all): equal values merged, with their weight, the weight up to and with them, and that of their group. Ranges of values are summed by themselves, so a group of any size is spread."""
+    merged = df.groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
+    ranked = running(merged, "_w", [value], "_up", partition=keys, spread=True)
+    total = merged.groupBy(*keys).agg(F.sum("_w").alias("_all"))
+    same = F.lit(True)
+    for k, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{k}"))
+    return ranked.join(total.withColumnsRenamed({c: f"_k{k}" for k, c in enumerate(keys)}), same).drop(*[f"_k{k}" for k in range(len(keys))])
+
+
 def quantiles(df: DataFrame, keys: list[str], value: str, at: list[float]) -> DataFrame:
-    """Exact interpolated quantiles q0, q1, ... of each group."""
-    return df.groupBy(*keys).agg(*[F.percentile(F.col(value), F.lit(q)).alias(f"q{k}") for k, q in enumerate(at)])
+    """Exact interpolated quantiles q0, q1, ... of each group; null values don't count."""
+    ranked = _up_to(df.where(F.col(value).isNotNull()), keys, value, F.lit(1))
+    out = []
+    for k, q in enumerate(at):
+        place = F.lit(q) * (F.col("_all") - 1)
+        holds = lambda p: (F.col("_up") - F.col("_w") <= p) & (p < F.col("_up"))
+        low, high = F.max(F.when(holds(F.floor(place)), F.col(value))), F.max(F.when(holds(F.ceil(place)), F.col(value)))
+        share = F.max(place - F.floor(place))
+        out.append((low + (high - low) * share).alias(f"q{k}"))
+    return ranked.groupBy(*keys).agg(*out)
 
 
 def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str, at: float) -> DataFrame:
     """(keys, value): the least value at which the weights up to it reach ``at`` of all; weights of 0 or less don't count, equal values merge."""
-    merged = df.where(F.col(weight) > 0).groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
-    up_to = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = merged.withColumns({"_up": F.sum("_w").over(up_to), "_all": F.sum("_w").over(Window.partitionBy(*keys))})
-    return ranked.where(F.col("_up") >= at * F.col("_all")).groupBy(*keys).agg(F.min(value).alias(value))
+    return weighted_quantiles(df, keys, value, weight, [at]).select(*keys, F.col("q0").alias(value))
+
+
+def weighted_quantiles(df: DataFrame, keys: list[str], value: str, weight: str, at: list[float]) -> DataFrame:
+    """(keys, q0, q1, ...): as ``weighted_quantile``, several at once."""
+    ranked = _up_to(df.where(F.col(weight) > 0), keys, value, F.col(weight))
+    return ranked.groupBy(*keys).agg(*[F.min(F.when(F.col("_up") >= q * F.col("_all"), F.col(value))).alias(f"q{k}") for k, q in enumerate(at)])
+
+
+def nth_element(df: DataFrame, keys: list[str], value: str, n: int, ties: list[str], reverse: bool = False) -> DataFrame:
+    """(keys, value): the n-th value (from 0) of each group, from the other end if ``reverse``; groups with fewer have no row. A group of any size is spread over ranges of its values."""
+    placed = numbered(df, [value, *ties], "_at", partition=keys, spread=True)
+    if not reverse:
+        return placed.where(F.col("_at") == n).select(*keys, value)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return placed.join(sizes, keys).where(F.col("_at") == F.col("_n") - 1 - n).select(*keys, value)
 
 
 def confusion_matrix(df: DataFrame, label: str, prediction: str, weight: Column | None = None) -> DataFrame:

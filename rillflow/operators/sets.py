@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillflow.functions.random import TOP, draw, unit
+from rillflow.operators.ordering import numbered, running
+
 OPERATIONS = {"union": F.array_union, "intersection": F.array_intersect, "a-b": F.array_except, "b-a": lambda a, b: F.array_except(b, a)}
 
 
@@ -37,23 +40,41 @@ def dynamic_stitch(frames: list[DataFrame], index: str, value: str) -> DataFrame
 
 def choose_from(frames: list[DataFrame], orders: list[list[str]], choices: DataFrame, choice: str, order: list[str]) -> DataFrame:
     """For each choice in order, the next row of the frame it names."""
-    from rillflow.operators.ordering import numbered
-
     wanted = numbered(numbered(choices, order, "at").select("at", F.col(choice).alias("frame")), ["at"], "turn", partition=["frame"])
     rows = [numbered(f, o, "turn").withColumn("frame", F.lit(k)) for k, (f, o) in enumerate(zip(frames, orders, strict=True))]
     return wanted.join(reduce(DataFrame.unionByName, rows), ["frame", "turn"]).drop("turn")
 
 
-def sample_from(frames: list[DataFrame], weights: list[float], seed: int, key: list[str]) -> DataFrame:
-    """Each frame's rows kept with a chance in proportion to its weight (the greatest: all), by a hash of ``key``."""
-    most = max(weights)
-    kept = [f.where(F.pmod(F.xxhash64(F.lit(seed), F.lit(k), *key), F.lit(1 << 30)) < int(w / most * (1 << 30))).withColumn("frame", F.lit(k)) for k, (f, w) in enumerate(zip(frames, weights, strict=True))]
-    return reduce(DataFrame.unionByName, kept)
+def sample_from(frames: list[DataFrame], orders: list[list[str]], weights: list[float], seed: int) -> DataFrame:
+    """(frame, turn, at, ...): a random interleave. Each place takes the next row of a frame drawn with the frames' weights; when a frame is used up, the others go on among themselves.
+
+    Row ``turn`` of a frame arrives when so many exponential waits, each divided by the frame's weight, are over; rows in order of arrival are just such draws, and no row waits for another.
+    """
+    parts = []
+    for k, (frame, order, weight) in enumerate(zip(frames, orders, weights, strict=True)):
+        placed = numbered(frame, order, "turn").withColumn("frame", F.lit(k))
+        wait = F.floor(-F.log(unit(seed, "frame", "turn")) * F.lit((1 << 20) / weight)).cast("long")
+        parts.append(running(placed.withColumn("_wait", wait), "_wait", ["turn"], "_due").drop("_wait"))
+    together = reduce(DataFrame.unionByName, parts)
+    return numbered(together, ["_due", "frame", "turn"], "at").drop("_due")
 
 
 def rejection_resample(df: DataFrame, label: str, target: dict, initial: dict, seed: int, key: list[str]) -> DataFrame:
     """Rows kept so that labels come in the ``target`` shares, given their ``initial`` ones."""
     ratio = {k: target[k] / initial[k] for k in target}
     most = max(ratio.values())
-    chance = F.create_map(*[x for k, r in ratio.items() for x in (F.lit(k), F.lit(int(r / most * (1 << 30))))])
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 30)) < F.coalesce(F.try_element_at(chance, F.col(label)), F.lit(0)))
+    chance = F.create_map(*[x for k, r in ratio.items() for x in (F.lit(k), F.lit(int(r / most * TOP)))])
+    return df.where(draw(seed, *key) < F.coalesce(F.try_element_at(chance, F.col(label)), F.lit(0)))
+
+
+def sparse_set_operation(a: DataFrame, b: DataFrame, group: list[str], value: str, operation: str) -> DataFrame:
+    """(group..., value): a set operation on the values of each group, both sides given as one value a row; groups of either side count."""
+    both = a.select(*group, value, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(b.select(*group, value, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    met = both.groupBy(*group, value).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+    keep = {"union": F.lit(True), "intersection": (F.col("_a") == 1) & (F.col("_b") == 1), "a-b": F.col("_b") == 0, "b-a": F.col("_a") == 0}[operation]
+    return met.where(keep).select(*group, value)
+
+
+def dense_to_sparse_set_operation(a: DataFrame, items: str, b: DataFrame, group: list[str], value: str, operation: str) -> DataFrame:
+    """As ``sparse_set_operation``, side ``a`` given as one array a group."""
+    return sparse_set_operation(a.select(*group, F.explode(items).alias(value)), b, group, value, operation)

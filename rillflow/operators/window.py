@@ -54,6 +54,27 @@ def sliding_window(df: DataFrame, size: int, order: list[str], value: str, shift
     return out.where(F.size("items") == size)
 
 
+def window_datasets(df: DataFrame, size: int, order: list[str], columns: list[str], shift: int | None = None, stride: int = 1, drop_remainder: bool = True) -> DataFrame:
+    """(window, part, item): windows as small tables of their own: each row of a window with its place ``part``. ``shift`` (``size``, if None) rows lie between the starts of windows, ``stride`` between a window's
+    rows; windows cut short by the end are kept on request. To be grouped by ``window``, or unnested again."""
+    shift = shift or size
+    placed = numbered(df, order, "_pos")
+    starts = F.filter(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.struct((F.col("_pos") - k * stride).alias("start"), k.alias("part"))), lambda s: (s["start"] >= 0) & (s["start"] % shift == 0))
+    out = placed.select(F.struct(*columns).alias("item"), F.explode(starts).alias("_s")).select(F.floor(F.col("_s.start") / shift).alias("window"), F.col("_s.part").alias("part"), "item")
+    if not drop_remainder:
+        return out
+    whole = out.groupBy("window").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == size).select("window")
+    return out.join(whole, "window", "left_semi")
+
+
+def dynamic_batches(df: DataFrame, time: str, order: list[str], most: int, timeout: str, value: str, partition: list[str] | None = None) -> DataFrame:
+    """(partition..., open, batch, items, n): batches of at most ``most`` rows that came within one interval of ``timeout``: what a server gathers before it runs."""
+    keys = [*(partition or []), "open"]
+    opened = df.withColumn("open", F.window(time, timeout)["start"])
+    placed = numbered(opened, order, "_pos", partition=keys).withColumn("batch", F.floor(F.col("_pos") / most))
+    return placed.groupBy(*keys, "batch").agg(gathered(["_pos"], value).alias("items"), F.count(F.lit(1)).alias("n"))
+
+
 def group_by_window(df: DataFrame, key: list[str], size: int, order: list[str], *aggregates: Column) -> DataFrame:
     """For each key, aggregates over consecutive windows of up to ``size`` rows; the last may be short."""
     placed = numbered(df, order, "_pos", partition=key).withColumn("window", F.floor(F.col("_pos") / size))
@@ -68,7 +89,7 @@ def length_bucket(length: Column, boundaries: list[int]) -> Column:
 def bucket_by_length(df: DataFrame, length: Column, boundaries: list[int], sizes: list[int], order: list[str], value: str) -> DataFrame:
     """Batches of rows of like length; ``sizes``: the batch size of each bucket, one more than boundaries."""
     sized = df.withColumn("bucket", length_bucket(length, boundaries)).withColumn("_size", F.element_at(F.array(*map(F.lit, sizes)), F.col("bucket") + 1))
-    placed = numbered(sized, order, "_pos", partition=["bucket"]).withColumn("batch", F.floor(F.col("_pos") / F.col("_size")))
+    placed = numbered(sized, order, "_pos", partition=["bucket"], spread=True).withColumn("batch", F.floor(F.col("_pos") / F.col("_size")))
     return placed.groupBy("bucket", "batch").agg(gathered(["_pos"], value).alias("items"), F.count(F.lit(1)).alias("n"))
 
 
@@ -87,8 +108,16 @@ def scan(df: DataFrame, key: list[str], order: list[str], step: Callable, initia
     return df.groupBy(*key).applyInPandas(run, schema)
 
 
-def cumulative_product(df: DataFrame, value: str, order: list[str], partition: list[str], name: str) -> DataFrame:
-    window = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+def scan_sums(df: DataFrame, order: list[str], value: str, initial: int | float = 0, name: str = "state") -> DataFrame:
+    """The scan whose step adds: the state after each row, over the whole table, spread over ranges."""
+    from rillflow.operators.ordering import running
+
+    return running(df, value, order, "_sum").withColumn(name, F.lit(initial) + F.col("_sum")).drop("_sum")
+
+
+def cumulative_product(df: DataFrame, value: str, order: list[str], partition: list[str], name: str, last: int | None = None) -> DataFrame:
+    """``df`` with the product of the values up to each row, or of the ``last`` ones."""
+    window = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding if last is None else 1 - last, 0)
     return df.withColumn(name, F.product(F.col(value)).over(window))
 
 
