@@ -72,6 +72,17 @@ def hash_bucket(s: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(s), F.lit(buckets))
 
 
+def hash_bucket_strong(s: Column, buckets: int, key: tuple[int, int]) -> Column:
+    """A keyed bucket, which who doesn't know ``key`` can't steer: from SHA-256 of the key and the string."""
+    digest = F.sha2(F.concat(F.lit(f"{key[0]:016x}{key[1]:016x}:"), s.cast("string")), 256)
+    return F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), F.lit(buckets))
+
+
+def string_to_float_bits(s: Column) -> Column:
+    """A string as a float in [0, 1) that its hash decides: a feature of no order."""
+    return (md5_number(s) / F.lit(float(1 << 32))).cast("float")
+
+
 def to_number(s: Column, kind: str = "double", strict: bool = True) -> Column:
     """A parsed number; an error on bad input, or null if not ``strict``."""
     return s.cast(kind) if strict else s.try_cast(kind)
@@ -100,19 +111,16 @@ def sharded_filename(base: Column, shard: Column, shards: Column) -> Column:
     return F.format_string("%s-%05d-of-%05d", base, shard, shards)
 
 
-@F.pandas_udf(T.DoubleType())
-def token_edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Levenshtein distance of two token arrays."""
+#: Characters that stand for tokens, each of one code point; no pair of arrays may have more distinct tokens.
+LETTERS = "".join(map(chr, range(0x100, 0xD800)))
 
-    def distance(x, y) -> float:
-        row = list(range(len(y) + 1))
-        for i, s in enumerate(x, 1):
-            before, row[0] = row[0], i
-            for j, t in enumerate(y, 1):
-                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (s != t))
-        return float(row[-1])
 
-    return pd.Series([None if x is None or y is None else distance(list(x), list(y)) for x, y in zip(a, b, strict=True)])
+def token_edit_distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance of two token arrays: their tokens are written as letters of one row's own alphabet, and the words compared, all within the JVM."""
+    known = F.array_distinct(F.concat(a, b))
+    fits = F.when(F.size(known) <= len(LETTERS), known).otherwise(F.raise_error(F.lit("too many distinct tokens")))
+    word = lambda tokens: F.array_join(F.transform(tokens, lambda t: F.substr(F.lit(LETTERS), F.array_position(fits, t).cast("int"), F.lit(1))), "")
+    return F.levenshtein(word(a), word(b)).cast("double")
 
 
 def edit_distance(hypothesis: Column, truth: Column, normalize: bool = False) -> Column:

@@ -34,6 +34,38 @@ def skip_grams(df: DataFrame, keys: list[str], words: Column, skips: int) -> Dat
     return placed.select(*keys, "i", "token", F.explode(near).alias("_p")).select(*keys, "i", "token", F.col("_p.j").alias("j"), F.col("_p.w").alias("label"))
 
 
+def skip_grams_drawn(df: DataFrame, keys: list[str], words: Column, least: int, most: int, seed: int, start: int = 0, limit: int = -1, with_self: bool = False) -> DataFrame:
+    """As ``skip_grams``, the reach of each word drawn from [least, most] by ``seed``; of ``limit`` words from place ``start`` only; with the word itself as a label on request."""
+    from rillflow.functions.random import uniform_int
+
+    cut = F.slice(words, start + 1, limit if limit >= 0 else 1 << 30)
+    placed = df.select(*keys, cut.alias("_w")).select(*keys, "_w", F.posexplode("_w").alias("i", "token")).withColumn("_reach", uniform_int(least, most + 1, seed, *keys, "i"))
+    near = F.filter(F.transform("_w", lambda w, j: F.struct(j.alias("j"), w.alias("w"))), lambda x: (F.abs(x["j"] - F.col("i")) <= F.col("_reach")) & (F.lit(with_self) | (x["j"] != F.col("i"))))
+    return placed.select(*keys, "i", "token", F.explode(near).alias("_p")).select(*keys, "i", "token", F.col("_p.j").alias("j"), F.col("_p.w").alias("label"))
+
+
+def training_pairs(df: DataFrame, keys: list[str], words: Column, window: int, min_count: int, seed: int, subsample: float = 0.0) -> DataFrame:
+    """(keys, i, example, label): ids of words and of their neighbours up to a drawn distance of 1 to ``window``. Words rarer than ``min_count`` are left out first, and of frequent ones,
+    whose share is over ``subsample``, some: each with a chance of 1 - (sqrt(r) + r), r being subsample over the word's share."""
+    from rillflow.functions.random import unit
+
+    vocab = vocabulary(df, words, min_count)
+    total = vocab.agg(F.sum("n").alias("_all"))
+    flat = df.select(*keys, F.posexplode(words).alias("_i", "term")).join(vocab, "term").join(F.broadcast(total), F.col("_all").isNotNull())
+    if subsample:
+        r = F.lit(subsample) / (F.col("n") / F.col("_all"))
+        flat = flat.where(unit(f"{seed}s", *keys, "_i") < F.sqrt(r) + r)
+    kept = flat.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "id"))), lambda x: x["id"]).alias("_ids"))
+    pairs = skip_grams_drawn(kept, keys, F.col("_ids"), 1, window, seed)
+    return pairs.select(*keys, "i", F.col("token").alias("example"), "j", "label")
+
+
+def remapped_rows(matrix: DataFrame, remapping: DataFrame, row: str = "row") -> DataFrame:
+    """The rows of a matrix of old ids under their new ones: ``remapping`` is (new_id, old_id), -1 for none. New rows without an old one are left out, to be initialised by the caller."""
+    known = remapping.where("old_id >= 0").select(F.col("old_id").alias("_old"), F.col("new_id").alias("_new"))
+    return matrix.join(known, F.col(row) == F.col("_old")).withColumn(row, F.col("_new")).drop("_old", "_new")
+
+
 def remap(new: DataFrame, old: DataFrame) -> DataFrame:
     """(new_id, old_id): for each new term its old id, -1 if it had none."""
     before = old.select("term", F.col("id").alias("old_id"))

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -39,3 +39,14 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(place))
         context._rillflow_shipped = True
     return spark
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` with the lineage cut: checkpointed in the folder of spark.checkpoint.dir. On one machine without that setting a folder is made; on a cluster it is an error."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and context.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="rillflow-checkpoint-"))
+    return df.checkpoint(eager=True)

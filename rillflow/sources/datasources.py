@@ -1,19 +1,22 @@
 """Python data sources: length-delimited record files, chunked column files of sequencing reads, SQLite queries.
 
-Readers and writers run on the executors, one partition for each file; files are listed through Spark, so any file system that Spark reads can be listed,
-and payloads of stores that only Spark opens are read with ``records_of`` and ``chunks_of`` on binaryFile rows.
+Readers and writers run on the executors and open files through Arrow's file systems (local, HDFS, S3, GCS, by the path's scheme), one partition for each file, read and written piece by piece: what a task
+holds is a piece, not a file. Each task of a writer writes files of its own beside their places, and the driver moves them there when all tasks have ended, or deletes them when the job fails. Payloads of
+stores that only Spark opens are read with ``records_of`` and ``chunks_of`` on binaryFile rows.
 """
 
 from __future__ import annotations
 
 import gzip
-import os
 import sqlite3
 import struct
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -37,41 +40,133 @@ def _crc_table() -> list[int]:
 _CRC = _crc_table()
 
 
+STRIP = 256
+
+
+def _shift_tables() -> np.ndarray:
+    """For each byte of a checksum, what it becomes when STRIP zero bytes follow."""
+    out = np.zeros((4, 256), np.uint32)
+    for byte in range(4):
+        for bit in range(8):
+            crc = 1 << (8 * byte + bit)
+            for _ in range(STRIP):
+                crc = _CRC[crc & 0xFF] ^ crc >> 8
+            at = np.arange(256)
+            out[byte] ^= np.where(at >> bit & 1, crc, 0).astype(np.uint32)
+    return out
+
+
+_SHIFT = _shift_tables()
+_CRC_ARRAY = np.array(_CRC, np.uint32)
+
+
+def checksums(records: list[bytes]) -> np.ndarray:
+    """The Castagnoli checksums of records, all worked on together: each is cut into strips, the strips of all run side by side, and are joined by what zero bytes after a strip do to its checksum."""
+    out = np.zeros(len(records), np.uint32)
+    long = [k for k, r in enumerate(records) if len(r) >= 4]
+    for k in set(range(len(records))) - set(long):
+        crc = 0xFFFFFFFF
+        for b in records[k]:
+            crc = _CRC[(crc ^ b) & 0xFF] ^ crc >> 8
+        out[k] = crc
+    if long:
+        sizes = np.array([len(records[k]) for k in long])
+        counts = -(-sizes // STRIP)
+        ends = np.cumsum(counts) * STRIP
+        data = np.zeros(int(ends[-1]), np.uint8)
+        for k, end in zip(long, ends.tolist(), strict=True):
+            start = end - len(records[k])  # zeros before a record change nothing
+            data[start:end] = np.frombuffer(records[k], np.uint8)
+            data[start : start + 4] ^= 0xFF  # what the checksum begins with
+        strips = data.reshape(-1, STRIP)
+        crc = np.zeros(len(strips), np.uint32)
+        for at in range(STRIP):
+            crc = _CRC_ARRAY[(crc ^ strips[:, at]) & 0xFF] ^ (crc >> np.uint32(8))
+        first = np.cumsum(counts) - counts
+        total = np.zeros(len(long), np.uint32)
+        for n in range(int(counts.max())):
+            on = np.flatnonzero(counts > n)
+            moved = total[on]
+            moved = _SHIFT[0][moved & 0xFF] ^ _SHIFT[1][moved >> 8 & 0xFF] ^ _SHIFT[2][moved >> 16 & 0xFF] ^ _SHIFT[3][moved >> 24]
+            total[on] = moved ^ crc[first[on] + n]
+        out[long] = total
+    return out ^ np.uint32(0xFFFFFFFF)
+
+
+def masked(crc: np.ndarray) -> np.ndarray:
+    """Checksums rotated and offset as record files store them."""
+    return (crc >> np.uint32(15) | crc << np.uint32(17)) + np.uint32(CRC_MASK)
+
+
 def masked_crc(data: bytes) -> int:
-    """The Castagnoli checksum, rotated and offset as record files store it."""
-    crc = 0xFFFFFFFF
-    for b in data:
-        crc = _CRC[(crc ^ b) & 0xFF] ^ crc >> 8
-    crc ^= 0xFFFFFFFF
-    return ((crc >> 15 | crc << 17) + CRC_MASK) & 0xFFFFFFFF
+    with np.errstate(over="ignore"):
+        return int(masked(checksums([data]))[0])
 
 
-def opened(data: bytes, compression: str) -> bytes:
-    if compression in ("", "none"):
-        return data
-    return zlib.decompress(data, {"ZLIB": 15, "GZIP": 31}[compression.upper()])
+PIECE = 1 << 22
 
 
-def record_list(data: bytes, verify: bool = True) -> Iterator[tuple[int, bytes]]:
+def inflated(pieces: Iterable[bytes], compression: str) -> Iterator[bytes]:
+    if compression in ("", "none", "NONE"):
+        yield from pieces
+        return
+    wbits = {"ZLIB": 15, "GZIP": 31}[compression.upper()]
+    machine = zlib.decompressobj(wbits)
+    for piece in pieces:
+        while piece:
+            if out := machine.decompress(piece, PIECE):
+                yield out
+            piece = machine.unconsumed_tail or machine.unused_data
+            if machine.eof and piece:  # members follow one another
+                machine = zlib.decompressobj(wbits)
+    if out := machine.flush():
+        yield out
+    if not machine.eof:
+        raise ValueError("truncated compressed data")
+
+
+def framed_records(pieces: Iterable[bytes], verify: bool = True) -> Iterator[tuple[int, bytes]]:
     """(offset, record) of a record file; an error on a checksum that doesn't fit or a cut record."""
-    at = 0
-    while at < len(data):
-        head = data[at : at + 12]
-        if len(head) < 12:
-            raise ValueError("truncated record header")
-        size, crc = struct.unpack("<QI", head)
-        body, tail = data[at + 12 : at + 12 + size], data[at + 12 + size : at + 16 + size]
-        if len(body) < size or len(tail) < 4:
-            raise ValueError("truncated record")
-        if verify and (masked_crc(head[:8]) != crc or masked_crc(body) != struct.unpack("<I", tail)[0]):
-            raise ValueError("corrupted record")
-        yield at, body
-        at += 16 + size
+    held, begins = b"", 0
+    for piece in pieces:
+        held += piece
+        heads, records, tails, offsets, at = [], [], [], [], 0
+        while len(held) - at >= 12:
+            (size,) = struct.unpack_from("<Q", held, at)
+            if verify and size > len(held) - at and masked_crc(held[at : at + 8]) != struct.unpack_from("<I", held, at + 8)[0]:
+                raise ValueError("corrupted record")
+            if len(held) - at < size + 16:
+                break
+            heads.append(held[at : at + 12])
+            records.append(held[at + 12 : at + 12 + size])
+            tails.append(held[at + 12 + size : at + 16 + size])
+            offsets.append(begins + at)
+            at += 16 + size
+        if verify and records:
+            with np.errstate(over="ignore"):
+                heads_good = masked(checksums([h[:8] for h in heads])) == np.frombuffer(b"".join(h[8:] for h in heads), "<u4")
+                good = heads_good & (masked(checksums(records)) == np.frombuffer(b"".join(tails), "<u4"))
+            if not good.all():
+                raise ValueError("corrupted record")
+        yield from zip(offsets, records, strict=True)
+        begins, held = begins + at, held[at:]
+    if held:
+        raise ValueError("truncated record" if len(held) >= 12 else "truncated record header")
+
+
+def record_list(data: bytes, verify: bool = True) -> Iterator[tuple[int, bytes]]:
+    return framed_records([data], verify)
+
+
+def framed_all(records: list[bytes]) -> bytes:
+    sizes = [struct.pack("<Q", len(r)) for r in records]
+    with np.errstate(over="ignore"):
+        heads, bodies = masked(checksums(sizes)), masked(checksums(records))
+    return b"".join(x for size, head, record, body in zip(sizes, heads.tolist(), records, bodies.tolist(), strict=True) for x in (size, struct.pack("<I", head), record, struct.pack("<I", body)))
 
 
 def framed(record: bytes) -> bytes:
-    size = struct.pack("<Q", len(record))
-    return size + struct.pack("<I", masked_crc(size)) + record + struct.pack("<I", masked_crc(record))
+    return framed_all([record])
 
 
 class Files(InputPartition):
@@ -79,10 +174,73 @@ class Files(InputPartition):
         self.path = path
 
 
+def store(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path and the path in it."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), path[len("file:") :].replace("//", "/", 1) if path.startswith("file://") else path[len("file:") :]
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
 def listed(path: str, suffix: str = "") -> list[str]:
-    if os.path.isdir(path):
-        return sorted(os.path.join(path, f) for f in os.listdir(path) if not f.startswith(("_", ".")) and f.endswith(suffix))
-    return [path]
+    """The files of a folder, or the one file, as paths that ``store`` takes."""
+    system, place = store(path)
+    found = system.get_file_info(place)
+    if found.type != pafs.FileType.Directory:
+        return [path]
+    names = [f.base_name for f in system.get_file_info(pafs.FileSelector(place)) if f.type == pafs.FileType.File]
+    return [f"{path.rstrip('/')}/{n}" for n in sorted(names) if not n.startswith(("_", ".")) and n.endswith(suffix)]
+
+
+def pieces_of(path: str) -> Iterator[bytes]:
+    system, place = store(path)
+    with system.open_input_stream(place) as f:
+        while piece := f.read(PIECE):
+            yield piece
+
+
+class Written(WriterCommitMessage):
+    """What a task wrote, and where it belongs."""
+
+    def __init__(self, moves: list[tuple[str, str]]):
+        self.moves = moves
+
+
+class Moved:
+    """Commit and abort of writers: files are put in place at the end, or deleted. ``overwrite``: what was there before goes first."""
+
+    def __init__(self, options, overwrite: bool):
+        self.options, self.overwrite, self.job = options, overwrite, uuid.uuid4().hex
+
+    def commit(self, messages):
+        system, top = store(self.options["path"])
+        system.create_dir(top, recursive=True)
+        kept = {to for m in messages if m for _, to in m.moves}
+        if self.overwrite:
+            for path in listed(self.options["path"], self.suffix()):
+                if store(path)[1] not in kept:
+                    system.delete_file(store(path)[1])
+        for m in messages:
+            for at, to in m.moves if m else ():
+                system.move(at, to)
+        with system.open_output_stream(f"{top}/_SUCCESS") as f:
+            f.write(b"")
+
+    def abort(self, messages):
+        system, _ = store(self.options["path"])
+        for m in messages:
+            for at, _ in m.moves if m else ():
+                system.delete_file(at)
+
+    def suffix(self) -> str:
+        return ""
+
+    def place(self, name: str) -> tuple[pafs.FileSystem, str, str]:
+        """(file system, where a task writes, where it belongs)."""
+        from pyspark import TaskContext
+
+        system, top = store(self.options["path"])
+        system.create_dir(top, recursive=True)
+        return system, f"{top}/_{self.job}-{TaskContext.get().attemptNumber()}-{name}", f"{top}/{name}"
 
 
 class RecordSource(DataSource):
@@ -99,7 +257,7 @@ class RecordSource(DataSource):
         return RecordReader(self.options)
 
     def writer(self, schema, overwrite) -> DataSourceWriter:
-        return RecordWriter(self.options)
+        return RecordWriter(self.options, overwrite)
 
 
 class RecordReader(DataSourceReader):
@@ -107,42 +265,37 @@ class RecordReader(DataSourceReader):
         self.options = options
 
     def partitions(self):
-        return [Files(p) for p in listed(self.options["path"])]
+        return [Files(p) for p in listed(self.options["path"])] or [Files("")]
 
     def read(self, partition):
-        with open(partition.path, "rb") as f:
-            data = opened(f.read(), self.options.get("compression", "none"))
-        for offset, record in record_list(data):
+        if not partition.path:
+            return
+        for offset, record in framed_records(inflated(pieces_of(partition.path), self.options.get("compression", "none"))):
             yield record, partition.path, offset
 
 
-class Written(WriterCommitMessage):
-    def __init__(self, path: str):
-        self.path = path
-
-
-class RecordWriter(DataSourceWriter):
-    """One file for each task, written beside its place and moved when the task ends."""
-
-    def __init__(self, options):
-        self.options = options
+class RecordWriter(Moved, DataSourceWriter):
+    """One file for each task, written as its rows come."""
 
     def write(self, rows):
         from pyspark import TaskContext
 
-        top, part = self.options["path"], TaskContext.get().partitionId()
-        os.makedirs(top, exist_ok=True)
-        data = b"".join(framed(bytes(row[0])) for row in rows)
         kind = self.options.get("compression", "none").upper()
-        data = zlib.compress(data) if kind == "ZLIB" else gzip.compress(data) if kind == "GZIP" else data
-        path = os.path.join(top, f"part-{part:05d}")
-        with open(os.path.join(top, f"_{part:05d}-{TaskContext.get().attemptNumber()}"), "wb") as f:
-            f.write(data)
-        os.replace(f.name, path)
-        return Written(path)
-
-    def commit(self, messages):
-        open(os.path.join(self.options["path"], "_SUCCESS"), "w").close()
+        machine = zlib.compressobj(6, zlib.DEFLATED, 15 if kind == "ZLIB" else 31) if kind in ("ZLIB", "GZIP") else None
+        part = TaskContext.get().partitionId()
+        system, at, to = self.place(f"part-{part:05d}" if self.overwrite else f"part-{part:05d}-{self.job[:8]}")
+        with system.open_output_stream(at) as out:
+            held, size = [], 0
+            for row in rows:
+                held.append(bytes(row[0]))
+                size += len(held[-1])
+                if size >= PIECE:
+                    data = framed_all(held)
+                    out.write(machine.compress(data) if machine else data)
+                    held, size = [], 0
+            data = framed_all(held)
+            out.write(machine.compress(data) + machine.flush() if machine else data)
+        return Written([(at, to)])
 
 
 def chunk_file(record_id: str, first: int, records: list[bytes], record_type: str = "text", compression: str = "none") -> bytes:
@@ -174,7 +327,7 @@ def chunk_records(data: bytes) -> Iterator[tuple[str, int, bytes | None]]:
 
 
 class ChunkSource(DataSource):
-    """Format ``read_chunks``: (record_id string, ordinal bigint, payload binary) of the chunk files of one column. Options: path, column; to write: record_id, record_type, compression."""
+    """Format ``read_chunks``: (record_id string, ordinal bigint, payload binary) of the chunk files of one column. Options: path, column; to write: record_id, record_type, compression, chunk_size (records a file, all of a task's without it)."""
 
     @classmethod
     def name(cls) -> str:
@@ -187,45 +340,47 @@ class ChunkSource(DataSource):
         return ChunkReader(self.options)
 
     def writer(self, schema, overwrite) -> DataSourceArrowWriter:
-        return ChunkWriter(self.options)
+        return ChunkWriter(self.options, overwrite)
 
 
 class ChunkReader(DataSourceReader):
+    """A chunk is the unit of the format: it is read whole."""
+
     def __init__(self, options):
         self.options = options
 
     def partitions(self):
-        return [Files(p) for p in listed(self.options["path"], "." + self.options["column"])]
+        return [Files(p) for p in listed(self.options["path"], "." + self.options["column"])] or [Files("")]
 
     def read(self, partition):
-        with open(partition.path, "rb") as f:
-            rows = [*chunk_records(f.read())]
+        rows = [*chunk_records(b"".join(pieces_of(partition.path)))] if partition.path else []
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["record_id", "ordinal", "payload"])
 
 
-class ChunkWriter(DataSourceArrowWriter):
-    """One chunk file for each task; its rows are put in the order of their ordinals, which must be consecutive."""
+class ChunkWriter(Moved, DataSourceArrowWriter):
+    """Chunk files of each task's rows, in the order of their ordinals, which must be consecutive within a file."""
 
-    def __init__(self, options):
-        self.options = options
+    def suffix(self) -> str:
+        return "." + self.options["column"]
 
     def write(self, batches):
         rows = sorted((o, p) for b in batches for o, p in zip(b.column("ordinal").to_pylist(), b.column("payload").to_pylist(), strict=True))
-        if not rows:
-            return Written("")
-        if rows[-1][0] - rows[0][0] != len(rows) - 1:
-            raise ValueError("ordinals of a chunk must be consecutive")
-        os.makedirs(self.options["path"], exist_ok=True)
-        path = os.path.join(self.options["path"], f"chunk_{rows[0][0]}.{self.options['column']}")
-        data = chunk_file(self.options.get("record_id", "records"), rows[0][0], [p or b"" for _, p in rows], self.options.get("record_type", "text"), self.options.get("compression", "none"))
-        with open(f"{path}.tmp", "wb") as f:
-            f.write(data)
-        os.replace(f.name, path)
-        return Written(path)
+        size = int(self.options.get("chunk_size", len(rows) or 1))
+        moves = []
+        for k in range(0, len(rows), size):
+            part = rows[k : k + size]
+            if part[-1][0] - part[0][0] != len(part) - 1:
+                raise ValueError("ordinals of a chunk must be consecutive")
+            data = chunk_file(self.options.get("record_id", "records"), part[0][0], [p or b"" for _, p in part], self.options.get("record_type", "text"), self.options.get("compression", "none"))
+            system, at, to = self.place(f"chunk_{part[0][0]}{self.suffix()}")
+            with system.open_output_stream(at) as f:
+                f.write(data)
+            moves.append((at, to))
+        return Written(moves)
 
 
 class SqliteSource(DataSource):
-    """Format ``sqlite``: the rows of a query. Options: path, query. A schema must be given and have as many columns as the query."""
+    """Format ``sqlite``: the rows of a query. Options: path, query, and to read by several tasks: key (a whole-number column of the query), parts. A schema must be given and have as many columns as the query."""
 
     @classmethod
     def name(cls) -> str:
@@ -239,12 +394,17 @@ class SqliteReader(DataSourceReader):
     def __init__(self, options, schema):
         self.options, self.fields = options, schema.fields
 
+    def partitions(self):
+        return [InputPartition(k) for k in range(int(self.options.get("parts", 1)) if "key" in self.options else 1)]
+
     def read(self, partition):
         from pyspark.sql import types as T
 
         cast = {T.BooleanType: bool, T.FloatType: float, T.DoubleType: float, T.StringType: str}
         with sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True) as db:
-            cursor = db.execute(self.options["query"])
+            parts = int(self.options.get("parts", 1))
+            query = self.options["query"] if "key" not in self.options else f"select * from ({self.options['query']}) where abs({self.options['key']}) % {parts} = {partition.value}"
+            cursor = db.execute(query)
             if len(cursor.description) != len(self.fields):
                 raise ValueError(f"the query has {len(cursor.description)} columns, the schema {len(self.fields)}")
             for row in cursor:
@@ -261,7 +421,7 @@ def records_of(files: DataFrame, compression: str = "none") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [(p, o, r) for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True) for o, r in record_list(opened(c, compression))]
+            rows = [(p, o, r) for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True) for o, r in framed_records(inflated([c], compression))]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["path", "offset", "record"])
 
     return files.select("path", "content").mapInArrow(run, "path string, offset bigint, record binary")

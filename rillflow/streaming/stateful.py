@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -61,18 +62,182 @@ def counters(stream: DataFrame) -> DataFrame:
     return stream.groupBy("key").transformWithStateInPandas(CounterProcessor(), "key bigint, old bigint, new bigint", "update", "None")
 
 
-def barrier(left: DataFrame, right: DataFrame, key: str, time: str, delay: str) -> DataFrame:
-    """Keys of which both components have come within ``delay``: an inner join of two streams whose state the watermark bounds."""
-    a = left.withWatermark(time, delay).alias("a")
-    b = right.withColumnRenamed(time, "_t").withWatermark("_t", delay).alias("b")
-    near = F.expr(f"a.{key} = b.{key} and b._t >= a.{time} - interval {delay} and b._t <= a.{time} + interval {delay}")
-    return a.join(b, near).drop(F.col(f"b.{key}")).drop("_t")
+class BarrierProcessor(StatefulProcessor):
+    """Gathers the components of a key and gives them out once, when all have come; a component that comes again before that replaces the former one."""
 
+    def __init__(self, names: list[str], ttl_ms: int | None):
+        self.names, self.ttl = names, ttl_ms
 
-def accumulator(stream: DataFrame, time: str, delay: str, step: str, value: str, at_least: int) -> DataFrame:
-    """(step, mean, n) of each step once ``at_least`` values have come; values later than the watermark are stale and dropped."""
-    kept = stream.withWatermark(time, delay).groupBy(F.window(time, "1 hour"), step).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
-    return kept.where(F.col("n") >= at_least).select(step, "mean", "n")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        args = ("parts", "component string", "value string")
+        self.parts = handle.getMapState(*args, self.ttl) if self.ttl else handle.getMapState(*args)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            for name, value in zip(pdf["component"], pdf["value"], strict=True):
+                if name in self.names:
+                    self.parts.updateValue((name,), (value,))
+        if all(self.parts.containsKey((n,)) for n in self.names):
+            found = [self.parts.getValue((n,))[0] for n in self.names]
+            self.parts.clear()
+            yield pd.DataFrame([[key[0], *found]], columns=["key", *self.names])
+
+    def close(self) -> None:
+        pass
+
+
+def barrier(stream: DataFrame, names: list[str], ttl_ms: int | None = None) -> DataFrame:
+    """(key, one column for each name) of keys of which every component has come, from a stream of (key bigint, component string, value string). State of keys that stay incomplete expires."""
+    schema = ", ".join(["key bigint", *[f"`{n}` string" for n in names]])
+    return stream.groupBy("key").transformWithStateInPandas(BarrierProcessor(names, ttl_ms), schema, "append", "ProcessingTime" if ttl_ms else "None")
+
+
+class AccumulatorProcessor(StatefulProcessor):
+    """Averages the values of a key. Values of a step before the key's own are stale and dropped; when enough have come the mean is taken, and the key goes on to the next step, empty."""
+
+    def __init__(self, at_least: int):
+        self.at_least = at_least
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "step bigint, n bigint, total double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        step, n, total = self.state.get() if self.state.exists() else (0, 0, 0.0)
+        out = []
+        for pdf in rows:
+            for at, value in sorted(zip(pdf["step"].tolist(), pdf["value"].tolist(), strict=True)):
+                if at < step:
+                    continue
+                n, total = n + 1, total + value
+                if n >= self.at_least:
+                    out.append((key[0], step, total / n, n))
+                    step, n, total = step + 1, 0, 0.0
+        self.state.update((step, n, total))
+        yield pd.DataFrame(out, columns=["key", "step", "mean", "n"])
+
+    def close(self) -> None:
+        pass
+
+
+def accumulator(stream: DataFrame, at_least: int) -> DataFrame:
+    """(key, step, mean, n) each time ``at_least`` values have come, from a stream of (key bigint, step bigint, value double). Values of one batch count by step, then by value, however they came."""
+    return stream.groupBy("key").transformWithStateInPandas(AccumulatorProcessor(at_least), "key bigint, step bigint, mean double, n bigint", "append", "None")
+
+
+class WholeProcessor(StatefulProcessor):
+    """Holds a request's values until all have come, then gives them out in order as one row."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.values = handle.getListState("values", "ord bigint, value string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        wanted = 0
+        for pdf in rows:
+            self.values.appendList([(int(o), v) for o, v in zip(pdf["ord"], pdf["value"], strict=True)])
+            wanted = int(pdf["request_count"].max())
+        held = sorted(self.values.get()) if self.values.exists() else []
+        if held and len(held) >= wanted:
+            self.values.clear()
+            yield pd.DataFrame({"request_id": [key[0]], "items": [[v for _, v in held]], "n": [len(held)]})
+
+    def close(self) -> None:
+        pass
+
+
+def dequeue_whole(stream: DataFrame) -> DataFrame:
+    """(request_id, items, n) of complete requests, from a stream of (request_id bigint, request_count bigint, ord bigint, value string)."""
+    return stream.groupBy("request_id").transformWithStateInPandas(WholeProcessor(), "request_id bigint, items array<string>, n bigint", "append", "None")
+
+
+class BatchProcessor(StatefulProcessor):
+    """Gives out a key's values ``size`` at a time; what doesn't fill a batch waits."""
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.values = handle.getListState("values", "ord bigint, value string")
+        self.next = handle.getValueState("next", "batch bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = list(self.values.get()) if self.values.exists() else []
+        for pdf in rows:
+            held += [(int(o), v) for o, v in zip(pdf["ord"], pdf["value"], strict=True)]
+        held.sort()
+        batch = self.next.get()[0] if self.next.exists() else 0
+        out = []
+        while len(held) >= self.size:
+            out.append((key[0], batch, [v for _, v in held[: self.size]]))
+            held, batch = held[self.size :], batch + 1
+        self.values.clear()
+        if held:
+            self.values.put(held)
+        self.next.update((batch,))
+        yield pd.DataFrame(out, columns=["request_id", "batch", "items"])
+
+    def close(self) -> None:
+        pass
+
+
+def dequeue_many(stream: DataFrame, size: int) -> DataFrame:
+    """(request_id, batch, items) from a stream of (request_id bigint, ord bigint, value string): full batches of one request's values."""
+    return stream.groupBy("request_id").transformWithStateInPandas(BatchProcessor(size), "request_id bigint, batch bigint, items array<string>", "append", "None")
+
+
+class RegisterProcessor(StatefulProcessor):
+    """A register for each key: a row sets it, or adds to it, and learns what it held before."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "n bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, out = (self.held.get()[0] if self.held.exists() else 0), []
+        steps = sorted((int(o), a, int(v)) for pdf in rows for o, a, v in zip(pdf["ord"], pdf["action"], pdf["value"], strict=True))
+        for at, action, value in steps:
+            out.append((key[0], at, n))
+            n = value if action == "set" else n + value
+        self.held.update((n,))
+        yield pd.DataFrame(out, columns=["key", "ord", "old"])
+
+    def close(self) -> None:
+        pass
+
+
+def registers(stream: DataFrame) -> DataFrame:
+    """(key, ord, old) from a stream of (key bigint, ord bigint, action string, value bigint): what each key's register held before the row's ``set`` or ``add``, rows of a batch in the order of ``ord``."""
+    return stream.groupBy("key").transformWithStateInPandas(RegisterProcessor(), "key bigint, ord bigint, old bigint", "append", "None")
+
+
+@dataclass(frozen=True)
+class Runner:
+    """How a stage of gates is driven: ``trigger`` of the stream, exceptions by whose class names a source says that it is closed, and what is called once all of it has run."""
+
+    checkpoint: str
+    trigger: dict = field(default_factory=lambda: {"availableNow": True})
+    closed: tuple[str, ...] = ()
+    on_success: Callable[[], None] | None = None
+
+    def run(self, stream: DataFrame, stage: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], timeout_s: int | None = None) -> bool:
+        """Each batch goes through ``stage`` into ``sink(rows, batch_id)``; a batch that is run again after a failure has the id it had, so a sink can tell. True when the stream came to its end or closed."""
+        query = stream.writeStream.foreachBatch(lambda rows, n: sink(stage(rows), n)).option("checkpointLocation", self.checkpoint).trigger(**self.trigger).start()
+        try:
+            ended = query.awaitTermination(timeout_s) if timeout_s else query.awaitTermination() is None
+        except Exception as e:
+            if not any(name in str(e) for name in self.closed):
+                raise
+            ended = True
+        finally:
+            query.stop()
+        if ended and self.on_success:
+            self.on_success()
+        return bool(ended)
+
+
+def credited(reader, most_files: int):
+    """A file stream's reader that takes at most so many files a batch: the credits that a gate downstream grants upstream."""
+    if most_files < 1:
+        raise ValueError("credits are granted one or more at a time")
+    return reader.option("maxFilesPerTrigger", most_files)
 
 
 def tumbling(df: DataFrame, time: str, size: str, keys: list[str], *aggregates, delay: str | None = None) -> DataFrame:
