@@ -66,3 +66,88 @@ def linear_model(df: DataFrame, key: str, weights: dict[str, float], bias: float
 
 def input_layer(*arrays: Column) -> Column:
     return F.concat(*arrays)
+
+
+def vocabulary_file(df: DataFrame, key: str, path: str, default: int = -1, oov_buckets: int = 0, name: str = "id") -> DataFrame:
+    """``df`` with the line number of each term in a file of one term a line; other terms get the default, or a hash bucket after the last line."""
+    from rillflow.sources.files import numbered_lines
+
+    terms = numbered_lines(df.sparkSession, path).select(F.col("value").alias("_term"), F.col("line").alias("_id"))
+    found = df.join(terms, F.col(key) == F.col("_term"), "left")
+    if not oov_buckets:
+        return found.withColumn(name, F.coalesce("_id", F.lit(default).cast("long"))).drop("_term", "_id")
+    size = terms.agg(F.count(F.lit(1)).alias("_size"))
+    return found.join(F.broadcast(size), F.col("_size").isNotNull()).withColumn(name, F.coalesce("_id", F.col("_size") + hash_bucket_md5(F.col(key), oov_buckets))).drop("_term", "_id", "_size")
+
+
+def shared_embedded(df: DataFrame, key: str, columns: list[str], table: DataFrame, combiner: str = "mean") -> DataFrame:
+    """(key, feature, dim, value): several id columns looked up in one embedding table in one join."""
+    flat = None
+    for c in columns:
+        part = df.select(key, F.lit(c).alias("feature"), F.explode(c).alias("id"))
+        flat = part if flat is None else flat.unionByName(part)
+    total = {"mean": F.avg("value"), "sum": F.sum("value"), "sqrtn": F.sum("value") / F.sqrt(F.count(F.lit(1)))}[combiner]
+    return flat.join(table, "id").groupBy(key, "feature", "dim").agg(total.alias("value"))
+
+
+def bow_encoded(df: DataFrame, key: str, ids: str, table: DataFrame) -> DataFrame:
+    """(key, dim, value): the mean of the embeddings of a bag of words; a bag without known words has no rows."""
+    return embedded(df, key, ids, table, "mean")
+
+
+def embedding_lookup_unique(df: DataFrame, key: str, ids: str, table: DataFrame) -> DataFrame:
+    """(key, pos, dim, value): the embedding of each id in place. Each distinct id is looked up once, then handed to all its places."""
+    flat = df.select(key, F.posexplode(ids).alias("pos", "id"))
+    found = flat.select("id").distinct().join(table, "id")
+    return flat.join(found, "id").select(key, "pos", "dim", "value")
+
+
+def dense_to_sparse(df: DataFrame, key: str, items: str, ignored: Column | None = None) -> DataFrame:
+    """(row, col, v) of an array column, without nulls and the ignored value."""
+    cells = df.select(F.col(key).alias("row"), F.posexplode(items).alias("col", "v")).where(F.col("v").isNotNull())
+    return cells if ignored is None else cells.where(F.col("v") != ignored)
+
+
+def parsing_spec(columns: dict[str, dict]) -> dict[str, dict]:
+    """For named feature columns, what to parse an example's features as: kind (bytes, floats, ints), size (None: any number) and default. Columns made of others bring those in.
+
+    A column is {"type": numeric, identity, hash, vocabulary, bucketized, crossed, indicator, embedding or weighted, ...}; ``of`` names its source or sources.
+    """
+    out: dict[str, dict] = {}
+
+    def add(name: str, column: dict) -> None:
+        kind = column["type"]
+        if kind in ("bucketized", "indicator", "embedding"):
+            add(column["of"], columns.get(column["of"], {"type": "numeric" if kind == "bucketized" else "vocabulary"}))
+        elif kind == "crossed":
+            for source in column["of"]:
+                add(source, columns.get(source, {"type": "hash"}))
+        elif kind == "weighted":
+            add(column["of"], columns.get(column["of"], {"type": "vocabulary"}))
+            out[column["weight"]] = {"kind": "floats", "size": None}
+        elif kind == "numeric":
+            spec = {"kind": "floats", "size": column.get("size", 1)}
+            out[name] = spec | ({"default": column["default"]} if "default" in column else {})
+        elif kind == "identity":
+            out[name] = {"kind": "ints", "size": None}
+        elif kind in ("hash", "vocabulary"):
+            out[name] = {"kind": column.get("kind", "bytes"), "size": None}
+        else:
+            raise ValueError(f"unknown feature column {kind}")
+
+    for name, column in columns.items():
+        add(name, column)
+    return out
+
+
+def parsed(example: Column, spec: dict[str, dict]) -> list[Column]:
+    """The features of an example column as ``parsing_spec`` says."""
+    from rillflow.functions import examples
+
+    out = []
+    for name, want in spec.items():
+        if want["size"] is None:
+            out.append(examples.ragged(example, name, want["kind"]).alias(name))
+        else:
+            out.append(examples.dense(example, name, want["kind"], want["size"], F.lit(want["default"]).cast("float") if "default" in want else None).alias(name))
+    return out

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Fixed values of the packed-base format: three bits a base, 21 bases a word, and a mark after the last base.
 BASES = {"A": 0, "C": 1, "T": 2, "G": 3, "N": 4}
@@ -55,16 +54,44 @@ def unpack_bases(words: list[int]) -> str:
     raise ValueError("no end mark")
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def encode_bases(bases: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for series in bases:
-        yield series.map(lambda b: None if b is None else pack_bases(b))
+def encode_bases(bases: Column | str) -> Column:
+    """The words of a read, as ``pack_bases``, within the JVM."""
+    bases = F.col(bases) if isinstance(bases, str) else bases
+    upper = F.upper(bases)
+    letters = "".join(BASES)
+    digits = F.translate(upper, letters, "".join(str(BASES[c]) for c in letters))
+    checked = F.when(upper.rlike(f"^[{letters}]*$"), F.concat(digits, F.lit(str(END)))).otherwise(F.raise_error(F.concat(F.lit("not a base in "), bases)).cast("string"))
+    codes = F.transform(F.filter(F.split(checked, ""), lambda c: c != ""), lambda c: c.cast("long"))
+    words = F.transform(F.sequence(F.lit(0), F.floor((F.size(codes) - 1) / BASES_A_WORD).cast("int")), lambda k: F.slice(codes, k * BASES_A_WORD + 1, BASES_A_WORD))
+    joined = lambda word: F.aggregate(F.reverse(word), F.lit(0).cast("long"), lambda s, c: F.shiftleft(s, 3).bitwiseOR(c))
+    return F.when(bases.isNotNull(), F.transform(words, joined))
+
+
+def decode_bases(words: Column | str) -> Column:
+    """The read of packed words; one without an end mark is an error."""
+    words = F.col(words) if isinstance(words, str) else words
+    codes = F.flatten(F.transform(words, lambda w: F.transform(F.array(*map(F.lit, range(0, 3 * BASES_A_WORD, 3))), lambda k: F.call_function("shiftrightunsigned", w, k).bitwiseAND(7).cast("int"))))
+    end = F.array_position(codes, F.lit(END))
+    length = F.when(end > 0, end - 1).otherwise(F.raise_error(F.lit("no end mark")).cast("long"))
+    letters = F.array(*map(F.lit, BASES))
+    return F.when(words.isNotNull(), F.array_join(F.transform(F.slice(codes, F.lit(1), length.cast("int")), lambda c: F.element_at(letters, c + 1)), ""))
+
 
+def packed_bytes(words: Column) -> Column:
+    """The words as bytes, least first: what a column of packed bases stores."""
+    swapped = lambda w: F.array_join(F.reverse(F.filter(F.split(F.regexp_replace(F.lpad(F.hex(w), 16, "0"), "(..)", "$1 "), " "), lambda x: x != "")), "")
+    return F.unhex(F.array_join(F.transform(words, swapped), ""))
 
-@F.pandas_udf(T.StringType())
-def decode_bases(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for series in words:
-        yield series.map(lambda w: None if w is None else unpack_bases([int(x) for x in w]))
+
+def convert_reads(df: DataFrame, ordinal: str = "ordinal") -> DataFrame:
+    """(ordinal, bases, qual, meta) as the three columns of a dataset store them: bases packed, qualities and names as bytes."""
+    return df.select(ordinal, packed_bytes(encode_bases("bases")).alias("bases"), F.col("quals").cast("binary").alias("qual"), F.col("meta").cast("binary").alias("meta"))
+
+
+def convert_bases(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """A text column of bases, record by record, in its packed form, with each record's new length."""
+    packed = packed_bytes(encode_bases(F.col(payload).cast("string")))
+    return df.withColumn(payload, packed).withColumn("length", F.octet_length(payload))
 
 
 def two_bit(bases: Column) -> Column:
@@ -106,8 +133,134 @@ def assemble(bases: DataFrame, quals: DataFrame, meta: DataFrame | None = None,
     return out.join(meta, [*keys]) if meta is not None else out
 
 
-def results_index(df: DataFrame) -> DataFrame:
-    return df.select("ref_index", "position")
+#: Fixed order of an alignment's stored fields.
+ALIGNMENT = (("ref_index", "int"), ("position", "long"), ("mapping_quality", "int"), ("flag", "int"), ("cigar", "string"), ("next_ref_index", "int"), ("next_position", "long"), ("template_length", "long"))
+
+
+def alignment_result(fields: dict[str, Column]) -> Column:
+    """One alignment as a struct; fields not given are 0 or empty. A row without an alignment is null: a gap in its column."""
+    empty = {"string": F.lit("")}
+    whole = F.struct(*[F.coalesce(fields[n].cast(k), empty.get(k, F.lit(0)).cast(k)).alias(n) if n in fields else empty.get(k, F.lit(0)).cast(k).alias(n) for n, k in ALIGNMENT])
+    return F.when(fields["position"].isNotNull(), whole)
+
+
+def result_payload(result: Column) -> Column:
+    """The bytes that stand for a result in its column, fields in fixed order; no bytes for a gap."""
+    parts = [result[n].cast("string") for n, _ in ALIGNMENT]
+    return F.when(result.isNotNull(), F.concat_ws("\t", *parts).cast("binary")).otherwise(F.lit(b""))
+
+
+def parsed_payload(payload: Column) -> Column:
+    """The result that ``result_payload`` wrote; null for no bytes."""
+    parts = F.split(payload.cast("string"), "\t")
+    return F.when(F.octet_length(payload) > 0, F.struct(*[F.get(parts, F.lit(k)).cast(kind).alias(n) for k, (n, kind) in enumerate(ALIGNMENT)]))
+
+
+def results_index(df: DataFrame, result: str = "result", order: str = "ordinal") -> DataFrame:
+    """(ordinal, ref_index, position) of a column of results; gaps have none."""
+    return df.where(F.col(result).isNotNull()).select(order, F.col(f"{result}.ref_index").alias("ref_index"), F.col(f"{result}.position").alias("position"))
+
+
+def result_at(df: DataFrame, at: Column, result: str = "result", order: str = "ordinal") -> DataFrame:
+    """The result at a position of the column; an error where there is no such row."""
+    found = df.where(F.col(order) == at).agg(F.count(F.lit(1)).alias("_n"), F.first(result).alias(result))
+    return found.where(F.assert_true(F.col("_n") == 1, F.lit("no result at that position")).isNull()).select(result)
+
+
+def aligner_options(line: str) -> dict[str, str | bool]:
+    """Options of an aligner's command line: -name value, or -name alone for a switch."""
+    out: dict[str, str | bool] = {}
+    words = line.split()
+    for k, word in enumerate(words):
+        if word.startswith("-") and not word.lstrip("-").replace(".", "").isdigit():
+            follows = words[k + 1] if k + 1 < len(words) else "-"
+            out[word.lstrip("-")] = True if follows.startswith("-") and not follows.lstrip("-").replace(".", "").isdigit() else follows
+    return out
+
+
+def reverse_complement(bases: Column) -> Column:
+    return F.reverse(F.translate(F.upper(bases), "ACGT", "TGCA"))
+
+
+def genome_index(references: DataFrame, k: int, most_places: int = 300) -> DataFrame:
+    """(kmer, ref_index, position): where each run of k bases stands in the references (ref_index, bases), without those at more than ``most_places`` places, which tell nothing."""
+    n = F.length("bases") - k + 1
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    found = references.select("ref_index", "bases", F.explode(places).alias("position")).select(F.substr(F.upper("bases"), F.col("position") + 1, F.lit(k)).alias("kmer"), "ref_index", F.col("position").cast("long").alias("position"))
+    usual = found.groupBy("kmer").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= most_places).select("kmer")
+    return found.join(usual, "kmer", "left_semi")
+
+
+def candidates(reads: DataFrame, index: DataFrame, references: DataFrame, k: int, stride: int, most_mismatches: int) -> DataFrame:
+    """(ordinal, ref_index, position, reverse, mismatches): places where a read, or its reverse complement, stands with few mismatches. Seeds every ``stride`` bases meet the index; what they propose is compared base by base."""
+    both = reads.select("ordinal", F.explode(F.array(F.struct(F.lit(False).alias("reverse"), F.upper("bases").alias("seq")), F.struct(F.lit(True).alias("reverse"), reverse_complement(F.col("bases")).alias("seq")))).alias("s")).select("ordinal", "s.*")
+    last = F.length("seq") - k
+    seeds = both.where(last >= 0).select("*", F.explode(F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(stride)), F.array(last)))).alias("at")).withColumn("kmer", F.substr("seq", F.col("at") + 1, F.lit(k)))
+    proposed = seeds.join(index, "kmer").select("ordinal", "reverse", "seq", "ref_index", (F.col("position") - F.col("at")).alias("position")).where("position >= 0").distinct()
+    held = references.select(F.col("ref_index").alias("_r"), F.upper("bases").alias("_ref"))
+    there = proposed.join(held, F.col("ref_index") == F.col("_r")).withColumn("_there", F.substr("_ref", (F.col("position") + 1).cast("int"), F.length("seq"))).drop("_ref", "_r").where(F.length("_there") == F.length("seq"))
+    differ = F.aggregate(F.zip_with(F.split("seq", ""), F.split("_there", ""), lambda a, b: (a != b).cast("int")), F.lit(0), lambda s, x: s + x)
+    return there.select("ordinal", "ref_index", "position", "reverse", differ.alias("mismatches")).where(F.col("mismatches") <= most_mismatches)
+
+
+def align_single(reads: DataFrame, index: DataFrame, references: DataFrame, k: int, stride: int = 10, most_mismatches: int = 3, most_secondary: int = 0) -> DataFrame:
+    """(ordinal, rank, ref_index, position, flag, mapping_quality): the best place of each read (ordinal, bases), then up to ``most_secondary`` others. A read without a place comes once, unmapped.
+    The quality is 60 for a place without rival, 0 where another is as good, and 10 for each mismatch that the next one has more."""
+    found = candidates(reads, index, references, k, stride, most_mismatches)
+    window = Window.partitionBy("ordinal").orderBy("mismatches", "ref_index", "position", "reverse")
+    ranked = found.withColumns({"rank": F.row_number().over(window) - 1, "_next": F.lead("mismatches").over(window)})
+    quality = F.when(F.col("rank") > 0, 0).when(F.col("_next").isNull(), 60).otherwise(F.least(F.lit(60), 10 * (F.col("_next") - F.col("mismatches"))))
+    flags = F.when(F.col("reverse"), FLAGS["reverse"]).otherwise(0) + F.when(F.col("rank") > 0, FLAGS["secondary"]).otherwise(0)
+    placed = ranked.where(F.col("rank") <= most_secondary).select("ordinal", "rank", "ref_index", "position", flags.alias("flag"), quality.alias("mapping_quality"))
+    lost = reads.join(placed.select("ordinal").distinct(), "ordinal", "left_anti")
+    return placed.unionByName(lost.select("ordinal", F.lit(0).alias("rank"), F.lit(-1).alias("ref_index"), F.lit(-1).cast("long").alias("position"), F.lit(FLAGS["unmapped"]).alias("flag"), F.lit(0).alias("mapping_quality")))
+
+
+def insert_sizes(pairs: DataFrame) -> DataFrame:
+    """(low, high): mean inner distance of the pairs' (size) give or take four deviations: what a proper pair may measure. One row."""
+    return pairs.agg(F.avg("size").alias("m"), F.coalesce(F.stddev_pop("size"), F.lit(0.0)).alias("d")).select((F.col("m") - 4 * F.col("d") - 1).alias("low"), (F.col("m") + 4 * F.col("d") + 1).alias("high"))
+
+
+def align_paired(reads: DataFrame, index: DataFrame, references: DataFrame, k: int, stride: int = 10, most_mismatches: int = 3) -> DataFrame:
+    """(ordinal, ref_index, position, flag): reads in pairs, ordinals 2i and 2i + 1; an odd number of reads is an error. First the reads with one place each tell the usual distance, then each pair takes the
+    places of least mismatches on one reference, on opposite strands, within it; a pair without such places is aligned read by read."""
+    n = reads.agg(F.count(F.lit(1)).alias("n")).select(F.when(F.col("n") % 2 == 0, F.lit(True)).otherwise(F.raise_error(F.lit("an odd number of reads can't be paired")).cast("boolean")).alias("even"))
+    reads = reads.join(F.broadcast(n), F.col("even")).drop("even")
+    found = candidates(reads, index, references, k, stride, most_mismatches).withColumn("pair", F.floor(F.col("ordinal") / 2))
+    side = lambda odd, p: found.where(F.col("ordinal") % 2 == odd).select("pair", "ref_index", *[F.col(c).alias(p + c) for c in ("position", "reverse", "mismatches")])
+    met = side(0, "a_").join(side(1, "b_"), ["pair", "ref_index"]).where(F.col("a_reverse") != F.col("b_reverse")).withColumn("size", F.abs(F.col("a_position") - F.col("b_position")))
+    alone = found.groupBy("ordinal").agg(F.count(F.lit(1)).alias("c")).where("c = 1").groupBy(F.floor(F.col("ordinal") / 2).alias("pair")).agg(F.count(F.lit(1)).alias("c")).where("c = 2").select("pair")
+    bound = insert_sizes(met.join(alone, "pair", "left_semi"))
+    proper = met.join(F.broadcast(bound), (F.col("size") >= F.col("low")) & (F.col("size") <= F.col("high")))
+    best = proper.groupBy("pair").agg(F.min(F.struct((F.col("a_mismatches") + F.col("b_mismatches")).alias("m"), "size", "ref_index", "a_position", "b_position", "a_reverse", "b_reverse")).alias("s")).select("pair", "s.*")
+    common = FLAGS["paired"] + FLAGS["proper_pair"]
+    strand = lambda c, bit: F.when(F.col(c), FLAGS[bit]).otherwise(0)
+    one = best.select((F.col("pair") * 2).alias("ordinal"), "ref_index", F.col("a_position").alias("position"), (F.lit(common + FLAGS["first"]) + strand("a_reverse", "reverse") + strand("b_reverse", "next_reverse")).alias("flag"))
+    two = best.select((F.col("pair") * 2 + 1).alias("ordinal"), "ref_index", F.col("b_position").alias("position"), (F.lit(common + FLAGS["last"]) + strand("b_reverse", "reverse") + strand("a_reverse", "next_reverse")).alias("flag"))
+    rest = reads.join(one.unionByName(two).select("ordinal"), "ordinal", "left_anti")
+    single = align_single(rest, index, references, k, stride, most_mismatches).select("ordinal", "ref_index", "position", (F.col("flag") + FLAGS["paired"] + F.when(F.col("ordinal") % 2 == 0, FLAGS["first"]).otherwise(FLAGS["last"])).alias("flag"))
+    return one.unionByName(two).unionByName(single)
+
+
+def align_with(reads: DataFrame, aligner: Callable, schema: str, batch: int = 2048, paired: bool = False) -> DataFrame:
+    """What an external aligner gives for pandas frames of ``batch`` reads (a pair is never parted). ``aligner`` is called once a task to load its index and gives the function that aligns."""
+
+    def run(batches):
+        align, held = aligner(), None
+        for pdf in batches:
+            held = pdf if held is None else pd.concat([held, pdf])
+            while len(held) >= batch:
+                yield align(held.iloc[:batch])
+                held = held.iloc[batch:]
+        if held is not None and len(held):
+            if paired and len(held) % 2:
+                raise ValueError("an odd number of reads can't be paired")
+            yield align(held)
+
+    if paired and batch % 2:
+        raise ValueError("a batch of pairs is even")
+    dealt = reads.repartition(F.floor(F.col("ordinal") / 2)).sortWithinPartitions("ordinal") if paired else reads
+    return dealt.mapInPandas(run, schema)
 
 
 def mark_duplicates(df: DataFrame, signature: list[str], quality: str, order: str) -> DataFrame:
@@ -116,6 +269,11 @@ def mark_duplicates(df: DataFrame, signature: list[str], quality: str, order: st
     return df.withColumn("duplicate", F.row_number().over(window) > 1)
 
 
+def reference_lengths(references: DataFrame) -> DataFrame:
+    """(ref_index, name, length) of the references (ref_index, name, bases)."""
+    return references.select("ref_index", "name", F.length("bases").alias("length"))
+
+
 def references(df: DataFrame, name: str, order: str) -> DataFrame:
     """One row: the names of all references in order, joined by |."""
     return df.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(name).alias("_n")))), lambda x: x["_n"]), "|").alias("names"))

@@ -67,3 +67,61 @@ def band(coo: DataFrame, lower: int, upper: int) -> DataFrame:
 def row_slices(coo: DataFrame) -> DataFrame:
     """(row, cells): each row's cells in order, one row of the matrix a row."""
     return coo.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", "v"))).alias("cells"))
+
+
+def reordered(coo: DataFrame) -> DataFrame:
+    """The cells in row-major order, with their place ``at``."""
+    from rillflow.operators.ordering import numbered
+
+    return numbered(coo, ["row", "col"], "at")
+
+
+def split(coo: DataFrame, cols: int, parts: int) -> list[DataFrame]:
+    """``parts`` matrices of neighbouring columns; the first ones get one more where they don't divide evenly."""
+    small, extra = divmod(cols, parts)
+    out, at = [], 0
+    for k in range(parts):
+        width = small + (k < extra)
+        out.append(coo.where(F.col("col").between(at, at + width - 1)).select("row", (F.col("col") - at).alias("col"), "v"))
+        at += width
+    return out
+
+
+def serialized(coo: DataFrame, key: str) -> DataFrame:
+    """(key, cells): each sparse value as one array of (row, col, v), in order: a form to store."""
+    return coo.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("row", "col", "v"))).alias("cells"))
+
+
+def deserialized(stored: DataFrame, key: str, handles: DataFrame | None = None) -> DataFrame:
+    """(key, row, col, v); of stored values named by ``handles`` only, which may repeat: then (handle_pos, ...), and a handle without a value is an error."""
+    if handles is None:
+        return stored.select(key, F.explode("cells").alias("c")).select(key, "c.*")
+    found = handles.select("handle_pos", F.col(key).alias("_h")).join(stored.withColumn("_there", F.lit(True)), F.col("_h") == F.col(key), "left")
+    cells = F.when(F.col("_there"), F.col("cells")).otherwise(F.raise_error(F.lit("no value of that handle")))
+    return found.select("handle_pos", F.explode(cells).alias("c")).select("handle_pos", "c.*")
+
+
+def diag(vector: DataFrame) -> DataFrame:
+    """(row, col, v) of a diagonal matrix from (i, v)."""
+    return vector.select(F.col("i").alias("row"), F.col("i").alias("col"), "v")
+
+
+def diag_part(coo: DataFrame) -> DataFrame:
+    return coo.where(F.col("row") == F.col("col")).select(F.col("row").alias("i"), "v")
+
+
+def set_diag(coo: DataFrame, vector: DataFrame) -> DataFrame:
+    """With the diagonal replaced by ``vector`` (i, v) wherever it has a value."""
+    rest = coo.join(vector.select(F.col("i").alias("_i")), (F.col("row") == F.col("_i")) & (F.col("col") == F.col("_i")), "left_anti")
+    return rest.unionByName(diag(vector))
+
+
+def transposed(coo: DataFrame) -> DataFrame:
+    return coo.select(F.col("col").alias("row"), F.col("row").alias("col"), "v")
+
+
+def times_dense(coo: DataFrame, dense: DataFrame, how: str = "mul") -> DataFrame:
+    """Cell by cell with a dense matrix (row, col, d): mul, div or add, at the cells that ``coo`` has."""
+    met = coo.join(dense, ["row", "col"])
+    v = {"mul": F.col("v") * F.col("d"), "div": F.col("v") / F.col("d"), "add": F.col("v") + F.col("d")}[how]
+    return met.select("row", "col", v.alias("v"))

@@ -55,15 +55,43 @@ def skip(df: DataFrame, count: int, order: list[str]) -> DataFrame:
     return df.limit(0) if count < 0 else numbered(df, order, "_pos").where(F.col("_pos") >= count).drop("_pos")
 
 
-def interleave(frames: list[DataFrame], orders: list[list[str]], block_length: int = 1) -> DataFrame:
-    """Blocks of ``block_length`` rows from each frame in turn, all frames in one cycle; ``round``, ``slot`` and ``inner`` are the order."""
+def interleave(frames: list[DataFrame], orders: list[list[str]], block_length: int = 1, cycle_length: int | None = None) -> DataFrame:
+    """Blocks of ``block_length`` rows from each frame in turn; ``round``, ``slot`` and ``inner`` are the order.
+
+    ``cycle_length`` frames are open at a time (all, if None). When one is used up, the next frame takes its slot at the next turn of that slot: a slot's frames follow each other, each from
+    the round after the last one's. Which frames a slot gets depends on their lengths alone, so the rows needn't be walked: lengths are counted, one row a frame.
+    """
+    width = len(frames) if cycle_length is None else min(cycle_length, len(frames))
+    if width < 1 or block_length < 1:
+        raise ValueError("cycle_length and block_length are 1 or more")
+    if width == len(frames):
+        starts = [(slot, 0) for slot in range(width)]
+    else:
+        counted = None
+        for k, frame in enumerate(frames):
+            one = frame.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("k"), "n")
+            counted = one if counted is None else counted.union(one)
+        rounds = {r.k: -(-r.n // block_length) for r in counted.collect()}
+        free, starts = [(0, slot) for slot in range(width)], []
+        for k in range(len(frames)):  # the slot that comes free first takes the next frame
+            begin, slot = min(free)
+            starts.append((slot, begin))
+            free[free.index((begin, slot))] = (begin + rounds[k], slot)
     out = None
-    for slot, (frame, order) in enumerate(zip(frames, orders, strict=True)):
-        part = numbered(frame, order, "_pos").withColumns({"round": F.floor(F.col("_pos") / block_length), "slot": F.lit(slot), "inner": F.col("_pos") % block_length}).drop("_pos")
+    for (slot, begin), frame, order in zip(starts, frames, orders, strict=True):
+        part = numbered(frame, order, "_pos").withColumns({"round": F.floor(F.col("_pos") / block_length) + begin, "slot": F.lit(slot), "inner": F.col("_pos") % block_length}).drop("_pos")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def sloppy_interleave(frames: list[DataFrame]) -> DataFrame:
+    """The rows of all frames as they come, with no promise of order and none of its cost."""
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
+    return out
+
+
 def filter_by_last(df: DataFrame) -> DataFrame:
     """Keeps the rows whose last column, a boolean, is true, and drops that column."""
     last = df.columns[-1]
@@ -118,3 +146,92 @@ def assert_plan(df: DataFrame, *present: str, absent: tuple[str, ...] = ()) -> D
     if found := [x for x in absent if x in plan]:
         raise AssertionError(f"in the plan: {found}")
     return df
+
+
+def map_and_batch(df: DataFrame, value: Column, size: int, order: list[str], drop_remainder: bool = False) -> DataFrame:
+    """(batch, items, n): a map and a batch in one plan; the map runs before the rows are gathered, in the stage that reads them."""
+    from rillflow.operators.window import batch
+
+    return batch(df.select(*order, value.alias("_mapped")), size, order, "_mapped", drop_remainder)
+
+
+def cached(df: DataFrame, path: str | None = None, overwrite: bool = False) -> DataFrame:
+    """``df`` computed once: kept by Spark (memory, then disk), or written to ``path`` as Parquet. What stands at ``path`` already is read, unless it is to be overwritten."""
+    if path is None:
+        return df.persist()
+    spark = df.sparkSession
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if overwrite or not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def identity(df: DataFrame) -> DataFrame:
+    """``df`` itself: what passes values through, copies them or stops gradients changes no row."""
+    return df
+
+
+def apply_python(df: DataFrame, function: Callable, returns: str, *columns: str, name: str = "value") -> DataFrame:
+    """``df`` with ``name``: a Python function of pandas series, a batch at a time."""
+    return df.withColumn(name, F.pandas_udf(function, returns)(*columns))
+
+
+def map_elements(items: Column, function: Callable[[Column], Column]) -> Column:
+    """A function over the elements of an array, as an expression."""
+    return F.transform(items, function)
+
+
+def while_loop(df: DataFrame, condition: Column, step: Callable[[DataFrame], DataFrame], limit: int) -> DataFrame:
+    """Applies ``step`` to the rows for which ``condition`` holds, as long as there are any; ``limit`` rounds at most, more are an error. Each round is one plan, cut by a checkpoint where a folder is set."""
+    from rillflow.session import cut
+
+    done, open_ = None, df
+    for _ in range(limit):
+        open_ = cut(open_)
+        finished = open_.where(~F.coalesce(condition, F.lit(False)))
+        done = finished if done is None else done.unionByName(finished)
+        open_ = open_.where(condition)
+        if open_.isEmpty():
+            return done
+        open_ = step(open_)
+    raise RuntimeError(f"the loop didn't end in {limit} rounds")
+
+
+def if_else(df: DataFrame, condition: Column, then: Callable[[DataFrame], DataFrame], otherwise: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``then`` of the rows for which the condition holds, ``otherwise`` of the others."""
+    holds = F.coalesce(condition, F.lit(False))
+    return then(df.where(holds)).unionByName(otherwise(df.where(~holds)))
+
+
+def for_loop(df: DataFrame, start: int, stop: int, step: int, body: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    for k in range(start, stop, step):
+        df = body(df, k)
+    return df
+
+
+def call_remote(df: DataFrame, client: Callable[[list[bytes]], list[bytes]], request: str, name: str = "response", errors: bool = False) -> DataFrame:
+    """``df`` with what a service answers to each request (bytes), a batch of requests a call. ``errors``: instead of failing, a call's message stands in ``status``."""
+    from pyspark.sql import types as T
+
+    added = [T.StructField(name, T.BinaryType()), *([T.StructField("status", T.StringType())] if errors else [])]
+    schema = T.StructType([*df.schema.fields, *added])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            asked, status = batch.column(request).to_pylist(), None
+            try:
+                answers = client(asked)
+                if len(answers) != len(asked):
+                    raise ValueError("the service gave another number of answers")
+            except Exception as e:
+                if not errors:
+                    raise
+                answers, status = [None] * len(asked), str(e)
+            columns = [*batch.columns, pa.array(answers, pa.binary())]
+            if errors:
+                columns.append(pa.array([status] * len(asked), pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return df.mapInArrow(run, schema)

@@ -47,24 +47,29 @@ def scatter_update(t: Tables) -> DataFrame:
     return J.scatter(change, t.customer.select("c_custkey", "c_acctbal"), "o_custkey", "c_acctbal", "c_custkey", "update")
 
 
-COO = "with e as (select vec_id, j - 1 as k, cast(round(embedding[j] * 100) as bigint) as v from embeddings, unnest(range(1, 9)) as u(j) where vec_id < 20)"
+#: Vectors as the rows of a sparse matrix, their components in hundredths; and a matrix of weights, 64 by 8.
+COO = "with e as (select vec_id, (j - 1)::int as k, cast(round(embedding[j]::double * 100) as bigint) as v from embeddings, unnest(range(1, 65)) as u(j)), w as (select k.range as k, j.range as j, (3 * k.range + 5 * j.range) % 7 - 3 as v from range(64) k, range(8) j)"
 
 
 def coo(t: Tables) -> DataFrame:
-    scaled = F.transform(F.slice("embedding", 1, 8), lambda x: F.round(x * 100).cast("long"))
-    return t.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("i"), F.posexplode(scaled).alias("k", "v"))
+    scaled = F.transform("embedding", lambda x: F.round(x.cast("double") * 100).cast("long"))
+    return t.embeddings.select(F.col("vec_id").alias("i"), F.posexplode(scaled).alias("k", "v"))
 
 
-@query(COO + " select a.vec_id as i, b.vec_id as j, sum(a.v * b.v)::bigint as v from e a join e b on a.k = b.k group by 1, 2")
+def weights(t: Tables) -> DataFrame:
+    cells = t.spark.range(512).select(F.floor(F.col("id") / 8).cast("int").alias("k"), (F.col("id") % 8).alias("j"))
+    return cells.withColumn("v", (3 * F.col("k") + 5 * F.col("j")) % 7 - 3)
+
+
+@query(COO + " select vec_id as i, j, sum(e.v * w.v)::bigint as v from e join w on e.k = w.k group by 1, 2")
 def coo_matmul(t: Tables) -> DataFrame:
-    return J.coo_matmul(coo(t), coo(t).select("k", F.col("i").alias("j"), "v"))
+    return J.coo_matmul(coo(t), weights(t))
 
 
-@query(COO + " select a.vec_id as i, b.vec_id as j, sum(a.v * b.v)::bigint as v from e a join e b on a.k = b.k where (a.vec_id + b.vec_id) % 7 = 0 group by 1, 2")
+@query(COO + " select vec_id as i, j, sum(e.v * w.v)::bigint as v from e join w on e.k = w.k where (vec_id + j) % 7 = 0 group by 1, 2")
 def masked_matmul(t: Tables) -> DataFrame:
-    ids = t.embeddings.where("vec_id < 20").select("vec_id")
-    mask = ids.select(F.col("vec_id").alias("i"), F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long")), lambda j: (j + F.col("vec_id")) % 7 == 0)).alias("j"))
-    return J.masked_matmul(coo(t), coo(t).select("k", F.col("i").alias("j"), "v"), mask)
+    columns = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long")), lambda j: (j + F.col("vec_id")) % 7 == 0)
+    return J.masked_matmul(coo(t), weights(t), t.embeddings.select(F.col("vec_id").alias("i"), F.explode(columns).alias("j")))
 
 
 @query("select c_custkey, concat_ws('_X_', s, n) as cross from (select c_custkey, unnest([c_mktsegment, 'ANY']) as s, c_nationkey::varchar as n from customer)")
@@ -169,26 +174,115 @@ def dynamic_stitch(t: Tables) -> DataFrame:
 
 
 @query("""
-with c as (select event_id, (event_id % 2)::int as f from events where event_id < 40), w as (select row_number() over (order by event_id) - 1 as "at", f, row_number() over (partition by f order by event_id) - 1 as turn from c),
-r as (select 0 as f, n_name as name, row_number() over (order by n_nationkey) - 1 as turn from nation union all select 1, s_name, row_number() over (order by s_suppkey) - 1 from supplier)
+with c as (select event_id, (event_id % 2)::int as f from events), w as (select row_number() over (order by event_id) - 1 as "at", f, row_number() over (partition by f order by event_id) - 1 as turn from c),
+r as (select 0 as f, c_name as name, row_number() over (order by c_custkey) - 1 as turn from customer union all select 1, s_name, row_number() over (order by s_suppkey) - 1 from supplier)
 select "at", w.f as frame, name from w join r on w.f = r.f and w.turn = r.turn
 """)
 def choose_from(t: Tables) -> DataFrame:
-    frames = [t.nation.select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("k")), t.supplier.select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("k"))]
-    choices = t.events.where("event_id < 40").select("event_id", (F.col("event_id") % 2).cast("int").alias("c"))
+    frames = [t.customer.select(F.col("c_name").alias("name"), F.col("c_custkey").alias("k")), t.supplier.select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("k"))]
+    choices = t.events.select("event_id", (F.col("event_id") % 2).cast("int").alias("c"))
     return sets.choose_from(frames, [["k"], ["k"]], choices, "c", ["event_id"]).select("at", "frame", "name")
 
 
-@query("select 1 as ok")
+@query(f"with l as (select doc_id, quality, {MD5.format('concat_ws($$:$$, 3, doc_id)')} as d from labels) select doc_id, quality from l where d < (case quality when 0 then 4294967296 else floor(4294967296 * 0.5)::bigint end)")
 def rejection_resample(t: Tables) -> DataFrame:
-    """Labels come in the shares asked for, within a few hundredths."""
-    share = t.labels.agg(F.avg("quality").alias("q")).first()["q"] or 0.5
-    kept = sets.rejection_resample(t.labels, "quality", {0: 0.5, 1: 0.5}, {0: 1 - share, 1: share}, 3, ["doc_id"])
-    return kept.agg((F.abs(F.avg("quality") - 0.5) < 0.12).cast("int").alias("ok"))
+    """From shares of 1/3 and 2/3, as they are said to be, to equal ones."""
+    return sets.rejection_resample(t.labels.select("doc_id", "quality"), "quality", {0: 0.5, 1: 0.5}, {0: 1 / 3, 1: 2 / 3}, 3, ["doc_id"])
 
 
-@query("select 1 as ok")
+@query(f"""
+with r as (select 0 as frame, o_orderkey as k, row_number() over (order by o_orderkey) - 1 as turn, 1.0 as w from orders union all select 1, c_custkey, row_number() over (order by c_custkey) - 1, 0.25 from customer),
+ d as (select *, sum(floor(-ln(({MD5.format('concat_ws($$:$$, 5, frame, turn)')} + 0.5) / 4294967296) * (1048576 / w))::bigint) over (partition by frame order by turn) as due from r)
+select frame, k, turn, row_number() over (order by due, frame, turn) - 1 as "at" from d
+""")
 def sample_from(t: Tables) -> DataFrame:
-    kept = sets.sample_from([t.orders.select("o_orderkey"), t.orders.select("o_orderkey")], [1.0, 0.25], 5, ["o_orderkey"])
-    counts = kept.agg(F.count_if(F.col("frame") == 0).alias("a"), F.count_if(F.col("frame") == 1).alias("b"))
-    return counts.select((F.abs(F.col("b") / F.col("a") - 0.25) < 0.05).cast("int").alias("ok"))
+    frames = [t.orders.select(F.col("o_orderkey").alias("k")), t.customer.select(F.col("c_custkey").alias("k"))]
+    return sets.sample_from(frames, [["k"], ["k"]], [1.0, 0.25], 5)
+
+
+@query("select k, p_partkey, p_size from (select range as k, (range * 37) % 100 as a, range % 2 as b from range(300)) i join (select p_partkey, p_size, (row_number() over (order by p_partkey) - 1) // 2 as x, (row_number() over (order by p_partkey) - 1) % 2 as y from part) p on i.a = p.x and i.b = p.y")
+def gather_nd(t: Tables) -> DataFrame:
+    wanted = t.spark.range(300).select(F.col("id").alias("k"), (F.col("id") * 37 % 100).alias("a"), (F.col("id") % 2).alias("b"))
+    placed = numbered(t.part.select("p_partkey", "p_size"), ["p_partkey"])
+    params = placed.select("p_partkey", "p_size", F.floor(F.col("pos") / 2).alias("x"), (F.col("pos") % 2).alias("y"))
+    return J.gather_nd(wanted, params, ["a", "b"], ["x", "y"]).select("k", "p_partkey", "p_size")
+
+
+SCATTERED = "select n_nationkey, coalesce({0}, v) as v from (select n_nationkey, 100.0 + n_nationkey as v from nation) left join (select s_nationkey, {1} as c from (select s_nationkey, 1.0 + s_suppkey % 3 as x from supplier) group by 1) on s_nationkey = n_nationkey"
+
+
+def scattered(t: Tables, how: str) -> DataFrame:
+    base = t.nation.select("n_nationkey", (F.lit(100.0) + F.col("n_nationkey")).alias("v"))
+    change = t.supplier.select("s_nationkey", (F.lit(1.0) + F.col("s_suppkey") % 3).alias("v"))
+    return J.scatter(change, base, "s_nationkey", "v", "n_nationkey", how)
+
+
+@query("select n_nationkey, round(v::double, 4) as v from (" + SCATTERED.format("v * c", "product(x)") + ")")
+def scatter_mul(t: Tables) -> DataFrame:
+    return scattered(t, "mul").select("n_nationkey", F.round("v", 4).alias("v"))
+
+
+@query("select n_nationkey, round(v::double, 9) as v from (" + SCATTERED.format("v / c", "product(x)") + ")")
+def scatter_div(t: Tables) -> DataFrame:
+    return scattered(t, "div").select("n_nationkey", F.round("v", 9).alias("v"))
+
+
+@query("select n_nationkey, v::double as v from (" + SCATTERED.format("v - c", "sum(x)") + ")")
+def scatter_sub(t: Tables) -> DataFrame:
+    return scattered(t, "sub")
+
+
+@query("select n_nationkey, v::double as v from (" + SCATTERED.format("least(v, c)", "min(x)") + ")")
+def scatter_min(t: Tables) -> DataFrame:
+    return scattered(t, "min")
+
+
+@query("select n_nationkey, v::double as v from (" + SCATTERED.format("greatest(v, c)", "max(x)") + ")")
+def scatter_max(t: Tables) -> DataFrame:
+    return scattered(t, "max")
+
+
+@query("select r.range as position, coalesce(v, 0)::bigint as value from range(30) r left join (select s_nationkey as k, sum(s_suppkey) as v from supplier group by 1) on k = r.range")
+def scatter_nd(t: Tables) -> DataFrame:
+    return J.scatter_nd(t.supplier, "s_nationkey", "s_suppkey", 30)
+
+
+@query("with t as (select r_regionkey as key, r_name as value from region where r_regionkey <> 2 and r_regionkey <> 3 union all select 3, 'new' union all select 9, 'far') select n_nationkey, coalesce(value, '-') as found from nation left join t on n_regionkey = key")
+def mutable_table(t: Tables) -> DataFrame:
+    rows = t.region.select(F.col("r_regionkey").cast("long").alias("key"), F.col("r_name").alias("value"))
+    extra = t.spark.createDataFrame([(3, "old", 0), (3, "new", 1), (9, "far", 0)], "key long, value string, ord int")
+    table = J.MutableTable(rows).insert(extra, "ord").remove(t.spark.createDataFrame([(2,)], "key long"))
+    return table.find(t.nation.select("n_nationkey", F.col("n_regionkey").cast("long").alias("r")), "r", F.lit("-")).select("n_nationkey", "found")
+
+
+@query("select 6::bigint as n")
+def mutable_table_size(t: Tables) -> DataFrame:
+    rows = t.region.select(F.col("r_regionkey").cast("long").alias("key"), F.col("r_name").alias("value"))
+    return J.MutableTable(rows).insert(t.spark.createDataFrame([(9, "far"), (0, "x")], "key long, value string")).size()
+
+
+@query("select a.p_partkey as a, b.p_partkey as b from part a join part b on a.p_retailprice < b.p_retailprice + 1 and b.p_retailprice < a.p_retailprice + 2 and a.p_size = 1 and b.p_size = 2")
+def interval_join(t: Tables) -> DataFrame:
+    side = lambda size, p, width: t.part.where(f"p_size = {size}").select(F.col("p_partkey").alias(p), F.col("p_retailprice").alias(f"{p}_from"), (F.col("p_retailprice") + width).alias(f"{p}_to"))
+    return J.interval_join(side(1, "a", 2), side(2, "b", 1), ("a_from", "b_from"), ("a_to", "b_to"), 10.0).select("a", "b")
+
+
+@query("select n_nationkey, r_regionkey from nation join region on n_regionkey < r_regionkey and n_nationkey % 2 = 0")
+def theta_join(t: Tables) -> DataFrame:
+    return J.theta_join(t.nation, t.region, (F.col("n_regionkey") < F.col("r_regionkey")) & (F.col("n_nationkey") % 2 == 0)).select("n_nationkey", "r_regionkey")
+
+
+KINDS = "with a as (select distinct user_id, event_type from events where event_id % 2 = 0), b as (select distinct user_id, event_type from events where event_id % 3 = 0) "
+
+
+@query(KINDS + "select * from a union select * from b")
+def sparse_set_union(t: Tables) -> DataFrame:
+    e = t.events.select("user_id", "event_type", "event_id")
+    return sets.sparse_set_operation(e.where("event_id % 2 = 0"), e.where("event_id % 3 = 0"), ["user_id"], "event_type", "union")
+
+
+@query(KINDS + "select * from a except select * from b")
+def dense_to_sparse_set_difference(t: Tables) -> DataFrame:
+    e = t.events.select("user_id", "event_type", "event_id")
+    dense = e.where("event_id % 2 = 0").groupBy("user_id").agg(F.collect_list("event_type").alias("kinds"))
+    return sets.dense_to_sparse_set_operation(dense, "kinds", e.where("event_id % 3 = 0"), ["user_id"], "event_type", "a-b")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.operators import aggregate as A
+from rillflow.operators import metrics as MT
 from rillflow.queries.registry import Tables, query
 
 
@@ -112,10 +113,12 @@ def argmin_by_group(t: Tables) -> DataFrame:
 
 @query("select l_returnflag, v as l_extendedprice from (select l_returnflag, l_extendedprice as v, row_number() over (partition by l_returnflag order by l_extendedprice, l_orderkey, l_linenumber) - 1 as i from lineitem) where i = 10")
 def nth_element(t: Tables) -> DataFrame:
-    from rillflow.operators.ordering import numbered
+    return A.nth_element(t.lineitem.select("l_returnflag", "l_extendedprice", "l_orderkey", "l_linenumber"), ["l_returnflag"], "l_extendedprice", 10, ["l_orderkey", "l_linenumber"])
+
 
-    rows = numbered(t.lineitem.select("l_returnflag", "l_extendedprice", "l_orderkey", "l_linenumber"), ["l_extendedprice", "l_orderkey", "l_linenumber"], "i", partition=["l_returnflag"])
-    return rows.where("i = 10").select("l_returnflag", "l_extendedprice")
+@query("select l_returnflag, v as l_extendedprice from (select l_returnflag, l_extendedprice as v, row_number() over (partition by l_returnflag order by l_extendedprice desc, l_orderkey desc, l_linenumber desc) - 1 as i from lineitem) where i = 3")
+def nth_element_reverse(t: Tables) -> DataFrame:
+    return A.nth_element(t.lineitem.select("l_returnflag", "l_extendedprice", "l_orderkey", "l_linenumber"), ["l_returnflag"], "l_extendedprice", 3, ["l_orderkey", "l_linenumber"], reverse=True)
 
 
 @query("select l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 4) as q0, round(quantile_cont(l_extendedprice, 0.5), 4) as q1, round(quantile_cont(l_extendedprice, 0.9), 4) as q2 from lineitem group by 1")
@@ -138,9 +141,45 @@ def confusion_matrix(t: Tables) -> DataFrame:
     return A.confusion_matrix(t.labels, "quality", "toxic")
 
 
-@query("select round(avg((quality = toxic)::int), 6) as accuracy, count(*) as n from labels")
+@query("select round(avg((quality = toxic)::int), 6) as accuracy, count(*)::double as n from labels")
 def accuracy(t: Tables) -> DataFrame:
-    return t.labels.agg(F.round(F.avg((F.col("quality") == F.col("toxic")).cast("int")), 6).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    return MT.accuracy(t.labels, "quality", "toxic").select(F.round("accuracy", 6).alias("accuracy"), "n")
+
+
+CELLS = "with c as (select count(*) filter (a and b)::double as tp, count(*) filter (not a and b)::double as fp, count(*) filter (a and not b)::double as fn, count(*) filter (not a and not b)::double as tn from (select l_quantity > 25 as a, l_extendedprice > 40000 as b from lineitem)) "
+
+
+@query(CELLS + "select tp, fp, fn, tn, round(tp / (tp + fp), 9) as precision, round(tp / (tp + fn), 9) as recall, round(2 * tp / (2 * tp + fp + fn), 9) as f1 from c")
+def precision_recall(t: Tables) -> DataFrame:
+    found = MT.precision_recall(t.lineitem, F.col("l_quantity") > 25, F.col("l_extendedprice") > 40000)
+    return found.select("tp", "fp", "fn", "tn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("with s as (select l_extendedprice as x, count(*) filter (l_quantity > 25) as p, count(*) filter (l_quantity <= 25) as n from lineitem group by 1), r as (select *, sum(n) over (order by x) - n as below from s) select round(sum(p * (below + n / 2.0)) / (sum(p) * sum(n)), 9)::double as auc from r")
+def auc(t: Tables) -> DataFrame:
+    return MT.auc(t.lineitem, F.col("l_quantity") > 25, "l_extendedprice").select(F.round("auc", 9).alias("auc"))
+
+
+@query("with l as (select l_linenumber as a, least(7, 1 + l_quantity::int // 8) as b from lineitem), k as (select distinct a as c from l union select distinct b from l) select round(avg((select count(*) from l where a = c and b = c) / (select count(*) from l where a = c or b = c)), 9) as mean_iou from k")
+def mean_iou(t: Tables) -> DataFrame:
+    rows = t.lineitem.select(F.col("l_linenumber").cast("long").alias("a"), F.least(F.lit(7).cast("long"), 1 + F.floor(F.rint("l_quantity") / 8)).alias("b"))
+    return MT.mean_iou(rows, "a", "b").select(F.round("mean_iou", 9).alias("mean_iou"))
+
+
+@query("with e as (select o_totalprice as y, o_custkey * 100.0 as p from orders) select round(avg((y - p) * (y - p)), 2) as mse, round(sqrt(avg((y - p) * (y - p))), 5) as rmse, round(avg(abs(y - p)), 5) as mae, round(1 - avg((y - p) * (y - p)) / var_pop(y), 6) as r2 from e")
+def regression_metrics(t: Tables) -> DataFrame:
+    found = MT.regression(t.orders.select("o_totalprice", (F.col("o_custkey") * 100.0).alias("p")), "o_totalprice", "p")
+    return found.select(F.round("mse", 2).alias("mse"), F.round("rmse", 5).alias("rmse"), F.round("mae", 5).alias("mae"), F.round("r2", 6).alias("r2"))
+
+
+@query("select round(avg(((select count(*) from unnest(embedding) as u(p) where p > embedding[label + 1]) < 8)::int), 9) as accuracy from embeddings")
+def top_k_accuracy(t: Tables) -> DataFrame:
+    return MT.top_k_accuracy(t.embeddings, F.col("embedding"), F.col("label"), 8).select(F.round("accuracy", 9).alias("accuracy"))
+
+
+@query("with c as (select l_suppkey, count(*)::double as n from lineitem group by 1) select round(ln(sum(n)) - sum(n * ln(n)) / sum(n), 9) as entropy from c")
+def entropy(t: Tables) -> DataFrame:
+    return MT.entropy(t.lineitem, "l_suppkey").select(F.round("entropy", 9).alias("entropy"))
 
 
 JOINED = "orders join customer on o_custkey = c_custkey"
@@ -201,3 +240,63 @@ def invert_permutation(t: Tables) -> DataFrame:
     from rillflow.operators.sort import inverted
 
     return inverted(numbered(t.customer.select(F.col("c_custkey").alias("value")), ["value"], "position"), "position", "value")
+
+
+SORTED = "with r as (select (row_number() over (order by o_orderkey) - 1) // 3 * 2 as segment, o_custkey::double as v from orders), g as (select segment, {0} as value from r group by 1) select s.range as segment, coalesce(value, 0)::double as value from range((select max(segment) + 1 from r)) s left join g on g.segment = s.range"
+
+
+def sorted_rows(t: Tables) -> DataFrame:
+    """Orders by threes, every second segment empty."""
+    from rillflow.operators.ordering import numbered
+
+    placed = numbered(t.orders.select("o_orderkey", F.col("o_custkey").cast("double").alias("v")), ["o_orderkey"])
+    return placed.select("o_orderkey", "v", (F.floor(F.col("pos") / 3) * 2).alias("segment"))
+
+
+@query(SORTED.format("sum(v)"))
+def segment_sum(t: Tables) -> DataFrame:
+    return A.sorted_segment(sorted_rows(t), "segment", "v", "sum", ["o_orderkey"])
+
+
+@query("select segment, round(value, 6) as value from (" + SORTED.format("avg(v)") + ")")
+def segment_mean(t: Tables) -> DataFrame:
+    return A.sorted_segment(sorted_rows(t), "segment", "v", "mean", ["o_orderkey"]).select("segment", F.round("value", 6).alias("value"))
+
+
+@query("select segment, round(value, 3) as value from (" + SORTED.format("product(v)") + ")")
+def segment_prod(t: Tables) -> DataFrame:
+    return A.sorted_segment(sorted_rows(t), "segment", "v", "prod", ["o_orderkey"]).select("segment", F.round("value", 3).alias("value"))
+
+
+@query(SORTED.format("min(v)"))
+def segment_min(t: Tables) -> DataFrame:
+    return A.sorted_segment(sorted_rows(t), "segment", "v", "min", ["o_orderkey"])
+
+
+@query(SORTED.format("max(v)"))
+def segment_max(t: Tables) -> DataFrame:
+    return A.sorted_segment(sorted_rows(t), "segment", "v", "max", ["o_orderkey"])
+
+
+@query("select s.range as segment, coalesce(v, 0)::double as value from range(150) s left join (" + SPARSE.format(agg="sum(p_retailprice)").replace("round(sum(p_retailprice), 4) as value", "round(sum(p_retailprice), 4) as v") + ") g on g.segment = s.range")
+def sparse_segment_sum_dense(t: Tables) -> DataFrame:
+    found = A.sparse_segment(t.lineitem, t.part, "l_partkey", "l_suppkey", "p_partkey", "p_retailprice", "sum", 150)
+    return found.select("segment", F.round("value", 4).alias("value"))
+
+
+@query("""
+with m as (select l_returnflag, l_extendedprice as v, sum(l_quantity) as w from lineitem where l_quantity > 0 group by 1, 2),
+     c as (select *, sum(w) over (partition by l_returnflag order by v) as up, sum(w) over (partition by l_returnflag) as total from m)
+select l_returnflag, min(v) filter (up >= 0.1 * total) as q0, min(v) filter (up >= 0.9 * total) as q1 from c group by 1
+""")
+def weighted_quantiles(t: Tables) -> DataFrame:
+    return A.weighted_quantiles(t.lineitem, ["l_returnflag"], "l_extendedprice", "l_quantity", [0.1, 0.9])
+
+
+@query("select count(*) as n, max(o_orderkey) as top, round(avg(o_totalprice), 4) as mean from orders")
+def observed_metrics(t: Tables) -> DataFrame:
+    """The counters that a pass over the rows leaves behind."""
+    df, watch = A.observed(t.orders, "orders", n=F.count(F.lit(1)), top=F.max("o_orderkey"), mean=F.round(F.avg("o_totalprice"), 4))
+    df.write.format("noop").mode("overwrite").save()
+    found = watch.get
+    return t.spark.createDataFrame([(found["n"], found["top"], found["mean"])], "n long, top long, mean double")

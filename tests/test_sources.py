@@ -116,3 +116,119 @@ def test_compressed_payload(spark):
 
     row = spark.range(1).select(decode_compressed(F.lit(zlib.compress(b"x" * 50)), "ZLIB").alias("z"), decode_compressed(F.lit(gzip.compress(b"y")), "GZIP").alias("g")).first()
     assert (bytes(row.z), bytes(row.g)) == (b"x" * 50, b"y")
+
+
+def test_records_overwrite_and_abort(spark, tmp_path):
+    rows = lambda n, parts: spark.range(0, n, 1, parts).select(F.concat(F.lit("r"), "id").cast("binary").alias("record"), F.lit("").alias("file"), F.lit(0).cast("long").alias("offset"))
+    path = str(tmp_path / "out")
+    write = lambda df, mode: df.write.format("record_file").mode(mode).option("path", path).save()
+    read = lambda: sorted(bytes(r.record) for r in spark.read.format("record_file").option("path", path).load().collect())
+    write(rows(9, 4), "overwrite")
+    write(rows(3, 2), "overwrite")  # fewer tasks leave no old parts
+    assert read() == [b"r0", b"r1", b"r2"]
+    write(rows(2, 1), "append")
+    assert read() == [b"r0", b"r0", b"r1", b"r1", b"r2"]
+    failing = rows(8, 2).withColumn("record", F.when(F.col("record") == b"r7", F.raise_error(F.lit("no more")).cast("binary")).otherwise(F.col("record")))
+    with pytest.raises(Exception):
+        write(failing, "append")
+    assert read() == [b"r0", b"r0", b"r1", b"r1", b"r2"]
+    assert spark.read.format("record_file").option("path", f"file://{path}").load().count() == 5
+
+
+def test_long_records_in_small_pieces(monkeypatch):
+    records = [bytes([k % 251]) * (k * 37) for k in range(60)]
+    data = datasources.framed_all(records)
+    pieces = [data[k : k + 101] for k in range(0, len(data), 101)]
+    assert [r for _, r in datasources.framed_records(pieces)] == records
+    packed = gzip.compress(data[:5000]) + gzip.compress(data[5000:])
+    assert b"".join(datasources.inflated([packed[k : k + 50] for k in range(0, len(packed), 50)], "GZIP")) == data
+    with pytest.raises(ValueError, match="truncated"):
+        list(datasources.inflated([packed[:-20]], "GZIP"))
+    with pytest.raises(ValueError, match="corrupted"):
+        list(datasources.framed_records([b"\xff" * 12]))
+
+
+def test_chunks_of_a_size(spark, tmp_path):
+    path = str(tmp_path / "out")
+    rows = spark.range(0, 10, 1, 1).select(F.lit("x").alias("record_id"), F.col("id").alias("ordinal"), F.lit(b"ab").alias("payload"))
+    rows.write.format("read_chunks").mode("append").option("path", path).option("column", "qual").option("chunk_size", 4).save()
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith((".", "_"))) == ["chunk_0.qual", "chunk_4.qual", "chunk_8.qual"]
+    assert spark.read.format("read_chunks").option("path", path).option("column", "qual").load().count() == 10
+
+
+def test_lines_of_a_split_file(spark, tmp_path):
+    lines = [f"line {k} " + "x" * (k % 50) for k in range(3000)]
+    (tmp_path / "big.txt").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        df = files.numbered_lines(spark, str(tmp_path / "big.txt"))
+        assert spark.read.text(str(tmp_path / "big.txt")).rdd.getNumPartitions() > 4
+        found = df.orderBy("line").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.line for r in found] == list(range(3000)) and [r.value for r in found] == lines
+
+
+def test_sqlite_in_parts(spark, tmp_path):
+    path = str(tmp_path / "d.sqlite")
+    with sqlite3.connect(path) as db:
+        db.execute("create table t (id integer)")
+        db.executemany("insert into t values (?)", [(k,) for k in range(-5, 50)])
+    df = spark.read.format("sqlite").schema("id int").option("path", path).option("query", "select id from t").option("key", "id").option("parts", 4).load()
+    assert sorted(r.id for r in df.collect()) == list(range(-5, 50)) and df.rdd.getNumPartitions() == 4
+
+
+def test_sequence_files(spark, tmp_path):
+    df = spark.createDataFrame([("a", "1"), ("b", "2")], "k string, v string")
+    files.write_sequence_file(df, "k", "v", str(tmp_path / "seq"))
+    assert sorted(map(tuple, files.sequence_file(spark, str(tmp_path / "seq")).collect())) == [("a", "1"), ("b", "2")]
+
+
+def test_sinks(spark, tmp_path):
+    files.log_events(spark.range(3), str(tmp_path / "log"))
+    files.log_events(spark.range(2), str(tmp_path / "log"))
+    assert spark.read.option("header", "true").csv(str(tmp_path / "log")).count() == 5
+    files.discard(spark.range(4))
+    files.write_file(spark, f"file://{tmp_path}/one.bin", b"\x00\x01")
+    assert (tmp_path / "one.bin").read_bytes() == b"\x00\x01"
+    files.save({"a": spark.range(2), "b": spark.range(3)}, str(tmp_path / "s1"))
+    files.save({"a": spark.range(4)}, str(tmp_path / "s2"))
+    assert files.restore(spark, str(tmp_path / "s1"), "a", "b")["b"].count() == 3
+    files.merge_saved(spark, [str(tmp_path / "s1"), str(tmp_path / "s2")], ["a"], str(tmp_path / "m"))
+    assert files.restore(spark, str(tmp_path / "m"), "a")["a"].count() == 6
+    files.summary_scalars(spark.range(5), F.lit(3), str(tmp_path / "sum"), n=F.count(F.lit(1)), top=F.max("id"))
+    assert {(r.step, r.tag, r.value) for r in spark.read.parquet(str(tmp_path / "sum")).collect()} == {(3, "n", 5.0), (3, "top", 4.0)}
+    files.summary_histogram(spark.range(5), "id", 3, "ids", str(tmp_path / "hist"))
+    assert spark.read.parquet(str(tmp_path / "hist")).agg(F.sum("n")).first()[0] == 5
+
+
+def test_connectors_ask_for_what_they_are_told():
+    from rillflow.sources import connectors
+
+    kind, options = connectors.kafka("h:9", ["t:0:5:10", "t:1"])
+    assert kind == "kafka" and options["startingOffsets"] == '{"t": {"0": 5, "1": 0}}' and options["endingOffsets"] == '{"t": {"0": 15, "1": -1}}'
+    assert connectors.kinesis("s", "r", "shard-1", interval_ms=5)[1]["kinesis.executor.idleTimeBetweenReadsInMs"] == "5"
+    assert connectors.warehouse("p", "d", "t", ["a", "b"], 7, 3)[1] == {"table": "p.d.t", "readDataFormat": "ARROW", "parentProject": "p", "selectedFields": "a,b", "snapshotTimeMillis": "7", "maxParallelism": "3"}
+    assert connectors.object_store("http://x", "k", "s")["spark.hadoop.fs.s3a.endpoint"] == "http://x"
+
+
+def test_generators_in_tasks(spark):
+    found = files.from_generator(spark, lambda n: iter([(k, str(k)) for k in range(n)]), "a long, b string", args=(9000,)).collect()
+    assert len(found) == 9000 and [r.pos for r in sorted(found, key=lambda r: r.a)] == list(range(9000))
+
+
+def test_readers_count_and_resume(spark, tmp_path):
+    rows = spark.range(10).select("id", F.floor(F.col("id") / 4).alias("file"))
+    reader = files.Reader(rows, ["id"], "file")
+    assert [r.id for r in reader.read_up_to(5).orderBy("id").collect()] == [0, 1, 2, 3, 4] and reader.num_records_produced() == 5 and reader.num_work_units_completed() == 1
+    assert reader.read().first().id == 5
+    state = reader.serialize()
+    reader.reset()
+    assert reader.num_records_produced() == 0
+    reader.restore(state)
+    assert reader.read_up_to(100).count() == 4 and reader.num_work_units_completed() == 3
+    with pytest.raises(Exception, match="exactly one"):
+        reader.read().collect()
+    with pytest.raises(ValueError):
+        reader.restore(b"x")

@@ -46,3 +46,55 @@ def test_batch_windows(spark):
     rows = spark.createDataFrame([("2024-01-01 00:00:10",), ("2024-01-01 00:20:00",), ("2024-01-01 02:00:00",)], "t string").select(F.to_timestamp("t").alias("ts"))
     assert sorted(r.n for r in stateful.sessions(rows, "ts", "30 minutes", [], F.count(F.lit(1)).alias("n")).collect()) == [1, 2]
     assert sum(r.n for r in stateful.sliding(rows, "ts", "1 hour", "30 minutes", [], F.count(F.lit(1)).alias("n")).collect()) == 6
+
+
+def test_barriers_of_three(spark, run):
+    rows = [(1, "a", "x"), (2, "a", "y"), (1, "b", "z")], [(1, "c", "w"), (2, "b", "v"), (1, "other", "-")]
+    parts = [spark.createDataFrame(r, "key long, component string, value string") for r in rows]
+    found = run(parts, lambda s: stateful.barrier(s, ["a", "b", "c"]))
+    assert [(r.key, r.a, r.b, r.c) for r in found] == [(1, "x", "z", "w")]
+
+
+def test_accumulators_drop_stale_values(spark, run):
+    rows = [(1, 0, 2.0), (1, 0, 4.0), (2, 0, 1.0)], [(1, 0, 100.0), (1, 1, 7.0)], [(1, 1, 9.0), (2, 0, 3.0)]
+    parts = [spark.createDataFrame(r, "key long, step long, value double") for r in rows]
+    found = run(parts, lambda s: stateful.accumulator(s, 2))
+    assert sorted(map(tuple, found)) == [(1, 0, 3.0, 2), (1, 1, 8.0, 2), (2, 0, 2.0, 2)]
+
+
+def test_whole_requests_and_batches_of_a_stream(spark, run, tmp_path):
+    rows = [(1, 3, 1, "b"), (2, 1, 0, "z")], [(1, 3, 0, "a")], [(1, 3, 2, "c")]
+    parts = [spark.createDataFrame(r, "request_id long, request_count long, ord long, value string") for r in rows]
+    found = run(parts, stateful.dequeue_whole, name="whole")
+    assert sorted((r.request_id, list(r["items"]), r.n) for r in found) == [(1, ["a", "b", "c"], 3), (2, ["z"], 1)]
+
+
+def test_full_batches_of_a_stream(spark, run):
+    parts = [spark.createDataFrame(r, "request_id long, ord long, value string") for r in ([(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (2, 0, "x")], [(1, 3, "d"), (1, 4, "e")])]
+    found = run(parts, lambda s: stateful.dequeue_many(s, 2))
+    assert sorted((r.request_id, r.batch, list(r["items"])) for r in found) == [(1, 0, ["a", "b"]), (1, 1, ["c", "d"])]
+
+
+def test_registers_give_what_they_held(spark, run):
+    parts = [spark.createDataFrame(r, "key long, ord long, action string, value long") for r in ([(1, 0, "add", 5), (1, 1, "set", 9)], [(1, 2, "add", 1), (1, 3, "add", 1)])]
+    found = run(parts, stateful.registers)
+    assert sorted((r.ord, r.old) for r in found) == [(0, 0), (1, 5), (2, 9), (3, 10)]
+
+
+def test_runner_drives_a_stage(spark, tmp_path):
+    spark.range(6).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = stateful.credited(spark.readStream.schema("id long"), 1).parquet(str(tmp_path / "in"))
+    seen, ended = [], []
+    runner = stateful.Runner(str(tmp_path / "cp"), closed=("GateClosed",), on_success=lambda: ended.append(1))
+    assert runner.run(stream, lambda rows: rows.where("id > 2"), lambda rows, n: seen.extend(r.id for r in rows.collect()), 120)
+    assert sorted(seen) == [3, 4, 5] and ended == [1]
+
+    def shut(rows, n):
+        raise ValueError("GateClosed")
+
+    again = stateful.Runner(str(tmp_path / "cp2"), closed=("GateClosed",))
+    assert again.run(stream, lambda rows: rows, shut, 120)
+    with pytest.raises(Exception, match="GateClosed"):
+        stateful.Runner(str(tmp_path / "cp3")).run(stream, lambda rows: rows, shut, 120)
+    with pytest.raises(ValueError):
+        stateful.credited(spark.readStream, 0)
