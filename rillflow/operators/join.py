@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillflow.functions.strings import hash_bucket_md5
+from rillflow.operators.ordering import range_of
 
 
 def lookup(df: DataFrame, table: DataFrame, key: str, table_key: str, table_value: str, default: Column, name: str = "value") -> DataFrame:
@@ -141,14 +142,28 @@ def feature_cross(df: DataFrame, columns: list[str], name: str = "cross", bucket
     return out.withColumn(name, hash_bucket_md5(crossed, buckets) if buckets else crossed).drop(*[f"_c{k}" for k in range(len(columns))])
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str) -> DataFrame:
-    """Each left row with the latest right ``value`` of its key at or before its time; one pass over the union, in the order of time."""
+def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str, spread: bool = False) -> DataFrame:
+    """Each left row with the latest right ``value`` of its key at or before its time; one pass over the union, in the order of time.
+
+    ``spread``: for keys of which one may hold a large share of all rows. A key's ranges of time are then gone through side by side, and each takes what the ranges before it end with.
+    """
     rest = [F.col(c) for c in left.columns]
     events = left.select(F.col(key).alias("_k"), F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*rest).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.lit(None).cast("boolean").alias("_has"))
     facts = right.select(F.col(key).alias("_k"), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(events.schema["_row"].dataType).alias("_row"), F.col(value).alias("_v"), F.lit(True).alias("_has"))
     window = Window.partitionBy("_k").orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col("_has"), F.struct(F.col("_v").alias("v"))), ignorenulls=True).over(window)
-    met = events.unionByName(facts).withColumn("_last", last).where(F.col("_side") == 1)
+    every = events.unionByName(facts)
+    if spread:
+        every = every.withColumn("_range", range_of(every, ["_t"]))
+        here = Window.partitionBy("_k", "_range").orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
+        known = F.when(F.col("_has"), F.struct(F.col("_v").alias("v")))
+        ends = every.groupBy("_k", "_range").agg(F.max_by(known, F.when(F.col("_has"), F.struct("_t", "_side", "_v"))).alias("_end"))
+        before = Window.partitionBy("_k").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(F.col("_k").alias("_key"), F.col("_range").alias("_r"), F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+        met = every.withColumn("_here", F.last(known, ignorenulls=True).over(here)).where(F.col("_side") == 1)
+        met = met.join(carried, F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_r"))).withColumn("_last", F.coalesce("_here", "_carried"))
+        return met.select("_row.*", F.col("_last.v").alias(value))
+    met = every.withColumn("_last", last).where(F.col("_side") == 1)
     return met.select("_row.*", F.col("_last.v").alias(value))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.operators.ordering import numbered
@@ -176,6 +176,11 @@ def apply_python(df: DataFrame, function: Callable, returns: str, *columns: str,
     return df.withColumn(name, F.pandas_udf(function, returns)(*columns))
 
 
+def register_function(spark: SparkSession, name: str, function: Callable, returns: str) -> None:
+    """Makes a function of pandas series known to SQL by a name."""
+    spark.udf.register(name, F.pandas_udf(function, returns))
+
+
 def map_elements(items: Column, function: Callable[[Column], Column]) -> Column:
     """A function over the elements of an array, as an expression."""
     return F.transform(items, function)

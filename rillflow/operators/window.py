@@ -75,9 +75,9 @@ def dynamic_batches(df: DataFrame, time: str, order: list[str], most: int, timeo
     return placed.groupBy(*keys, "batch").agg(gathered(["_pos"], value).alias("items"), F.count(F.lit(1)).alias("n"))
 
 
-def group_by_window(df: DataFrame, key: list[str], size: int, order: list[str], *aggregates: Column) -> DataFrame:
-    """For each key, aggregates over consecutive windows of up to ``size`` rows; the last may be short."""
-    placed = numbered(df, order, "_pos", partition=key).withColumn("window", F.floor(F.col("_pos") / size))
+def group_by_window(df: DataFrame, key: list[str], size: int, order: list[str], *aggregates: Column, spread: bool = False) -> DataFrame:
+    """For each key, aggregates over consecutive windows of up to ``size`` rows; the last may be short. ``spread``: for keys of which one may hold a large share of all rows."""
+    placed = numbered(df, order, "_pos", partition=key, spread=spread).withColumn("window", F.floor(F.col("_pos") / size))
     return placed.groupBy(*key, "window").agg(*aggregates)
 
 

@@ -1,4 +1,4 @@
-"""``Flow``: a DataFrame with its order. Each method returns a new flow; plans stay lazy but for the bounded samples that place rows."""
+"""``Flow``: a DataFrame with its order. Each method returns a new flow; plans stay lazy but for the bounded samples that place rows. Steps that change nothing add nothing to the plan."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 
 from rillflow.operators import aggregate, join, ordering, sort, transform, window
-from rillflow.plans import rules
 
 
 @dataclass(frozen=True)
@@ -46,13 +45,13 @@ class Flow:
         return Flow(transform.concatenate(self.df, *[o.df for o in others]), ("part", *self.order))
 
     def repeat(self, count: int) -> Flow:
-        return self if rules.is_noop_repeat(count) else Flow(transform.repeat(self.df, count), ("epoch", *self.order))
+        return self if count == 1 else Flow(transform.repeat(self.df, count), ("epoch", *self.order))
 
     def take(self, count: int) -> Flow:
-        return self if rules.is_noop_take(count) else self._with(transform.take(self.df, count, [*self.order]))
+        return self if count < 0 else self._with(transform.take(self.df, count, [*self.order]))
 
     def skip(self, count: int) -> Flow:
-        return self if rules.is_noop_skip(count) else self._with(transform.skip(self.df, count, [*self.order]))
+        return self if count == 0 else self._with(transform.skip(self.df, count, [*self.order]))
 
     def shard(self, shards: int, index: int) -> Flow:
         return self if shards == 1 else self._with(transform.shard(self.df, shards, index, [*self.order]).drop("pos"))
@@ -60,9 +59,12 @@ class Flow:
     def shuffle(self, seed: int) -> DataFrame:
         return sort.shuffled(self.df, seed, [*self.order])
 
-    def interleave(self, *others: Flow, block_length: int = 1) -> Flow:
+    def interleave(self, *others: Flow, block_length: int = 1, cycle_length: int | None = None) -> Flow:
         flows = [self, *others]
-        return Flow(transform.interleave([f.df for f in flows], [[*f.order] for f in flows], block_length), ("round", "slot", "inner"))
+        return Flow(transform.interleave([f.df for f in flows], [[*f.order] for f in flows], block_length, cycle_length), ("round", "slot", "inner"))
+
+    def cache(self, path: str | None = None) -> Flow:
+        return self._with(transform.cached(self.df, path))
 
     def apply(self, *functions) -> Flow:
         return reduce(lambda flow, f: f(flow), functions, self)
@@ -77,8 +79,11 @@ class Flow:
     def window(self, size: int, value: str, shift: int = 1, stride: int = 1) -> Flow:
         return Flow(window.sliding_window(self.df, size, [*self.order], value, shift, stride), ("start",))
 
-    def group_by_window(self, key: list[str], size: int, *aggregates: Column) -> Flow:
-        return Flow(window.group_by_window(self.df, key, size, [*self.order], *aggregates), (*key, "window"))
+    def map_and_batch(self, size: int, value: Column, drop_remainder: bool = False) -> Flow:
+        return Flow(transform.map_and_batch(self.df, value, size, [*self.order], drop_remainder), ("batch",))
+
+    def group_by_window(self, key: list[str], size: int, *aggregates: Column, spread: bool = False) -> Flow:
+        return Flow(window.group_by_window(self.df, key, size, [*self.order], *aggregates, spread=spread), (*key, "window"))
 
     def cumsum(self, value: str, name: str, partition: list[str] | None = None, exclusive: bool = False, reverse: bool = False) -> Flow:
         return self._with(ordering.running(self.df, value, [*self.order], name, partition, exclusive, reverse))

@@ -115,6 +115,17 @@ def asof_join(t: Tables) -> DataFrame:
     return J.as_of(clicks, bought, "user_id", "ts", "at", "last_value").select("event_id", "last_value")
 
 
+@query("""
+select e.event_id, (select max_by(v, (ts, v)) from (select user_id as u, ts, value as v from events where event_type = 'purchase') p where p.u = e.user_id and p.ts <= e.ts) as last_value
+from events e where event_type = 'click'
+""")
+def asof_join_spread(t: Tables) -> DataFrame:
+    """The same, a key's rows spread over ranges of time."""
+    clicks = t.events.where("event_type = 'click'").select("event_id", "user_id", "ts")
+    bought = t.events.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("at"), F.col("value").alias("last_value"))
+    return J.as_of(clicks, bought, "user_id", "ts", "at", "last_value", spread=True).select("event_id", "last_value")
+
+
 USERS = """with u as (select user_id, list(distinct event_type) filter (event_id % 2 = 0) as a, list(distinct event_type) filter (event_id % 3 = 0) as b from events group by 1),
  w as (select user_id, coalesce(a, []) as a, coalesce(b, []) as b from u) """
 

@@ -142,6 +142,15 @@ def group_by_window(t: Tables) -> DataFrame:
     return Flow.of(t.events, "event_id").group_by_window(["user_id"], 4, F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).df
 
 
+@query("""
+with e as (select *, (row_number() over (partition by event_type order by event_id) - 1) // 100 as w from events)
+select event_type, cast(w as bigint) as "window", count(*) as n, min(event_id) as first_id from e group by event_type, w
+""")
+def group_by_window_spread(t: Tables) -> DataFrame:
+    """Few keys of many rows."""
+    return window.group_by_window(t.events, ["event_type"], 100, ["event_id"], F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"), spread=True)
+
+
 @query("""
 with d as (select doc_id, case when n_chars < 500 then 0 when n_chars < 2000 then 1 when n_chars < 8000 then 2 else 3 end as bucket from documents),
      r as (select *, row_number() over (partition by bucket order by doc_id) - 1 as i from d)
@@ -513,3 +522,27 @@ def remote_call(t: Tables) -> DataFrame:
     rows = t.nation.select("n_nationkey", F.col("n_name").cast("binary").alias("request"))
     found = transform.call_remote(rows, lambda asked: [a[::-1] for a in asked], "request", errors=True)
     return found.select("n_nationkey", F.col("response").cast("string").alias("answer"), "status")
+
+
+@query("select n_nationkey, concat('<', n_name, '>') as name from nation")
+def registered_function(t: Tables) -> DataFrame:
+    transform.register_function(t.spark, "rillflow_bracketed", bracketed, "string")
+    return t.nation.selectExpr("n_nationkey", "rillflow_bracketed(n_name) as name")
+
+
+def bracketed(s: pd.Series) -> pd.Series:
+    return "<" + s + ">"
+
+
+@query("select o_orderkey from (select o_orderkey, row_number() over (order by o_orderkey) - 1 as i from orders) where i = 25")
+def iterator_resume(t: Tables) -> DataFrame:
+    """A cursor's state saved to a file, loaded by another, which gives the next row."""
+    from rillflow.session import cut, scratch
+
+    with scratch(t.spark) as folder:
+        one = files.Reader(t.orders.select("o_orderkey"), ["o_orderkey"])
+        one.read_up_to(25)
+        one.save(f"{folder}/state")
+        two = files.Reader(t.orders.select("o_orderkey"), ["o_orderkey"])
+        two.load(f"{folder}/state")
+        return cut(two.next_or_none().select("o_orderkey"))

@@ -137,6 +137,11 @@ class Reader:
 
         return single_element(self.read_up_to(1))
 
+    def next_or_none(self) -> DataFrame | None:
+        """The next row, or None at the end: what a program asks that doesn't want an error there."""
+        one = self.read_up_to(1)
+        return None if one.isEmpty() else one
+
     def reset(self) -> None:
         self.position = 0
 
@@ -148,6 +153,15 @@ class Reader:
             raise ValueError("not a reader's state")
         self.position = int.from_bytes(state, "little")
 
+    def save(self, path: str) -> None:
+        """Writes the state to a file, in any file system that Spark knows: what a training program keeps beside its own checkpoint."""
+        write_file(self.rows.sparkSession, path, self.serialize())
+
+    def load(self, path: str) -> None:
+        """Goes on from a saved state."""
+        rows = self.rows.sparkSession.read.format("binaryFile").load(path).select("content").collect()
+        self.restore(bytes(rows[0].content))
+
     def num_records_produced(self) -> int:
         return self.position
 
