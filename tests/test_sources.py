@@ -1,11 +1,12 @@
 import gzip
 import sqlite3
+import struct
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from rillflow.sources import datasources, files
+from rillflow.sources import btree, datasources, files
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -232,3 +233,64 @@ def test_readers_count_and_resume(spark, tmp_path):
         reader.read().collect()
     with pytest.raises(ValueError):
         reader.restore(b"x")
+
+
+def tree_file(entries, size=4096, fan=7, newer=True):
+    """A database file of sorted entries, written page by page by the format's rules: leaves of ``fan`` entries, branches over them, values over a quarter page on pages of their own."""
+    pages = [b"", b""]
+
+    def page(number, flags, nodes):
+        upper, pointers, body = size, [], b""
+        for node in nodes:
+            node += b"\0" * (len(node) % 2)
+            upper -= len(node)
+            pointers.append(upper)
+            body = node + body
+        lower = 16 + 2 * len(nodes)
+        head = struct.pack("<QHHHH", number, 0, flags, lower, upper) + struct.pack(f"<{len(nodes)}H", *pointers)
+        assert lower <= upper
+        return head + b"\0" * (upper - lower) + body
+
+    def leaf(key, value):
+        flags = 0
+        if len(value) > size // 4:
+            flags, first = 1, len(pages)
+            whole = struct.pack("<QHHI", first, 0, 4, -(-(16 + len(value)) // size)) + value
+            pages.extend((whole + b"\0" * (-len(whole) % size))[k : k + size] for k in range(0, -(-len(whole) // size) * size, size))
+            return struct.pack("<HHHH", len(value) & 0xFFFF, len(value) >> 16, flags, len(key)) + key + struct.pack("<Q", first)
+        return struct.pack("<HHHH", len(value), 0, flags, len(key)) + key + value
+
+    level = []
+    for k in range(0, len(entries), fan):
+        nodes = [leaf(*e) for e in entries[k : k + fan]]
+        level.append((entries[k][0], len(pages)))
+        pages.append(page(len(pages), 2, nodes))
+    while len(level) > 1:
+        above = []
+        for k in range(0, len(level), fan):
+            nodes = [struct.pack("<HHHH", p & 0xFFFF, p >> 16 & 0xFFFF, p >> 32, len(key) if j else 0) + (key if j else b"") for j, (key, p) in enumerate(level[k : k + fan])]
+            above.append((level[k][0], len(pages)))
+            pages.append(page(len(pages), 1, nodes))
+        level = above
+    root = level[0][1] if level else (1 << 64) - 1
+    for n in (0, 1):
+        now = n == newer
+        free = struct.pack("<IHHQQQQQ", size, 0, 0, 0, 0, 0, 0, (1 << 64) - 1)
+        main = struct.pack("<IHHQQQQQ", 0, 0, 1, 0, 0, 0, len(entries) if now else 0, root if now else (1 << 64) - 1)
+        meta = struct.pack("<QHHHH", n, 0, 8, 0, 0) + struct.pack("<IIQQ", 0xBEEFC0DE, 1, 0, 1 << 20) + free + main + struct.pack("<QQ", len(pages) - 1, 5 + now)
+        pages[n] = meta + b"\0" * (size - len(meta))
+    return b"".join(pages)
+
+
+@pytest.mark.parametrize("n, newer", [(0, True), (1, False), (5, True), (400, False)])
+def test_tree_databases(spark, tmp_path, n, newer):
+    spark.dataSource.register(btree.TreeSource)
+    entries = [(b"key%05d" % k, b"v" * (5000 if k % 97 == 3 else k % 50)) for k in range(n)]
+    (tmp_path / "data.mdb").write_bytes(tree_file(entries, newer=newer))
+    for parts in (1, 5):
+        df = spark.read.format("btree").option("path", str(tmp_path / "data.mdb")).option("parts", parts).load()
+        assert sorted((bytes(r.key), bytes(r.value)) for r in df.collect()) == entries
+    assert parts == 5 and (n < 100 or df.rdd.getNumPartitions() > 3)
+    assert btree.entries_of(spark.read.format("binaryFile").load(str(tmp_path / "data.mdb"))).count() == n
+    with pytest.raises(ValueError, match="not a database"):
+        btree.state(b"\0" * 9000)
