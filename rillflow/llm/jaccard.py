@@ -10,7 +10,8 @@ Shingles of a common passage would make signatures that many unlinked documents
 counted first; they have partitions of their own that come last in the order. Any set of such shingles keeps the join exact, so it is
 bounded and broadcast.
 
-Signatures are dealt into bins by their hash, packed, each with the id of its set (equal sets have one id, so copies cost nothing). In a bin, the sets of one
+Signatures are dealt into bins by their hash, packed, each with the id of its set (equal sets have one id, so copies cost nothing). Signatures that many sets of one task have are
+settled in the task, and two of their sets stand for them in the bin. In a bin, the sets of one
 signature make all pairs if they are few; if they are many, pairs with two of them and between neighbours, and after components
 are known, each member outside the largest component of such groups is compared with all members, block by block. So no link that could join two components
 is missed, while a group of near copies makes no quadratic number of pairs. A pair goes on only if the signatures counted for it, and those of large groups
@@ -139,9 +140,17 @@ def signatures(shingles: np.ndarray, frequent: np.ndarray, seed: int = 0) -> np.
 
 
 def signature_bins(docs: DataFrame, frequent: np.ndarray, bins: int, seed: int) -> DataFrame:
-    """(bin, sigs, sets): the signatures of all distinct sets, dealt by their high bits; low bits and set ids are packed. Bin -1: a set had too few partitions."""
+    """(bin, sigs, sets, large, known): the signatures of all distinct sets, dealt by their high bits; low bits, set ids and marks are packed. Bin -1: a set had too few partitions.
+
+    A signature that many sets of one task have is settled there: its pairs and members are in ``known``, and only two of its sets go on to the bin, marked as of a large group.
+    So a bin gets two sets from a task of a signature that a share of all sets have, and the number of tasks bounds it, not the number of sets.
+    """
     shift = U(64 - bins.bit_length() + 1)
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shared, few, hold = docs.sparkSession.sparkContext.broadcast(frequent), FEW, HOLD
+
+    def batch(bins_: list, columns: dict[str, list]) -> pa.RecordBatch:
+        empty = [b""] * len(bins_)
+        return pa.RecordBatch.from_arrays([pa.array(bins_, pa.int64()), *[pa.array(columns.get(c, empty), pa.binary()) for c in ("sigs", "sets", "large", "known")]], names=["bin", "sigs", "sets", "large", "known"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -149,18 +158,30 @@ def signature_bins(docs: DataFrame, frequent: np.ndarray, bins: int, seed: int)
         held: list[np.ndarray] = []
         names: list[np.ndarray] = []
 
-        def dealt():
+        def dealt() -> Iterator[pa.RecordBatch]:
             sigs, sets = np.concatenate(held), np.concatenate(names)
+            order = np.lexsort((sets, sigs))
+            sigs, sets = sigs[order], sets[order]
             box = (sigs >> shift).astype(np.int64) if bins > 1 else np.zeros(len(sigs), np.int64)
-            order = np.argsort(box, kind="stable")
-            box, low, sets = box[order], sigs[order].astype(np.uint32), sets[order]
-            first = np.concatenate([[0], np.flatnonzero(box[1:] != box[:-1]) + 1, [len(box)]])
-            spans = list(zip(first[:-1], first[1:], strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(box[first[:-1]]), pa.array([low[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([sets[a:b].tobytes() for a, b in spans], pa.binary())], names=["bin", "sigs", "sets"])
+            first = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
+            sizes = np.diff(np.concatenate([first, [len(sigs)]]))
+            many = np.flatnonzero(sizes > few)
+            large = np.repeat(sizes > few, sizes)
+            if len(many):
+                rows = [sets[a : a + n] for a, n in zip(first[many].tolist(), sizes[many].tolist(), strict=True)]
+                found = spread(rows, box[first[many]] << 32 | sigs[first[many]].astype(np.uint32).astype(np.int64))
+                yield batch([int(sets[0]) % bins], {"known": [np.stack(found).tobytes()]})
+                go = ~large
+                go[first[many]] = go[first[many] + sizes[many] // 2] = True
+                sigs, sets, box, large = sigs[go], sets[go], box[go], large[go]
+            low = sigs.astype(np.uint32)
+            at = [*np.flatnonzero(np.concatenate([[True], box[1:] != box[:-1]])).tolist(), len(box)]
+            pieces = lambda x: [x[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+            yield batch(box[at[:-1]].tolist(), {"sigs": pieces(low), "sets": pieces(sets), "large": pieces(large)})
 
         size = 0
-        for batch in slices(batches):
-            for s in shingle_sets(*utf8(batch.column("text")), WIDTH):
+        for part in slices(batches):
+            for s in shingle_sets(*utf8(part.column("text")), WIDTH):
                 if not len(s):
                     continue
                 name = set_id(s)
@@ -168,71 +189,80 @@ def signature_bins(docs: DataFrame, frequent: np.ndarray, bins: int, seed: int)
                     continue
                 seen.add(name)
                 if (made := signatures(s, known, seed)) is None:
-                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([b""], pa.binary()), pa.array([b""], pa.binary())], names=["bin", "sigs", "sets"])
+                    yield batch([-1], {})
                     continue
                 held.append(made)
                 names.append(np.full(len(held[-1]), name, np.int64))
                 size += len(held[-1])
-            if size > HOLD:
-                yield dealt()
+            if size > hold:
+                yield from dealt()
                 held, names, size = [], [], 0
         if held:
-            yield dealt()
-
-    return texts(docs).mapInArrow(run, "bin long, sigs binary, sets binary")
-
+            yield from dealt()
 
-def unique_rows(*columns: np.ndarray) -> list[np.ndarray]:
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
-    keep = np.zeros(len(order), bool)
-    keep[:1] = True
-    for c in columns:
-        keep[1:] |= c[1:] != c[:-1]
-    return [c[keep] for c in columns]
+    return texts(docs).mapInArrow(run, "bin long, sigs binary, sets binary, large binary, known binary")
 
 
 def counted_pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((y, x))
     x, y = x[order], y[order]
-    first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+    first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])) if len(x) else np.zeros(0, np.int64)
     return x[first], y[first], np.diff(np.concatenate([first, [len(x)]]))
 
 
-def grouped(table: pa.Table) -> pa.Table:
-    """The pairs (x, y) of one bin's signatures and how many they share, and, with group not null, the members y of groups too large for all pairs. Of bin -1, a mark."""
+def tabled(x: np.ndarray, y: np.ndarray, group: np.ndarray, member: np.ndarray) -> np.ndarray:
+    """Rows x, y, shared, group of the pairs, counted, then of the members of large groups, whose count is 0; a pair's group is -1."""
+    x, y, shared = counted_pairs(x, y)
+    return np.stack([np.concatenate([x, group * 0]), np.concatenate([y, member]), np.concatenate([shared, group * 0]), np.concatenate([x * 0 - 1, group])])
+
+
+def spread(rows: list[np.ndarray], groups: np.ndarray) -> np.ndarray:
+    """``tabled`` of large groups: pairs with two of the sets and between neighbours. The sets of a group ascend."""
+    left, right = [], []
+    for r in rows:
+        middle = len(r) // 2
+        for a, b in ((np.full(len(r) - 1, r[0]), r[1:]), (r[:middle], np.full(middle, r[middle])), (np.full(len(r) - middle - 1, r[middle]), r[middle + 1 :]), (r[:-1], r[1:])):
+            left.append(a)
+            right.append(b)
+    return tabled(np.concatenate(left), np.concatenate(right), np.repeat(groups, [len(r) for r in rows]), np.concatenate(rows))
+
+
+def grouped(table: pa.Table, most: int) -> pa.Table:
+    """The pairs (x, y) of one bin's signatures and how many they share, and, with group not null, the members y of groups of more than ``most``, too large for all pairs. Of bin -1, a mark."""
     box = table.column("bin")[0].as_py()
     if box < 0:
         return pa.table({c: pa.array([-1 if c == "shared" else None], pa.int64()) for c in ("x", "y", "shared", "group")})
-    sigs = np.frombuffer(b"".join(table.column("sigs").to_pylist()), np.uint32)
-    sets = np.frombuffer(b"".join(table.column("sets").to_pylist()), np.int64)
-    sigs, sets = unique_rows(sigs, sets)
-    first = np.concatenate([[0], np.flatnonzero(sigs[1:] != sigs[:-1]) + 1, [len(sigs)]])
-    sizes = np.diff(first)
-    left, right, group, member = [], [], [], []
-    for n in range(2, FEW + 1):
-        if len(at := first[:-1][sizes == n]):
+    sigs, sets, large = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("sigs", np.uint32), ("sets", np.int64), ("large", bool)))
+    order = np.lexsort((large, sets, sigs))
+    sigs, sets, large = sigs[order], sets[order], large[order]
+    last = np.flatnonzero(np.concatenate([(sigs[1:] != sigs[:-1]) | (sets[1:] != sets[:-1]), [True]])) if len(sigs) else np.zeros(0, np.int64)
+    sigs, sets, large = sigs[last], sets[last], large[last]  # of equal entries one that is marked, if any is
+    first = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]])) if len(sigs) else np.zeros(0, np.int64)
+    sizes = np.diff(np.concatenate([first, [len(sigs)]]))
+    marked = np.logical_or.reduceat(large, first) if len(first) else np.zeros(0, bool)
+    few = (sizes <= most) & ~marked
+    found = [np.frombuffer(data, np.int64).reshape(4, -1) for data in table.column("known").to_pylist() if data]
+    left, right = [], []
+    for n in range(2, most + 1):
+        if len(at := first[(sizes == n) & few]):
             rows = sets[at[:, None] + np.arange(n)]
             a, b = np.triu_indices(n, 1)
             left.append(rows[:, a].ravel())
             right.append(rows[:, b].ravel())
-    for k in np.flatnonzero(sizes > FEW):
-        rows = sets[first[k] : first[k + 1]]
-        middle = len(rows) // 2
-        for a, b in ((np.full(len(rows) - 1, rows[0]), rows[1:]), (np.full(middle, rows[middle]), rows[:middle]), (np.full(len(rows) - middle - 1, rows[middle]), rows[middle + 1 :]), (rows[:-1], rows[1:])):
-            left.append(np.minimum(a, b))
-            right.append(np.maximum(a, b))
-        group.append(np.full(len(rows), int(box) << 32 | int(sigs[first[k]]), np.int64))
-        member.append(rows)
-    x, y, shared = counted_pairs(np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 3
-    g, m = (np.concatenate(group), np.concatenate(member)) if group else (np.zeros(0, np.int64),) * 2
-    return pa.table({"x": pa.array(np.concatenate([x, g * 0])), "y": pa.array(np.concatenate([y, m])), "shared": pa.array(np.concatenate([shared, g * 0])), "group": pa.concat_arrays([pa.nulls(len(x), pa.int64()), pa.array(g)])})
+    if left:
+        none = np.zeros(0, np.int64)
+        found.append(tabled(np.concatenate(left), np.concatenate(right), none, none))
+    if len(many := np.flatnonzero(~few)):
+        found.append(spread([sets[a : a + n] for a, n in zip(first[many].tolist(), sizes[many].tolist(), strict=True)], int(box) << 32 | sigs[first[many]].astype(np.int64)))
+    x, y, shared, group = np.concatenate(found, 1) if found else np.zeros((4, 0), np.int64)
+    member = group >= 0
+    return pa.table({"x": pa.array(x), "y": pa.array(y), "shared": pa.array(shared), "group": pa.array(group, mask=~member)})
 
 
 def candidates(docs: DataFrame, frequent: np.ndarray, shingles: int) -> DataFrame:
-    bins = 1 << max(0, math.ceil(shingles / SHINGLES_A_BIN) - 1).bit_length()
+    bins, most = 1 << max(0, math.ceil(shingles / SHINGLES_A_BIN) - 1).bit_length(), FEW
     for seed in range(64):
-        found = durable(signature_bins(docs, frequent, bins, seed).groupBy("bin").applyInArrow(tidy(grouped), "x long, y long, shared long, group long"))
+        found = durable(signature_bins(docs, frequent, bins, seed).groupBy("bin").applyInArrow(tidy(lambda table: grouped(table, most)), "x long, y long, shared long, group long"))
         if found.where("shared < 0").isEmpty():
             return found
     raise RuntimeError("no seed gives every set enough partitions")
@@ -290,16 +320,6 @@ def needed(a, b):
     return F.floor(F.least(a, b) / SPARE) + 1
 
 
-def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, component): the labels once more ``links`` (x, y) are there."""
-    ends = lambda c, o: links.join(labels.select(F.col("node").alias(c), F.col("component").alias("c")).hint("merge"), c, "left").select(F.coalesce("c", c).alias(c), o)
-    half = ends("x", "y")
-    between = half.join(labels.select(F.col("node").alias("y"), F.col("component").alias("c")).hint("merge"), "y", "left").select("x", F.coalesce("c", "y").alias("y"))
-    further = components(between).select(F.col("node").alias("old"), F.col("component").alias("new"))
-    known = labels.union(links.select("x", "x").union(links.select("y", "y")).distinct()).groupBy("node").agg(F.min("component").alias("component"))
-    return known.join(further.hint("merge"), F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
-
-
 def clusters(members: DataFrame, labels: DataFrame) -> DataFrame | None:
     """(super, doc, component, minor, blocks, minor_blocks): large groups that span several components, those with documents in common made one; None if there are none.
 
@@ -383,7 +403,7 @@ def join(docs: DataFrame) -> DataFrame:
     frequent = frequent_shingles(profiles, max(1, rows))
     found = candidates(docs, frequent, shingles)
     release(docs.sparkSession)
-    members = found.where("group is not null").select(F.col("y").alias("set_id"), "group")
+    members = found.where("group is not null").select(F.col("y").alias("set_id"), "group").distinct()
     reps = base.where("n > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     sets = durable(reps.join(members.groupBy("set_id").agg(F.count(F.lit(1)).alias("large")).hint("merge"), "set_id", "left").fillna(0, ["large"]))
     of = lambda c: sets.select(F.col("set_id").alias(c), F.col("rep").alias(f"d{c}"), F.col("n").alias(f"n{c}"), F.col("large").alias(f"l{c}")).hint("merge")
@@ -393,8 +413,8 @@ def join(docs: DataFrame) -> DataFrame:
     labels = components(links)
     viable = members.join(sets.hint("merge"), "set_id").where(F.col("large") >= F.floor(F.floor(F.col("n") * PERCENT / 100) / SPARE) + 1).select("group", F.col("rep").alias("doc"), "n", "large")
     found = clusters(viable, labels)
-    if found is not None:
-        labels = merged(labels, cluster_links(docs, found))
+    if found is not None and not (further := cluster_links(docs, found)).isEmpty():
+        labels = components(labels.select(F.col("node").alias("x"), F.col("component").alias("y")).union(further))
     named = sets.select("set_id", "rep").join(labels.hint("merge"), F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("component", "rep").alias("c"))
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id"))
     return base.join(named.hint("merge"), "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "text_key")

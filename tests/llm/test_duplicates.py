@@ -41,9 +41,11 @@ def test_jaccard_join(docs, empty, hard_texts):
     assert jaccard.join(empty).count() == 0
 
 
-def test_jaccard_join_of_a_large_ragged_group(spark, monkeypatch):
-    """More near copies than make all pairs, many on either side of the threshold."""
+@pytest.mark.parametrize("hold", [600_000, 300])
+def test_jaccard_join_of_a_large_ragged_group(spark, monkeypatch, hold):
+    """More near copies than make all pairs, many on either side of the threshold; settled in one piece of a task or in many."""
     monkeypatch.setattr(jaccard, "FEW", 3)
+    monkeypatch.setattr(jaccard, "HOLD", hold)
     rng = random.Random(3)
     words = [f"w{rng.randrange(5000)}" for _ in range(90)]
     rows = []
@@ -63,6 +65,16 @@ def test_short_texts_link_when_equal(spark):
     assert sorted(map(tuple, jaccard.join(df).drop("text_key").collect())) == brute_components(rows)
 
 
+@pytest.mark.parametrize("most", [1 << 27, 1 << 12, 1 << 11, 1 << 10])
+def test_filters_keep_what_is_there(spark, monkeypatch, most):
+    from rillflow.llm import common
+
+    monkeypatch.setattr(common, "MOST_FILTER_BITS", most)
+    keep = common.filtered(spark.range(0, 6000, 3))
+    passed = keep(np.arange(6000))
+    assert passed[::3].all() and (passed.mean() < 0.36 if most > 1 << 12 else True) and (passed.all() if most < 2000 else not passed.all() or most < 2100)
+
+
 def test_null_ids_link_with_nothing(spark):
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (None, ""), (9, "A b c d e f"), (None, None)]
     found = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).drop("text_key").collect()
