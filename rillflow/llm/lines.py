@@ -11,7 +11,8 @@ insertion. In a group of equal variants each line's witness is the earliest line
 Each witness is verified by edit distance on the lines' text.
 
 Keys are made for the lines of whole texts, packed and dealt into bins whose number grows with the data. Equal lines of one task send their keys once, and
-counts and minima are combined before they are shuffled. Null texts stay null and empty ones empty. Among repeated rows of one doc_id, equal lines at
+counts and minima are combined before they are shuffled. The places of lines that go are joined with them by the line's hash, a join of two shuffles in which adaptive execution splits
+a hot line. Null texts stay null and empty ones empty. Among repeated rows of one doc_id, equal lines at
 one place are one line. Null doc_ids come last. An empty table gives an empty result. Further columns are returned as they are.
 """
 
@@ -31,7 +32,8 @@ from rillflow.llm.common import byte_codes, durable, filtered, free_names, mixed
 U = np.uint64
 MIN_CHARS = 20
 SEGMENTS = 8
-LINES_A_BIN = 40_000
+#: Bytes of text whose lines' keys make a bin.
+BYTES_A_BIN = 6_000_000
 #: Keys that a task gathers before it deals them.
 HOLD = 500_000
 LAST = np.iinfo(np.int64).max
@@ -200,9 +202,9 @@ def variants(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(variant), pa.array(place), *[batch.column(c).take(pa.array(of)) for c in ("line", "doc", "number")]], names=["kind", "variant", "place", "line", "doc", "number"])
 
 
-def near_lines(docs: DataFrame, rows: int, min_chars: int) -> DataFrame:
+def near_lines(docs: DataFrame, size: int, min_chars: int) -> DataFrame:
     """(line): distinct lines that an earlier line within one edit makes superfluous."""
-    bins = max(1, math.ceil(10 * rows / LINES_A_BIN))
+    bins = max(1, math.ceil(size / BYTES_A_BIN))
     wanted = durable(outside_bins(docs, bins, min_chars).groupBy("bin").applyInArrow(tidy(shared), "line long, segments int").groupBy(F.col("line").alias("id")).agg(F.bit_or("segments").alias("segments")))
     release(docs.sparkSession)
     known = durable(chosen_lines(docs, wanted, min_chars))
@@ -226,7 +228,6 @@ def removed_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHAR
         raise ValueError("max_edits is 0 or 1")
     if min_chars < 2:
         raise ValueError("min_chars is 2 or more")
-    rows = max(1, docs.count())
     least = 1 if short_lines else min_chars
 
     def places(keep) -> DataFrame:
@@ -242,7 +243,8 @@ def removed_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHAR
 
     first = places(None).groupBy("line").agg(F.min(F.struct("doc", "number")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("line", "first", F.lit(False).alias("near"))
     if max_edits:
-        near = near_lines(docs, rows, min_chars)
+        size = texts(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        near = near_lines(docs, size, min_chars)
         first = first.join(near.select("line"), "line", "left_anti").union(near.select("line", F.lit(None).cast("struct<doc:bigint,number:bigint>"), F.lit(True)))
     first = durable(first)
     every = places(filtered(first.select(F.col("line").alias("id"))))
