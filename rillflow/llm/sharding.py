@@ -92,8 +92,9 @@ def shard_of(key: Column, tree: Node) -> Column:
 def numbered(df: DataFrame, shard_col: str, key_col: str, slot_col: str, rows: int) -> DataFrame:
     """``df`` with a gapless number from 0 within each shard.
 
-    Shards are cut into buckets of about ``ROWS_A_BUCKET`` rows by a hash of the key and a salt drawn from the row; rows are numbered within a bucket and
-    moved up by the rows of the buckets before, so no task holds a whole shard. ``rows`` only sets the number of buckets.
+    Shards are cut into buckets of about ``ROWS_A_BUCKET`` rows by a hash of the whole row; rows are numbered within a bucket and
+    moved up by the rows of the buckets before, so no task holds a whole shard. Rows of one key that differ are spread; rows that are equal throughout
+    share a bucket, whose numbering sorts outside of memory where it must. ``rows`` only sets the number of buckets.
     """
     shards = max(1, df.sparkSession.sparkContext.defaultParallelism)
     buckets = max(1, math.ceil(rows / ROWS_A_BUCKET), shards // 4)

@@ -5,7 +5,9 @@ import bz2
 import gzip
 import hashlib
 import io
+import json
 import lzma
+import math
 import random
 import tarfile
 import zlib
@@ -13,11 +15,12 @@ from urllib.parse import quote
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from rillflow.llm import bpe, packing, secrets, sharding
+from rillflow.llm import automaton, bpe, packing, secrets, sharding
 
 BYTES, WORDS = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/word_bpe_49k.json"
 
@@ -41,6 +44,28 @@ def test_bpe_full_output(docs, empty, hard_texts):
     assert bpe.encode_digests(empty, BYTES).count() == 0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=6).map(lambda b: bytes(97 + x % 3 for x in b)), min_size=1, max_size=12, unique=True), st.binary(max_size=40).map(lambda b: bytes(97 + x % 4 for x in b)))
+def test_automaton_finds_all_tokens_that_end_at_a_place(tokens, text):
+    found = automaton.SuffixAutomaton((t, k) for k, t in enumerate(tokens)).ends(text)
+    want = [[k for _, k in sorted(((len(t), k) for k, t in enumerate(tokens) if text[: at + 1].endswith(t)), reverse=True)] for at in range(len(text))]
+    assert found == want
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    for path, build, change in ((BYTES, bpe.PrefixEncoder, ("normalizer", {"type": "NFC"})), (BYTES, bpe.PrefixEncoder, ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True})), (WORDS, packing.WordMerger, ("normalizer", None)), (WORDS, packing.WordMerger, ("pre_tokenizer", {"type": "Whitespace"}))):
+        spec = json.load(open(path, encoding="utf-8"))
+        spec[change[0]] = change[1]
+        (tmp_path / "t.json").write_text(json.dumps(spec))
+        with pytest.raises(ValueError, match="tokenizer file"):
+            build(str(tmp_path / "t.json"))
+    spec = json.load(open(BYTES, encoding="utf-8"))
+    spec["added_tokens"][0]["lstrip"] = True
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="lstrip"):
+        bpe.PrefixEncoder(str(tmp_path / "t.json"))
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" 'stre\n\t1")), max_size=60))
 def test_bpe_on_any_text(text):
@@ -48,6 +73,28 @@ def test_bpe_on_any_text(text):
     assert list(bpe.encoder(BYTES).encode(text, {})) == model.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=6).map(lambda b: bytes(97 + x % 3 for x in b)), min_size=1, max_size=12, unique=True), st.binary(max_size=40).map(lambda b: bytes(97 + x % 4 for x in b)))
+def test_automaton_finds_all_tokens_that_end_at_a_place(tokens, text):
+    found = automaton.SuffixAutomaton((t, k) for k, t in enumerate(tokens)).ends(text)
+    want = [[k for _, k in sorted(((len(t), k) for k, t in enumerate(tokens) if text[: at + 1].endswith(t)), reverse=True)] for at in range(len(text))]
+    assert found == want
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    for path, build, change in ((BYTES, bpe.PrefixEncoder, ("normalizer", {"type": "NFC"})), (BYTES, bpe.PrefixEncoder, ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True})), (WORDS, packing.WordMerger, ("normalizer", None)), (WORDS, packing.WordMerger, ("pre_tokenizer", {"type": "Whitespace"}))):
+        spec = json.load(open(path, encoding="utf-8"))
+        spec[change[0]] = change[1]
+        (tmp_path / "t.json").write_text(json.dumps(spec))
+        with pytest.raises(ValueError, match="tokenizer file"):
+            build(str(tmp_path / "t.json"))
+    spec = json.load(open(BYTES, encoding="utf-8"))
+    spec["added_tokens"][0]["lstrip"] = True
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="lstrip"):
+        bpe.PrefixEncoder(str(tmp_path / "t.json"))
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" 'stre.,\n\tÉé1")), max_size=60))
 def test_words_on_any_text(text):
@@ -245,6 +292,32 @@ def test_shards_move_only_into_the_new_one(docs, empty, hard_texts):
     assert sharding.shard(empty, tree).count() == 0
 
 
+def plain_shard(key, node, path):
+    """The shard of a key, by walking the tree."""
+    if not node.children:
+        return node.shard
+    arrivals = []
+    for child in node.children:
+        below = f"{path}/{child.name}"
+        h = 42 if key is None else xxhash.xxh64(int(key).to_bytes(8, "little", signed=True), seed=42).intdigest()
+        h = xxhash.xxh64(below.encode(), seed=h).intdigest()
+        if child.weight > 0:
+            arrivals.append((-math.log(((h >> 11) + 0.5) / (1 << 53)) / child.weight, len(arrivals), child, below))
+    _, _, child, below = min(arrivals)
+    return plain_shard(key, child, below)
+
+
+def test_placement_is_that_of_a_plain_walk(spark):
+    leaf = lambda k, w: sharding.Node(f"s{k}", shard=k, own_weight=w)
+    uneven = sharding.Node("root", (sharding.Node("a", (leaf(0, 1), leaf(1, 2.5))), leaf(7, 0.5), sharding.Node("b", (sharding.Node("c", (leaf(2, 1), leaf(3, 0))), leaf(4, 3)))))
+    regular = sharding.regular_tree(2, 4, 5)
+    keys = [*range(2000), -5, (1 << 63) - 1, None]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    for tree in (uneven, regular, sharding.grown_tree(regular, 40)):
+        found = {r.k: r.s for r in df.select("k", sharding.shard_of(df["k"], tree).alias("s")).collect()}
+        assert found == {k: plain_shard(k, tree, f"/{tree.name}") for k in keys}
+
+
 def test_shares_follow_weights_and_moves_stay_in_the_changed_subtree(spark):
     leaf = lambda k, w: sharding.Node(f"s{k}", shard=k, own_weight=w)
     build = lambda w: sharding.Node("root", (sharding.Node("a", (leaf(0, 1), leaf(1, w))), sharding.Node("b", (leaf(2, 1), leaf(3, 1)))))
