@@ -43,7 +43,8 @@ def bounds(df: DataFrame, order: list[str]) -> list:
     found: list = []
     for part in dict.fromkeys((share, 1.0)):  # a filter may leave far fewer rows than the statistics say
         thin = keys if part == 1.0 else keys.where(F.pmod(F.xxhash64(F.lit(11), *order), F.lit(1 << 40)) < int(part * (1 << 40)))
-        found = sorted({tuple(r) for r in thin.orderBy(F.xxhash64(*order), *order).limit(wanted).collect()})
+        sample = {tuple(r) for r in thin.orderBy(F.xxhash64(*order), *order).limit(wanted).collect()}
+        found = sorted(k for k in sample if all(v == v for v in k))  # NaN, which is the greatest, is no bound
         if len(found) >= LEAST_RANGES:
             break
     else:

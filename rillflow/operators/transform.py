@@ -113,6 +113,26 @@ def ignore_errors(df: DataFrame, **tried: Column) -> DataFrame:
     return df.withColumns(tried).dropna(subset=[*tried])
 
 
+def map_ignoring_errors(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """An opaque function of pandas frames, without the rows on which it fails: a batch on which it does is gone through row by row."""
+
+    def run(batches):
+        for pdf in batches:
+            try:
+                yield function(pdf)
+                continue
+            except Exception:
+                rows = [pdf.iloc[[k]] for k in range(len(pdf))]
+            for row in rows:
+                try:
+                    made = function(row)
+                except Exception:
+                    continue
+                yield made
+
+    return df.mapInPandas(run, schema)
+
+
 def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """An opaque function over iterators of Arrow batches."""
     return df.mapInArrow(function, schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillflow.queries import domain, joins, reducers, rows, scalars, stored  # noqa: F401
+from rillflow.queries import domain, joins, reducers, rows, scalars, stored, streams  # noqa: F401
 from rillflow.queries.registry import FOUND, Tables
 
 

@@ -546,3 +546,26 @@ def iterator_resume(t: Tables) -> DataFrame:
         two = files.Reader(t.orders.select("o_orderkey"), ["o_orderkey"])
         two.load(f"{folder}/state")
         return cut(two.next_or_none().select("o_orderkey"))
+
+
+@query("select o_orderkey, 100 // o_custkey as share from orders where o_custkey % 5 <> 0")
+def ignore_errors_opaque(t: Tables) -> DataFrame:
+    """A function that fails on every fifth customer."""
+    return transform.map_ignoring_errors(t.orders.select("o_orderkey", "o_custkey"), shares, "o_orderkey long, share long")
+
+
+def shares(pdf: pd.DataFrame) -> pd.DataFrame:
+    if (pdf["o_custkey"] % 5 == 0).any():
+        raise ValueError("not this one")
+    return pd.DataFrame({"o_orderkey": pdf["o_orderkey"], "share": 100 // pdf["o_custkey"]})
+
+
+@query("select n_nationkey, n_name, 1 as one from nation")
+def batches_of_arrow(t: Tables) -> DataFrame:
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([1] * b.num_rows, pa.int32())], names=[*b.schema.names, "one"])
+
+    return transform.map_batches(t.nation.select("n_nationkey", "n_name"), run, "n_nationkey int, n_name string, one int")

@@ -246,7 +246,7 @@ def test_fold_keeps_the_order(spark):
 
 
 def test_numbers_with_nulls_and_ties_keep_their_order(spark):
-    values = [None, 5.0, float("nan"), -1.0, None, 2.0] + [float(k) for k in range(100, 200)]
+    values = [None, 5.0, float("nan"), -1.0, None, 2.0] + [float(k) for k in range(100, 200)] + [float("nan")] * 40
     df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "i long, v double")
     found = ordering.numbered(df, ["v", "i"], "pos").orderBy("pos").collect()
     want = [r.i for r in df.orderBy("v", "i").collect()]
