@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from rillflow.llm import jaccard, lines, substrings, suffixes
-from rillflow.llm.components import components
+from rillflow.llm.components import components, stars_of
 
 LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 
@@ -103,11 +103,39 @@ def test_linked_sets_share_the_signatures_they_need(n):
         assert len(common) >= min(len(a), len(b)) // jaccard.SPARE + 1
 
 
-def test_components_of_chains_and_stars(spark):
-    links = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 300)] + [(7, 7)]
-    found = {r.node: r.component for r in components(spark.createDataFrame(links, "x long, y long")).collect()}
-    assert {found[k] for k in range(61)} == {0} and {found[k] for k in range(100, 300)} == {100}
-    assert components(spark.createDataFrame([], "x long, y long")).count() == 0
+@pytest.mark.parametrize("seed", range(4))
+def test_contraction_keeps_components(seed):
+    rng = np.random.default_rng(seed)
+    x, y = rng.integers(0, 400, (2, 60 * (seed + 2)))
+    parent = {int(n): int(n) for n in np.concatenate([x, y])}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in zip(x.tolist(), y.tolist(), strict=True):
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    found = stars_of(x, y)
+    assert dict(zip(found.column("high").to_pylist(), found.column("low").to_pylist(), strict=True)) == {n: root(n) for n in parent if root(n) != n}
+    assert stars_of(np.arange(3000), np.arange(1, 3001)).num_rows == 3000 and set(stars_of(np.arange(3000), np.arange(1, 3001)).column("low").to_pylist()) == {0}
+
+
+@pytest.mark.parametrize("parts", [1, 60])
+def test_components_of_chains_and_stars(spark, parts):
+    """Gathered in few tasks, and spread over many."""
+    links = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 300)] + [(7, 7)] + [(1000 + 37 * k % 501, 1000 + 37 * (k + 1) % 501) for k in range(500)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = {r.node: r.component for r in components(spark.createDataFrame(links, "x long, y long").repartition(5)).collect()}
+        assert {found[k] for k in range(61)} == {0} and {found[k] for k in range(100, 300)} == {100} and {found[k] for k in range(1000, 1501)} == {1000} and len(found) == 61 + 200 + 501
+        assert components(spark.createDataFrame([], "x long, y long")).count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def brute_substrings(rows):
