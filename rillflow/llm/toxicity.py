@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import byte_codes, free_names, mixed, slices, texts, thinned, utf8
+from rillflow.llm.common import byte_codes, free_names, give_back, mixed, slices, texts, thinned, utf8
 from rillflow.llm.shingles import powers
 
 U = np.uint64
@@ -34,6 +34,7 @@ BITS = 20
 BEGINNINGS = (4, 6, 8)
 SAMPLE_PER_CLASS = 2000
 FOLDS = 5
+FIT_TASKS = 3
 MOST_FEATURES = 1 << 16
 CODES = byte_codes(31)
 CODES[ord("A") : ord("Z") + 1] = CODES[ord("a") : ord("z") + 1]
@@ -145,8 +146,11 @@ def fit(rows: Rows, dense: np.ndarray, y: np.ndarray, weight: np.ndarray, size:
     keep = scaled.value != 0
     kept = np.concatenate([[0], np.cumsum(keep)])[scaled.first]
     scaled = Rows(kept, scaled.index[keep], scaled.value[keep]).unit()
-    columns, index = np.unique(scaled.index, return_inverse=True)
+    used = np.zeros(size, bool)
+    used[scaled.index] = True
+    columns, index = np.flatnonzero(used), (np.cumsum(used, dtype=np.int32) - 1)[scaled.index]
     row = scaled.row()
+    del at, count, with_y, rate_y, rate_n, sure, keep, used
     w, extra, bias = np.zeros(len(columns)), np.zeros(dense.shape[1]), none.bias
     seen = w.copy(), extra.copy(), bias
     rate = 4.0 / (1.0 + 0.25 * (dense**2).sum(1).mean() if dense.size else 1.0)
@@ -191,7 +195,7 @@ class Chain:
 
 
 def fit_folds(spark: SparkSession, rows: Rows, dense: np.ndarray, y: np.ndarray, weight: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, Linear]:
-    """The probability of each row by a model of the other folds, and a model of all rows. One task fits one model."""
+    """The probability of each row by a model of the other folds, and a model of all rows, fitted by FIT_TASKS tasks one after the other: a fit takes some 200 MB, beside all else that a worker holds."""
     shared = spark.sparkContext.broadcast((rows, dense, y, weight, fold))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,8 +208,10 @@ def fit_folds(spark: SparkSession, rows: Rows, dense: np.ndarray, y: np.ndarray,
                     inside, outside = np.flatnonzero(fold == part), np.flatnonzero(fold != part)
                     made = fit(rows.take(outside), dense[outside], y[outside], weight[outside], 1 << BITS).score(rows.take(inside), dense[inside]) if len(inside) else np.zeros(0)
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([zlib.compress(pickle.dumps(made, 5), 1)], pa.binary())], names=["part", "made"])
+                del made
+                give_back()
 
-    found = {r.part: pickle.loads(zlib.decompress(r.made)) for r in spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(run, "part long, made binary").collect()}
+    found = {r.part: pickle.loads(zlib.decompress(r.made)) for r in spark.range(0, FOLDS + 1, 1, FIT_TASKS).mapInArrow(run, "part long, made binary").collect()}
     shared.unpersist()
     p = np.zeros(rows.n)
     for part in range(FOLDS):
