@@ -18,8 +18,8 @@ PIECE = 1_000_000
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over ``links`` (x, y), for every node with a link.
 
-    First links are contracted where they lie, then by their low and by their high ends: a task turns the links that it has into stars about their least nodes, piece by piece. Where adaptive execution
-    gathers few links in few tasks, that is all. What is left is kept as (high, low) and turned round by round into stars about the least node. Large star: the high end of a link goes to the least neighbour of the
+    First links are contracted where they lie, then by their low and by their high ends: a task turns the links that it has into stars about their least nodes, piece by piece. Adaptive execution gathers few
+    links in few tasks, and then that is all, and splits an end that very many have. What is left is kept as (high, low) and turned round by round into stars about the least node. Large star: the high end of a link goes to the least neighbour of the
     low end. Small star: all low ends of one high end, and it, go to the least of them. Neither adds links or parts what belongs together. The rounds end when every
     high end has one low end that is no high end itself.
 
@@ -29,7 +29,7 @@ def components(links: DataFrame) -> DataFrame:
     kind = "high long, low long"
     stars = links.where("x <> y").select(F.greatest("x", "y").alias("high"), F.least("x", "y").alias("low")).mapInArrow(contracted, kind)
     for end in ("low", "high"):
-        stars = stars.repartition(end).mapInArrow(contracted, kind)
+        stars = stars.hint("rebalance", end).mapInArrow(contracted, kind)
     stars = durable(stars)
     while not settled(stars):
         near = stars.select(F.col("low").alias("node"), "high").union(stars.select(F.col("high").alias("node"), F.col("low").alias("high")))
