@@ -27,12 +27,12 @@ def kinesis(stream: str, region: str, shard: str | None = None, read_indefinitel
     return "kinesis", options | ({"shardId": shard} if shard else {})
 
 
-def warehouse(project: str, dataset: str, table: str, columns: list[str], timestamp_millis: int | None = None, partitions: int | None = None) -> Options:
-    """Columns of a warehouse table as it was at a time, in about so many partitions."""
+def warehouse(kind: str, project: str, dataset: str, table: str, columns: list[str], timestamp_millis: int | None = None, partitions: int | None = None) -> Options:
+    """Columns of a warehouse table as it was at a time, in about so many partitions; ``kind``: the name that its connector goes by."""
     options = {"table": f"{project}.{dataset}.{table}", "readDataFormat": "ARROW", "parentProject": project, "selectedFields": ",".join(columns)}
     if timestamp_millis is not None:
         options["snapshotTimeMillis"] = str(timestamp_millis)
-    return "bigquery", options | ({"maxParallelism": str(partitions)} if partitions else {})
+    return kind, options | ({"maxParallelism": str(partitions)} if partitions else {})
 
 
 def object_store(endpoint: str, key: str, secret: str) -> dict[str, str]:

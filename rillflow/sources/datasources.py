@@ -1,6 +1,6 @@
 """Python data sources: length-delimited record files, chunked column files of sequencing reads, SQLite queries.
 
-Readers and writers run on the executors and open files through Arrow's file systems (local, HDFS, S3, GCS, by the path's scheme), one partition for each file, read and written piece by piece: what a task
+Readers and writers run on the executors and open files through Arrow's file systems (local, HDFS, object stores, by the path's scheme), one partition for each file, read and written piece by piece: what a task
 holds is a piece, not a file. Each task of a writer writes files of its own beside their places, and the driver moves them there when all tasks have ended, or deletes them when the job fails. Payloads of
 stores that only Spark opens are read with ``records_of`` and ``chunks_of`` on binaryFile rows.
 """

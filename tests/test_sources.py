@@ -210,7 +210,7 @@ def test_connectors_ask_for_what_they_are_told():
     kind, options = connectors.kafka("h:9", ["t:0:5:10", "t:1"])
     assert kind == "kafka" and options["startingOffsets"] == '{"t": {"0": 5, "1": 0}}' and options["endingOffsets"] == '{"t": {"0": 15, "1": -1}}'
     assert connectors.kinesis("s", "r", "shard-1", interval_ms=5)[1]["kinesis.executor.idleTimeBetweenReadsInMs"] == "5"
-    assert connectors.warehouse("p", "d", "t", ["a", "b"], 7, 3)[1] == {"table": "p.d.t", "readDataFormat": "ARROW", "parentProject": "p", "selectedFields": "a,b", "snapshotTimeMillis": "7", "maxParallelism": "3"}
+    assert connectors.warehouse("store", "p", "d", "t", ["a", "b"], 7, 3)[1] == {"table": "p.d.t", "readDataFormat": "ARROW", "parentProject": "p", "selectedFields": "a,b", "snapshotTimeMillis": "7", "maxParallelism": "3"}
     assert connectors.object_store("http://x", "k", "s")["spark.hadoop.fs.s3a.endpoint"] == "http://x"
 
 
