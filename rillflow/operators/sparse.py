@@ -87,9 +87,12 @@ def split(coo: DataFrame, cols: int, parts: int) -> list[DataFrame]:
     return out
 
 
-def serialized(coo: DataFrame, key: str) -> DataFrame:
-    """(key, cells): each sparse value as one array of (row, col, v), in order: a form to store."""
-    return coo.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("row", "col", "v"))).alias("cells"))
+def serialized(coo: DataFrame, key: str, keys: DataFrame | None = None) -> DataFrame:
+    """(key, cells): each sparse value as one array of (row, col, v), in order: a form to store. ``keys`` (key) names all values, so that one without cells is stored, too: as an empty array."""
+    cells = coo.select(key, F.struct("row", "col", "v").alias("_c"))
+    if keys is not None:
+        cells = cells.unionByName(keys.select(key, F.lit(None).cast(cells.schema["_c"].dataType).alias("_c")))
+    return cells.groupBy(key).agg(F.array_sort(F.collect_list("_c")).alias("cells"))
 
 
 def deserialized(stored: DataFrame, key: str, handles: DataFrame | None = None) -> DataFrame:

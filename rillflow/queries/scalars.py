@@ -438,9 +438,10 @@ def sparse_reorder(t: Tables) -> DataFrame:
 
 @query(COO + " select h.range::int as handle_pos, vec_id as \"row\", k as col, v from range(50) h join e on vec_id = (h.range * 7) % 20 where v > 20")
 def sparse_storage(t: Tables) -> DataFrame:
-    """Sparse rows stored by handle, and taken by handles that repeat."""
-    stored = sparse.serialized(coo(t).where("v > 20").select(F.col("i").alias("handle"), F.col("i").alias("row"), F.col("k").alias("col"), "v"), "handle")
-    handles = t.spark.range(50).select(F.col("id").cast("int").alias("handle_pos"), (F.col("id") * 7 % 20).alias("handle"))
+    """Sparse rows stored by handle, those without cells too, and taken by handles that repeat, as far as there are such rows."""
+    every = t.embeddings.select(F.col("vec_id").alias("handle"))
+    stored = sparse.serialized(coo(t).where("v > 20").select(F.col("i").alias("handle"), F.col("i").alias("row"), F.col("k").alias("col"), "v"), "handle", every)
+    handles = t.spark.range(50).select(F.col("id").cast("int").alias("handle_pos"), (F.col("id") * 7 % 20).alias("handle")).join(every, "handle", "left_semi")
     return sparse.deserialized(stored, "handle", handles)
 
 

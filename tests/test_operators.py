@@ -172,6 +172,30 @@ def test_sparse_fill(spark):
     assert [(r.row, r.col, r.v, r.was_empty) for r in found] == [(0, 1, 5, False), (1, 0, -1, True), (2, 0, 7, False)]
 
 
+def test_sparse_values_without_cells_are_stored(spark):
+    coo = spark.createDataFrame([(1, 0, 2, 5), (1, 0, 1, 4), (None, 3, 0, 9)], "h long, row long, col int, v int")
+    stored = sparse.serialized(coo, "h", spark.createDataFrame([(1,), (2,), (2,), (None,)], "h long"))
+    assert {r.h: [tuple(c) for c in r.cells] for r in stored.collect()} == {1: [(0, 1, 4), (0, 2, 5)], 2: [], None: [(3, 0, 9)]}
+    handles = spark.createDataFrame([(0, 2), (1, 1), (2, 2), (3, 1)], "handle_pos int, h long")
+    assert sorted(map(tuple, sparse.deserialized(stored, "h", handles).collect())) == [(p, 0, c, c + 3) for p in (1, 3) for c in (1, 2)]
+    with pytest.raises(Exception, match="no value of that handle"):
+        sparse.deserialized(stored, "h", spark.createDataFrame([(0, 7)], "handle_pos int, h long")).collect()
+
+
+@pytest.mark.parametrize("vectors", [3, 20])
+def test_sparse_storage_of_vectors_without_cells(spark, duck, tmp_path, vectors):
+    """One vector has no component over 0.2; of the smaller table most handles name no vector."""
+    from rillflow.queries import catalogue
+
+    rows = [(k, [0.01 * (j + k) if k != 2 else 0.1 for j in range(64)]) for k in range(vectors)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duck.cursor()
+    c.execute(f"create temp view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    df = catalogue.queries()["sparse_storage"](spark, str(tmp_path))
+    want = c.execute(catalogue.oracle_sql()["sparse_storage"])
+    assert df.columns == [x[0] for x in want.description] and sorted(map(tuple, df.collect())) == sorted(want.fetchall())
+
+
 @pytest.mark.parametrize("size, words", [(0, 1), (20, 1), (21, 2), (22, 2), (42, 3)])
 def test_base_codec(size, words):
     bases = ("ACGTNacgtn" * 5)[:size]
