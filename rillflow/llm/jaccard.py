@@ -13,7 +13,8 @@ bounded and broadcast.
 Signatures are dealt into bins by their hash, packed, each with the id of its set (equal sets have one id, so copies cost nothing). Signatures that many sets of one task have are
 settled in the task, and two of their sets stand for them in the bin. In a bin, the sets of one
 signature make all pairs if they are few; if they are many, pairs with two of them and between neighbours, and after components
-are known, each member outside the largest component of such groups is compared with all members, block by block. So no link that could join two components
+are known, each member outside the largest component of such groups is compared with all members, block by block; members of whose shingles too few stand in another component
+are left out of that, as none can link to one of them. So no link that could join two components
 is missed, while a group of near copies makes no quadratic number of pairs. A pair goes on only if the signatures counted for it, and those of large groups
 that it may share, can reach the number that a link needs. What is left is verified on whole texts.
 
@@ -281,21 +282,22 @@ def zipped(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, packed binary")
 
 
+def unzipped(machine: zstandard.ZstdDecompressor, data: bytes) -> np.ndarray:
+    """The shingles of a compressed text."""
+    plain = np.frombuffer(machine.decompress(data), np.uint8)
+    return shingle_sets(plain, np.array([0, len(plain)]), WIDTH)[0]
+
+
 def linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows (x, y) whose texts link: 100 * intersection >= 80 * union."""
     machine = zstandard.ZstdDecompressor()
-
-    def shingles(data: bytes) -> np.ndarray:
-        plain = np.frombuffer(machine.decompress(data), np.uint8)
-        return shingle_sets(plain, np.array([0, len(plain)]), WIDTH)[0]
-
     last: tuple[bytes, np.ndarray] = b"", np.zeros(0, U)
     for batch in batches:
         keep = []
         for left, right in zip(batch.column("px").to_pylist(), batch.column("py").to_pylist(), strict=True):
             if last[0] != left:
-                last = left, shingles(left)
-            a, b = last[1], shingles(right)
+                last = left, unzipped(machine, left)
+            a, b = last[1], unzipped(machine, right)
             small, large = (a, b) if len(a) < len(b) else (b, a)
             both = 0
             if 100 * len(small) >= PERCENT * len(large) and len(small):
@@ -320,24 +322,76 @@ def needed(a, b):
     return F.floor(F.least(a, b) / SPARE) + 1
 
 
-def clusters(members: DataFrame, labels: DataFrame) -> DataFrame | None:
-    """(super, doc, component, minor, blocks, minor_blocks): large groups that span several components, those with documents in common made one; None if there are none.
+def described(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, component, packed) with each text's set_id and its number n of shingles."""
+    machine = zstandard.ZstdDecompressor()
+    for batch in batches:
+        sets = [unzipped(machine, data) for data in batch.column("packed").to_pylist()]
+        more = [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "component", "packed")), *more], names=["doc", "component", "packed", "set_id", "n"])
+    give_back()
+
+
+def spelled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, set_id, component, h): a row for each shingle."""
+    machine = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for part in slices([batch], column="packed"):
+            sets = [unzipped(machine, data) for data in part.column("packed").to_pylist()]
+            times = [len(s) for s in sets]
+            columns = [pa.array(np.repeat(part.column(c).to_numpy(), times)) for c in ("doc", "set_id", "component")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(sets).view(np.int64))], names=["doc", "set_id", "component", "h"])
+
+
+def connectable(texts_of: DataFrame) -> DataFrame:
+    """Of the texts (doc, component, packed, set_id, n), those that have PERCENT of their shingles, at least, in common with other components taken together: no other can link to one of them."""
+    cells = texts_of.mapInArrow(spelled, "doc long, set_id long, component long, h long")
+    lone = cells.groupBy("h").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least = most").select(redealt("h"))
+    own = cells.join(lone.hint("merge"), "h").groupBy("doc", "set_id").agg(F.count(F.lit(1)).alias("lone"))
+    kept = texts_of.join(own.hint("merge"), ["doc", "set_id"], "left").where(100 * (F.col("n") - F.coalesce("lone", F.lit(0))) >= PERCENT * F.col("n"))
+    return kept.select(texts_of.columns)
+
+
+def mixed_groups(members: DataFrame) -> DataFrame:
+    """The rows (group, doc, component) of groups that have several components, with the least doc of the group as its ``head``."""
+    several = members.groupBy("group").agg((F.min("component") < F.max("component")).alias("several"), F.min("doc").alias("head")).where("several").select(redealt("group"), "head")
+    return durable(members.join(several.hint("merge"), "group"))
+
+
+def clusters(docs: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """(super, doc, component, packed, minor, blocks, minor_blocks): large groups that span several components, those with documents in common made one; None if there are none.
+
+    Groups meet in documents, so clusters grow faster than the table, and comparing all with all in them would cost its square. But most of their documents share just a passage: those that can't link to another component,
+    whatever they are compared with, go first, again and again while at least one in ten goes, and what is left falls into small clusters.
 
     ``minor``: the document isn't of the cluster's largest component. Block counts are those of all its documents and of its minor ones.
     """
-    named = members.join(labels.withColumnRenamed("node", "doc").hint("merge"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed_groups = named.groupBy("group").agg((F.min("component") < F.max("component")).alias("several"), F.min("doc").alias("head")).where("several").select(redealt("group"), "head")
-    touching = durable(named.join(mixed_groups.hint("merge"), "group"))
+    named = members.join(labels.withColumnRenamed("node", "doc").hint("merge"), "doc", "left").select("group", "doc", F.coalesce("component", "doc").alias("component"))
+    touching = mixed_groups(named)
+    if touching.isEmpty():
+        return None
+    parts = touching.select("doc", "component").distinct()
+    rows = zipped(docs, parts.select(F.col("doc").alias("id")))
+    able = durable(parts.join(rows.withColumnRenamed("doc_id", "doc").hint("merge"), "doc").select("doc", "component", "packed").mapInArrow(described, "doc long, component long, packed binary, set_id long, n long").dropDuplicates(["doc", "set_id"]))
+    before = able.count()
+    while True:
+        able = durable(connectable(able))
+        if not (left := able.count()):
+            return None
+        if 10 * left > 9 * before:
+            break
+        before = left
+    touching = mixed_groups(touching.drop("head").join(able.select("doc").distinct().hint("merge"), "doc"))
     if touching.isEmpty():
         return None
     heads = touching.where("doc <> head").select(F.col("head").alias("x"), F.col("doc").alias("y"))
     of = components(heads).select(F.col("node").alias("doc"), F.col("component").alias("super"))
-    docs = durable(touching.select("doc", "component").distinct().join(of.hint("merge"), "doc"))
-    sizes = docs.groupBy("super", "component").agg(F.count(F.lit(1)).alias("size"))
+    of_super = durable(able.join(of.hint("merge"), "doc").select("super", "doc", "component", "packed"))
+    sizes = of_super.groupBy("super", "component").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("super").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("largest"))
     block = lambda c: F.ceil(c / BLOCK).cast("int")
     main = main.where("all > largest").select(redealt("super"), "main", block(F.col("all")).alias("blocks"), block(F.col("all") - F.col("largest")).alias("minor_blocks"))
-    return durable(docs.join(main.hint("merge"), "super").withColumn("minor", F.col("component") != F.col("main")).drop("main"))
+    return durable(of_super.join(main.hint("merge"), "super").withColumn("minor", F.col("component") != F.col("main")).drop("main"))
 
 
 def block_links(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -345,10 +399,7 @@ def block_links(left: pa.Table, right: pa.Table) -> pa.Table:
     machine = zstandard.ZstdDecompressor()
 
     def side(table: pa.Table):
-        sets = []
-        for data in table.column("packed").to_pylist():
-            plain = np.frombuffer(machine.decompress(data), np.uint8)
-            sets.append(shingle_sets(plain, np.array([0, len(plain)]), WIDTH)[0])
+        sets = [unzipped(machine, data) for data in table.column("packed").to_pylist()]
         sizes = np.array([len(x) for x in sets], np.int64)
         return table.column("doc").to_numpy(), table.column("component").to_numpy(), sizes, np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
 
@@ -383,10 +434,8 @@ def block_links(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"x": np.concatenate(xs), "y": np.concatenate(ys)}) if xs else empty
 
 
-def cluster_links(docs: DataFrame, found: DataFrame) -> DataFrame:
+def cluster_links(full: DataFrame) -> DataFrame:
     """Links between components of one cluster: every minor document against all, block by block."""
-    rows = zipped(docs, found.select(F.col("doc").alias("id")).distinct())
-    full = found.join(rows.withColumnRenamed("doc_id", "doc").hint("merge"), "doc")
     spread = lambda c: F.pmod(F.xxhash64("doc"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     columns = ["super", "a", "b", "doc", "component", "packed"]
@@ -412,8 +461,8 @@ def join(docs: DataFrame) -> DataFrame:
     links = verified(docs, likely.select(F.least("dx", "dy").alias("x"), F.greatest("dx", "dy").alias("y")))
     labels = components(links)
     viable = members.join(sets.hint("merge"), "set_id").where(F.col("large") >= F.floor(F.floor(F.col("n") * PERCENT / 100) / SPARE) + 1).select("group", F.col("rep").alias("doc"), "n", "large")
-    found = clusters(viable, labels)
-    if found is not None and not (further := cluster_links(docs, found)).isEmpty():
+    found = clusters(docs, viable, labels)
+    if found is not None and not (further := cluster_links(found)).isEmpty():
         labels = components(labels.select(F.col("node").alias("x"), F.col("component").alias("y")).union(further))
     named = sets.select("set_id", "rep").join(labels.hint("merge"), F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("component", "rep").alias("c"))
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id"))

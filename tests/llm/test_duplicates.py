@@ -59,6 +59,31 @@ def test_jaccard_join_of_a_large_ragged_group(spark, monkeypatch, hold):
     assert sorted(map(tuple, jaccard.join(df).drop("text_key").collect())) == brute_components(rows)
 
 
+def test_jaccard_join_compares_only_what_can_link(spark, monkeypatch):
+    """Texts that share a passage of less than four fifths go before blocks are compared; a chain of near copies among them stays whole."""
+    monkeypatch.setattr(jaccard, "FEW", 3)
+    rng = random.Random(8)
+    drawn = lambda n, top: [f"w{rng.randrange(top)}" for _ in range(n)]
+    passage = drawn(72, 5000)
+    rows = [(k, " ".join(passage + drawn(26, 10**9))) for k in range(80)]
+    chain = passage + drawn(200, 10**9)
+    for k in range(100, 130):
+        at = 72 + 6 * (k - 100)
+        chain[at : at + 6] = drawn(6, 10**9)
+        rows.append((k, " ".join(chain)))
+    compared, of = [], jaccard.clusters
+
+    def clusters(*args):
+        found = of(*args)
+        compared.append(0 if found is None else found.where("doc < 100").count())
+        return found
+
+    monkeypatch.setattr(jaccard, "clusters", clusters)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, jaccard.join(df).drop("text_key").collect())) == brute_components(rows)
+    assert compared == [0]
+
+
 def test_short_texts_link_when_equal(spark):
     rows = [(1, "a b c"), (2, "A b  c"), (3, "a b"), (4, "a b c d e"), (5, "a b c d e f"), (6, "a b c d e")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
