@@ -6,11 +6,13 @@ A byte is removed if a string of WINDOW bytes that covers it also starts in a do
    with one anchor need to be compared. Runs are dealt by their anchor's hash, packed. Runs of equal content are one class, whose least document covers the others'.
 2. Where an anchor has several classes, the bytes of each class's run are fetched from its document, and the suffixes that start at its windows are
    sorted deep-shallow: multikey quicksort to a shallow depth, then blind tries. Suffixes that agree on WINDOW bytes stand together;
-   those in a later document than the least are covered. Anchors with very many classes are split by the content of their windows.
+   those in a later document than the least are covered. A window whose hash is no other's in the task has no equal, and is left out of the sort.
+   Anchors with very many classes are split by the content of their windows.
 3. The covered stretches meet their documents again, and are cut out.
 
 Copies within a task are settled there before anything is shuffled, so a hot passage or a group of copies sends a row from each task. Only bins of bounded
-numbers of documents, anchors or windows meet in a task; their number grows with the data.
+numbers of documents, anchors or windows meet in a task; their number grows with the data. A bin sends at most one row to each other bin, so rows grow with the product of their numbers:
+bins of documents are small only while they are few, and a row is packed by one transposition.
 
 Nulls count as empty texts. A text shorter than WINDOW keeps all its bytes. Rows of one doc_id do not remove one another; rows of one doc_id with
 different texts are told apart by a checksum of the text. A null doc_id counts as larger than all others. An empty table gives an empty result; further columns play no part.
@@ -29,13 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.llm.common import durable, mixed, release, slices, texts, tidy, utf8
-from rillflow.llm.suffixes import WINDOW, U, anchored, deep_shallow, segments
+from rillflow.llm.suffixes import WINDOW, U, anchored, deep_shallow, hashes, repeated, segments
 
 LAST = np.iinfo(np.int64).max
 HOLD = 400_000
 RUNS_A_BIN = 350_000
 DOCS_A_BIN = 400
-MANY_CLASSES = 512
+MANY_BINS = 512
+TEXT_A_BIN = 1 << 23
+MOST_DOCS_A_BIN = 50_000
+MANY_CLASSES = 16_384
 
 #: Fields of packed rows, each stored plane by plane so that equal high bytes compress.
 RUN = (("anchor", "<u4"), ("content", "<u8"), ("doc", "<i8"), ("tag", "<u2"), ("start", "<u4"), ("windows", "u1"))
@@ -44,20 +49,28 @@ REQUEST = (("doc", "<i8"), ("tag", "<u2"), ("start", "<u4"), ("windows", "u1"),
 ITEM = (("doc", "<i8"), ("tag", "<u2"), ("start", "<u4"), ("windows", "u1"))
 
 
+def width(layout) -> int:
+    return sum(np.dtype(kind).itemsize for _, kind in layout)
+
+
+def side_by_side(layout, columns: dict[str, np.ndarray], rows=slice(None)) -> np.ndarray:
+    """The bytes of each entry's fields: a row for each entry. The planes of some of them are the bytes of the transpose."""
+    return np.concatenate([np.ascontiguousarray(columns[name][rows].astype(kind)).view(np.uint8).reshape(-1, np.dtype(kind).itemsize) for name, kind in layout], axis=1)
+
+
 def packed(layout, columns: dict[str, np.ndarray], rows=slice(None)) -> bytes:
-    return b"".join(np.ascontiguousarray(np.ascontiguousarray(columns[name][rows].astype(kind)).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T).tobytes() for name, kind in layout)
+    return side_by_side(layout, columns, rows).T.tobytes()
 
 
 def unpacked(layout, blobs: list[bytes]) -> dict[str, np.ndarray]:
-    width = sum(np.dtype(kind).itemsize for _, kind in layout)
-    parts: dict[str, list[np.ndarray]] = {name: [] for name, _ in layout}
+    wide = width(layout)
+    entries, at = np.empty((sum(map(len, blobs)) // wide, wide), np.uint8), 0
     for blob in blobs:
-        n, at = len(blob) // width, 0
-        for name, kind in layout:
-            size = np.dtype(kind).itemsize
-            parts[name].append(np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel())
-            at += n * size
-    return {name: np.concatenate(parts[name]) if blobs else np.zeros(0, kind) for name, kind in layout}
+        n = len(blob) // wide
+        entries[at : at + n] = np.frombuffer(blob, np.uint8).reshape(wide, n).T
+        at += n
+    ends = np.cumsum([np.dtype(kind).itemsize for _, kind in layout]).tolist()
+    return {name: np.ascontiguousarray(entries[:, a:b]).view(kind).ravel() for (name, kind), a, b in zip(layout, [0, *ends], ends, strict=False)}
 
 
 def tags(column: pa.Array) -> list[int]:
@@ -70,10 +83,15 @@ def doc_bin(doc: np.ndarray, bins: int) -> np.ndarray:
 
 def dealt(layout, columns: dict[str, np.ndarray], box: np.ndarray) -> Iterator[tuple[int, bytes]]:
     order = np.argsort(box, kind="stable")
-    box = box[order]
-    first = np.flatnonzero(np.concatenate([[True], box[1:] != box[:-1]])) if len(box) else []
-    for a, b in zip(first, [*first[1:], len(box)] if len(box) else [], strict=True):
-        yield int(box[a]), packed(layout, columns, order[a:b])
+    entries = side_by_side(layout, columns, order)
+    for b, start, stop in parts(box[order]):
+        yield b, entries[start:stop].T.tobytes()
+
+
+def parts(box: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(number, start, stop) of each run of equal numbers."""
+    first = np.flatnonzero(np.concatenate([[True], box[1:] != box[:-1]])) if len(box) else np.zeros(0, np.int64)
+    return zip(box[first].tolist(), first.tolist(), [*first[1:].tolist(), len(box)], strict=False)
 
 
 def classes_of(columns: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,37 +205,38 @@ def matched(table: pa.Table, wanted: dict[str, np.ndarray]) -> Iterator[tuple[in
         yield row, data, order[a:b][tag[a:b] == zlib.crc32(data) & 0xFFFF]
 
 
+def windows_of(windows: np.ndarray, pieces: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of runs whose bytes stand end to end: the bytes, where each run's begin, and the run and the place in it of each window."""
+    windows = windows.astype(np.int64)
+    total = np.cumsum(windows)
+    item = np.repeat(np.arange(len(windows)), windows)
+    return np.frombuffer(pieces, np.uint8), total - windows + np.arange(len(windows)) * (WINDOW - 1), item, np.arange(len(item)) - (total - windows)[item]
+
+
 def fetched(bins: int, doc_bins: int):
     """The bytes that requests ask for, packed by the bin of their key; windows of hot anchors singly, by their content."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         asked = unpacked(REQUEST, right.column("data").to_pylist())
-        boxes: dict[int, list] = {}
-        singles: dict[str, list] = {k: [] for k in ("doc", "tag", "start", "hash")}
-        single_bytes: list[np.ndarray] = []
+        pieces: list[bytes] = []
+        found = [np.zeros(0, np.int64)]
         for _, data, places in matched(left, asked):
-            if not len(places):
-                continue
-            for k in places:
-                start, n = int(asked["start"][k]), int(asked["windows"][k])
-                piece = data[start : start + n + WINDOW - 1]
-                if asked["hot"][k]:
-                    single_bytes.append(np.lib.stride_tricks.sliding_window_view(np.frombuffer(piece, np.uint8), WINDOW))
-                    for name, value in (("doc", np.full(n, asked["doc"][k])), ("tag", np.full(n, asked["tag"][k])), ("start", np.arange(start, start + n))):
-                        singles[name].append(value)
-                else:
-                    boxes.setdefault(int(asked["key"][k] % U(bins)), []).append((k, piece))
-        out = []
-        for box, found in boxes.items():
-            rows = np.array([k for k, _ in found])
-            head = packed(ITEM, asked, rows)
-            out.append((box, 0, len(rows).to_bytes(4, "little") + head + b"".join(p for _, p in found)))
-        if single_bytes:
-            content = np.concatenate(single_bytes)
-            columns = {k: np.concatenate(v) for k, v in singles.items() if v} | {"windows": np.ones(len(content), np.int64)}
-            codes = mixed(np.arange(1, WINDOW + 1, dtype=U)) | U(1)
-            key = mixed((mixed(content.astype(U)) * codes).sum(1, dtype=U))
-            columns["hash"] = key
+            if len(places):
+                starts = asked["start"][places].astype(np.int64)
+                pieces += [data[a:b] for a, b in zip(starts.tolist(), (starts + asked["windows"][places] + WINDOW - 1).tolist(), strict=True)]
+                found.append(places)
+        rows = np.concatenate(found)
+        box = (asked["key"][rows] % U(bins)).astype(np.int64)
+        hot = asked["hot"][rows] > 0
+        order = np.flatnonzero(~hot)[np.argsort(box[~hot], kind="stable")]
+        entries = side_by_side(ITEM, asked, rows[order])
+        out = [(b, 0, (stop - start).to_bytes(4, "little") + entries[start:stop].T.tobytes() + b"".join([pieces[k] for k in order[start:stop]])) for b, start, stop in parts(box[order])]
+        if hot.any():
+            data, begins, item, inner = windows_of(asked["windows"][rows[hot]], b"".join([pieces[k] for k in np.flatnonzero(hot)]))
+            at = begins[item] + inner
+            source = rows[hot][item]
+            columns = {"doc": asked["doc"][source], "tag": asked["tag"][source], "start": asked["start"][source] + inner, "windows": np.ones(len(at), np.int64)}
+            key = hashes(data)[at]
             order = np.lexsort((columns["doc"], key))
             k, d = key[order], columns["doc"][order]
             same = np.concatenate([[False], k[1:] == k[:-1]])
@@ -227,9 +246,11 @@ def fetched(bins: int, doc_bins: int):
             out += [(bins + b, 1, data) for b, data in dealt(STRETCH, covered, doc_bin(covered["doc"], doc_bins))]
             rest = order[~late]
             box = (key[rest] % U(bins)).astype(np.int64)
-            for b in np.unique(box):
-                rows = rest[box == b]
-                out.append((int(b), 0, len(rows).to_bytes(4, "little") + packed(ITEM, columns, rows) + content[rows].tobytes()))
+            turn = np.argsort(box, kind="stable")
+            rest, box = rest[turn], box[turn]
+            entries = side_by_side(ITEM, columns, rest)
+            content = np.lib.stride_tricks.sliding_window_view(data, WINDOW)[at[rest]]
+            out += [(b, 0, (stop - start).to_bytes(4, "little") + entries[start:stop].T.tobytes() + content[start:stop].tobytes()) for b, start, stop in parts(box)]
         return pa.Table.from_batches([binned(out)])
 
     return run
@@ -243,25 +264,23 @@ def ordered(bins: int, doc_bins: int):
         blobs = table.column("data").to_pylist()
         if box >= bins:
             return pa.Table.from_batches([binned([(box - bins, 1, b) for b in dealt_one(STRETCH, blobs)])])
-        width = sum(np.dtype(kind).itemsize for _, kind in ITEM)
+        wide = width(ITEM)
         heads, bodies = [], []
         for blob in blobs:
             n = int.from_bytes(blob[:4], "little")
-            heads.append(blob[4 : 4 + n * width])
-            bodies.append(blob[4 + n * width :])
+            heads.append(blob[4 : 4 + n * wide])
+            bodies.append(blob[4 + n * wide :])
         items = unpacked(ITEM, heads)
-        data = np.frombuffer(b"".join(bodies), np.uint8)
-        windows = items["windows"].astype(np.int64)
-        begins = np.cumsum(windows + WINDOW - 1) - (windows + WINDOW - 1)
-        total = np.cumsum(windows)
-        item = np.repeat(np.arange(len(windows)), windows)
-        inner = np.arange(int(total[-1])) - np.repeat(total - windows, windows)
-        order, classes = deep_shallow(data, begins[item] + inner)
-        doc = items["doc"][item][order]
-        first = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]]))
-        late = doc > np.repeat(np.minimum.reduceat(doc, first), np.diff(np.concatenate([first, [len(doc)]])))
-        covered = np.zeros(len(order), bool)
-        covered[order[late]] = True
+        data, begins, item, inner = windows_of(items["windows"], b"".join(bodies))
+        at = begins[item] + inner
+        several = np.flatnonzero(repeated(hashes(data)[at]))
+        order, classes = deep_shallow(data, at[several])
+        order = several[order]
+        doc = items["doc"][item[order]]
+        first = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]])) if len(order) else order
+        least = np.repeat(np.minimum.reduceat(doc, first), np.diff(np.concatenate([first, [len(doc)]]))) if len(order) else doc
+        covered = np.zeros(len(at), bool)
+        covered[order[doc > least]] = True
         change = covered.copy()
         change[1:] &= ~(covered[:-1] & (item[1:] == item[:-1]))
         stop = covered.copy()
@@ -288,7 +307,8 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     """(bin, kind, data): the covered stretches of all documents, packed by documents' bins; the number of bins is in attribute ``doc_bins``."""
     rows = max(1, docs.count())
     size = docs.select(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    doc_bins = max(1, math.ceil(rows / DOCS_A_BIN))
+    # what one bin sends to another grows with both numbers of bins, so bins of documents are small only while they are few
+    doc_bins = max(1, min(MANY_BINS, math.ceil(rows / DOCS_A_BIN)), math.ceil(size / TEXT_A_BIN), math.ceil(rows / MOST_DOCS_A_BIN))
     bins = max(1, math.ceil(size * 0.065 / RUNS_A_BIN))
     first = durable(runs(docs, bins, doc_bins).groupBy("bin").applyInArrow(tidy(compared(bins, doc_bins)), BINNED))
     release(docs.sparkSession)

@@ -85,6 +85,24 @@ def anchored(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return first, last, mixed(grams[anchor] + U(5)), content
 
 
+def hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the WINDOW bytes from each place on, made of those of 1, 2, 4, ... bytes."""
+    part, size, out, have = CODES[data], 1, np.zeros(len(data) + 1, U), 0
+    while True:
+        if WINDOW & size:
+            out = part[: max(0, len(out) - size)] * U(pow(BASE, have, 1 << 64)) + out[size:]
+            have += size
+        if 2 * size > WINDOW:
+            return mixed(out)
+        part, size = part[:-size] * U(pow(BASE, size, 1 << 64)) + part[size:], 2 * size
+
+
+def repeated(numbers: np.ndarray) -> np.ndarray:
+    """Which may stand more than once among ``numbers``: all that do, and one in sixteen or so of the others."""
+    slot = (numbers >> U(64 - max(8, (16 * len(numbers)).bit_length()))).astype(np.int64)
+    return np.bincount(slot)[slot] > 1 if len(slot) else slot > 0
+
+
 def words_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The 8 bytes from each place as one number whose order is theirs. ``data`` has 8 spare bytes."""
     out = np.zeros(len(at), U)

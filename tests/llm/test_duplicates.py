@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rillflow.llm import jaccard, lines, substrings, suffixes
@@ -197,6 +199,40 @@ def test_substrings_of_a_hot_passage(spark, monkeypatch):
     assert sorted(map(tuple, substrings.digests(df).collect())) == brute_substrings(rows)
 
 
+def test_substrings_of_many_bins(spark, monkeypatch):
+    """What bins send to one another grows with the product of their numbers, so those of documents stay few while these are small."""
+    monkeypatch.setattr(substrings, "DOCS_A_BIN", 1)
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    rows = [(i, f"{i:>20}" + passage[(at := rng.randrange(340)) : at + rng.randrange(40, 90)] + f"{i * 7919:<20}") for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert substrings.removed_spans(df)[1] == 512
+    assert sorted(map(tuple, substrings.digests(df).collect())) == brute_substrings(rows)
+
+
+@pytest.mark.parametrize(("classes", "hot"), [(2000, 0), (20_000, 1)])
+def test_runs_of_a_common_gram_are_asked_for_whole(classes, hot):
+    """A larger table has more anchors of over 512 classes; their windows, sent singly, are many times the bytes of the runs."""
+    columns = {"anchor": np.full(classes, 5), "content": np.arange(classes), "doc": np.arange(classes), "tag": np.zeros(classes), "start": np.zeros(classes), "windows": np.full(classes, 16)}
+    rows = pa.Table.from_batches([substrings.binned([(0, 0, substrings.packed(substrings.RUN, columns))])])
+    found = substrings.compared(1, 1)(rows).to_pylist()
+    asked = substrings.unpacked(substrings.REQUEST, [r["data"] for r in found if r["kind"] == 2])
+    assert sorted(asked["doc"].tolist()) == list(range(classes)) and set(asked["hot"].tolist()) == {hot}
+
+
+def test_window_hashes():
+    rng = np.random.default_rng(4)
+    data = rng.integers(0, 3, 4000).astype(np.uint8)
+    data[1000:1300], data[3000:3070], data[3500:] = data[:300], data[20:90], 1
+    content = [data[k : k + 50].tobytes() for k in range(len(data) - 49)]
+    found = suffixes.hashes(data)
+    assert len(found) == len(content) and len(set(zip(found.tolist(), content, strict=True))) == len(set(content)) == len(set(found.tolist()))
+    times = Counter(content)
+    several = np.array([times[c] > 1 for c in content])
+    assert suffixes.repeated(found)[several].all() and suffixes.repeated(found)[~several].mean() < 0.2
+    assert not len(suffixes.repeated(found[:0])) and len(suffixes.hashes(data[:50])) == 1
+
+
 def test_substrings_across_segments(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "SEGMENT", 300)
     rng = random.Random(6)
