@@ -41,6 +41,7 @@ MANY_BINS = 512
 TEXT_A_BIN = 1 << 23
 MOST_DOCS_A_BIN = 50_000
 MANY_CLASSES = 16_384
+HOT_AT_ONCE = 20_000
 
 #: Fields of packed rows, each stored plane by plane so that equal high bytes compress.
 RUN = (("anchor", "<u4"), ("content", "<u8"), ("doc", "<i8"), ("tag", "<u2"), ("start", "<u4"), ("windows", "u1"))
@@ -214,7 +215,7 @@ def windows_of(windows: np.ndarray, pieces: bytes) -> tuple[np.ndarray, np.ndarr
 
 
 def fetched(bins: int, doc_bins: int):
-    """The bytes that requests ask for, packed by the bin of their key; windows of hot anchors singly, by their content."""
+    """The bytes that requests ask for, packed by the bin of their key; those of hot anchors, to be split, as kind 3."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         asked = unpacked(REQUEST, right.column("data").to_pylist())
@@ -231,31 +232,59 @@ def fetched(bins: int, doc_bins: int):
         order = np.flatnonzero(~hot)[np.argsort(box[~hot], kind="stable")]
         entries = side_by_side(ITEM, asked, rows[order])
         out = [(b, 0, (stop - start).to_bytes(4, "little") + entries[start:stop].T.tobytes() + b"".join([pieces[k] for k in order[start:stop]])) for b, start, stop in parts(box[order])]
-        if hot.any():
-            data, begins, item, inner = windows_of(asked["windows"][rows[hot]], b"".join([pieces[k] for k in np.flatnonzero(hot)]))
-            at = begins[item] + inner
-            source = rows[hot][item]
-            columns = {"doc": asked["doc"][source], "tag": asked["tag"][source], "start": asked["start"][source] + inner, "windows": np.ones(len(at), np.int64)}
-            key = hashes(data)[at]
-            order = np.lexsort((columns["doc"], key))
-            k, d = key[order], columns["doc"][order]
-            same = np.concatenate([[False], k[1:] == k[:-1]])
-            first = np.flatnonzero(~same)
-            late = d > np.repeat(d[first], np.diff(np.concatenate([first, [len(k)]])))
-            covered = stretches(columns, order[late])
-            out += [(bins + b, 1, data) for b, data in dealt(STRETCH, covered, doc_bin(covered["doc"], doc_bins))]
-            rest = order[~late]
-            box = (key[rest] % U(bins)).astype(np.int64)
-            turn = np.argsort(box, kind="stable")
-            rest, box = rest[turn], box[turn]
-            entries = side_by_side(ITEM, columns, rest)
-            content = np.lib.stride_tricks.sliding_window_view(data, WINDOW)[at[rest]]
-            out += [(b, 0, (stop - start).to_bytes(4, "little") + entries[start:stop].T.tobytes() + content[start:stop].tobytes()) for b, start, stop in parts(box)]
+        whole = np.flatnonzero(hot)
+        for at in range(0, len(whole), HOT_AT_ONCE):
+            part = whole[at : at + HOT_AT_ONCE]
+            out.append((0, 3, len(part).to_bytes(4, "little") + packed(ITEM, asked, rows[part]) + b"".join([pieces[k] for k in part])))
         return pa.Table.from_batches([binned(out)])
 
     return run
 
 
+def opened(blobs: list[bytes]) -> tuple[dict[str, np.ndarray], bytes]:
+    """Items, and their bytes end to end."""
+    wide = width(ITEM)
+    heads, bodies = [], []
+    for blob in blobs:
+        n = int.from_bytes(blob[:4], "little")
+        heads.append(blob[4 : 4 + n * wide])
+        bodies.append(blob[4 + n * wide :])
+    return unpacked(ITEM, heads), b"".join(bodies)
+
+
+def single(items: DataFrame, bins: int, doc_bins: int) -> DataFrame:
+    """Kind 3 as kinds 0 and 1, the other rows as they are. Windows are many times the bytes of their runs, so they are made of few runs at a time and yielded at once."""
+
+    def windows(blob: bytes) -> Iterator[tuple[int, int, bytes]]:
+        asked, pieces = opened([blob])
+        data, begins, item, inner = windows_of(asked["windows"], pieces)
+        at = begins[item] + inner
+        columns = {"doc": asked["doc"][item], "tag": asked["tag"][item], "start": asked["start"][item] + inner, "windows": np.ones(len(at), np.int64)}
+        key = hashes(data)[at]
+        order = np.lexsort((columns["doc"], key))
+        k, d = key[order], columns["doc"][order]
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        late = d > np.repeat(d[first], np.diff(np.concatenate([first, [len(k)]])))
+        covered = stretches(columns, order[late])
+        yield from ((bins + b, 1, part) for b, part in dealt(STRETCH, covered, doc_bin(covered["doc"], doc_bins)))
+        rest = order[~late]
+        box = (key[rest] % U(bins)).astype(np.int64)
+        turn = np.argsort(box, kind="stable")
+        rest, box = rest[turn], box[turn]
+        entries = side_by_side(ITEM, columns, rest)
+        content = np.lib.stride_tricks.sliding_window_view(data, WINDOW)[at[rest]]
+        yield from ((b, 0, (stop - start).to_bytes(4, "little") + entries[start:stop].T.tobytes() + content[start:stop].tobytes()) for b, start, stop in parts(box))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hot = batch.column("kind").to_numpy() == 3
+            yield batch.filter(pa.array(~hot)) if hot.any() else batch
+            for row in np.flatnonzero(hot).tolist():
+                yield binned(windows(batch.column("data")[row].as_py()))
+
+    return items.mapInArrow(run, BINNED)
+
+
 def ordered(bins: int, doc_bins: int):
     """Sorts the suffixes of a bin's windows; stretches whose windows also start in an earlier document, by documents' bins."""
 
@@ -264,14 +293,8 @@ def ordered(bins: int, doc_bins: int):
         blobs = table.column("data").to_pylist()
         if box >= bins:
             return pa.Table.from_batches([binned([(box - bins, 1, b) for b in dealt_one(STRETCH, blobs)])])
-        wide = width(ITEM)
-        heads, bodies = [], []
-        for blob in blobs:
-            n = int.from_bytes(blob[:4], "little")
-            heads.append(blob[4 : 4 + n * wide])
-            bodies.append(blob[4 + n * wide :])
-        items = unpacked(ITEM, heads)
-        data, begins, item, inner = windows_of(items["windows"], b"".join(bodies))
+        items, pieces = opened(blobs)
+        data, begins, item, inner = windows_of(items["windows"], pieces)
         at = begins[item] + inner
         several = np.flatnonzero(repeated(hashes(data)[at]))
         order, classes = deep_shallow(data, at[several])
@@ -315,6 +338,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     asked = first.where("kind = 2").groupBy("bin")
     sort_bins = 2 * bins
     items = by_bin(docs, doc_bins).groupBy("bin").cogroup(asked).applyInArrow(tidy(fetched(sort_bins, doc_bins)), BINNED)
+    items = single(items, sort_bins, doc_bins)
     second = durable(items.groupBy("bin").applyInArrow(tidy(ordered(sort_bins, doc_bins)), BINNED))
     del items, asked
     release(docs.sparkSession)
