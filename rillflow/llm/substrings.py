@@ -150,7 +150,7 @@ def runs(docs: DataFrame, bins: int, doc_bins: int) -> DataFrame:
 
 
 def compared(bins: int, doc_bins: int):
-    """For a bin of runs: stretches that equal runs cover (kind 1), and requests for the bytes of runs of anchors with several classes (kind 2), by documents' bins."""
+    """For a bin of runs: stretches that equal runs cover (kind 1), and requests for the bytes of runs of anchors with several classes (kind 2), by documents' bins; a row of kind 3 if any of these is hot."""
 
     def run(table: pa.Table) -> pa.Table:
         box = table.column("bin")[0].as_py()
@@ -173,6 +173,8 @@ def compared(bins: int, doc_bins: int):
             rows = order[asked]
             request = {k: columns[k][rows] for k in ("doc", "tag", "start", "windows")} | {"key": mixed(anchor[asked].astype(U) | U(box << 32)), "hot": number[asked] > MANY_CLASSES}
             out += [(b, 2, data) for b, data in dealt(REQUEST, request, doc_bin(request["doc"], doc_bins))]
+            if request["hot"].any():
+                out.append((0, 3, b""))
         return pa.Table.from_batches([binned(out)])
 
     return run
@@ -338,7 +340,8 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     asked = first.where("kind = 2").groupBy("bin")
     sort_bins = 2 * bins
     items = by_bin(docs, doc_bins).groupBy("bin").cogroup(asked).applyInArrow(tidy(fetched(sort_bins, doc_bins)), BINNED)
-    items = single(items, sort_bins, doc_bins)
+    if not first.where("kind = 3").isEmpty():
+        items = single(items, sort_bins, doc_bins)
     second = durable(items.groupBy("bin").applyInArrow(tidy(ordered(sort_bins, doc_bins)), BINNED))
     del items, asked
     release(docs.sparkSession)
