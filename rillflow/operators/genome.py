@@ -182,13 +182,19 @@ def reverse_complement(bases: Column) -> Column:
     return F.reverse(F.translate(F.upper(bases), "ACGT", "TGCA"))
 
 
+#: Bases whose runs are cut out at once: what a row of a reference is worked on by.
+STRETCH = 4096
+
+
 def genome_index(references: DataFrame, k: int, most_places: int = 300) -> DataFrame:
-    """(kmer, ref_index, position): where each run of k bases stands in the references (ref_index, bases), without those at more than ``most_places`` places, which tell nothing."""
-    n = F.length("bases") - k + 1
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    found = references.select("ref_index", "bases", F.explode(places).alias("position")).select(F.substr(F.upper("bases"), F.col("position") + 1, F.lit(k)).alias("kmer"), "ref_index", F.col("position").cast("long").alias("position"))
-    usual = found.groupBy("kmer").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= most_places).select("kmer")
-    return found.join(usual, "kmer", "left_semi")
+    """(kmer, ref_index, position): where each run of k bases stands in the references (ref_index, bases), without those at more than ``most_places`` places, which tell nothing.
+    References are cut into stretches, and these into runs, in one pass each. Runs at too many places are few, however many there are in all."""
+    stretches = F.regexp_extract_all("bases", F.lit(f"(?s)(?=(.{{1,{STRETCH + k - 1}}})).{{1,{STRETCH}}}"), F.lit(1))
+    runs = F.regexp_extract_all(F.upper("part"), F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
+    parts = references.select("ref_index", F.posexplode(stretches).alias("stretch", "part"))
+    found = parts.select("ref_index", "stretch", F.posexplode(runs).alias("at", "kmer")).select("kmer", "ref_index", (F.col("stretch").cast("long") * STRETCH + F.col("at")).alias("position"))
+    unusual = found.groupBy("kmer").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most_places).select("kmer")
+    return found.join(unusual, "kmer", "left_anti")
 
 
 def candidates(reads: DataFrame, index: DataFrame, references: DataFrame, k: int, stride: int, most_mismatches: int) -> DataFrame:

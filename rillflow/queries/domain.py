@@ -242,11 +242,11 @@ GENOME = """with h as (select (row_number() over (order by p_partkey) - 1) as n,
 
 
 def genome(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """(references, reads): see GENOME."""
+    """(references, reads): see GENOME. The references are checkpointed, as each alignment goes through them several times."""
     digest = F.concat(F.md5(F.concat(F.col("p_partkey").cast("string"), F.lit(":"), "p_name")), F.md5(F.concat("p_name", F.lit(":"), F.col("p_partkey").cast("string"))))
     parts = numbered(t.part.select("p_partkey", F.translate(digest, "0123456789abcdef", "ACGTTGCACGATTCAG").alias("d")), ["p_partkey"], "n")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "d"))), lambda x: x["d"]), "")
-    refs = parts.groupBy(F.floor(F.col("n") / 40).cast("int").alias("ref_index")).agg(joined.alias("bases")).where(F.length("bases") >= 2560)
+    refs = cut(parts.groupBy(F.floor(F.col("n") / 40).cast("int").alias("ref_index")).agg(joined.alias("bases")).where(F.length("bases") >= 2560))
     cuts = refs.select("ref_index", "bases", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("i")).withColumn("cut", F.substr("bases", F.col("i") * 97 + 14, F.lit(60)))
     changed = F.concat(F.substr("cut", F.lit(1), F.lit(29)), F.translate(F.substr("cut", F.lit(30), F.lit(1)), "ACGT", "CGTA"), F.substr("cut", F.lit(31), F.lit(30)))
     turned = F.when(F.col("i") % 3 == 1, G.reverse_complement(changed)).otherwise(changed)

@@ -1,5 +1,6 @@
 """Small fixed inputs with known results."""
 
+import hashlib
 import math
 
 import pytest
@@ -463,3 +464,18 @@ def test_seeds_by_chain():
     from rillflow.operators.similarity import chain_seeds
 
     assert chain_seeds([1.0, 4.0, 2.0], [0.5, 0.9]) == 1 and chain_seeds([0.0, 4.0], [0.99]) == 1 and chain_seeds([3.0], []) == 0
+
+
+def genome_of(spark, folder, bases):
+    """References from a file so small that Spark would broadcast whatever comes of it."""
+    spark.createDataFrame(bases, "ref_index int, bases string").write.parquet(f"{folder}/refs")
+    return spark.read.parquet(f"{folder}/refs")
+
+
+def test_index_of_stretches(spark, tmp_path, monkeypatch):
+    """Runs across the ends of stretches come once; those at too many places not at all."""
+    monkeypatch.setattr(genome, "STRETCH", 16)
+    texts = ["".join("ACGT"[int(c, 16) % 4] for c in hashlib.sha512(str(k).encode()).hexdigest()[:n]) for k, n in enumerate((3, 4, 15, 16, 17, 19, 20, 100))] + ["a" * 40, ""]
+    found = genome.genome_index(genome_of(spark, tmp_path, [*enumerate(texts), (99, None)]), 4, 20).collect()
+    places = [(t.upper()[p : p + 4], k, p) for k, t in enumerate(texts) for p in range(len(t) - 3)]
+    assert sorted(map(tuple, found)) == sorted(x for x in places if x[0] != "AAAA")
