@@ -198,13 +198,14 @@ def genome_index(references: DataFrame, k: int, most_places: int = 300) -> DataF
 
 
 def candidates(reads: DataFrame, index: DataFrame, references: DataFrame, k: int, stride: int, most_mismatches: int) -> DataFrame:
-    """(ordinal, ref_index, position, reverse, mismatches): places where a read, or its reverse complement, stands with few mismatches. Seeds every ``stride`` bases meet the index; what they propose is compared base by base."""
+    """(ordinal, ref_index, position, reverse, mismatches): places where a read, or its reverse complement, stands with few mismatches. Seeds every ``stride`` bases meet the index; what they propose is compared base by base.
+    Both joins are merges: Spark takes what ``explode`` makes of a table for as small as the table's file, and would broadcast it by way of the driver."""
     both = reads.select("ordinal", F.explode(F.array(F.struct(F.lit(False).alias("reverse"), F.upper("bases").alias("seq")), F.struct(F.lit(True).alias("reverse"), reverse_complement(F.col("bases")).alias("seq")))).alias("s")).select("ordinal", "s.*")
     last = F.length("seq") - k
     seeds = both.where(last >= 0).select("*", F.explode(F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(stride)), F.array(last)))).alias("at")).withColumn("kmer", F.substr("seq", F.col("at") + 1, F.lit(k)))
-    proposed = seeds.join(index, "kmer").select("ordinal", "reverse", "seq", "ref_index", (F.col("position") - F.col("at")).alias("position")).where("position >= 0").distinct()
+    proposed = seeds.join(index.hint("merge"), "kmer").select("ordinal", "reverse", "seq", "ref_index", (F.col("position") - F.col("at")).alias("position")).where("position >= 0").distinct()
     held = references.select(F.col("ref_index").alias("_r"), F.upper("bases").alias("_ref"))
-    there = proposed.join(held, F.col("ref_index") == F.col("_r")).withColumn("_there", F.substr("_ref", (F.col("position") + 1).cast("int"), F.length("seq"))).drop("_ref", "_r").where(F.length("_there") == F.length("seq"))
+    there = proposed.join(held.hint("merge"), F.col("ref_index") == F.col("_r")).withColumn("_there", F.substr("_ref", (F.col("position") + 1).cast("int"), F.length("seq"))).drop("_ref", "_r").where(F.length("_there") == F.length("seq"))
     differ = F.aggregate(F.zip_with(F.split("seq", ""), F.split("_there", ""), lambda a, b: (a != b).cast("int")), F.lit(0), lambda s, x: s + x)
     return there.select("ordinal", "ref_index", "position", "reverse", differ.alias("mismatches")).where(F.col("mismatches") <= most_mismatches)
 
@@ -212,14 +213,19 @@ def candidates(reads: DataFrame, index: DataFrame, references: DataFrame, k: int
 def align_single(reads: DataFrame, index: DataFrame, references: DataFrame, k: int, stride: int = 10, most_mismatches: int = 3, most_secondary: int = 0) -> DataFrame:
     """(ordinal, rank, ref_index, position, flag, mapping_quality): the best place of each read (ordinal, bases), then up to ``most_secondary`` others. A read without a place comes once, unmapped.
     The quality is 60 for a place without rival, 0 where another is as good, and 10 for each mismatch that the next one has more."""
-    found = candidates(reads, index, references, k, stride, most_mismatches)
-    window = Window.partitionBy("ordinal").orderBy("mismatches", "ref_index", "position", "reverse")
-    ranked = found.withColumns({"rank": F.row_number().over(window) - 1, "_next": F.lead("mismatches").over(window)})
-    quality = F.when(F.col("rank") > 0, 0).when(F.col("_next").isNull(), 60).otherwise(F.least(F.lit(60), 10 * (F.col("_next") - F.col("mismatches"))))
-    flags = F.when(F.col("reverse"), FLAGS["reverse"]).otherwise(0) + F.when(F.col("rank") > 0, FLAGS["secondary"]).otherwise(0)
-    placed = ranked.where(F.col("rank") <= most_secondary).select("ordinal", "rank", "ref_index", "position", flags.alias("flag"), quality.alias("mapping_quality"))
-    lost = reads.join(placed.select("ordinal").distinct(), "ordinal", "left_anti")
-    return placed.unionByName(lost.select("ordinal", F.lit(0).alias("rank"), F.lit(-1).alias("ref_index"), F.lit(-1).cast("long").alias("position"), F.lit(FLAGS["unmapped"]).alias("flag"), F.lit(0).alias("mapping_quality")))
+    return best_places(reads, candidates(reads, index, references, k, stride, most_mismatches), most_secondary)
+
+
+def best_places(reads: DataFrame, found: DataFrame, most_secondary: int = 0) -> DataFrame:
+    """What ``align_single`` gives, of the ``candidates`` found. Each read's ordinal comes behind its candidates, so that these are gone through once."""
+    last = reads.select("ordinal", *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("ref_index", "position", "reverse", "mismatches")], F.lit(True).alias("_last"))
+    window = Window.partitionBy("ordinal").orderBy("_last", "mismatches", "ref_index", "position", "reverse")
+    ranked = found.withColumn("_last", F.lit(False)).unionByName(last).withColumns({"rank": F.row_number().over(window) - 1, "_next": F.lead("mismatches").over(window), "_lost": F.first("_last").over(window)})
+    placed, none = ~F.col("_last") & (F.col("rank") <= most_secondary), F.col("_last") & F.col("_lost")
+    quality = F.when(none | (F.col("rank") > 0), 0).when(F.col("_next").isNull(), 60).otherwise(F.least(F.lit(60), 10 * (F.col("_next") - F.col("mismatches"))))
+    flags = F.when(none, FLAGS["unmapped"]).otherwise(F.when(F.col("reverse"), FLAGS["reverse"]).otherwise(0) + F.when(F.col("rank") > 0, FLAGS["secondary"]).otherwise(0))
+    here = lambda c: F.when(none, F.lit(-1)).otherwise(F.col(c)).alias(c)
+    return ranked.where(placed | none).select("ordinal", F.when(none, 0).otherwise(F.col("rank")).alias("rank"), here("ref_index"), here("position"), flags.alias("flag"), quality.alias("mapping_quality"))
 
 
 def insert_sizes(pairs: DataFrame) -> DataFrame:

@@ -479,3 +479,14 @@ def test_index_of_stretches(spark, tmp_path, monkeypatch):
     found = genome.genome_index(genome_of(spark, tmp_path, [*enumerate(texts), (99, None)]), 4, 20).collect()
     places = [(t.upper()[p : p + 4], k, p) for k, t in enumerate(texts) for p in range(len(t) - 3)]
     assert sorted(map(tuple, found)) == sorted(x for x in places if x[0] != "AAAA")
+
+
+def test_alignments_broadcast_no_index(spark, tmp_path):
+    """What explode makes of a small table counts as small, and went by way of the driver."""
+    refs = genome_of(spark, tmp_path, [(0, "ACGTACGGTCATTGCAGGATCCATTTGACC" * 4), (1, "TTGACCAGGATTACAGATTACACCGGTTAA" * 4)])
+    reads = spark.createDataFrame([(0, "ACGTACGGTCATTGCAGGAT"), (1, "TTGACCAGGATTACAGATTA"), (2, "G" * 20)], "ordinal long, bases string")
+    found = genome.align_single(reads, genome.genome_index(refs, 8), refs, 8, 4, 0, 1)
+    plan = transform.explained(found)
+    assert "SortMergeJoin Inner" in plan and "BroadcastHashJoin Inner" not in plan
+    rows = sorted(map(tuple, found.collect()))
+    assert [r[0] for r in rows] == [0, 0, 1, 1, 2] and [(r[2], r[3], r[4]) for r in rows] == [(0, 0, 0), (0, 30, 256), (1, 0, 0), (1, 30, 256), (-1, -1, 4)] and {r[5] for r in rows} == {0}
