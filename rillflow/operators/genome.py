@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillflow.session import cut
+
 #: Fixed values of the packed-base format: three bits a base, 21 bases a word, and a mark after the last base.
 BASES = {"A": 0, "C": 1, "T": 2, "G": 3, "N": 4}
 END = 7
@@ -235,22 +237,22 @@ def insert_sizes(pairs: DataFrame) -> DataFrame:
 
 def align_paired(reads: DataFrame, index: DataFrame, references: DataFrame, k: int, stride: int = 10, most_mismatches: int = 3) -> DataFrame:
     """(ordinal, ref_index, position, flag): reads in pairs, ordinals 2i and 2i + 1; an odd number of reads is an error. First the reads with one place each tell the usual distance, then each pair takes the
-    places of least mismatches on one reference, on opposite strands, within it; a pair without such places is aligned read by read."""
+    places of least mismatches on one reference, on opposite strands, within it; a pair without such places is aligned read by read. Candidates and pairs are checkpointed: each is asked for again and again."""
     n = reads.agg(F.count(F.lit(1)).alias("n")).select(F.when(F.col("n") % 2 == 0, F.lit(True)).otherwise(F.raise_error(F.lit("an odd number of reads can't be paired")).cast("boolean")).alias("even"))
     reads = reads.join(F.broadcast(n), F.col("even")).drop("even")
-    found = candidates(reads, index, references, k, stride, most_mismatches).withColumn("pair", F.floor(F.col("ordinal") / 2))
+    found = cut(candidates(reads, index, references, k, stride, most_mismatches).withColumn("pair", F.floor(F.col("ordinal") / 2)))
     side = lambda odd, p: found.where(F.col("ordinal") % 2 == odd).select("pair", "ref_index", *[F.col(c).alias(p + c) for c in ("position", "reverse", "mismatches")])
     met = side(0, "a_").join(side(1, "b_"), ["pair", "ref_index"]).where(F.col("a_reverse") != F.col("b_reverse")).withColumn("size", F.abs(F.col("a_position") - F.col("b_position")))
     alone = found.groupBy("ordinal").agg(F.count(F.lit(1)).alias("c")).where("c = 1").groupBy(F.floor(F.col("ordinal") / 2).alias("pair")).agg(F.count(F.lit(1)).alias("c")).where("c = 2").select("pair")
     bound = insert_sizes(met.join(alone, "pair", "left_semi"))
     proper = met.join(F.broadcast(bound), (F.col("size") >= F.col("low")) & (F.col("size") <= F.col("high")))
-    best = proper.groupBy("pair").agg(F.min(F.struct((F.col("a_mismatches") + F.col("b_mismatches")).alias("m"), "size", "ref_index", "a_position", "b_position", "a_reverse", "b_reverse")).alias("s")).select("pair", "s.*")
+    best = cut(proper.groupBy("pair").agg(F.min(F.struct((F.col("a_mismatches") + F.col("b_mismatches")).alias("m"), "size", "ref_index", "a_position", "b_position", "a_reverse", "b_reverse")).alias("s")).select("pair", "s.*"))
     common = FLAGS["paired"] + FLAGS["proper_pair"]
     strand = lambda c, bit: F.when(F.col(c), FLAGS[bit]).otherwise(0)
     one = best.select((F.col("pair") * 2).alias("ordinal"), "ref_index", F.col("a_position").alias("position"), (F.lit(common + FLAGS["first"]) + strand("a_reverse", "reverse") + strand("b_reverse", "next_reverse")).alias("flag"))
     two = best.select((F.col("pair") * 2 + 1).alias("ordinal"), "ref_index", F.col("b_position").alias("position"), (F.lit(common + FLAGS["last"]) + strand("b_reverse", "reverse") + strand("a_reverse", "next_reverse")).alias("flag"))
-    rest = reads.join(one.unionByName(two).select("ordinal"), "ordinal", "left_anti")
-    single = align_single(rest, index, references, k, stride, most_mismatches).select("ordinal", "ref_index", "position", (F.col("flag") + FLAGS["paired"] + F.when(F.col("ordinal") % 2 == 0, FLAGS["first"]).otherwise(FLAGS["last"])).alias("flag"))
+    rest = reads.select("ordinal", F.floor(F.col("ordinal") / 2).alias("pair")).join(best, "pair", "left_anti")
+    single = best_places(rest, found.join(best, "pair", "left_anti").drop("pair")).select("ordinal", "ref_index", "position", (F.col("flag") + FLAGS["paired"] + F.when(F.col("ordinal") % 2 == 0, FLAGS["first"]).otherwise(FLAGS["last"])).alias("flag"))
     return one.unionByName(two).unionByName(single)
 
 

@@ -490,3 +490,14 @@ def test_alignments_broadcast_no_index(spark, tmp_path):
     assert "SortMergeJoin Inner" in plan and "BroadcastHashJoin Inner" not in plan
     rows = sorted(map(tuple, found.collect()))
     assert [r[0] for r in rows] == [0, 0, 1, 1, 2] and [(r[2], r[3], r[4]) for r in rows] == [(0, 0, 0), (0, 30, 256), (1, 0, 0), (1, 30, 256), (-1, -1, 4)] and {r[5] for r in rows} == {0}
+
+
+def test_pairs_look_for_candidates_once(spark, tmp_path):
+    """The plan held the search for candidates dozens of times."""
+    bases = "".join("ACGT"[int(c, 16) % 4] for k in range(4) for c in hashlib.md5(str(k).encode()).hexdigest())
+    refs = genome_of(spark, tmp_path, [(0, bases)])
+    turned = lambda x: x[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    reads = [(0, bases[3:27]), (1, turned(bases[60:84])), (2, bases[10:34]), (3, turned(bases[66:90])), (4, bases[20:44]), (5, "A" * 24)]
+    found = genome.align_paired(spark.createDataFrame(reads, "ordinal long, bases string"), genome.genome_index(refs, 8), refs, 8, 4, 0)
+    assert "Generate" not in transform.explained(found)
+    assert sorted(map(tuple, found.collect())) == [(0, 0, 3, 99), (1, 0, 60, 147), (2, 0, 10, 99), (3, 0, 66, 147), (4, 0, 20, 65), (5, -1, -1, 133)]
