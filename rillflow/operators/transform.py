@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,24 +114,59 @@ def ignore_errors(df: DataFrame, **tried: Column) -> DataFrame:
     return df.withColumns(tried).dropna(subset=[*tried])
 
 
+#: Rows that a function is tried on together once it has failed: so many that this share of such groups' rows fails, about. Partitions for each core.
+GROUP_SHARE, DEALS = 0.7, 4
+
+
 def map_ignoring_errors(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """An opaque function of pandas frames, without the rows on which it fails: a batch on which it does is gone through row by row."""
+    """An opaque function of pandas frames, without the rows on which it fails. A batch on which it does is gone through in groups, the smaller the more rows have failed so far, and a group on which it fails in halves;
+    only a row on which it fails alone is left out. As that takes up to a call a row, rows are dealt to all cores, however few files they come from."""
 
     def run(batches):
-        for pdf in batches:
+        seen = bad = 0
+
+        def tried(part):
             try:
-                yield function(pdf)
-                continue
+                return function(part)
             except Exception:
-                rows = [pdf.iloc[[k]] for k in range(len(pdf))]
-            for row in rows:
-                try:
-                    made = function(row)
-                except Exception:
-                    continue
+                return None
+
+        def halves(part):
+            """What comes of a group on which the function failed."""
+            nonlocal bad
+            if len(part) == 1:
+                bad += 1
+                return
+            middle = len(part) // 2
+            one, two = part.iloc[:middle], part.iloc[middle:]
+            made = tried(one)
+            if made is None:
+                yield from halves(one)
+            else:
                 yield made
+            # if the first half is sound, the second isn't: it need not be tried as a whole
+            again = tried(two) if made is None or len(two) == 1 else None
+            if again is None:
+                yield from halves(two)
+            else:
+                yield again
 
-    return df.mapInPandas(run, schema)
+        for pdf in batches:
+            whole = tried(pdf)
+            if whole is not None:
+                seen += len(pdf)
+                yield whole
+                continue
+            found, at = [], 0
+            while at < len(pdf):
+                group = pdf.iloc[at : at + max(1, int(GROUP_SHARE * (seen + 1) / (bad + 1)))]
+                made = tried(group)
+                found += halves(group) if made is None else [made]
+                at, seen = at + len(group), seen + len(group)
+            if found:
+                yield pd.concat(found)
+
+    return df.repartition(DEALS * df.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, schema)
 
 
 def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -501,3 +502,21 @@ def test_pairs_look_for_candidates_once(spark, tmp_path):
     found = genome.align_paired(spark.createDataFrame(reads, "ordinal long, bases string"), genome.genome_index(refs, 8), refs, 8, 4, 0)
     assert "Generate" not in transform.explained(found)
     assert sorted(map(tuple, found.collect())) == [(0, 0, 3, 99), (1, 0, 60, 147), (2, 0, 10, 99), (3, 0, 66, 147), (4, 0, 20, 65), (5, -1, -1, 133)]
+
+
+def test_rows_that_fail_cost_few_calls(spark, tmp_path):
+    """Groups on which the function works are kept whole, rows are dealt to all cores, and only rows that fail alone are left out."""
+    log = tmp_path / "calls"
+
+    def run(pdf):
+        with log.open("a") as f:
+            f.write(f"{os.getpid()} ")
+        if (pdf["id"] % 100 == 7).any():
+            raise ValueError("not these")
+        return pdf
+
+    df = spark.range(0, 4000, 1, 1)
+    assert sorted(r.id for r in transform.map_ignoring_errors(df, run, "id long").collect()) == [k for k in range(4000) if k % 100 != 7]
+    assert len(log.read_text().split()) < 2000
+    assert transform.map_ignoring_errors(df, run, "id long").rdd.getNumPartitions() >= 4
+    assert not transform.map_ignoring_errors(df, lambda pdf: 1 / 0, "id long").collect()
