@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,6 +93,22 @@ def barrier(stream: DataFrame, names: list[str], ttl_ms: int | None = None) -> D
     return stream.groupBy("key").transformWithStateInPandas(BarrierProcessor(names, ttl_ms), schema, "append", "ProcessingTime" if ttl_ms else "None")
 
 
+#: Rows of a frame that a processor gives out.
+FRAME = 100_000
+
+
+def gathered(rows: Iterator[pd.DataFrame], *columns: str) -> list[np.ndarray]:
+    """Columns of all of a key's rows of one batch. They come in frames of Arrow's size, and what is to be put in order must be put in order over all of them."""
+    parts = [[pdf[c].to_numpy() for c in columns] for pdf in rows]
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
+def framed(columns: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
+    """Frames of at most FRAME rows."""
+    for at in range(0, len(columns["key"]), FRAME):
+        yield pd.DataFrame({k: v[at : at + FRAME] for k, v in columns.items()})
+
+
 class AccumulatorProcessor(StatefulProcessor):
     """Averages the values of a key. Values of a step before the key's own are stale and dropped; when enough have come the mean is taken, and the key goes on to the next step, empty."""
 
@@ -103,17 +120,30 @@ class AccumulatorProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         step, n, total = self.state.get() if self.state.exists() else (0, 0, 0.0)
-        out = []
-        for pdf in rows:
-            for at, value in sorted(zip(pdf["step"].tolist(), pdf["value"].tolist(), strict=True)):
-                if at < step:
-                    continue
+        ats, values = gathered(rows, "step", "value")
+        order = np.lexsort((values, ats))
+        ats, values = ats[order], values[order]
+        starts = np.flatnonzero(np.concatenate([[True], ats[1:] != ats[:-1]])) if len(ats) else []
+        for start, end in zip(starts, [*starts[1:], len(ats)], strict=True):
+            if (ahead := int(ats[start]) - step) < 0:
+                continue
+            mine = values[start : min(end, start + (ahead + 1) * self.at_least - n)]  # what comes after these is stale
+            first = min(len(mine), self.at_least - n)
+            for value in mine[:first].tolist():
+                n, total = n + 1, total + value
+            if n < self.at_least:
+                continue
+            full = (len(mine) - first) // self.at_least
+            groups = mine[first : first + full * self.at_least].reshape(full, self.at_least)
+            totals = np.zeros(full)
+            for k in range(self.at_least):  # one after the other, as rows would be added
+                totals += groups[:, k]
+            means = np.concatenate([[total / n], totals / self.at_least])
+            yield from framed({"key": np.full(len(means), key[0]), "step": step + np.arange(len(means)), "mean": means, "n": np.full(len(means), n)})
+            step, n, total = step + len(means), 0, 0.0
+            for value in mine[first + full * self.at_least :].tolist():
                 n, total = n + 1, total + value
-                if n >= self.at_least:
-                    out.append((key[0], step, total / n, n))
-                    step, n, total = step + 1, 0, 0.0
-        self.state.update((step, n, total))
-        yield pd.DataFrame(out, columns=["key", "step", "mean", "n"])
+        self.state.update((int(step), n, total))
 
     def close(self) -> None:
         pass
@@ -191,13 +221,18 @@ class RegisterProcessor(StatefulProcessor):
         self.held = handle.getValueState("held", "n bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, out = (self.held.get()[0] if self.held.exists() else 0), []
-        steps = sorted((int(o), a, int(v)) for pdf in rows for o, a, v in zip(pdf["ord"], pdf["action"], pdf["value"], strict=True))
-        for at, action, value in steps:
-            out.append((key[0], at, n))
-            n = value if action == "set" else n + value
-        self.held.update((n,))
-        yield pd.DataFrame(out, columns=["key", "ord", "old"])
+        held = self.held.get()[0] if self.held.exists() else 0
+        at, action, value = gathered(rows, "ord", "action", "value")
+        codes, names = pd.factorize(action, sort=True)
+        order = np.lexsort((value, codes, at))
+        at, value, sets = at[order], value[order], (names == "set")[codes[order]]
+        # the sum so far, less what it was before the last set
+        sums = np.cumsum(value)
+        last = np.maximum.accumulate(np.where(sets, np.arange(len(at)), -1))
+        after = np.where(last < 0, held + sums, sums - np.where(last < 0, 0, (sums - value)[last]))
+        old = np.concatenate([[held], after[:-1]]).astype(np.int64)
+        self.held.update((int(after[-1]) if len(after) else held,))
+        yield from framed({"key": np.full(len(at), key[0]), "ord": at, "old": old[: len(at)]})
 
     def close(self) -> None:
         pass

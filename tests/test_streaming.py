@@ -1,3 +1,5 @@
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +100,60 @@ def test_runner_drives_a_stage(spark, tmp_path):
         stateful.Runner(str(tmp_path / "cp3")).run(stream, lambda rows: rows, shut, 120)
     with pytest.raises(ValueError):
         stateful.credited(spark.readStream, 0)
+
+
+def test_a_key_of_many_frames_is_put_in_order(spark, run):
+    """Rows of a key come in frames of Arrow's size, each of which was put in order by itself."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        rows = spark.range(0, 95, 1, 1).select(F.lit(1).cast("long").alias("key"), F.lit(1 << 40).alias("step"), (F.col("id") * 37 % 95).cast("double").alias("value"))
+        found = run([rows], lambda s: stateful.accumulator(s, 10))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(map(tuple, found)) == [(1, k, 10 * k + 4.5, 10) for k in range(9)]
+
+
+class Held:
+    """A value as a processor's handle keeps it."""
+
+    def __init__(self, *value):
+        self.value = value
+
+    def exists(self):
+        return bool(self.value)
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_processors_are_as_row_by_row(monkeypatch):
+    """Against plain loops, over several batches of several frames."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(stateful, "FRAME", 7)
+    one, two = stateful.AccumulatorProcessor(4), stateful.RegisterProcessor()
+    one.state, two.held = Held(), Held()
+    step = n = held = 0
+    total = 0.0
+    for _ in range(30):
+        size = int(rng.integers(1, 60))
+        frame = pd.DataFrame({"step": rng.integers(max(0, step - 2), step + 5, size), "value": rng.integers(0, 9, size) / 8, "ord": rng.integers(0, 20, size), "action": rng.choice(["add", "set", "more"], size)})
+        parts = [frame.iloc[k : k + 11] for k in range(0, size, 11)]
+        want = []
+        for at, value in sorted(zip(frame["step"].tolist(), frame["value"].tolist(), strict=True)):
+            if at >= step:
+                n, total = n + 1, total + value
+                if n >= 4:
+                    want.append((1, step, total / n, n))
+                    step, n, total = step + 1, 0, 0.0
+        got = [*one.handleInputRows((1,), iter(parts), None)]
+        assert [tuple(r) for f in got for r in f.itertuples(index=False)] == want and one.state.get() == (step, n, total) and max(map(len, got), default=0) <= 7
+        want = []
+        for at, action, value in sorted(zip(frame["ord"].tolist(), frame["action"].tolist(), (frame["value"] * 8).astype(int).tolist(), strict=True)):
+            want.append((1, at, held))
+            held = value if action == "set" else held + value
+        got = [*two.handleInputRows((1,), iter([p.assign(value=(p["value"] * 8).astype("int64")) for p in parts]), None)]
+        assert [tuple(r) for f in got for r in f.itertuples(index=False)] == want and two.held.get() == (held,)
