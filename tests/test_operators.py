@@ -520,3 +520,11 @@ def test_rows_that_fail_cost_few_calls(spark, tmp_path):
     assert len(log.read_text().split()) < 2000
     assert transform.map_ignoring_errors(df, run, "id long").rdd.getNumPartitions() >= 4
     assert not transform.map_ignoring_errors(df, lambda pdf: 1 / 0, "id long").collect()
+
+
+def test_estimates_are_not_kept_for_each_user(spark):
+    from rillflow.queries import catalogue
+
+    plan = transform.explained(catalogue.queries()["approx_distinct"](spark, "/root/testdata/sf0.001"))
+    keys = [line for line in plan.splitlines() if line.startswith("Functions") and "approx_count_distinct" in line and "user_id" in line]
+    assert keys and not [line for line in plan.splitlines() if line.startswith("Functions") and "merge_approx_count_distinct" in line]
