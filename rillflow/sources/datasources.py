@@ -169,9 +169,15 @@ def framed(record: bytes) -> bytes:
     return framed_all([record])
 
 
+#: A task reads chunk files of so many bytes together, or so many files; record files end at so many bytes.
+TASK_BYTES, TASK_FILES, FILE_BYTES = 1 << 24, 512, 1 << 25
+#: Rows of a batch that a reader gives out.
+ROWS = 10_000
+
+
 class Files(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, *paths: str):
+        self.paths = paths
 
 
 def store(path: str) -> tuple[pafs.FileSystem, str]:
@@ -191,6 +197,38 @@ def listed(path: str, suffix: str = "") -> list[str]:
     return [f"{path.rstrip('/')}/{n}" for n in sorted(names) if not n.startswith(("_", ".")) and n.endswith(suffix)]
 
 
+def together(path: str, suffix: str = "") -> list[Files]:
+    """The files of ``listed``, small ones in one partition."""
+    system, place = store(path)
+    sizes = {f.base_name: f.size or 0 for f in system.get_file_info(pafs.FileSelector(place))} if system.get_file_info(place).type == pafs.FileType.Directory else {}
+    out, held, size = [], [], 0
+    for p in listed(path, suffix):
+        own = sizes.get(p.rsplit("/", 1)[-1], 0)
+        if held and (size + own > TASK_BYTES or len(held) == TASK_FILES):
+            out.append(Files(*held))
+            held, size = [], 0
+        held.append(p)
+        size += own
+    return [*out, Files(*held)]
+
+
+def batches_of(rows: Iterable[tuple], names: list[str], kinds: tuple) -> Iterator[pa.RecordBatch]:
+    """Batches of ROWS rows, or of PIECE bytes in the last column."""
+    held, size = [], 0
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], t) for k, t in enumerate(kinds)], names=names)
+
+    for row in rows:
+        held.append(row)
+        size += len(row[-1] or b"")
+        if len(held) >= ROWS or size >= PIECE:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
 def pieces_of(path: str) -> Iterator[bytes]:
     system, place = store(path)
     with system.open_input_stream(place) as f:
@@ -265,37 +303,42 @@ class RecordReader(DataSourceReader):
         self.options = options
 
     def partitions(self):
-        return [Files(p) for p in listed(self.options["path"])] or [Files("")]
+        return [Files(p) for p in listed(self.options["path"])] or [Files()]
 
     def read(self, partition):
-        if not partition.path:
-            return
-        for offset, record in framed_records(inflated(pieces_of(partition.path), self.options.get("compression", "none"))):
-            yield record, partition.path, offset
+        for path in partition.paths:
+            for offset, record in framed_records(inflated(pieces_of(path), self.options.get("compression", "none"))):
+                yield record, path, offset
 
 
 class RecordWriter(Moved, DataSourceWriter):
-    """One file for each task, written as its rows come."""
+    """Files of FILE_BYTES, or as many as end the task's rows, written as these come: what reads a file whole finds none that grows with the table."""
 
     def write(self, rows):
         from pyspark import TaskContext
 
         kind = self.options.get("compression", "none").upper()
-        machine = zlib.compressobj(6, zlib.DEFLATED, 15 if kind == "ZLIB" else 31) if kind in ("ZLIB", "GZIP") else None
-        part = TaskContext.get().partitionId()
-        system, at, to = self.place(f"part-{part:05d}" if self.overwrite else f"part-{part:05d}-{self.job[:8]}")
-        with system.open_output_stream(at) as out:
-            held, size = [], 0
-            for row in rows:
-                held.append(bytes(row[0]))
-                size += len(held[-1])
-                if size >= PIECE:
-                    data = framed_all(held)
-                    out.write(machine.compress(data) if machine else data)
-                    held, size = [], 0
-            data = framed_all(held)
-            out.write(machine.compress(data) + machine.flush() if machine else data)
-        return Written([(at, to)])
+        part, moves, more, rows = TaskContext.get().partitionId(), [], True, iter(rows)
+        while more:
+            name = f"part-{part:05d}" + (f"-{len(moves):05d}" if moves else "")
+            system, at, to = self.place(name if self.overwrite else f"{name}-{self.job[:8]}")
+            machine = zlib.compressobj(6, zlib.DEFLATED, 15 if kind == "ZLIB" else 31) if kind in ("ZLIB", "GZIP") else None
+            with system.open_output_stream(at) as out:
+                held, size, total, more = [], 0, 0, False
+                for row in rows:
+                    held.append(bytes(row[0]))
+                    size += len(held[-1])
+                    if size >= PIECE:
+                        data = framed_all(held)
+                        out.write(machine.compress(data) if machine else data)
+                        held, size, total = [], 0, total + len(data)
+                        if total >= FILE_BYTES:
+                            more = True
+                            break
+                data = framed_all(held)
+                out.write(machine.compress(data) + machine.flush() if machine else data)
+            moves.append((at, to))
+        return Written(moves)
 
 
 def chunk_file(record_id: str, first: int, records: list[bytes], record_type: str = "text", compression: str = "none") -> bytes:
@@ -344,17 +387,17 @@ class ChunkSource(DataSource):
 
 
 class ChunkReader(DataSourceReader):
-    """A chunk is the unit of the format: it is read whole."""
+    """A chunk is the unit of the format: it is read whole. Chunks may be small and many: a task reads some hundreds of them."""
 
     def __init__(self, options):
         self.options = options
 
     def partitions(self):
-        return [Files(p) for p in listed(self.options["path"], "." + self.options["column"])] or [Files("")]
+        return together(self.options["path"], "." + self.options["column"])
 
     def read(self, partition):
-        rows = [*chunk_records(b"".join(pieces_of(partition.path)))] if partition.path else []
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["record_id", "ordinal", "payload"])
+        rows = (r for path in partition.paths for r in chunk_records(b"".join(pieces_of(path))))
+        yield from batches_of(rows, ["record_id", "ordinal", "payload"], (pa.string(), pa.int64(), pa.binary()))
 
 
 class ChunkWriter(Moved, DataSourceArrowWriter):
@@ -364,11 +407,13 @@ class ChunkWriter(Moved, DataSourceArrowWriter):
         return "." + self.options["column"]
 
     def write(self, batches):
-        rows = sorted((o, p) for b in batches for o, p in zip(b.column("ordinal").to_pylist(), b.column("payload").to_pylist(), strict=True))
-        size = int(self.options.get("chunk_size", len(rows) or 1))
+        held = [b.select(["ordinal", "payload"]).cast(pa.schema([("ordinal", pa.int64()), ("payload", pa.large_binary())])) for b in batches]
+        table = pa.Table.from_batches(held).sort_by("ordinal") if held else []
+        size = int(self.options.get("chunk_size", len(table) or 1))
         moves = []
-        for k in range(0, len(rows), size):
-            part = rows[k : k + size]
+        for k in range(0, len(table), size):
+            cut = table.slice(k, size)
+            part = [*zip(cut.column("ordinal").to_pylist(), cut.column("payload").to_pylist(), strict=True)]
             if part[-1][0] - part[0][0] != len(part) - 1:
                 raise ValueError("ordinals of a chunk must be consecutive")
             data = chunk_file(self.options.get("record_id", "records"), part[0][0], [p or b"" for _, p in part], self.options.get("record_type", "text"), self.options.get("compression", "none"))
@@ -416,13 +461,20 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
+def slices(content: pa.Scalar) -> Iterator[bytes]:
+    """A file's content piece by piece, each copied as it is asked for."""
+    whole = content.as_buffer()
+    for at in range(0, whole.size if whole else 0, PIECE):
+        yield whole.slice(at, min(PIECE, whole.size - at)).to_pybytes()
+
+
 def records_of(files: DataFrame, compression: str = "none") -> DataFrame:
     """(path, offset, record) of binaryFile rows, for stores that only Spark opens."""
 
     def run(batches):
         for batch in batches:
-            rows = [(p, o, r) for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True) for o, r in framed_records(inflated([c], compression))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["path", "offset", "record"])
+            rows = ((p, o, r) for p, c in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True) for o, r in framed_records(inflated(slices(c), compression)))
+            yield from batches_of(rows, ["path", "offset", "record"], (pa.string(), pa.int64(), pa.binary()))
 
     return files.select("path", "content").mapInArrow(run, "path string, offset bigint, record binary")
 
@@ -432,8 +484,8 @@ def chunks_of(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [r for c in batch.column("content").to_pylist() for r in chunk_records(c)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["record_id", "ordinal", "payload"])
+            rows = (r for c in batch.column("content") for r in chunk_records(c.as_py()))
+            yield from batches_of(rows, ["record_id", "ordinal", "payload"], (pa.string(), pa.int64(), pa.binary()))
 
     return files.select("content").mapInArrow(run, "record_id string, ordinal bigint, payload binary")
 

@@ -294,3 +294,33 @@ def test_tree_databases(spark, tmp_path, n, newer):
     assert btree.entries_of(spark.read.format("binaryFile").load(str(tmp_path / "data.mdb"))).count() == n
     with pytest.raises(ValueError, match="not a database"):
         btree.state(b"\0" * 9000)
+
+
+def test_small_chunks_are_read_together(spark, tmp_path):
+    """A task for each chunk file is too many."""
+    path = str(tmp_path / "out")
+    rows = spark.range(0, 900, 1, 1).select(F.lit("x").alias("record_id"), F.col("id").alias("ordinal"), F.col("id").cast("string").cast("binary").alias("payload"))
+    rows.write.format("read_chunks").mode("append").option("path", path).option("column", "qual").option("chunk_size", 1).save()
+    found = spark.read.format("read_chunks").option("path", path).option("column", "qual").load()
+    assert found.rdd.getNumPartitions() == 2
+    assert sorted((r.ordinal, bytes(r.payload)) for r in found.collect()) == [(k, b"%d" % k) for k in range(900)]
+
+
+def test_record_files_end(tmp_path, monkeypatch):
+    """A writer's files don't grow with a task's rows, and readers give out batches of a size."""
+    import pyspark
+
+    monkeypatch.setattr(datasources, "FILE_BYTES", 400)
+    monkeypatch.setattr(datasources, "PIECE", 100)
+    monkeypatch.setattr(pyspark.TaskContext, "get", staticmethod(lambda: type("Context", (), {"partitionId": lambda self: 3, "attemptNumber": lambda self: 0})()))
+    writer = datasources.RecordWriter({"path": str(tmp_path), "compression": "GZIP"}, True)
+    writer.commit([writer.write((b"record %d" % k,) for k in range(200))])
+    files_ = sorted(p for p in tmp_path.iterdir() if p.name.startswith("part-"))
+    assert len(files_) > 5 and files_[0].name == "part-00003"
+    reader = datasources.RecordReader({"path": str(tmp_path), "compression": "GZIP"})
+    assert sorted(r for p in reader.partitions() for r, *_ in reader.read(p)) == sorted(b"record %d" % k for k in range(200))
+    import pyarrow as pa
+
+    made = [*datasources.batches_of(((k, b"x" * 30) for k in range(10)), ["k", "b"], (pa.int64(), pa.binary()))]
+    assert [len(b) for b in made] == [4, 4, 2]
+    assert b"".join(datasources.slices(pa.scalar(b"y" * 250, pa.binary()))) == b"y" * 250
