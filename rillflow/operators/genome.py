@@ -57,32 +57,30 @@ def unpack_bases(words: list[int]) -> str:
 
 
 def encode_bases(bases: Column | str) -> Column:
-    """The words of a read, as ``pack_bases``, within the JVM."""
+    """The words of a read, as ``pack_bases``, within the JVM: three bits are an octal digit, so a word is a number of 21 of these, the last base first."""
     bases = F.col(bases) if isinstance(bases, str) else bases
     upper = F.upper(bases)
     letters = "".join(BASES)
     digits = F.translate(upper, letters, "".join(str(BASES[c]) for c in letters))
-    checked = F.when(upper.rlike(f"^[{letters}]*$"), F.concat(digits, F.lit(str(END)))).otherwise(F.raise_error(F.concat(F.lit("not a base in "), bases)).cast("string"))
-    codes = F.transform(F.filter(F.split(checked, ""), lambda c: c != ""), lambda c: c.cast("long"))
-    words = F.transform(F.sequence(F.lit(0), F.floor((F.size(codes) - 1) / BASES_A_WORD).cast("int")), lambda k: F.slice(codes, k * BASES_A_WORD + 1, BASES_A_WORD))
-    joined = lambda word: F.aggregate(F.reverse(word), F.lit(0).cast("long"), lambda s, c: F.shiftleft(s, 3).bitwiseOR(c))
-    return F.when(bases.isNotNull(), F.transform(words, joined))
+    checked = F.when(upper.rlike(rf"^[{letters}]*\z"), F.concat(digits, F.lit(str(END)))).otherwise(F.raise_error(F.concat(F.lit("not a base in "), bases)).cast("string"))
+    words = F.regexp_extract_all(checked, F.lit(f"(.{{1,{BASES_A_WORD}}})"), F.lit(1))
+    return F.when(bases.isNotNull(), F.transform(words, lambda w: F.conv(F.reverse(w), 8, 10).cast("long")))
 
 
 def decode_bases(words: Column | str) -> Column:
     """The read of packed words; one without an end mark is an error."""
     words = F.col(words) if isinstance(words, str) else words
-    codes = F.flatten(F.transform(words, lambda w: F.transform(F.array(*map(F.lit, range(0, 3 * BASES_A_WORD, 3))), lambda k: F.call_function("shiftrightunsigned", w, k).bitwiseAND(7).cast("int"))))
-    end = F.array_position(codes, F.lit(END))
-    length = F.when(end > 0, end - 1).otherwise(F.raise_error(F.lit("no end mark")).cast("long"))
-    letters = F.array(*map(F.lit, BASES))
-    return F.when(words.isNotNull(), F.array_join(F.transform(F.slice(codes, F.lit(1), length.cast("int")), lambda c: F.element_at(letters, c + 1)), ""))
+    octal = lambda w: F.reverse(F.lpad(F.conv(w.bitwiseAND(F.lit((1 << 3 * BASES_A_WORD) - 1)).cast("string"), 10, 8), BASES_A_WORD, "0"))
+    digits = F.regexp_extract(F.array_join(F.transform(words, octal), "", "?"), f"^([^{END}]*){END}", 0)
+    letters, codes = "".join(BASES), "".join(map(str, BASES.values()))
+    known = F.when(digits.rlike(f"^[{codes}]*{END}"), digits).otherwise(F.raise_error(F.when(digits == "", F.lit("no end mark")).otherwise(F.lit("not the code of a base"))).cast("string"))
+    return F.when(words.isNotNull(), F.translate(known, codes + str(END), letters))
 
 
 def packed_bytes(words: Column) -> Column:
     """The words as bytes, least first: what a column of packed bases stores."""
-    swapped = lambda w: F.array_join(F.reverse(F.filter(F.split(F.regexp_replace(F.lpad(F.hex(w), 16, "0"), "(..)", "$1 "), " "), lambda x: x != "")), "")
-    return F.unhex(F.array_join(F.transform(words, swapped), ""))
+    turned = F.array_join(F.transform(words, lambda w: F.reverse(F.lpad(F.hex(w), 16, "0"))), "")  # digits of a byte are still the wrong way round
+    return F.unhex(F.regexp_replace(turned, "(.)(.)", "$2$1"))
 
 
 def convert_reads(df: DataFrame, ordinal: str = "ordinal") -> DataFrame:
@@ -118,7 +116,8 @@ def fastq_records(lines: DataFrame, order: str, chunk_size: int) -> DataFrame:
     """(record, chunk, meta, bases, quals) from lines with dense positions ``order``; a last record of fewer than four lines is dropped."""
     at = F.col(order)
     part = lambda k: F.max(F.when(at % 4 == k, F.col("line")))
-    records = lines.groupBy(F.floor(at / 4).alias("record")).agg(part(0).alias("_meta"), part(1).alias("bases"), part(3).alias("quals"), F.count(F.lit(1)).alias("_n")).where("_n = 4")
+    met = lines.withColumn("record", F.floor(at / 4)).repartition("record")  # texts are grouped by sorting: not before they are dealt, when a task has all that was read
+    records = met.groupBy("record").agg(part(0).alias("_meta"), part(1).alias("bases"), part(3).alias("quals"), F.count(F.lit(1)).alias("_n")).where("_n = 4")
     meta = F.when(F.col("_meta").startswith("@"), F.expr("substring(_meta, 2)")).otherwise(F.col("_meta"))
     return records.select("record", F.floor(F.col("record") / chunk_size).alias("chunk"), meta.alias("meta"), F.expr("substring(bases, 1, length(quals))").alias("bases"), "quals")
 

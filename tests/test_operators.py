@@ -528,3 +528,24 @@ def test_estimates_are_not_kept_for_each_user(spark):
     plan = transform.explained(catalogue.queries()["approx_distinct"](spark, "/root/testdata/sf0.001"))
     keys = [line for line in plan.splitlines() if line.startswith("Functions") and "approx_count_distinct" in line and "user_id" in line]
     assert keys and not [line for line in plan.splitlines() if line.startswith("Functions") and "merge_approx_count_distinct" in line]
+
+
+def test_lines_are_dealt_before_they_are_sorted(spark):
+    lines = frame(spark, ["@a", "ACGT", "+", "!!!!", "@b", "AC"], "string", "line")
+    found = genome.fastq_records(lines, "ord", 2)
+    plan = transform.explained(found)
+    assert plan.index("(4) Exchange") < plan.index("SortAggregate\nInput") if "(4) Exchange" in plan else plan.index("Exchange\nInput") < plan.index("Sort\nInput")
+    assert [tuple(r) for r in found.collect()] == [(0, 0, "a", "ACGT", "!!!!")]
+
+
+def test_base_codec_is_of_text(spark):
+    """Words are octal numbers: no array of a read's bases is made."""
+    reads = ["ACGTN" * 100, "A" * 21, "n" * 20]
+    df = spark.createDataFrame([(r,) for r in reads], "b string").select("b", genome.encode_bases("b").alias("w"))
+    assert "split(" not in transform.explained(df)
+    assert [(r.w, r.back) for r in df.select("w", genome.decode_bases("w").alias("back")).collect()] == [(genome.pack_bases(r), r.upper()) for r in reads]
+    with pytest.raises(Exception, match="not a base"):
+        spark.createDataFrame([("AC\n",)], "b string").select(genome.encode_bases("b")).collect()
+    for words, error in (([0], "no end mark"), ([5 | 7 << 3], "not the code"), ([None, 7], "not the code")):
+        with pytest.raises(Exception, match=error):
+            spark.createDataFrame([(words,)], "w array<long>").select(genome.decode_bases("w")).collect()
