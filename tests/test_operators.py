@@ -549,3 +549,22 @@ def test_base_codec_is_of_text(spark):
     for words, error in (([0], "no end mark"), ([5 | 7 << 3], "not the code"), ([None, 7], "not the code")):
         with pytest.raises(Exception, match=error):
             spark.createDataFrame([(words,)], "w array<long>").select(genome.decode_bases("w")).collect()
+
+
+def test_quick_examples_are_as_the_general_ones(spark):
+    from rillflow.functions import wire
+
+    features = [{}, {"a": {"ints": [1, -1, 300, 1 << 62] + [7] * 90}, "é": {"floats": [0.5, -2.0]}, "": {"bytes": [b"", b"x" * 300]}}, {"none": {}, "empty": {"ints": [], "floats": [], "bytes": []}}, {"two": {"ints": [1], "bytes": [b"a"]}}]
+    data = [wire.example_bytes(f) for f in features]
+    twice = b"".join(wire.put(1, 2, wire.put(1, 2, b"k") + wire.put(2, 2, wire.put(3, 2, wire.put(1, 0, v)))) for v in (1, 2))  # not packed, the key twice
+    data += [wire.put(1, 2, twice), wire.put(9, 0, 5) + data[1], b""]
+    plain = lambda x: [(k, {n: v for n, v in f.items()}) for k, f in x]
+    for d in data[:4]:
+        assert [(k, dict(zip(("bytes", "floats", "ints"), v, strict=True))) for k, v in wire.quick_example(d).items()] == plain(wire.example_of(d))
+    rows = wire.parse_examples(spark.createDataFrame([(d,) for d in [*data, None]], "record binary"))
+    for r in rows.collect():
+        assert r.example is None if r.record is None else {k: (v.bytes and [bytes(b) for b in v.bytes], v.floats, v.ints) for k, v in r.example.items()} == {k: (f["bytes"], f["floats"], f["ints"]) for k, f in wire.example_of(bytes(r.record))}
+    again = rows.select("record", wire.write_examples(F.col("example")).alias("again")).collect()
+    assert [r.again and bytes(r.again) for r in again][:4] == data[:4] and again[-1].again is None
+    with pytest.raises(Exception, match="truncated"):
+        wire.parse_examples(spark.createDataFrame([(data[1][:-1],)], "record binary")).collect()
