@@ -26,6 +26,13 @@ def egress(df: DataFrame) -> DataFrame:
     return found.where(F.col("n") == F.col("request_count")).select("request_id", "n")
 
 
+def complete(df: DataFrame) -> DataFrame:
+    """The rows of requests of which all rows have come, as ``egress`` tells, counted where a request's rows lie, so that ``df`` is gone through once."""
+    whole = Window.partitionBy("request_id")
+    counted = df.withColumn("_all", F.count(F.lit(1)).over(whole) == F.max("request_count").over(whole))
+    return counted.where(F.col("_all") & F.col("request_id").isNotNull()).drop("_all")
+
+
 def dequeue_many(df: DataFrame, size: int) -> DataFrame:
     """``df`` with ``batch``: batches of up to ``size`` rows of one request."""
     return numbered(df, ["ord"], "_pos", partition=["request_id"]).withColumn("batch", F.floor(F.col("_pos") / size)).drop("_pos")
@@ -65,15 +72,14 @@ def released_credits(df: DataFrame, most_open: int) -> DataFrame:
 def closed(df: DataFrame, at: Column, cancel_pending: bool = False) -> DataFrame:
     """The rows that a gate lets in before it closes: those for which ``at`` (came after the close) is false. Pending requests, which can't be completed any more, go too if they are cancelled."""
     inside = df.where(~F.coalesce(at, F.lit(False)))
-    return inside.join(egress(inside).select("request_id"), "request_id", "left_semi") if cancel_pending else inside
+    return complete(inside) if cancel_pending else inside
 
 
 def dequeue_whole(df: DataFrame, value: str | Column) -> DataFrame:
     """(request_id, items, n): each complete request as one row, its values in order. A request's rows meet in one row, so requests are what bounds it."""
     from rillflow.operators.window import gathered
 
-    done = df.join(egress(df).select("request_id"), "request_id", "left_semi")
-    return done.groupBy("request_id").agg(gathered(["ord"], value).alias("items"), F.count(F.lit(1)).alias("n"))
+    return complete(df).groupBy("request_id").agg(gathered(["ord"], value).alias("items"), F.count(F.lit(1)).alias("n"))
 
 
 def pipeline(df: DataFrame, stages: list[tuple[str, int | None, Callable[[DataFrame], DataFrame]]], most_open: int | None = None) -> DataFrame:
@@ -86,7 +92,7 @@ def pipeline(df: DataFrame, stages: list[tuple[str, int | None, Callable[[DataFr
         if mode == "batch":
             out = dequeue_many(out, size)
         elif mode == "whole":
-            out = out.join(egress(out).select("request_id"), "request_id", "left_semi")
+            out = complete(out)
         elif mode != "each":
             raise ValueError(f"unknown mode {mode}")
         out = function(out)

@@ -568,3 +568,12 @@ def test_quick_examples_are_as_the_general_ones(spark):
     assert [r.again and bytes(r.again) for r in again][:4] == data[:4] and again[-1].again is None
     with pytest.raises(Exception, match="truncated"):
         wire.parse_examples(spark.createDataFrame([(data[1][:-1],)], "record binary")).collect()
+
+
+def test_whole_requests_are_counted_in_place(spark):
+    """The gate went through its rows twice, and joined them to themselves."""
+    rows = spark.createDataFrame([(1, 2, 0), (1, 2, 1), (2, 2, 0), (None, 1, 0), (3, 1, 0)], "request_id long, request_count long, ord long")
+    done = gate.pipeline(rows, [("batch", 2, lambda d: d), ("whole", None, lambda d: d)])
+    assert "Join" not in transform.explained(done)
+    assert sorted((r.request_id, r.ord, r.batch) for r in done.collect()) == [(1, 0, 0), (1, 1, 0), (3, 0, 0)]
+    assert sorted((r.request_id, r.n) for r in gate.dequeue_whole(rows, F.col("ord")).collect()) == [(1, 2), (3, 1)]
