@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -154,18 +154,19 @@ def angle(a: Column) -> Column:
 def fft(items: Column, inverse: bool = False) -> Column:
     """The discrete Fourier transform of an array of complex numbers; rows of one length are transformed together."""
 
-    @F.pandas_udf("array<struct<re: double, im: double>>")
-    def run(series: pd.Series) -> pd.Series:
-        out: list = [None] * len(series)
-        lengths = series.map(lambda z: -1 if z is None else len(z))
-        for n, rows in series.groupby(lengths):
-            if n < 0:
-                continue
-            flat = np.array([[complex(c["re"], c["im"]) for c in z] for z in rows]).reshape(len(rows), n)
-            made = (np.fft.ifft if inverse else np.fft.fft)(flat, axis=1) if n else flat
-            for at, z in zip(rows.index, made, strict=True):
-                out[at] = [{"re": c.real, "im": c.imag} for c in z]
-        return pd.Series(out)
+    @F.arrow_udf("array<struct<re: double, im: double>>")
+    def run(arrays: pa.Array) -> pa.Array:
+        flat, sizes = arrays.flatten(), np.asarray(pc.fill_null(pc.list_value_length(arrays), 0), np.int64)
+        if flat.null_count or any(c.null_count for c in flat.flatten()):
+            raise ValueError("a complex number is null")
+        re, im = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("re", "im"))
+        ends = np.cumsum(sizes)
+        out = np.empty(len(re), complex)
+        for n in np.unique(sizes[sizes > 0]).tolist():
+            at = (ends[sizes == n] - n)[:, None] + np.arange(n)
+            out[at] = (np.fft.ifft if inverse else np.fft.fft)(re[at] + 1j * im[at], axis=1)
+        made = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(out.real)), pa.array(np.ascontiguousarray(out.imag))], names=["re", "im"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), made, mask=arrays.is_null())
 
     return run(items)
 
